@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gazette import dims
 from gazette.functions.text import compose_text, keyword_hits, sql_double, sql_str, str_array
-from gazette.functions.vectors import dot, normalize
+from gazette.functions.vectors import dot, norm
 from gazette.operators.relevance import check_relevance
 
 MAX_PROTOTYPES = 4096  # prototypes are inlined as a literal; beyond this, refuse
@@ -104,32 +104,35 @@ def prototype_literal(protos, max_rows: int = MAX_PROTOTYPES) -> Column:
 # --------------------------------------------------------------------------- C2
 def classify_nearest(df: DataFrame, prototypes, vec_col: str = "vec", method: str = "nearest_prototype",
                      out_category: str = "category", out_conf: str = "confidence") -> DataFrame:
-    """Cosine to every prototype, argmax (first wins ties); confidence = similarity."""
+    """Cosine to every prototype, argmax (first wins ties); confidence = similarity.
+
+    Prototypes are unit vectors, so the argmax of the cosine is the argmax of
+    the raw dot product; the article's norm (a positive per-row constant) is
+    applied once afterwards, outside any lambda.
+    """
     lit = prototype_literal(prototypes)
-    nv = normalize(vec_col)
     best = F.array_max(F.transform(lit, lambda p: F.struct(
-        F.coalesce(dot(F.col("_nv"), p["vec"]), F.lit(0.0)).alias("sim"), (-p["ord"]).alias("neg_ord"),
+        F.coalesce(dot(F.col(vec_col), p["vec"]), F.lit(0.0)).alias("d"), (-p["ord"]).alias("neg_ord"),
         p["category"].alias("category"))))
-    return (df.withColumn("_nv", nv).withColumn("_best", best)
+    n = norm(vec_col)
+    return (df.withColumn("_best", best)
               .withColumn(out_category, F.col("_best.category"))
-              .withColumn(out_conf, F.col("_best.sim"))
+              .withColumn(out_conf, F.when(n > 0, F.col("_best.d") / n).otherwise(F.lit(0.0)))
               .withColumn("method", F.lit(method))
-              .drop("_nv", "_best"))
+              .drop("_best"))
 
 
 def score_table(df: DataFrame, prototypes, id_col: str = "article_id", vec_col: str = "vec",
                 labels: Sequence[str] | None = None) -> DataFrame:
     """Long form ``(id, ord, label, score)``: cosine of each vector to each prototype."""
     lit = prototype_literal(prototypes)
-    nv = normalize(vec_col)
-    if labels is not None:
-        names = str_array(labels)
-    out = df.select(id_col, F.explode(F.transform(lit, lambda p: F.struct(
+    out = df.select(id_col, norm(vec_col).alias("_n"), F.explode(F.transform(lit, lambda p: F.struct(
         p["ord"].alias("ord"), p["category"].alias("label"),
-        F.coalesce(dot(nv, p["vec"]), F.lit(0.0)).alias("score")))).alias("s"))
-    out = out.select(id_col, "s.ord", "s.label", "s.score")
+        F.coalesce(dot(F.col(vec_col), p["vec"]), F.lit(0.0)).alias("d")))).alias("s"))
+    out = out.select(id_col, "s.ord", "s.label",
+                     F.when(F.col("_n") > 0, F.col("s.d") / F.col("_n")).otherwise(F.lit(0.0)).alias("score"))
     if labels is not None:
-        out = out.withColumn("label", F.element_at(names, F.col("ord") + 1))
+        out = out.withColumn("label", F.try_element_at(str_array(labels), F.col("ord") + 1))
     return out
 
 
@@ -148,7 +151,7 @@ def label_from_description(df: DataFrame, desc_col: str = "category", cats=dims.
                            default: str = dims.DEFAULT_CATEGORY) -> DataFrame:
     """Map a winning description text back to its category (literal map), default ``world``."""
     m = F.create_map(*[x for c, d in cats for x in (F.lit(d), F.lit(c))])
-    return df.withColumn("category", F.coalesce(F.element_at(m, F.col(desc_col)), F.lit(default)))
+    return df.withColumn("category", F.coalesce(F.try_element_at(m, F.col(desc_col)), F.lit(default)))
 
 
 # --------------------------------------------------------------------------- C6
@@ -187,7 +190,7 @@ def label_from_answer(df: DataFrame, answer_col: str = "answer", cats: Sequence[
     from gazette.functions.text import trim_ws
     names = cats if cats is not None else [c for c, _ in dims.BASIC_CATEGORIES]
     ans = F.lower(trim_ws(F.col(answer_col)))
-    hit = F.element_at(F.filter(str_array(names), lambda c: F.instr(ans, c) > 0), 1)
+    hit = F.try_element_at(F.filter(str_array(names), lambda c: F.instr(ans, c) > 0), F.lit(1))
     model_name = model.split("/")[-1]
     failed = F.col(answer_col).isNull()
     return (df.withColumn("category", F.when(failed, F.lit(default)).otherwise(F.coalesce(hit, F.lit(default))))
@@ -228,7 +231,7 @@ def main_category(df: DataFrame, hierarchy=dims.CATEGORY_HIERARCHY, sub_col: str
                 seen.add(s)
                 pairs += [F.lit(s), F.lit(main)]
     m = F.create_map(*pairs)
-    return df.withColumn("main_category", F.coalesce(F.element_at(m, F.col(sub_col)), F.lit(default)))
+    return df.withColumn("main_category", F.coalesce(F.try_element_at(m, F.col(sub_col)), F.lit(default)))
 
 
 def category_rollup(df: DataFrame, sub_col: str = "category") -> DataFrame:

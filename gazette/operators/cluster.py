@@ -79,28 +79,74 @@ def neighbor_pairs(df: DataFrame, eps: float, key: str = "category", id_col: str
         else:
             ii, jj = np.nonzero(dist <= limit)
         a, b = ida[ii], idb[jj]
-        return pd.DataFrame({"k": [k] * len(ii), "a": np.minimum(a, b), "b": np.maximum(a, b),
-                             "dist": dist[ii, jj]})
+        return pd.DataFrame({"k": pd.Series([k] * len(ii), dtype=object), "a": np.minimum(a, b),
+                             "b": np.maximum(a, b), "dist": dist[ii, jj]})
 
     pairs = blocked.groupBy("k", "lo", "hi").applyInPandas(tile, out_schema)
     return pairs.select(F.col("k").alias(key), "a", "b", "dist")
 
 
 # --------------------------------------------------------------------------- G2
-def dbscan_labels(points: DataFrame, pairs: DataFrame, min_samples: int = 2, key: str = "category",
-                  id_col: str = "pos") -> DataFrame:
-    """``(key, id, cluster_id, is_core)``; noise has cluster_id -1.
+LOCAL_MAX_POINTS = 200_000      # a key this small is labelled inside one task ...
+LOCAL_MAX_PAIRS = 5_000_000     # ... if its pair list is this small too (checked per key)
 
-    Core: at least ``min_samples`` points within eps, itself included. Clusters
-    are connected core points, numbered 0, 1, ... by their smallest id within
-    the key. A border point joins the lowest-numbered cluster among its core
-    neighbours.
-    """
+
+def _label_arrays(ids: np.ndarray, a: np.ndarray, b: np.ndarray, min_samples: int):
+    """DBSCAN labels for one key from its ids (sorted) and pairs: (cluster_id, is_core)."""
+    n = len(ids)
+    ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    deg = np.bincount(ia, minlength=n) + np.bincount(ib, minlength=n)
+    core = deg + 1 >= min_samples
+    both = core[ia] & core[ib]
+    ca, cb = ia[both], ib[both]
+    lab = np.arange(n)
+    while True:            # min-label propagation with pointer jumping
+        prev = lab.copy()
+        np.minimum.at(lab, ca, lab[cb])
+        np.minimum.at(lab, cb, lab[ca])
+        while True:
+            nxt = lab[lab]
+            if np.array_equal(nxt, lab):
+                break
+            lab = nxt
+        if np.array_equal(lab, prev):
+            break
+    big = np.iinfo(np.int64).max
+    border = np.full(n, big, dtype=np.int64)
+    one = core[ia] & ~core[ib]
+    np.minimum.at(border, ib[one], lab[ia[one]])
+    two = core[ib] & ~core[ia]
+    np.minimum.at(border, ia[two], lab[ib[two]])
+    root = np.where(core, lab, np.where(border < big, border, -1))
+    roots = np.unique(root[root >= 0])
+    cid = np.where(root >= 0, np.searchsorted(roots, root), -1)
+    return cid.astype(np.int64), core
+
+
+def _local_labels(points: DataFrame, pairs: DataFrame, min_samples: int, key: str, key_type) -> DataFrame:
+    rows = (points.select(F.col(key).alias("k"), F.lit(0).alias("kind"), F.col("id").alias("a"),
+                          F.lit(None).cast("long").alias("b"))
+            .unionByName(pairs.select(F.col(key).alias("k"), F.lit(1).alias("kind"), "a", "b")))
+    schema = T.StructType([T.StructField("k", key_type), T.StructField("id", T.LongType()),
+                           T.StructField("cluster_id", T.LongType()), T.StructField("is_core", T.BooleanType())])
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind = pdf["kind"].to_numpy()
+        ids = np.sort(pdf["a"].to_numpy(dtype=np.int64)[kind == 0])
+        pr = pdf[kind == 1]
+        cid, core = _label_arrays(ids, pr["a"].to_numpy(dtype=np.int64), pr["b"].to_numpy(dtype=np.int64),
+                                  min_samples)
+        return pd.DataFrame({"k": pd.Series([pdf["k"].iat[0]] * len(ids), dtype=object), "id": ids,
+                             "cluster_id": cid, "is_core": core})
+
+    return rows.groupBy("k").applyInPandas(label, schema).withColumnRenamed("k", key)
+
+
+def _distributed_labels(points: DataFrame, pairs: DataFrame, min_samples: int, key: str) -> DataFrame:
     ends = pairs.select(key, F.col("a").alias("id"), F.col("b").alias("o")).unionByName(
         pairs.select(key, F.col("b").alias("id"), F.col("a").alias("o")))
     deg = ends.groupBy(key, "id").agg(F.count("*").alias("deg"))
-    pts = (points.select(key, F.col(id_col).cast("long").alias("id"))
-           .join(deg, [key, "id"], "left")
+    pts = (points.join(deg, [key, "id"], "left")
            .withColumn("is_core", (F.coalesce("deg", F.lit(0)) + 1) >= min_samples)
            .drop("deg"))
     core = pts.filter("is_core").select("id")
@@ -114,12 +160,44 @@ def dbscan_labels(points: DataFrame, pairs: DataFrame, min_samples: int = 2, key
     pts = (pts.join(border, "id", "left")
            .withColumn("root", F.when(F.col("is_core"), F.col("root")).otherwise(F.col("broot")))
            .drop("broot"))
-    # cluster numbers: rank of the root among the (few) distinct roots of the key
+    # cluster numbers: rank of the root among the distinct roots of the key
     ranks = (pts.filter(F.col("root").isNotNull()).select(key, "root").distinct()
              .withColumn("cluster_id", F.dense_rank().over(Window.partitionBy(key).orderBy("root")) - 1))
     return (pts.join(ranks, [key, "root"], "left")
-            .select(key, F.col("id").alias(id_col), F.coalesce("cluster_id", F.lit(-1)).cast("long")
-                    .alias("cluster_id"), "is_core"))
+            .select(key, "id", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"), "is_core"))
+
+
+def dbscan_labels(points: DataFrame, pairs: DataFrame, min_samples: int = 2, key: str = "category",
+                  id_col: str = "pos", local_max_points: int = LOCAL_MAX_POINTS,
+                  local_max_pairs: int = LOCAL_MAX_PAIRS) -> DataFrame:
+    """``(key, id, cluster_id, is_core)``; noise has cluster_id -1.
+
+    Core: at least ``min_samples`` points within eps, itself included. Clusters
+    are connected core points, numbered 0, 1, ... by their smallest id within
+    the key. A border point joins the lowest-numbered cluster among its core
+    neighbours.
+
+    Keys whose point and pair counts are within the local bounds are labelled
+    in one grouped task each (NumPy); larger keys, e.g. a category holding a
+    third of all rows, go through the distributed path (grouped counts,
+    connected components by large-star/small-star, grouped min for borders).
+    Both paths give the same labels.
+    """
+    key_type = points.schema[key].dataType
+    pts = points.select(key, F.col(id_col).cast("long").alias("id"))
+    sizes = (pts.groupBy(key).agg(F.count("*").alias("np"))
+             .join(pairs.groupBy(key).agg(F.count("*").alias("nq")), key, "left")
+             .select(key, ((F.col("np") <= local_max_points) &
+                           (F.coalesce("nq", F.lit(0)) <= local_max_pairs)).alias("local")))
+    flagged_pts = pts.join(sizes, key)
+    flagged_pairs = pairs.join(sizes, key)
+    out = _local_labels(flagged_pts.filter("local").drop("local"), flagged_pairs.filter("local").drop("local"),
+                        min_samples, key, key_type)
+    if sizes.filter(~F.col("local")).limit(1).count():
+        out = out.unionByName(_distributed_labels(flagged_pts.filter(~F.col("local")).drop("local"),
+                                                  flagged_pairs.filter(~F.col("local")).drop("local"),
+                                                  min_samples, key))
+    return out.withColumnRenamed("id", id_col)
 
 
 # --------------------------------------------------------------------------- G3 + G1 + G2
@@ -130,8 +208,11 @@ def cluster_members(df: DataFrame, eps: float = 0.35, min_samples: int = 2, key:
     A key with fewer than ``min_samples`` rows is one noise cluster with id 0
     (``small`` = true); otherwise DBSCAN labels, noise = -1.
     """
-    pairs = neighbor_pairs(df, eps, key, id_col, vec_col, block_size)
-    labels = dbscan_labels(df.select(key, id_col), pairs, min_samples, key, id_col)
+    # Both intermediate tables are small (pairs within eps; one label per row) and
+    # are read several times: a reliable checkpoint computes each once, cuts the
+    # lineage, and survives executor loss.
+    pairs = neighbor_pairs(df, eps, key, id_col, vec_col, block_size).checkpoint()
+    labels = dbscan_labels(df.select(key, id_col), pairs, min_samples, key, id_col).checkpoint()
     sizes = df.groupBy(key).agg(F.count("*").alias("_n"), F.min(id_col).alias("cat_first"))
     return (df.join(labels, [key, id_col], "left").join(sizes, key)
             .withColumn("small", F.col("_n") < min_samples)

@@ -143,7 +143,7 @@ def render_text(dig: DataFrame) -> DataFrame:
     def item_text(x):
         t = x["title"]
         short = F.concat(F.substring(t, 1, 60), F.when(F.length(t) > 60, F.lit("...")).otherwise(F.lit("")))
-        head = F.concat(F.coalesce(F.element_at(emoji, x["category"]), F.lit(dims.DEFAULT_EMOJI)), F.lit(" *"),
+        head = F.concat(F.coalesce(F.try_element_at(emoji, x["category"]), F.lit(dims.DEFAULT_EMOJI)), F.lit(" *"),
                         x["rank"].cast("string"), F.lit(". "), short, F.lit("*"))
         src = F.when(F.size(x["sources"]) > 0,
                      F.concat(F.lit("\n📡 _"), F.array_join(x["sources"], ", "), F.lit("_"))).otherwise(F.lit(""))

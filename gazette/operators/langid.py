@@ -55,6 +55,6 @@ def detect_language(df: DataFrame, profiles: LangProfiles, text_col: str = "titl
         for i, (lang, ln) in enumerate(profiles.langs)) + ")")
     scored = (df.join(n, id_col, "left").join(seen, id_col, "left").withColumn("n", F.coalesce("n", F.lit(0)))
               .withColumn("_b", F.array_max(F.transform(langs, lambda l: F.struct(
-                  (F.coalesce(F.element_at(F.col("smap"), l["lang"]), F.lit(0.0)) - l["lnorm"] * F.col("n"))
+                  (F.coalesce(F.try_element_at(F.col("smap"), l["lang"]), F.lit(0.0)) - l["lnorm"] * F.col("n"))
                   .alias("s"), (-l["ord"]).alias("neg_ord"), l["lang"].alias("lang"))))))
     return scored.withColumn("detected", F.col("_b.lang")).withColumn("score", F.col("_b.s")).drop("_b", "n", "smap")

@@ -113,7 +113,7 @@ def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", t
                .withColumn("x", F.coalesce("x", F.lit(0.0))))
     jll = F.transform(classes, lambda c: F.struct(
         (c["prior"] + (F.lit(log_a) - c["lnorm"]) * F.col("x")
-         + F.coalesce(F.element_at(F.col("smap"), c["label"]), F.lit(0.0))).alias("j"),
+         + F.coalesce(F.try_element_at(F.col("smap"), c["label"]), F.lit(0.0))).alias("j"),
         (-c["ord"]).alias("neg_ord"), c["label"].alias("label")))
     out = per_doc.withColumn("_j", jll).withColumn("_b", F.array_max("_j"))
     denom = F.aggregate("_j", F.lit(0.0), lambda acc, s: acc + F.exp(s["j"] - F.col("_b.j")))
@@ -146,7 +146,7 @@ def _argmax_output(pred: DataFrame, prob_col: str, labels, id_col: str, method:
     lab = F.expr("array(" + ", ".join(sql_str(x) for x in labels) + ")")
     probs = F.col(prob_col)
     best = F.array_max(F.transform(probs, lambda p, i: F.struct(p.alias("p"), (-i).alias("neg_i"))))
-    return pred.select(id_col, F.element_at(lab, (-best["neg_i"] + 1).cast("int")).alias("category"),
+    return pred.select(id_col, F.try_element_at(lab, (-best["neg_i"] + 1).cast("int")).alias("category"),
                        best["p"].alias("confidence"), F.lit(method).alias("method"))
 
 

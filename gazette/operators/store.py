@@ -137,8 +137,9 @@ def get_articles(store: DataFrame, limit: int | None = 100, category: str | None
         out = out.filter(F.col("publish_date") >= F.lit(date_from).cast(store.schema["publish_date"].dataType))
     if is_relevant is not None:
         out = out.filter(F.col("is_relevant") == is_relevant)
-    out = out.orderBy(F.desc_nulls_last("publish_date"), F.asc(id_col))
-    return out.limit(limit) if limit is not None else out
+    if limit is None:          # a whole-table read needs no global sort
+        return out
+    return out.orderBy(F.desc_nulls_last("publish_date"), F.asc(id_col)).limit(limit)
 
 
 # --------------------------------------------------------------------------- S3

@@ -463,7 +463,7 @@ JOIN (SELECT article_id, sum(exp(j - mx)) AS den FROM nbr GROUP BY article_id) z
     # ---------------------------------------------------------------- digest
     text_ctes = [
         """blocks AS (SELECT category, cluster_id, i, blk, len,
-    sum(len) OVER (PARTITION BY category, cluster_id ORDER BY i) AS upto FROM (
+    CAST(sum(len) OVER (PARTITION BY category, cluster_id ORDER BY i) AS BIGINT) AS upto FROM (
       SELECT *, length(blk) AS len FROM (
         SELECT category, cluster_id, i,
           'Article ' || i || ' (' || coalesce(source, 'unknown') || '):' || chr(10) || 'Title: ' || coalesce(title, '')

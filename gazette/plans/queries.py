@@ -206,7 +206,7 @@ def q_classify_gated(spark, sf):
 def q_category_rollup(spark, sf):
     subs = F.expr("array(" + ", ".join(f"'{s}'" for s in SUB_CATEGORIES) + ")")
     mr = fx.method_results(spark, sf).withColumn(
-        "category", F.element_at(subs, (F.col("pos") % len(SUB_CATEGORIES) + 1).cast("int")))
+        "category", F.try_element_at(subs, (F.col("pos") % len(SUB_CATEGORIES) + 1).cast("int")))
     return C.category_rollup(mr)
 
 

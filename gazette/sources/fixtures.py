@@ -85,7 +85,7 @@ def method_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("method"),
         F.col("user_id").alias("article_id"),
         F.col("event_id").alias("pos"),
-        F.element_at(cats, (F.col("event_id") % 9 + 1).cast("int")).alias("category"),
+        F.try_element_at(cats, (F.col("event_id") % 9 + 1).cast("int")).alias("category"),
         ((F.col("event_id") % 100) / F.lit(100.0)).alias("confidence"),
         F.col("value").alias("time"),
     )
