@@ -529,8 +529,8 @@ FROM header""")
   CASE WHEN r.article_id IS NOT NULL THEN {ts("TIMESTAMP '" + Q.RUN_TS + "'")} END AS relevance_updated_at
 FROM store s LEFT JOIN rel r ON CAST(r.article_id AS VARCHAR) = s.id""")
     o["store_get_articles"] = with_(BT + STORE, f"""SELECT id, title, {ts('publish_date')} AS publish_date FROM store
-WHERE list_contains(meta_labels, 'quality') AND regexp_matches(url, 'EXAMPLE\\.(com|org)', 'i')
-  AND publish_date >= TIMESTAMP '2024-01-02 00:00:00'
+WHERE list_contains(meta_labels, 'quality') AND regexp_matches(url, 'EXAMPLE', 'i')
+  AND publish_date >= TIMESTAMP '2024-01-01 06:00:00'
 ORDER BY publish_date DESC NULLS LAST, id LIMIT 100""")
     o["store_normalize"] = with_(BT + STORE + [NORMALIZE], f"""SELECT id, title, description, url, source,
   {ts('published')} AS published, language FROM norm""")

@@ -404,8 +404,8 @@ def q_store_update_relevance(spark, sf):
 
 
 def q_store_get_articles(spark, sf):
-    out = K.get_articles(fx.store_articles(spark, sf), limit=100, category="quality", source="EXAMPLE\\.(com|org)",
-                         date_from="2024-01-02 00:00:00")
+    out = K.get_articles(fx.store_articles(spark, sf), limit=100, category="quality", source="EXAMPLE",
+                         date_from="2024-01-01 06:00:00")
     return out.select("id", "title", ts_str("publish_date").alias("publish_date"))
 
 
