@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,6 +209,8 @@ def cluster_members(df: DataFrame, eps: float = 0.35, min_samples: int = 2, key:
     A key with fewer than ``min_samples`` rows is one noise cluster with id 0
     (``small`` = true); otherwise DBSCAN labels, noise = -1.
     """
+    # the input is read four times (blocks, points, sizes, final join): compute it once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     # Both intermediate tables are small (pairs within eps; one label per row) and
     # are read several times: a reliable checkpoint computes each once, cuts the
     # lineage, and survives executor loss.
@@ -233,8 +236,12 @@ def cluster_keywords(members: DataFrame, top_k: int = 5, key: str = "category",
     w = (members.select(key, "cluster_id", id_col, F.posexplode(F.split(text, r"(?U)\s+")).alias("i", "w"))
          .filter((F.length("w") > 3) & F.col("w").rlike(r"^\p{L}+$")
                  & ~F.col("w").isin(list(stop_words))))
-    counts = (w.groupBy(key, "cluster_id", "w")
-              .agg(F.count("*").alias("n"), F.min(F.struct(id_col, "i")).alias("first")))
+    # first occurrence = smallest (article, word index): two hash aggregations with
+    # fixed-width buffers (a struct minimum would force a sort-based aggregate)
+    per_doc = w.groupBy(key, "cluster_id", "w", id_col).agg(F.count("*").alias("n"), F.min("i").alias("i"))
+    counts = (per_doc.groupBy(key, "cluster_id", "w")
+              .agg(F.sum("n").alias("n"), F.min(id_col).alias("p"), F.min_by("i", id_col).alias("i"))
+              .withColumn("first", F.struct("p", "i")))
     rank = Window.partitionBy(key, "cluster_id").orderBy(F.desc("n"), F.asc("first"))
     top = counts.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= top_k)
     kw = (top.groupBy(key, "cluster_id")
@@ -265,7 +272,9 @@ def clusters(members: DataFrame, top_k: int = 5, key: str = "category", id_col:
         F.when(F.col("small"), F.col("_first_title")).otherwise(F.col("_longest.title")).alias("main_title"),
         F.when(F.col("small"), F.lit(None).cast("string")).otherwise(F.col("_longest.source")).alias("main_source"),
         "cat_first")
-    return table.join(cluster_keywords(members, top_k, key, id_col), [key, "cluster_id"])
+    # one row per cluster, read again by top-k, digest items and the header: keep it
+    return (table.join(cluster_keywords(members, top_k, key, id_col), [key, "cluster_id"])
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def cluster_by_category(df: DataFrame, eps: float = 0.35, min_samples: int = 2, top_k: int = 5,

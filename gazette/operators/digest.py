@@ -160,8 +160,11 @@ def render_text(dig: DataFrame) -> DataFrame:
 def digest_metadata(dig: DataFrame, classified: DataFrame, version: str = dims.STORE_PIPELINE_VERSION) -> DataFrame:
     """Digest row plus processed / relevant / irrelevant counts and pipeline version."""
     flag = F.coalesce(F.col("is_relevant"), F.lit(True))
-    # single-row aggregates attached as scalar subqueries (no join)
-    return dig.select("*", classified.select(F.count("*")).scalar().alias("articles_processed"),
-                      classified.select(F.count_if(flag)).scalar().alias("relevant_articles"),
-                      classified.select(F.count_if(~flag)).scalar().alias("irrelevant_articles"),
+    # one single-row aggregate, attached as one struct-valued scalar subquery (no join)
+    counts = classified.select(F.struct(F.count("*").alias("articles_processed"),
+                                        F.count_if(flag).alias("relevant_articles"),
+                                        F.count_if(~flag).alias("irrelevant_articles"))).scalar()
+    return dig.select("*", counts["articles_processed"].alias("articles_processed"),
+                      counts["relevant_articles"].alias("relevant_articles"),
+                      counts["irrelevant_articles"].alias("irrelevant_articles"),
                       F.lit(version).alias("pipeline_version"))

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from gazette.functions.text import sql_double, sql_str
 
 MAX_LANGUAGES = 1000
-_TRIGRAMS = "transform(sequence(1, greatest(length(_t) - 2, 1)), i -> substring(_t, i, 3))"
+# every overlapping 3-character substring: a zero-width lookahead match at each
+# position captures the next three characters (one compiled regex per text)
+_TRIGRAM_RE = r"(?s)(?=(.{3}))"
 
 
 def trigrams(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     t = df.select(*keep, F.lower(F.col(text_col)).alias("_t"))
-    return (t.filter(F.length("_t") >= 3)
-            .select(*keep, F.explode(F.expr(_TRIGRAMS)).alias("tri")))
+    return t.select(*keep, F.explode(F.regexp_extract_all("_t", F.lit(_TRIGRAM_RE), 1)).alias("tri"))
 
 
 class LangProfiles:

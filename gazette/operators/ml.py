@@ -21,6 +21,7 @@ import os
 import zipfile
 from functools import lru_cache
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,34 +48,45 @@ def tokens(df: DataFrame, id_col: str, text_col: str = "text", stop_words=None)
 
 
 class TfidfModel:
-    def __init__(self, vocab: DataFrame, n_docs, max_features: int, stop_words):
-        self.vocab = vocab            # (term, idf)
+    def __init__(self, vocab: DataFrame, n_docs, max_features: int, stop_words, train_tf: DataFrame):
+        self.vocab = vocab            # (term, idf), at most max_features rows
         self.n_docs = n_docs
         self.max_features = max_features
         self.stop_words = stop_words
+        self.train_tf = train_tf      # (id, term, tf) of the training documents
+
+
+def term_counts(df: DataFrame, id_col: str, text_col: str = "text", stop_words=None) -> DataFrame:
+    return tokens(df, id_col, text_col, stop_words).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def fit_tfidf(train: DataFrame, id_col: str = "article_id", text_col: str = "text", max_features: int = 3000,
               stop_words=None) -> TfidfModel:
-    toks = tokens(train, id_col, text_col, stop_words)
-    per_doc = toks.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    # per-document term counts are the expensive part (whole texts); they are
+    # kept because transforming the training set reuses them
+    per_doc = term_counts(train, id_col, text_col, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
     per_term = per_doc.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     top = per_term.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     n = train.select(F.count("*")).scalar()
     vocab = top.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    return TfidfModel(vocab, n, max_features, stop_words)
+    return TfidfModel(vocab.persist(), n, max_features, stop_words, per_doc)
 
 
-def transform_tfidf(model: TfidfModel, docs: DataFrame, id_col: str = "article_id", text_col: str = "text") -> DataFrame:
-    """Long form ``(id, term, weight)`` with L2-normalised tf * idf per document."""
-    toks = tokens(docs, id_col, text_col, model.stop_words)
-    tf = toks.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    w = tf.join(F.broadcast(model.vocab), "term").withColumn("w", F.col("tf") * F.col("idf"))
+def weights_from_counts(model: TfidfModel, tf: DataFrame, id_col: str) -> DataFrame:
     from pyspark.sql import Window
+    w = tf.join(F.broadcast(model.vocab), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
+def transform_tfidf(model: TfidfModel, docs: DataFrame, id_col: str = "article_id", text_col: str = "text") -> DataFrame:
+    """Long form ``(id, term, weight)`` with L2-normalised tf * idf per document.
+
+    The vocabulary has at most ``max_features`` rows, so it is broadcast.
+    """
+    return weights_from_counts(model, term_counts(docs, id_col, text_col, model.stop_words), id_col)
+
+
 def _class_literal(rows) -> str:
     items = [f"named_struct('ord', {i}, 'label', {sql_str(str(r[0]))}, 'prior', {sql_double(r[1])}, "
              f"'lnorm', {sql_double(r[2])})" for i, r in enumerate(rows)]
@@ -91,7 +103,7 @@ def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", t
     document's terms that a class did see need a join.
     """
     model = fit_tfidf(train, id_col, text_col, max_features)
-    xtr = transform_tfidf(model, train, id_col, text_col).join(train.select(id_col, label_col), id_col)
+    xtr = weights_from_counts(model, model.train_tf, id_col).join(train.select(id_col, label_col), id_col)
     fc = xtr.groupBy(label_col, "term").agg(F.sum("weight").alias("fc"))
     n_feat = model.vocab.select(F.count("*")).scalar()
     n_train = train.select(F.count("*")).scalar()

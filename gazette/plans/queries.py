@@ -7,6 +7,7 @@ doubles rounded to 6 places so results compare exactly with the SQL oracle.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -338,6 +339,8 @@ def _gated_pipeline(spark, sf):
     protos = C.build_prototypes(fx.labelled_vectors(spark, sf).withColumn("category", F.concat(F.lit("c"), "label")),
                                 "category", "vec", ord_col="label")
     classified = C.classify_gated(arts, protos, dims.FIXTURE_IRRELEVANT, dims.FIXTURE_RELEVANT)
+    # the classified table feeds clustering, the digest and the run counts: compute it once
+    classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
     relevant, _ = R.split_relevance(classified)
     members = G.cluster_members(relevant, EPS, MIN_SAMPLES)
     top = G.top_clusters(G.clusters(members), n=MAX_EVENTS)
@@ -353,7 +356,8 @@ def q_digest_metadata(spark, sf):
 def _with_header(items, head, cols):
     """Attach the one-row digest header to every item as scalar subqueries."""
     flat = _flat_items(items)
-    return flat.select("*", *[head.select(c).scalar().alias("digest_title" if c == "title" else c) for c in cols])
+    h = head.select(F.struct(*cols)).scalar()
+    return flat.select("*", *[h[c].alias("digest_title" if c == "title" else c) for c in cols])
 
 
 def q_digest_basic(spark, sf):
