@@ -572,6 +572,16 @@ FROM grelevant GROUP BY 1 ORDER BY count DESC, category NULLS FIRST LIMIT 5""")
 FROM kwc
 UNION ALL
 SELECT article_id, 'nearest', category, {r6('confidence')}, 'nearest_prototype' FROM nearest""")
+    # ---------------------------------------------------------------- sources
+    bad = "'[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]'"
+    o["feed_scan"] = with_(BA, f"""SELECT article_id, source,
+  {trim(f"regexp_replace(title, {bad}, '', 'g')")} AS title,
+  {trim(f"regexp_replace(coalesce(description, ''), {bad}, '', 'g')")} AS description,
+  regexp_replace(coalesce(url, ''), {bad}, '', 'g') AS url FROM articles""")
+    o["feed_collect"] = with_([f"""articles AS (SELECT article_id, pos, source, language,
+  {trim(f"regexp_replace(title, {bad}, '', 'g')")} AS title,
+  {trim(f"regexp_replace(coalesce(description, ''), {bad}, '', 'g')")} AS description FROM ({ARTICLES[len('articles AS ('):-1]}))"""]
+        + COLLECT[1:], "SELECT article_id, source, title FROM collected")
     return o
 
 

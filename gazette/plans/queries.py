@@ -480,6 +480,70 @@ def q_method_results(spark, sf):
     return out.select("article_id", "result", "category", r6("confidence").alias("confidence"), "method")
 
 
+# --------------------------------------------------------------------------- sources, sinks, streaming
+def q_feed_scan(spark, sf):
+    """Articles landed as RSS files by Spark, then scanned back."""
+    from gazette.session import scratch_path
+    from gazette.sources import feeds
+    path = scratch_path(spark, "feeds")
+    feeds.write_feeds(fx.articles(spark, sf, with_published=False, with_labels=False), path)
+    out = feeds.read_feeds(spark, path)
+    return out.select(F.col("guid").cast("long").alias("article_id"), "source", "title", "description", "url")
+
+
+def q_feed_collect(spark, sf):
+    """Collection (P1-P8) on the scanned feeds, in feed order."""
+    from gazette.session import scratch_path
+    from gazette.sources import feeds
+    path = scratch_path(spark, "feeds")
+    feeds.write_feeds(fx.articles(spark, sf, with_published=False, with_labels=False), path)
+    arts = feeds.read_feeds(spark, path).join(
+        fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("guid"),
+                                                F.col("lang").alias("language")), "guid")
+    return P.collect_pipeline(arts, max_total=100).select(F.col("guid").cast("long").alias("article_id"), "source",
+                                                           "title")
+
+
+def q_ingest_stream(spark, sf):
+    """Landed article files ingested by a streaming query into the store (K3)."""
+    from gazette.session import scratch_path
+    from gazette.streaming.ingest import ingest_stream
+    landing, store, ckpt = (scratch_path(spark, n) for n in ("landing", "store", "stream-ckpt"))
+    arts = fx.articles(spark, sf, with_labels=False)
+    arts.write.parquet(landing)
+    existing = fx.store_articles(spark, sf).select("title_hash", "title", "source", F.col("article_id").alias("pos"))
+    existing.write.parquet(store)
+    q = ingest_stream(spark, landing, arts.schema, store, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(store).select("title_hash", "title", "source")
+
+
+def q_sink_roundtrip(spark, sf):
+    """Classified articles written as CSV and JSON, digest as JSON and text, read back."""
+    from gazette.session import scratch_path
+    from gazette.sinks import files
+    base = scratch_path(spark, "sinks")
+    classified = _classified(spark, sf).drop("vec")
+    files.write_classified_csv(classified, f"{base}/csv")
+    files.write_classified_json(classified, f"{base}/json", {"method": "nearest_prototype"})
+    dig = D.digest(_items(spark, sf), AS_OF)
+    files.write_digest(dig, D.render_text(dig), f"{base}/digest")
+    csv = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(f"{base}/csv")
+    js = spark.read.json(f"{base}/json/articles")
+    return (csv.select(F.col("article_id").cast("long").alias("article_id"), F.col("category").alias("csv_category"))
+            .join(js.select("article_id", F.col("category").alias("json_category")), "article_id"))
+
+
+def q_method_files(spark, sf):
+    """Method results and summary written (W5), per-method CSV read back."""
+    from gazette.session import scratch_path
+    from gazette.sinks import files
+    base = scratch_path(spark, "methods")
+    mr = fx.method_results(spark, sf)
+    files.write_methods(mr, T.method_summary(mr), base)
+    return spark.read.option("header", True).csv(f"{base}/by_method").groupBy("method").count()
+
+
 QUERIES = {
     "collect_cap_per_source": q_collect_cap_per_source,
     "collect_language": q_collect_language,
@@ -544,4 +608,9 @@ QUERIES = {
     "method_distribution": q_method_distribution,
     "method_summary": q_method_summary,
     "method_results": q_method_results,
+    "feed_scan": q_feed_scan,
+    "feed_collect": q_feed_collect,
+    "ingest_stream": q_ingest_stream,
+    "sink_roundtrip": q_sink_roundtrip,
+    "method_files": q_method_files,
 }
