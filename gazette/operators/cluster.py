@@ -143,6 +143,25 @@ def _local_labels(points: DataFrame, pairs: DataFrame, min_samples: int, key: st
     return rows.groupBy("k").applyInPandas(label, schema).withColumnRenamed("k", key)
 
 
+ROOT_BUCKET_BITS = 16
+
+
+def _root_ranks(roots: DataFrame, key: str) -> DataFrame:
+    """0-based rank of each distinct root within its key, without one task per key.
+
+    Roots are bucketed by id range (2^16 ids per bucket); bucket sizes are
+    prefix-summed per key (one row per bucket) and roots are ranked inside
+    their bucket, so no task sorts more than one bucket of roots.
+    """
+    b = roots.withColumn("bucket", F.shiftright("root", ROOT_BUCKET_BITS))
+    sizes = b.groupBy(key, "bucket").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sizes.select(key, "bucket", (F.sum("n").over(upto) - F.col("n")).alias("offset"))
+    inner = b.withColumn("r", F.row_number().over(Window.partitionBy(key, "bucket").orderBy("root")))
+    return (inner.join(offsets, [key, "bucket"])
+            .select(key, "root", (F.col("offset") + F.col("r") - 1).alias("cluster_id")))
+
+
 def _distributed_labels(points: DataFrame, pairs: DataFrame, min_samples: int, key: str) -> DataFrame:
     ends = pairs.select(key, F.col("a").alias("id"), F.col("b").alias("o")).unionByName(
         pairs.select(key, F.col("b").alias("id"), F.col("a").alias("o")))
@@ -161,9 +180,7 @@ def _distributed_labels(points: DataFrame, pairs: DataFrame, min_samples: int, k
     pts = (pts.join(border, "id", "left")
            .withColumn("root", F.when(F.col("is_core"), F.col("root")).otherwise(F.col("broot")))
            .drop("broot"))
-    # cluster numbers: rank of the root among the distinct roots of the key
-    ranks = (pts.filter(F.col("root").isNotNull()).select(key, "root").distinct()
-             .withColumn("cluster_id", F.dense_rank().over(Window.partitionBy(key).orderBy("root")) - 1))
+    ranks = _root_ranks(pts.filter(F.col("root").isNotNull()).select(key, "root").distinct(), key)
     return (pts.join(ranks, [key, "root"], "left")
             .select(key, "id", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"), "is_core"))
 

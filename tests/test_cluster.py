@@ -112,6 +112,15 @@ def test_local_and_distributed_labels_agree(spark):
     assert local == dist
 
 
+def test_distributed_ranks_across_id_buckets(spark):
+    pts = [(c, p * 70_001, v) for c, p, v in random_points(seed=13)]   # ids span many rank buckets
+    df = make_df(spark, pts)
+    pairs = G.neighbor_pairs(df, 0.08).cache()
+    got = {r.pos: r.cluster_id for r in G.dbscan_labels(df.select("category", "pos"), pairs, 2,
+                                                        local_max_points=0).collect()}
+    assert got == {p: v[0] for p, v in expected(pts, 0.08, 2).items()}
+
+
 def test_neighbor_pairs_block_tiles_equal_single_tile(spark):
     df = make_df(spark, random_points(seed=3, per_cat=40))
     one = rows(G.neighbor_pairs(df, 0.1, block_size=10_000), "category", "a", "b")
