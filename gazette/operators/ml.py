@@ -40,10 +40,18 @@ def english_stop_words() -> tuple[str, ...]:
         return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split())
 
 
+SEPARATOR_RE = r"[^\p{L}\p{N}_]+"
+
+
 def tokens(df: DataFrame, id_col: str, text_col: str = "text", stop_words=None) -> DataFrame:
+    """Maximal runs of word characters (letters, digits, '_') of length >= 2, lower-cased.
+
+    Splitting on runs of non-word characters yields exactly the matches of
+    ``TOKEN_RE`` plus short pieces, and is about twice as fast as extracting them.
+    """
     stop = list(english_stop_words() if stop_words is None else stop_words)
-    toks = df.select(id_col, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_RE), 0))
-                     .alias("term"))
+    toks = (df.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), SEPARATOR_RE)).alias("term"))
+            .filter(F.length("term") >= 2))
     return toks.filter(~F.col("term").isin(stop)) if stop else toks
 
 
@@ -84,7 +92,10 @@ def transform_tfidf(model: TfidfModel, docs: DataFrame, id_col: str = "article_i
 
     The vocabulary has at most ``max_features`` rows, so it is broadcast.
     """
-    return weights_from_counts(model, term_counts(docs, id_col, text_col, model.stop_words), id_col)
+    # only vocabulary terms can carry weight: drop the rest (broadcast semi join) before counting
+    toks = tokens(docs, id_col, text_col, model.stop_words).join(F.broadcast(model.vocab.select("term")), "term",
+                                                                 "left_semi")
+    return weights_from_counts(model, toks.groupBy(id_col, "term").agg(F.count("*").alias("tf")), id_col)
 
 
 def _class_literal(rows) -> str:

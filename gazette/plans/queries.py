@@ -20,6 +20,7 @@ from gazette.operators import digest as D
 from gazette.operators import relevance as R
 from gazette.operators import stats as T
 from gazette.operators import store as K
+from gazette.session import spread
 from gazette.sources import fixtures as fx
 
 EPS = 0.7
@@ -243,7 +244,7 @@ def _ml_query(name):
 # --------------------------------------------------------------------------- language identification
 def q_lang_detect(spark, sf):
     from gazette.operators import langid
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = spread(fx.table(spark, sf, "documents").select("doc_id", "text", "lang"))
     profiles = langid.lang_profiles(docs, "text", "lang")
     out = langid.detect_language(_plain(spark, sf), profiles, "title", id_col="article_id")
     return out.select("article_id", "detected", r6("score").alias("score"))

@@ -65,3 +65,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = base[len("file:"):]
     import uuid
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread a narrow input over all cores before CPU-heavy row work.
+
+    A few large files (or one row group) become one task per file; text
+    processing on them would then run on a single core. When the input has
+    fewer splits than the cluster has cores, rows are redistributed round-robin;
+    on a large input with many splits this is a no-op and costs nothing.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gazette import dims
 from gazette.functions.text import trim_ws
+from gazette.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,7 @@ def articles(spark: SparkSession, sf_dir: str, with_published: bool = True, with
     Title = first line of the document cut at 120 code points, description =
     the rest of the text; both stripped. Nothing of the text is dropped.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     head = F.substring(F.substring_index("text", "\n", 1), 1, 120)
     df = docs.select(
         F.col("doc_id").alias("article_id"),
