@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from gazette import dims
 from gazette.functions.text import py_len_sum
 from gazette.operators.components import connected_components
+from gazette.session import ship_package
 
 DEFAULT_BLOCK = 1024
 
@@ -40,6 +41,7 @@ def neighbor_pairs(df: DataFrame, eps: float, key: str = "category", id_col: str
     1 - cos of unit vectors, clipped to [0, 2]; a zero vector has distance 1 to
     every other vector.
     """
+    ship_package(df.sparkSession)
     key_type = df.schema[key].dataType
     base = df.select(F.col(key).alias("k"), F.col(id_col).cast("long").alias("id"),
                      F.col(vec_col).cast("array<double>").alias("v"))
@@ -125,6 +127,7 @@ def _label_arrays(ids: np.ndarray, a: np.ndarray, b: np.ndarray, min_samples: in
 
 
 def _local_labels(points: DataFrame, pairs: DataFrame, min_samples: int, key: str, key_type) -> DataFrame:
+    ship_package(points.sparkSession)
     rows = (points.select(F.col(key).alias("k"), F.lit(0).alias("kind"), F.col("id").alias("a"),
                           F.lit(None).cast("long").alias("b"))
             .unionByName(pairs.select(F.col(key).alias("k"), F.lit(1).alias("kind"), "a", "b")))
