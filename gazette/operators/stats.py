@@ -122,16 +122,21 @@ def method_summary_long(results: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- T11
-def run_methods(df: DataFrame, methods: dict, keep: Sequence[str] = ("article_id",)) -> DataFrame:
+def run_methods(df: DataFrame, methods: dict, keep: Sequence[str] = ("article_id",),
+                limits: dict | None = None, order_col: str = "pos") -> DataFrame:
     """Run named methods over the same articles and stack the results (long form).
 
     ``methods`` maps a result name to a function DataFrame -> classified DataFrame.
-    The articles are cached once because every method scans them.
+    ``limits`` gives costly methods (paid model calls) only the first ``n``
+    articles in ``order_col`` order. The articles are cached once because every
+    method scans them.
     """
     df = df.cache()
+    limits = limits or {}
     out = None
     for name, fn in methods.items():
-        res = fn(df).select(*keep, "category", F.col("confidence").cast("double").alias("confidence"),
-                            "method").withColumn("result", F.lit(name))
+        src = df.orderBy(order_col).limit(limits[name]) if name in limits else df
+        res = fn(src).select(*keep, "category", F.col("confidence").cast("double").alias("confidence"),
+                             "method").withColumn("result", F.lit(name))
         out = res if out is None else out.unionByName(res)
     return out

@@ -360,9 +360,8 @@ def _render_text() -> str:
 def build() -> dict[str, str]:
     BA = [ARTICLES]
     BT = [ARTICLES, TEXTS]
-    sub = SUB_CASE = " ".join(f"WHEN sub IN ({', '.join(sq(s) for s in subs)}) THEN {sq(m)}"
+    sub_case = " ".join(f"WHEN sub IN ({', '.join(sq(s) for s in subs)}) THEN {sq(m)}"
                               for m, subs in dims.CATEGORY_HIERARCHY)
-    del sub
     subs_list = sql_list(Q.SUB_CATEGORIES)
     desc_list = sql_list(Q.DESCRIPTION_LABELS)
     desc_case = " ".join(f"WHEN {sq(d)} THEN {sq(c)}" for c, d in dims.BASIC_CATEGORIES)
@@ -422,7 +421,7 @@ FROM conversations WHERE role = 'assistant'"""
   {r6('CASE WHEN g.is_relevant THEN n.confidence ELSE 0.0 END')} AS confidence
 FROM grel g JOIN nearest n USING (article_id)""")
     o["category_rollup"] = with_([MR], f"""SELECT main_category, sub_category, count(*) AS articles FROM (
-  SELECT CASE {SUB_CASE} ELSE 'other' END AS main_category, sub AS sub_category FROM (
+  SELECT CASE {sub_case} ELSE 'other' END AS main_category, sub AS sub_category FROM (
     SELECT ({subs_list})[pos % {len(Q.SUB_CATEGORIES)} + 1] AS sub FROM mr))
 GROUP BY ROLLUP (main_category, sub_category)""")
     o["training_rows"] = with_([ARTICLES, TRAINING], "SELECT text, label, CAST(c AS BIGINT) AS copy FROM training, "

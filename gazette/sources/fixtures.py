@@ -21,16 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str, with_published: bool = True, with_url: bool = True,
-             with_labels: bool = True, with_text: bool = False) -> DataFrame:
-    """``article_id, pos, title, description, source, language [, url, published, labels]``.
-
-    Title = first line of the document cut at 120 code points, description =
-    the rest of the text; both stripped. Nothing of the text is dropped.
-    """
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+def _project(docs: DataFrame, extra: list[str], with_text: bool) -> DataFrame:
     head = F.substring(F.substring_index("text", "\n", 1), 1, 120)
-    df = docs.select(
+    return docs.select(
         F.col("doc_id").alias("article_id"),
         F.col("doc_id").alias("pos"),
         trim_ws(head).alias("title"),
@@ -39,7 +32,26 @@ def articles(spark: SparkSession, sf_dir: str, with_published: bool = True, with
         "source",
         F.col("lang").alias("language"),
         *(["text"] if with_text else []),
+        *extra,
     )
+
+
+def articles(spark: SparkSession, sf_dir: str, with_published: bool = True, with_url: bool = True,
+             with_labels: bool = True, with_text: bool = False, only=None) -> DataFrame:
+    """``article_id, pos, title, description, source, language [, url, published, labels]``.
+
+    Title = first line of the document cut at 120 code points, description =
+    the rest of the text; both stripped. Nothing of the text is dropped.
+    ``only`` (a DataFrame keyed by ``doc_id``) restricts the documents before the
+    text projection, so the string work runs only on rows that are kept; its
+    other columns are carried along.
+    """
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    extra = []
+    if only is not None:
+        docs = docs.join(only, "doc_id")
+        extra = [c for c in only.columns if c != "doc_id"]
+    df = _project(docs, extra, with_text)
     if with_url:
         pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("article_id"), "url")
         df = df.join(pages, "article_id", "left")
@@ -58,13 +70,17 @@ def articles(spark: SparkSession, sf_dir: str, with_published: bool = True, with
 
 
 def article_vectors(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """Articles with their embedding (``vec`` as array<double>) and ``label``."""
+    """Articles with their embedding (``vec`` as array<double>) and ``label``.
+
+    The embedding join runs before the text projection (only documents with a
+    vector are trimmed and split).
+    """
     kw.setdefault("with_published", False)
     kw.setdefault("with_url", False)
     kw.setdefault("with_labels", False)
     emb = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("article_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
-    return articles(spark, sf_dir, **kw).join(emb, "article_id")
+        F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    return articles(spark, sf_dir, only=emb, **kw)
 
 
 def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

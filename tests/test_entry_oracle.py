@@ -49,3 +49,19 @@ def test_query_matches_oracle(spark, name):
     got = _rows(E.queries()[name](spark, SF).toPandas())
     exp = _rows(con.execute(E.oracle_sql()[name]).df())
     assert got == exp
+
+
+@pytest.mark.parametrize("name", ["classify_nearest", "classify_gated", "label_top1", "classify_nb", "lang_detect",
+                                  "digest_metadata", "digest_basic", "stats_totals", "run_stats"])
+def test_no_cross_or_nested_loop_joins(spark, name):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_run_methods_limits(spark):
+    from gazette.operators import stats as T
+    df = spark.createDataFrame([(i, i, "x") for i in range(10)], "article_id long, pos long, text string")
+    f = lambda d: d.selectExpr("article_id", "'c' as category", "1.0 as confidence", "'m' as method")
+    out = T.run_methods(df, {"free": f, "paid": f}, limits={"paid": 3})
+    got = {r.result: r.n for r in out.groupBy("result").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert got == {"free": 10, "paid": 3}
