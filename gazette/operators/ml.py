@@ -70,8 +70,10 @@ def term_counts(df: DataFrame, id_col: str, text_col: str = "text", stop_words=N
 
 def fit_tfidf(train: DataFrame, id_col: str = "article_id", text_col: str = "text", max_features: int = 3000,
               stop_words=None) -> TfidfModel:
-    # per-document term counts are the expensive part (whole texts); they are
-    # kept because transforming the training set reuses them
+    # the training set is read for counts, statistics and transformation: keep it;
+    # per-document term counts are the expensive part (whole texts) and are kept
+    # because transforming the training set reuses them
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     per_doc = term_counts(train, id_col, text_col, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
     per_term = per_doc.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     top = per_term.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
@@ -113,6 +115,7 @@ def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", t
     Terms a class never saw contribute ``x * (log alpha - lnorm(c))``, so only the
     document's terms that a class did see need a join.
     """
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_tfidf(train, id_col, text_col, max_features)
     xtr = weights_from_counts(model, model.train_tf, id_col).join(train.select(id_col, label_col), id_col)
     fc = xtr.groupBy(label_col, "term").agg(F.sum("weight").alias("fc"))
