@@ -132,3 +132,24 @@ def test_streaming_ingest(spark):
     q.awaitTermination()
     titles = sorted(r.title for r in spark.read.parquet(f"{d}/store").collect())
     assert titles == ["A", "B", "C"]
+
+
+def test_cluster_and_digest_files(spark):
+    from gazette.operators import digest as D
+    from gazette.sinks import files
+    d = tempfile.mkdtemp(prefix="gz-w3-")
+    members = spark.createDataFrame([("a", 0, 1, "t1", "x", "s1"), ("a", 0, 2, "t2", "y", "s2"), ("b", -1, 3, "t3", "z", None)],
+                                    "category string, cluster_id long, pos long, title string, description string, source string")
+    table = members.groupBy("category", "cluster_id").count()
+    files.write_clusters(table, members, d)
+    back = spark.read.json(f"{d}/members")
+    assert sorted((r.category, r.title, r.source) for r in back.collect()) == [("a", "t1", "s1"), ("a", "t2", "s2"),
+                                                                            ("b", "t3", "")]
+    items = spark.createDataFrame([(1, "T", "S", "a", 2, ["k"], ["s1"])],
+                                  "rank long, title string, summary string, category string, source_count long, "
+                                  "keywords array<string>, sources array<string>")
+    dig = D.digest(items, "2024-02-01")
+    files.write_digest(dig, D.render_text(dig), f"{d}/digest")
+    assert spark.read.json(f"{d}/digest/digest").collect()[0].total_events == 1
+    text = "\n".join(r.value for r in spark.read.text(f"{d}/digest/text").collect())
+    assert text.startswith("*📰 News Digest for 2024-02-01*") and text.endswith("_Total: 2 articles from 1 events_")
