@@ -581,6 +581,16 @@ SELECT article_id, 'nearest', category, {r6('confidence')}, 'nearest_prototype'
   {trim(f"regexp_replace(title, {bad}, '', 'g')")} AS title,
   {trim(f"regexp_replace(coalesce(description, ''), {bad}, '', 'g')")} AS description FROM ({ARTICLES[len('articles AS ('):-1]}))"""]
         + COLLECT[1:], "SELECT article_id, source, title FROM collected")
+    # ---------------------------------------------------------------- streaming and sinks
+    o["ingest_stream"] = with_(BT + STORE, """SELECT title_hash, title, source FROM store
+UNION ALL
+SELECT title_hash, coalesce(title, '') AS title, coalesce(source, '') AS source FROM (
+  SELECT *, row_number() OVER (PARTITION BY title_hash ORDER BY pos) AS rn FROM (
+    SELECT *, md5(coalesce(title, '') || coalesce(description, '')) AS title_hash FROM articles))
+WHERE rn = 1 AND title_hash NOT IN (SELECT title_hash FROM store)""")
+    o["sink_roundtrip"] = with_(BASE_VEC, "SELECT article_id, category AS csv_category, category AS json_category "
+                                          "FROM nearest")
+    o["method_files"] = with_([MR], "SELECT method, count(*) AS count FROM mr GROUP BY method")
     return o
 
 
