@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# (?U) makes \s and \w Unicode-aware like Python 3 str methods.
-_TRIM_RE = r"(?U)^\s+|\s+\z"
-_SPLIT_RE = r"(?U)\s+"
+# Python's white space: every character for which str.isspace() is true (all
+# of them lie below U+3001). Derived by rule, so strip() and split() match
+# Python exactly (a regex \s would miss U+001C..U+001F).
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+WHITESPACE_RUN = "[" + "".join("\\u%04x" % ord(ch) for ch in PY_WHITESPACE) + "]+"
 
 
 def col_(c) -> Column:
@@ -22,12 +24,12 @@ def col_(c) -> Column:
 
 def trim_ws(c) -> Column:
     """Strip leading and trailing white space of any kind (like ``str.strip``)."""
-    return F.regexp_replace(col_(c), _TRIM_RE, "")
+    return F.trim(col_(c), F.lit(PY_WHITESPACE))
 
 
 def words(c) -> Column:
     """``str.split()``: white-space separated words, no empty strings."""
-    return F.filter(F.split(col_(c), _SPLIT_RE), lambda w: w != "")
+    return F.filter(F.split(col_(c), WHITESPACE_RUN), lambda w: w != "")
 
 
 def word_count(c) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette import dims
-from gazette.functions.text import py_len_sum
+from gazette.functions.text import WHITESPACE_RUN, py_len_sum
 from gazette.operators.components import connected_components
 from gazette.session import ship_package
 
@@ -253,7 +253,7 @@ def cluster_keywords(members: DataFrame, top_k: int = 5, key: str = "category",
     letters only, not a stop word.
     """
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
-    w = (members.select(key, "cluster_id", id_col, F.posexplode(F.split(text, r"(?U)\s+")).alias("i", "w"))
+    w = (members.select(key, "cluster_id", id_col, F.posexplode(F.split(text, WHITESPACE_RUN)).alias("i", "w"))
          .filter((F.length("w") > 3) & F.col("w").rlike(r"^\p{L}+$")
                  & ~F.col("w").isin(list(stop_words))))
     # first occurrence = smallest (article, word index): two hash aggregations with

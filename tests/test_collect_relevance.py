@@ -88,3 +88,11 @@ def test_split_and_report(spark):
     assert rows(rel, "id") == [(1,), (3,)] and rows(irr, "id") == [(2,)]
     rep = R.relevance_report(df).collect()[0]
     assert (rep.relevant, rep.total, rep.percent) == (2, 3, 66.7)
+
+
+def test_python_whitespace_semantics(spark):
+    from gazette.functions.text import trim_ws, word_count
+    texts = ["\x1c a b\x1f", " x　y ", "\t\n", "a\x85b", "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    got = {r.id: (r.s, r.n) for r in df.select("id", trim_ws("t").alias("s"), word_count("t").alias("n")).collect()}
+    assert got == {i: (t.strip(), len(t.split())) for i, t in enumerate(texts)}
