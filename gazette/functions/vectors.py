@@ -16,16 +16,6 @@ def norm(a) -> Column:
     return F.sqrt(F.aggregate(col_(a), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def normalize(a) -> Column:
-    """Unit vector; a zero vector stays zero (cosine 0 to everything).
-
-    The norm sits inside the lambda, so it is evaluated per element; use this
-    only on short vectors, or divide by a norm computed outside lambdas.
-    """
-    n = norm(a)
-    return F.when(n > 0, F.transform(col_(a), lambda x: x / n)).otherwise(F.transform(col_(a), lambda x: x * 0.0))
-
-
 def to_double(a) -> Column:
     return col_(a).cast("array<double>")
 
