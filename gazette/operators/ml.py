@@ -131,12 +131,18 @@ def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", t
     classes = F.expr(_class_literal([(r[0], r[1], r[2]) for r in cls]))
     log_a = math.log(alpha)
     lfc = fc.select(label_col, "term", (F.log(F.col("fc") + alpha) - F.lit(log_a)).alias("lfc"))
-    xd = transform_tfidf(model, docs, id_col, text_col)
-    seen = (xd.join(lfc, "term").groupBy(id_col, label_col).agg(F.sum(F.col("weight") * F.col("lfc")).alias("s"))
+    # x(d,t) = w(d,t) / |w(d)|: the per-document sums needed here are linear in x,
+    # so they are taken on raw weights and divided by the norm afterwards (no window)
+    toks = tokens(docs, id_col, text_col, model.stop_words).join(F.broadcast(model.vocab.select("term")), "term",
+                                                                 "left_semi")
+    w = (toks.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+         .join(F.broadcast(model.vocab), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w")))
+    seen = (w.join(lfc, "term").groupBy(id_col, label_col).agg(F.sum(F.col("w") * F.col("lfc")).alias("s"))
             .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(label_col, "s"))).alias("smap")))
-    mass = xd.groupBy(id_col).agg(F.sum("weight").alias("x"))
+    mass = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"), F.sum("w").alias("sw"))
     per_doc = (docs.select(id_col).join(mass, id_col, "left").join(seen, id_col, "left")
-               .withColumn("x", F.coalesce("x", F.lit(0.0))))
+               .withColumn("x", F.coalesce(F.col("sw") / F.col("nrm"), F.lit(0.0)))
+               .withColumn("smap", F.transform_values("smap", lambda k, v: v / F.col("nrm"))))
     jll = F.transform(classes, lambda c: F.struct(
         (c["prior"] + (F.lit(log_a) - c["lnorm"]) * F.col("x")
          + F.coalesce(F.try_element_at(F.col("smap"), c["label"]), F.lit(0.0))).alias("j"),
