@@ -54,7 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
         configured = tempfile.mkdtemp(prefix="gazette-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        try:       # informational only; some deployments refuse runtime core-conf changes
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # noqa: BLE001
+            pass
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
