@@ -8,11 +8,10 @@ doubles rounded to 6 places so results compare exactly with the SQL oracle.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette import dims
-from gazette.functions.text import compose_text as _compose, word_count
+from gazette.functions.text import compose_text as _compose
 from gazette.operators import classify as C
 from gazette.operators import cluster as G
 from gazette.operators import collect as P
