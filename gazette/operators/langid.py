@@ -46,7 +46,8 @@ def lang_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 def detect_language(df: DataFrame, profiles: LangProfiles, text_col: str = "title",
                     id_col: str = "article_id") -> DataFrame:
-    """Adds ``detected`` (argmax language, first in order on ties) and ``score`` (its log-likelihood)."""
+    """Adds ``detected`` (argmax language, first in order on ties; null when the text has
+    no trigram) and ``score`` (its log-likelihood)."""
     tri = trigrams(df, text_col, [id_col])
     n = tri.groupBy(id_col).agg(F.count("*").alias("n"))
     seen = (tri.join(profiles.counts, "tri").groupBy(id_col, "lang").agg(F.sum("lc").alias("s"))
@@ -58,4 +59,7 @@ def detect_language(df: DataFrame, profiles: LangProfiles, text_col: str = "titl
               .withColumn("_b", F.array_max(F.transform(langs, lambda l: F.struct(
                   (F.coalesce(F.try_element_at(F.col("smap"), l["lang"]), F.lit(0.0)) - l["lnorm"] * F.col("n"))
                   .alias("s"), (-l["ord"]).alias("neg_ord"), l["lang"].alias("lang"))))))
-    return scored.withColumn("detected", F.col("_b.lang")).withColumn("score", F.col("_b.s")).drop("_b", "n", "smap")
+    # a text without a single trigram cannot be identified: no language (collection drops it)
+    known = F.col("n") > 0
+    return (scored.withColumn("detected", F.when(known, F.col("_b.lang")))
+                  .withColumn("score", F.when(known, F.col("_b.s"))).drop("_b", "n", "smap"))

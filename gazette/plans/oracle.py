@@ -317,7 +317,8 @@ def lang_ctes() -> list[str]:
         "qn AS (SELECT article_id, count(*) AS n FROM qtri GROUP BY article_id)",
         """qs AS (SELECT q.article_id, l.lang, sum(ln(l.c + 1.0)) AS s FROM qtri q JOIN lcnt l USING (tri)
   GROUP BY ALL)""",
-        """lsc AS (SELECT a.article_id, t.lang, t.ord, coalesce(s.s, 0) - t.lnorm * coalesce(n.n, 0) AS score
+        """lsc AS (SELECT a.article_id, t.lang, t.ord, coalesce(n.n, 0) AS nn,
+    coalesce(s.s, 0) - t.lnorm * coalesce(n.n, 0) AS score
   FROM articles a CROSS JOIN ltot t LEFT JOIN qn n ON n.article_id = a.article_id
   LEFT JOIN qs s ON s.article_id = a.article_id AND s.lang = t.lang)""",
     ]
@@ -378,8 +379,15 @@ def build() -> dict[str, str]:
     o["collect_report"] = with_(COLLECT, "SELECT count(*) AS articles, count(DISTINCT source) AS sources FROM collected")
     o["compose_text"] = with_(BA, "SELECT article_id, title || '. ' || coalesce(description, '') AS text, "
                                   "'query: ' || title || '. ' || coalesce(description, '') AS text_e5 FROM articles")
-    o["lang_detect"] = with_(BA + lang_ctes(), f"""SELECT article_id, lang AS detected, {r6('score')} AS score FROM (
+    o["lang_detect"] = with_(BA + lang_ctes(), f"""SELECT article_id, CASE WHEN nn > 0 THEN lang END AS detected,
+  CASE WHEN nn > 0 THEN {r6('score')} END AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, ord) AS rn FROM lsc) WHERE rn = 1""")
+    detected = f"""detected AS (SELECT article_id, CASE WHEN nn > 0 THEN lang END AS dlang FROM (
+  SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, ord) AS rn FROM lsc) WHERE rn = 1)"""
+    o["collect_detected"] = with_(BA + lang_ctes() + [detected, """arts2 AS (SELECT a.* EXCLUDE (language),
+  d.dlang AS language FROM articles a JOIN detected d USING (article_id))"""] + [
+        c.replace("FROM articles)", "FROM arts2)") for c in COLLECT[1:]],
+        "SELECT article_id, source, title FROM collected")
     # ---------------------------------------------------------------- relevance
     o["keyword_hits"] = with_(BT, f"""SELECT article_id, {kw_hits('text', dims.FIXTURE_IRRELEVANT)} AS irrelevant_hits,
   {kw_hits('text', dims.FIXTURE_RELEVANT)} AS relevant_hits FROM texts""")

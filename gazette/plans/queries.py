@@ -249,6 +249,16 @@ def q_lang_detect(spark, sf):
     return out.select("article_id", "detected", r6("score").alias("score"))
 
 
+def q_collect_detected(spark, sf):
+    """Collection keeping titles identified as English (P4 on P5); undetectable titles are dropped."""
+    from gazette.operators import langid
+    docs = spread(fx.table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    profiles = langid.lang_profiles(docs, "text", "lang")
+    arts = langid.detect_language(_plain(spark, sf), profiles, "title", id_col="article_id")
+    arts = arts.withColumn("language", F.col("detected")).drop("detected", "score")
+    return P.collect_pipeline(arts, max_total=100).select("article_id", "source", "title")
+
+
 # --------------------------------------------------------------------------- clustering
 def q_neighbor_pairs(spark, sf):
     pairs = G.neighbor_pairs(_classified(spark, sf), EPS)
@@ -553,6 +563,7 @@ QUERIES = {
     "collect_report": q_collect_report,
     "compose_text": q_compose_text,
     "lang_detect": q_lang_detect,
+    "collect_detected": q_collect_detected,
     "keyword_hits": q_keyword_hits,
     "relevance": q_relevance,
     "relevance_split": q_relevance_split,
