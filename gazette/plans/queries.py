@@ -51,11 +51,15 @@ def _texts(spark, sf):
     return _plain(spark, sf).select("article_id", _compose().alias("text"))
 
 
+def _protos(spark, sf):
+    """Label-mean prototypes, from the vectors alone (no text is read)."""
+    return C.build_prototypes(fx.labelled_embeddings(spark, sf), "category", "vec", ord_col="label")
+
+
 def _classified(spark, sf):
     """Article vectors classified to the nearest label-mean prototype."""
     av = fx.labelled_vectors(spark, sf)
-    protos = C.build_prototypes(av, "category", "vec", ord_col="label")
-    return C.classify_nearest(av, protos)
+    return C.classify_nearest(av, _protos(spark, sf))
 
 
 def _members(spark, sf, min_samples=MIN_SAMPLES):
@@ -159,7 +163,7 @@ def q_classify_keyword(spark, sf):
 
 
 def q_prototypes(spark, sf):
-    protos = C.build_prototypes(fx.labelled_vectors(spark, sf), "category", "vec", ord_col="label")
+    protos = _protos(spark, sf)
     return protos.select("ord", "category", F.posexplode("vec").alias("dim", "x")) \
         .select("ord", "category", F.col("dim").cast("long").alias("dim"), r6("x").alias("x"))
 
@@ -169,9 +173,7 @@ def q_classify_nearest(spark, sf):
 
 
 def _scores(spark, sf, labels=None):
-    av = fx.labelled_vectors(spark, sf)
-    protos = C.build_prototypes(av, "category", "vec", ord_col="label")
-    return C.score_table(av, protos, labels=labels)
+    return C.score_table(fx.labelled_vectors(spark, sf), _protos(spark, sf), labels=labels)
 
 
 def q_label_top1(spark, sf):
@@ -194,9 +196,8 @@ def q_label_from_answer(spark, sf):
 
 
 def _gated(spark, sf):
-    av = fx.labelled_vectors(spark, sf)
-    protos = C.build_prototypes(av, "category", "vec", ord_col="label")
-    return C.classify_gated(av, protos, dims.FIXTURE_IRRELEVANT, dims.FIXTURE_RELEVANT)
+    return C.classify_gated(fx.labelled_vectors(spark, sf), _protos(spark, sf), dims.FIXTURE_IRRELEVANT,
+                            dims.FIXTURE_RELEVANT)
 
 
 def q_classify_gated(spark, sf):
@@ -346,8 +347,7 @@ def _gated_pipeline(spark, sf):
     emb = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("article_id"),
                                                    F.col("embedding").cast("array<double>").alias("vec"), "label")
     arts = arts.join(emb, "article_id").withColumn("pos", F.col("article_id"))
-    protos = C.build_prototypes(fx.labelled_vectors(spark, sf).withColumn("category", F.concat(F.lit("c"), "label")),
-                                "category", "vec", ord_col="label")
+    protos = _protos(spark, sf)
     classified = C.classify_gated(arts, protos, dims.FIXTURE_IRRELEVANT, dims.FIXTURE_RELEVANT)
     # the classified table feeds clustering, the digest and the run counts: compute it once
     classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
@@ -481,7 +481,7 @@ def q_method_summary(spark, sf):
 
 def q_method_results(spark, sf):
     av = fx.labelled_vectors(spark, sf)
-    protos = C.build_prototypes(av, "category", "vec", ord_col="label")
+    protos = _protos(spark, sf)
     methods = {
         "keyword": lambda d: C.classify_keyword(d, dims.FIXTURE_CATEGORY_KEYWORDS),
         "nearest": lambda d: C.classify_nearest(d, protos),

@@ -83,6 +83,18 @@ def article_vectors(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return articles(spark, sf_dir, only=emb, **kw)
 
 
+def labelled_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(category, label, vec)`` of the embeddings that belong to a document.
+
+    The same rows as ``labelled_vectors`` without touching any text: a semi join
+    on the document ids only (used to build prototypes).
+    """
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    emb = table(spark, sf_dir, "embeddings").join(ids, "vec_id", "left_semi")
+    return emb.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), "label",
+                      F.col("embedding").cast("array<double>").alias("vec"))
+
+
 def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article vectors with category ``c{label}`` taken from the given label."""
     return (article_vectors(spark, sf_dir)
