@@ -96,3 +96,12 @@ def test_python_whitespace_semantics(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
     got = {r.id: (r.s, r.n) for r in df.select("id", trim_ws("t").alias("s"), word_count("t").alias("n")).collect()}
     assert got == {i: (t.strip(), len(t.split())) for i, t in enumerate(texts)}
+
+
+def test_spread_only_narrow_inputs(spark):
+    from gazette.session import spread
+    narrow = spark.range(100).coalesce(1)
+    assert spread(narrow, 4).rdd.getNumPartitions() == 4
+    wide = spark.range(100).repartition(8)
+    assert spread(wide, 4) is wide
+    assert sorted(r.id for r in spread(narrow, 4).collect()) == list(range(100))
