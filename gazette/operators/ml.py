@@ -15,29 +15,21 @@
 
 from __future__ import annotations
 
-import glob
 import math
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazette import dims
 from gazette.functions.text import sql_double, sql_str
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 MAX_CLASSES = 10_000
 
 
-@lru_cache(maxsize=None)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark's built-in English stop-word list, read from the Spark ML jar (no JVM needed)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split())
+    """Spark's built-in English stop-word list (plain text in ``dims``: no jar, no JVM)."""
+    return tuple(dims.ENGLISH_STOP_WORDS)
 
 
 SEPARATOR_RE = r"[^\p{L}\p{N}_]+"

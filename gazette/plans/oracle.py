@@ -601,5 +601,3 @@ WHERE rn = 1 AND title_hash NOT IN (SELECT title_hash FROM store)""")
     o["method_files"] = with_([MR], "SELECT method, count(*) AS count FROM mr GROUP BY method")
     return o
 
-
-ORACLE = build()

@@ -44,8 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory.
 
     On a cluster the directory comes from ``spark.checkpoint.dir`` (a shared
-    folder). Only when it is unset (local runs, tests) a private temporary
-    directory is created.
+    folder) and is required. Only on a local master, where it may be unset
+    (tests), a private temporary directory is created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="gazette-ckpt-")
         try:       # informational only; some deployments refuse runtime core-conf changes
             spark.conf.set("spark.checkpoint.dir", configured)
@@ -64,11 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint directory for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
     import uuid
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def spread(df, min_partitions: int | None = None):
