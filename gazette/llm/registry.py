@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, oracles, quality, ring
+from gazette.llm import chat, fst_pieces, kn_langid, lattice_lm, oracles, quality, ring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -31,11 +35,23 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_columns(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op8_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fst_pieces.encode(_read(spark, sf_dir, "documents"), keep=["doc_id"], check=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "n_fallback", "round_trip", "ids")
+
+
+def op10_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lattice_lm": op2_lattice_lm,
         "op4_quality_rules": op4_quality_rules,
         "op6_ring_sharding": op6_ring_sharding,
         "op7_chat_format": op7_chat_format,
+        "op8_piece_fst": op8_piece_fst,
+        "op10_kn_langid": op10_kn_langid,
     }
 
 
