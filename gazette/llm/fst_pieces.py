@@ -1,161 +1,143 @@
 """SentencePiece-style encoding and decoding as shortest paths of a weighted transducer.
 
-``compile_transducer`` joins three parts of an existing vocabulary file:
+``Transducer`` joins three parts of an existing vocabulary file:
 
 * the normaliser: a mark before the text and a mark for every space, all else
   unchanged (a mark character in the text itself is never read as a space: it
   goes through the byte pieces, which keeps decoding exact);
 * the pieces: a trie whose final states write a piece id with a weight
   ``-log p``, ``p`` a Zipf law over the file's scores (minus the merge rank);
-* byte fallback: for each byte an arc that writes its byte piece, heavier
-  than any piece.
+* byte fallback: for each byte without a piece of its own an arc that writes
+  its byte piece, heavier than any piece.
 
 ``Transducer.shortest`` composes it with an input and takes the
-tropical-semiring (min, +) shortest path; on equal weight the path with fewer
-pieces wins, then the one whose last piece starts first. No piece has a mark after another character, so the
+tropical-semiring (min, +) shortest path; on equal weight at a place the path
+whose last piece starts first wins. No piece has a mark after another character, so the
 composed lattice falls apart at every such place and the best path of a text
 is the concatenation of the best paths of its chunks; each task keeps the
 paths of chunks it has seen (at most ``CACHE`` of them, then starts afresh).
 
-A narrow job: no shuffle, one batch of at most ``BATCH_IDS`` ids in memory at
-a time. Defined results: null text encodes like the empty text, to the id of
+A narrow job: no shuffle, texts of together ``BATCH_BYTES`` bytes (one at
+least) at a time. Defined results: null text encodes like the empty text, to the id of
 the bare mark; repeated rows and ties each get their row; extra columns are
 dropped by the query, kept by ``encode``.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm import vocab as V
 from gazette.llm.lattice_lm import initial_weights
+from gazette.llm.trie import by_length, compiled
 
-CACHE = 300_000
-BATCH_IDS = 2_000_000
+CACHE = 500_000
+BATCH_BYTES = 4_000_000
 
 
 class Transducer:
-    """Normaliser, piece trie and byte fallback, compiled from a vocabulary."""
+    """Normaliser, pieces and byte fallback, compiled from a vocabulary."""
 
     def __init__(self, vocabulary: V.Vocabulary):
-        weights = [-w for w in initial_weights(vocabulary)]
-        self.trie: dict = {}
-        mark = V.MARK_BYTES
-        self.surface = list(vocabulary.pieces)          # what each id stands for, with spaces for marks
-        inner = set()
-        for i, p in enumerate(vocabulary.pieces):
-            if not p:
-                continue
-            plain = p.replace(mark, b" ")               # the input side of the normaliser
-            if b" " in plain.lstrip(b" "):
-                raise ValueError("a piece has a mark after another character")
-            self.surface[i] = plain
-            inner.update(plain)
-            node = self.trie
-            for b in plain:
-                node = node.setdefault(b, {})
-            node[None] = (i, weights[i])
-        heavy = max(weights) + 1.0
-        self.byte_arcs = [(i, heavy) for i in vocabulary.byte_ids]
-        for b, i in enumerate(vocabulary.byte_ids):
-            self.surface[i] = bytes([b])
-        alone = bytes(sorted(b for b in range(128) if b not in inner))
-        lone = b"[" + re.escape(alone) + b"]" if alone else b"(?!)"
-        rest = b"[^ " + re.escape(alone) + b"]"
+        self.trie = compiled(vocabulary)
+        self.surface = self.trie.surface                # what each id stands for, with spaces for marks
+        self.weights = -np.array(initial_weights(vocabulary))
+        self.weights[list(vocabulary.byte_ids)] = self.weights.max() + 1.0
+        self.fallback = np.zeros(len(self.weights), bool)
+        self.fallback[list(vocabulary.byte_ids)] = True
+        inner = set().union(*vocabulary.pieces)
+        alone = re.escape(bytes(b for b in range(128) if b not in inner and b != 32))
         # chunks: a byte that no piece holds; spaces and what follows them
-        self.chunks = re.compile(lone + b"| *" + rest + b"+| +", re.DOTALL)
-        self.fallback = frozenset(vocabulary.byte_ids)
-
-    def shortest(self, chunk: bytes) -> tuple[int, ...]:
-        """Ids on the lightest path that reads ``chunk`` (spaces stand for marks)."""
-        n = len(chunk)
-        best = [(math.inf, 0)] * (n + 1)
-        best[0] = (0.0, 0)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        trie, byte_arcs = self.trie, self.byte_arcs
-        for i in range(n):
-            cost, count = best[i]
-            count += 1
-            b = chunk[i]
-            if b != 32:                       # a space is always a mark, and marks have a piece
-                piece, w = byte_arcs[b]
-                if (cost + w, count) < best[i + 1]:
-                    best[i + 1] = (cost + w, count)
-                    back[i + 1] = (i, piece)
-            node = trie.get(b)
-            j = i + 1
-            while node is not None:
-                hit = node.get(None)
-                if hit is not None:
-                    reach = (cost + hit[1], count)
-                    if reach < best[j]:
-                        best[j] = reach
-                        back[j] = (i, hit[0])
-                if j >= n:
-                    break
-                node = node.get(chunk[j])
-                j += 1
-        ids = []
-        j = n
-        while j:
-            j, piece = back[j]
-            ids.append(piece)
-        return tuple(reversed(ids))
-
-    def encode(self, text: bytes, cache: dict[bytes, tuple[int, ...]]) -> array:
-        out = array("i")
-        for chunk in self.chunks.findall(b" " + text):
-            ids = cache.get(chunk)
-            if ids is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                ids = cache[chunk] = self.shortest(chunk)
-            out.extend(ids)
+        self.chunks = re.compile(b"[" + alone + b"]| *[^ " + alone + b"]+| +", re.DOTALL)
+        self.cache: dict[bytes, bytes] = {}
+
+    def shortest(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids (packed 32-bit integers) on the lightest path that reads each chunk (spaces stand for marks)."""
+        out: list = [None] * len(chunks)
+        for at, mat in by_length(chunks):
+            n, length = mat.shape
+            cost = np.full((length + 1, n), np.inf)
+            cost[0] = 0.0
+            came = np.zeros((length + 1, n), np.int32)
+            wrote = np.zeros((length + 1, n), np.int32)
+            for i, here in enumerate(self.trie.arcs(mat)):
+                for j, rows, piece in here:
+                    x = cost[i, rows] + self.weights[piece]
+                    better = x < cost[j, rows]
+                    rows = rows[better]
+                    cost[j, rows] = x[better]
+                    came[j, rows] = i
+                    wrote[j, rows] = piece[better]
+            node, every, steps = np.full(n, length), np.arange(n), []
+            while node.any():
+                steps.append(np.where(node > 0, wrote[node, every], -1))
+                node = came[node, every]
+            path = np.array(steps[::-1], np.int32).T.reshape(n, -1)
+            taken = (path >= 0).sum(axis=1)
+            for k, p, m in zip(at, path, taken, strict=True):
+                out[k] = p[len(p) - m:].tobytes()
         return out
 
+    def encode(self, texts: list[bytes]) -> list[array]:
+        """Ids of each text; chunks that are not yet known are composed together."""
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        known, out, open_ = self.cache.get, [], []
+        for t in texts:
+            chunks = self.chunks.findall(b" " + t)
+            ids = [known(c) for c in chunks]
+            out.append(ids)
+            if None in ids:
+                open_.append((ids, chunks))
+        new = list({c for ids, chunks in open_ for c, i in zip(chunks, ids, strict=True) if i is None})
+        self.cache.update(zip(new, self.shortest(new), strict=True))
+        for ids, chunks in open_:
+            ids[:] = [known(c) for c in chunks]
+        return [array("i", b"".join(ids)) for ids in out]
+
     def decode(self, ids) -> bytes:
         """The text of ``ids``: surfaces joined, the added mark taken off."""
         s = b"".join(map(self.surface.__getitem__, ids))
         return s[1:] if s[:1] == b" " else s
 
 
-def _id_arrays(parts: list[array]) -> pa.ListArray:
-    offsets, flat = [0], array("i")
-    for p in parts:
-        flat.extend(p)
-        offsets.append(len(flat))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(flat) if len(flat) else [], pa.int32()))
+def _id_lists(parts: list[array]) -> pa.ListArray:
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    offsets[1:] = np.cumsum([len(p) for p in parts])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def _encode_pass(shared, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst, cache = Transducer(shared.value), {}
+        fst = None
         for b in batches:
-            texts = b.column("_text")
-            start, held, parts, backs = 0, 0, [], []
-            for k in range(len(texts)):
-                text = texts[k].as_py() or b""
-                ids = fst.encode(text, cache)
-                parts.append(ids)
+            fst = fst or Transducer(shared.value)
+            texts = [t or b"" for t in b.column("_text").to_pylist()]
+            start = 0
+            while start < len(texts):                 # some texts of together BATCH_BYTES bytes, one at least
+                stop, size = start, 0
+                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= BATCH_BYTES):
+                    size += len(texts[stop])
+                    stop += 1
+                some = texts[start:stop]
+                parts = fst.encode(some)
+                lists = _id_lists(parts)
+                marks = np.r_[0, np.cumsum(fst.fallback[lists.values.to_numpy()])]
+                ends = lists.offsets.to_numpy()
+                cols = [*b.slice(start, stop - start).columns[:-1], lists, pa.array(marks[ends[1:]] - marks[ends[:-1]], pa.int64())]
+                names = [*b.schema.names[:-1], "ids", "n_fallback"]
                 if decode:
-                    backs.append(fst.decode(ids) == text)
-                held += len(ids)
-                if held >= BATCH_IDS or k == len(texts) - 1:
-                    cols = [*b.slice(start, len(parts)).columns[:-1], _id_arrays(parts),
-                            pa.array([sum(map(fst.fallback.__contains__, p)) for p in parts], pa.int64())]
-                    names = [*b.schema.names[:-1], "ids", "n_fallback"]
-                    if decode:
-                        cols.append(pa.array(backs, pa.bool_()))
-                        names.append("round_trip")
-                    yield pa.RecordBatch.from_arrays(cols, names)
-                    start, held, parts, backs = k + 1, 0, [], []
+                    cols.append(pa.array([fst.decode(p) == t for p, t in zip(parts, some, strict=True)], pa.bool_()))
+                    names.append("round_trip")
+                yield pa.RecordBatch.from_arrays(cols, names)
+                start = stop
     return run
 
 
@@ -176,8 +158,9 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
 
 def _decode_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer(shared.value)
+        fst = None
         for b in batches:
+            fst = fst or Transducer(shared.value)
             texts = [None if ids is None else fst.decode(ids).decode("utf-8", "replace") for ids in b.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "decoded"])
     return run

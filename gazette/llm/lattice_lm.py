@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm import vocab as V
+from gazette.llm.trie import by_length, compiled
 from gazette.session import scratch_path
 
 HEAD_WORDS = 65_536          # words kept in every task's table; each at most HEAD_BYTES long
@@ -58,95 +59,48 @@ LN10 = math.log(10)
 
 
 class Lattice:
-    """Word lattices over log piece weights."""
+    """Word lattices over log piece weights; many words of one length at a time."""
 
-    def __init__(self, heads: dict[bytes, tuple[int, float]], tails: dict[bytes, tuple[int, float]]):
-        self.heads, self.tails = heads, tails
-        self.head_max = max(map(len, heads))
-        self.grow = {p[:k] for p in tails for k in range(1, len(p) + 1)}
-
-    @classmethod
-    def of(cls, vocabulary: V.Vocabulary, logp: list[float], stop: float) -> Lattice:
+    def __init__(self, vocabulary: V.Vocabulary, logp: list[float], stop: float):
         """``logp``: log weights of the pieces; initial and inner pieces are normalised apart."""
-        heads, tails = {}, {}
-        for i, p in enumerate(vocabulary.pieces):
-            if p.startswith(V.MARK_BYTES) and V.MARK_BYTES not in p[3:]:
-                heads[p[3:]] = (i, logp[i])
-            elif p and V.MARK_BYTES not in p:
-                tails[p] = (i, logp[i])
-        for b, i in enumerate(vocabulary.byte_ids):
-            if bytes([b]) not in tails:                  # a byte piece stands in where no one-byte piece exists
-                tails[bytes([b])] = (i, logp[i])
-
-        def normal(part, more):
-            whole = math.log(sum(math.exp(w) for _, w in part.values())) - more
-            return {p: (i, w - whole) for p, (i, w) in part.items()}
-
-        out = cls(normal(heads, 0.0), normal(tails, math.log(1 - stop)))
-        out.stop = math.log(stop)
-        return out
-
-    def arcs(self, word: bytes) -> list[list[tuple[int, int, float]]]:
-        """For every end position the arcs (start, piece, weight); start -1 is before the mark."""
-        n = len(word)
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for k in range(min(n, self.head_max) + 1):
-            hit = self.heads.get(word[:k])
-            if hit:
-                ends[k].append((-1, *hit))
-        tails, grow = self.tails, self.grow
-        for i in range(n):
-            j = i + 1
-            while j <= n:
-                part = word[i:j]
-                if part not in grow:
-                    break
-                hit = tails.get(part)
-                if hit:
-                    ends[j].append((i, *hit))
-                j += 1
-        return ends
-
-    def forward(self, ends) -> list[float]:
-        """alpha[j + 1]: log of the summed weight of all paths from before the mark (index 0) to j."""
-        alpha = [-math.inf] * (len(ends) + 1)
+        self.trie = compiled(vocabulary)
+        self.stop = math.log(stop)
+        self.logw = np.full(len(logp), -np.inf)
+        weight = np.exp(np.asarray(logp))
+        for side, more in ((self.trie.head, 0.0), (~self.trie.head, math.log(1 - stop))):
+            own = side & self.trie.used
+            self.logw[own] = np.log(weight[own] / weight[own].sum()) + more
+
+    def _forward(self, arcs, n: int) -> np.ndarray:
+        """alpha[j]: log of the summed weight of all paths over the first j bytes (the mark included)."""
+        alpha = np.full((len(arcs) + 1, n), -np.inf)
         alpha[0] = 0.0
-        exp, log = math.exp, math.log
-        for j, arcs in enumerate(ends):
-            best = -math.inf
-            vals = []
-            for i, _, w in arcs:
-                x = alpha[i + 1] + w
-                vals.append(x)
-                if x > best:
-                    best = x
-            if best > -math.inf:
-                alpha[j + 1] = best if len(vals) == 1 else best + log(sum([exp(x - best) for x in vals]))
+        for i, here in enumerate(arcs):
+            for j, rows, piece in here:
+                alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.logw[piece])
         return alpha
 
-    def marginal(self, word: bytes) -> float:
-        """Natural log of the summed weight of all segmentations of the marked word."""
-        return self.forward(self.arcs(word))[-1] + self.stop
-
-    def expected(self, word: bytes, times: float, into: dict[int, float]) -> None:
-        """Adds ``times`` x the expected number of each piece in the word's segmentations."""
-        ends = self.arcs(word)
-        alpha = self.forward(ends)
-        total, exp = alpha[-1], math.exp
-        beta = [-math.inf] * len(alpha)
-        beta[-1] = 0.0
-        for j in range(len(ends) - 1, -1, -1):
-            b = beta[j + 1]
-            if b == -math.inf:
-                continue
-            for i, piece, w in ends[j]:
-                x = w + b
-                into[piece] = into.get(piece, 0.0) + times * exp(alpha[i + 1] + x - total)
-                old = beta[i + 1]
-                if old == -math.inf:
-                    beta[i + 1] = x
-                else:
-                    beta[i + 1] = old + math.log1p(exp(x - old)) if old >= x else x + math.log1p(exp(old - x))
+    def marginals(self, words: list[bytes]) -> np.ndarray:
+        """Natural log of the summed weight of all segmentations of each word."""
+        out = np.empty(len(words))
+        for at, mat in by_length([b" " + w for w in words]):
+            out[at] = self._forward(self.trie.arcs(mat), len(at))[-1] + self.stop
+        return out
+
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """Expected number of each piece over the segmentations of the words (forward-backward)."""
+        total = np.zeros(len(self.logw))
+        for at, mat in by_length([b" " + w for w in words]):
+            arcs = self.trie.arcs(mat)
+            alpha = self._forward(arcs, len(at))
+            beta = np.full_like(alpha, -np.inf)
+            beta[-1] = 0.0
+            for i in range(len(arcs) - 1, -1, -1):
+                for j, rows, piece in arcs[i]:
+                    x = self.logw[piece] + beta[j, rows]
+                    beta[i, rows] = np.logaddexp(beta[i, rows], x)
+                    total += np.bincount(piece, np.exp(alpha[i, rows] + x - alpha[-1, rows]), len(total))
+        return total
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -173,23 +127,25 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expected_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total, words = Lattice.of(*shared.value), {}, 0
+        lattice, total, words = None, 0.0, 0
         for b in batches:
-            for w in b.column("word").to_pylist():
-                lattice.expected(w, 1.0, total)
-                words += 1
-        total[-1] = float(words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
-                                          pa.array(list(total.values()), pa.float64())], ["piece", "e"])
+            lattice = lattice or Lattice(*shared.value)
+            total = total + lattice.expected(b.column("word").to_pylist())
+            words += b.num_rows
+        if words:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)),
+                                              pa.array(np.append(total[some], float(words)))], ["piece", "e"])
     return run
 
 
 def _marginal_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice.of(*shared.value)
+        lattice = None
         for b in batches:
-            lp = [lattice.marginal(w) / LN10 for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lp, pa.float64())], [*b.schema.names, "lat"])
+            lattice = lattice or Lattice(*shared.value)
+            lat = lattice.marginals(b.column("word").to_pylist()) / LN10
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lat)], [*b.schema.names, "lat"])
     return run
 
 

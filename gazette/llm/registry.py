@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, fst_pieces, kn_langid, lattice_lm, oracles, quality, ring
+from gazette.llm import chat, fst_pieces, jaccard_join, kn_langid, lattice_lm, oracles, quality, ring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op8_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "n_fallback", "round_trip", "ids")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_read(spark, sf_dir, "documents"))
+
+
 def op10_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ring_sharding": op6_ring_sharding,
         "op7_chat_format": op7_chat_format,
         "op8_piece_fst": op8_piece_fst,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_kn_langid": op10_kn_langid,
     }
 
