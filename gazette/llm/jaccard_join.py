@@ -129,7 +129,7 @@ def _pack_pass(shared, buckets: int):
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else [0]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 r = rest[x:y]
-                new = [slab, int(bucket[x]), pack(r), o[x:y].tobytes(), None, None, None, None, None, None]
+                new = [slab, int(bucket[x]), T.pack40(r), o[x:y].tobytes(), None, None, None, None, None, None]
                 for column, value in zip(rows, new, strict=True):
                     column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
@@ -137,16 +137,6 @@ def _pack_pass(shared, buckets: int):
     return run
 
 
-def pack(rest: np.ndarray) -> bytes:
-    """Sorted 40-bit numbers as five byte planes (the high ones repeat, so they compress)."""
-    return b"".join((rest >> np.uint64(s)).astype(np.uint8).tobytes() for s in (32, 24, 16, 8, 0))
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(5, -1).astype(np.uint64)
-    return sum((p << np.uint64(s) for p, s in zip(planes, (32, 24, 16, 8, 0), strict=True)), np.uint64(0))
-
-
 _COUNTED = ("slab long, tokens binary, freq binary, docs binary, ids array<string>, nodes array<long>, sizes array<int>, "
             "first array<boolean>, common binary, n_common array<int>")
 
@@ -163,7 +153,7 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     out = [pa.Table.from_arrays([whole.column("slab"), *[pa.nulls(n, pa.binary())] * 3, *[whole.column(c) for c in own]],
                                 schema=schema)]
     if packed.num_rows:
-        parts = [unpack(x) for x in packed.column("rest").to_pylist()]
+        parts = [T.unpack40(x) for x in packed.column("rest").to_pylist()]
         docs = [np.frombuffer(x, np.uint16) for x in packed.column("docs").to_pylist()]
         token = np.concatenate(parts)
         order = np.argsort(token, kind="stable")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, fst_pieces, jaccard_join, kn_langid, lattice_lm, oracles, quality, ring
+from gazette.llm import chat, decontam, fst_pieces, jaccard_join, kn_langid, lattice_lm, oracles, quality, ring, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,10 +18,19 @@ def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicate(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_documents(_read(spark, sf_dir, "documents"), shards=24)
 
@@ -51,7 +60,9 @@ def op10_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_lattice_lm": op2_lattice_lm,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op5_simhash_decontam": op5_simhash_decontam,
         "op6_ring_sharding": op6_ring_sharding,
         "op7_chat_format": op7_chat_format,
         "op8_piece_fst": op8_piece_fst,

@@ -81,3 +81,13 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def pack40(rest: np.ndarray) -> bytes:
+    """Sorted 40-bit numbers as five byte planes (the high ones repeat, so they compress)."""
+    return b"".join((rest >> U(s)).astype(np.uint8).tobytes() for s in (32, 24, 16, 8, 0))
+
+
+def unpack40(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(5, -1).astype(np.uint64)
+    return sum((p << U(s) for p, s in zip(planes, (32, 24, 16, 8, 0), strict=True)), U(0))
