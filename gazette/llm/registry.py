@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, decontam, fst_pieces, jaccard_join, kn_langid, lattice_lm, oracles, quality, ring, suffix_dedup
+from gazette.llm import chat, decontam, fst_pieces, html_template, jaccard_join, kn_langid, lattice_lm, oracles, quality, ring, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(_read(spark, sf_dir, "pages"))
+
+
 def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(_read(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_template": op1_html_template,
         "op2_lattice_lm": op2_lattice_lm,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality_rules": op4_quality_rules,
