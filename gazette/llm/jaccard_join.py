@@ -99,7 +99,8 @@ def _pack_pass(shared, buckets: int):
             texts = [t or b"" for t in b.column("text").to_pylist()]
             for start, some in T.slabs(texts, SLAB):
                 for a in range(0, len(some), 50_000):             # a document's place in a slab has 16 bits
-                    yield one(slab, ids[start + a:start + a + 50_000], T.shingles(some[a:a + 50_000]), common, seen)
+                    part = some[a:a + 50_000]
+                    yield one(slab, ids[start + a:start + a + len(part)], T.shingles(part), common, seen)
                     slab += 1
 
     def one(slab, ids, sets, common, seen):
