@@ -133,4 +133,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a leaked item."""
     leaks = find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col].eqNullSafe(F.col("_leak")), "left_anti")
+    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]), "left_anti")

@@ -497,7 +497,8 @@ def _cut_pass(schema: pa.Schema, with_text: bool):
                 at = b
             kept = b"".join([*kept, t[at:]])
             for c, v in zip(out, (len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(),
-                                  [{"a": a, "b": b} for a, b in gone], kept if with_text else None), strict=True):
+                                  [{"a": a, "b": b} for a, b in gone],
+                                  kept.decode("utf-8", "ignore") if with_text else None), strict=True):
                 c.append(v)
         new = [pa.array(c, f.type) for c, f in zip(out, list(schema)[-6:], strict=True)]
         cols = [rows.column(f.name) for f in list(schema)[:-6]]
@@ -507,7 +508,8 @@ def _cut_pass(schema: pa.Schema, with_text: bool):
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
                 with_text: bool = False, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """``keep`` columns plus ``n_bytes, n_removed, n_spans, kept_sha256, removed_spans, kept`` (bytes, if ``with_text``)."""
+    """``keep`` columns plus ``n_bytes, n_removed, n_spans, kept_sha256, removed_spans, kept`` (the text that stays, if
+    ``with_text``; a character that lost a byte is left out)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
@@ -537,7 +539,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kinds = [f.dataType.simpleString() for f in src.schema.fields[:len(keep)]]
     ddl = ("".join(f"_k{i} {k}, " for i, k in enumerate(kinds))
-           + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<a:long,b:long>>, kept binary")
+           + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<a:long,b:long>>, kept string")
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     slabs = src.mapInArrow(_payload_pass, "slab long, mark long, rows binary")
     out = spans.groupBy("slab").cogroup(slabs.groupBy("slab")).applyInArrow(_cut_pass(schema, with_text), ddl)
