@@ -9,7 +9,8 @@ containers: their tags frame the slots, their words are the fixed text. What
 is left in the slots is the page's own text. A slot is dropped if its container
 says so (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments, scripts), or if over the host it holds mostly links. If most pages of
-the host frame an ``article`` or ``main``, the text is what these hold.
+the host frame an ``article`` or ``main``, or it holds half of a page's own
+text, the text is what these hold.
 
 Scale: the vector of a token is never built. Its signature, the XOR of
 hash(page, count) over the pages, is summed map-side per batch and then by
@@ -116,6 +117,8 @@ class Page:
         _, self.path, self.out, self.article = self.stack[-1] if self.stack else ("", "", False, False)
 
     def _open(self, tag: str, attrs: str) -> None:
+        if tag == "a":
+            self.link += 1
         if tag in INLINE and not attrs:
             return
         names = ""
@@ -123,8 +126,6 @@ class Page:
         if attrs:
             names = " ".join((b or c or d) for a, b, c, d in NAME.findall(attrs) if a.lower() != "style").lower()
             hidden = bool(HIDDEN.search(attrs))
-        if tag == "a":
-            self.link += 1
         noisy = hidden or bool(names and NOISE.search(names))
         if tag in INLINE and not noisy:
             return
@@ -246,8 +247,8 @@ def main_text(page: Page, tokens: frozenset[int], link_paths: frozenset[int], ar
         if tokens and token_key(path, text.partition(" ")[0]) in tokens and all(token_key(path, w) in tokens for w in text.split()):
             continue                                     # fixed text of the template
         own.append((inside, text))
-    framed = any(i for i, _ in own)
-    if framed and article is not False:
+    framed = sum(len(t) for i, t in own if i)
+    if framed and (article is not False or 2 * framed >= sum(len(t) for _, t in own)):
         own = [x for x in own if x[0]]
     return "\n".join(t for _, t in own), len(own)
 

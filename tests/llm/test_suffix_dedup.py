@@ -66,7 +66,7 @@ def test_suffix_array_and_prefixes():
 
 
 def test_merge_by_binary_search_keeps_the_earliest():
-    run = lambda *rows: np.array(rows, S.WINDOW)
+    run = lambda *rows: np.array(list(rows), S.WINDOW)
     a = run((5, 1, 7, 70, 0), (9, 1, 7, 70, 5))
     b = run((5, 1, 3, 30, 2), (5, 2, 9, 90, 0), (8, 1, 1, 10, 0))
     got = {(s, bytes(x)) for s, x, *_ in S.merge_runs([a, b])}
