@@ -225,6 +225,8 @@ def hierarchy_table(spark: SparkSession, hierarchy=CATEGORY_HIERARCHY) -> DataFr
     rows = [(m, s) for m, subs in hierarchy for s in subs]
     return spark.createDataFrame(rows, "main string, sub string")
 
+UNKNOWN_CATEGORY = "unknown"
+
 # The English stop words of Spark ML's StopWordsRemover, in their own order.
 ENGLISH_STOP_WORDS = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers

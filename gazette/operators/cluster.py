@@ -2,34 +2,99 @@
 
 Scale notes
 -----------
-* Neighbour search is exact: within a category, rows are hashed into blocks of
-  about ``block_size`` rows and every pair of blocks ("tile") of the same
-  category is scored as one NumPy matrix product in ``applyInPandas``. A tile
-  holds at most two blocks, so task memory is bounded whatever the category
-  size; only pairs within ``eps`` leave the Python worker. No row-level pair
-  table is ever built.
-* DBSCAN labels come from grouped counts (core points), connected components
-  over core-core pairs (see ``components``) and a grouped ``min`` for border
-  points: no per-cluster collection.
+* Neighbour search is exact. Within a category, vectors are ordered by their
+  angle to a pivot vector and cut into blocks of at most about ``block_size``
+  rows; by the triangle inequality on angles, two blocks whose angle ranges
+  are further apart than eps allows hold no pair, and their tile is never laid.
+  Every other pair of blocks is one matrix product in ``applyInArrow``, so a
+  task holds two blocks whatever the size of the category.
+* DBSCAN needs no pair table: tiles return degrees (one number per row) and a
+  spanning forest of their core rows (at most one edge per row), joined by
+  connected components; border rows bring the roots they touch.
+* Rows without a vector are noise, rows without a category are ``unknown``.
 * Keywords are counted with a grouped aggregation per (cluster, word), then a
   top-k window (planned as a WindowGroupLimit), never from collected text.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gazette import dims
 from gazette.functions.text import WHITESPACE_RUN, py_len_sum
+from gazette.functions.vectors import dot, norm
 from gazette.operators.components import connected_components
-from gazette.session import ship_package
-
-DEFAULT_BLOCK = 1024
+from gazette.session import ensure_checkpoint_dir, ship_package
+
+DEFAULT_BLOCK = 2048
+BIN_STEP = 1 << 20          # block number = angle bin * BIN_STEP + part of the bin
+
+
+# --------------------------------------------------------------------------- tiles
+def _points(df: DataFrame, key: str, id_col: str, vec_col: str) -> DataFrame:
+    return df.filter(F.col(vec_col).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+
+
+def _placed(points: DataFrame, block_size: int) -> DataFrame:
+    """``k, id, v, nb, bin, blk``: rows of a category in blocks by angle to its first vector, then by hash."""
+    ensure_checkpoint_dir(points.sparkSession)
+    sizes = points.groupBy("k").agg(F.ceil(F.count("*") / F.lit(block_size)).cast("int").alias("nb"),
+                                    F.min_by("v", "id").alias("pivot"))
+    cos = F.try_divide(dot("v", "pivot"), norm("v") * norm("pivot"))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(cos, F.lit(1.0)))))
+    bins = F.when(F.col("nb") > 1, F.least(F.col("nb") - 1, F.floor(angle / math.pi * F.col("nb")).cast("int"))).otherwise(0)
+    rows = points.join(sizes, "k").select("k", "id", "v", "nb", bins.alias("bin"))
+    parts = rows.groupBy("k", "bin").agg(F.ceil(F.count("*") / F.lit(block_size)).cast("int").alias("parts"))
+    rows = rows.join(parts, ["k", "bin"])
+    return rows.select("k", "id", "v", "nb", "bin", "parts",
+                       (F.col("bin") * BIN_STEP + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("long").alias("blk")).checkpoint()
+
+
+def _tile_rows(placed: DataFrame, eps: float) -> DataFrame:
+    """The rows of every tile that may hold a pair: ``k, lo, hi, side`` and the row."""
+    far = math.acos(1.0 - eps) + 1e-9 if eps < 1.0 else math.pi      # a zero vector has no angle: keep all tiles then
+    block = placed.groupBy("k", "nb", "bin", "blk").agg(F.count("*").alias("_n"))
+    x, y = block.alias("x"), block.alias("y")
+    tiles = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.blk") <= F.col("y.blk"))
+                   & ((F.col("y.bin") - F.col("x.bin") - 1) * math.pi / F.col("x.nb") <= far)).select(
+        F.col("x.k").alias("k"), F.col("x.blk").alias("lo"), F.col("y.blk").alias("hi"))
+    keep = [c for c in placed.columns if c not in ("nb", "bin", "parts", "blk")]
+    lo = placed.withColumn("lo", F.col("blk")).join(tiles, ["k", "lo"]).select(*keep, "lo", "hi", F.lit(0).alias("side"))
+    hi = placed.withColumn("hi", F.col("blk")).join(tiles.filter("lo <> hi"), ["k", "hi"]).select(
+        *keep, "lo", "hi", F.lit(1).alias("side"))
+    return lo.unionByName(hi)
+
+
+class _Tile:
+    """Unit vectors of the two blocks of a tile and which rows lie within eps of each other."""
+
+    def __init__(self, table: pa.Table, eps: float):
+        side = table.column("side").to_numpy()
+        ids = table.column("id").to_numpy()
+        vec = table.column("v").combine_chunks()
+        m = vec.flatten().to_numpy().reshape(len(ids), -1)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        m = m / np.where(length == 0, 1.0, length)
+        self.key = table.column("k")[0]
+        self.a = np.flatnonzero(side == 0)
+        self.same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        self.b = self.a if self.same else np.flatnonzero(side == 1)
+        self.ids = ids
+        self.core = table.column("core").to_numpy(zero_copy_only=False).astype(bool) if "core" in table.schema.names else None
+        self.dist = np.clip(1.0 - m[self.a] @ m[self.b].T, 0.0, 2.0)
+        self.near = self.dist <= eps
+        if self.same:
+            np.fill_diagonal(self.near, False)
+
+    def table(self, names, *cols) -> pa.Table:
+        n = len(cols[0])
+        return pa.Table.from_arrays([pa.array([self.key.as_py()] * n, self.key.type), *[pa.array(c) for c in cols]], ["k", *names])
 
 
 # --------------------------------------------------------------------------- G1
@@ -39,111 +104,68 @@ def neighbor_pairs(df: DataFrame, eps: float, key: str = "category", id_col: str
 
     Distances follow the usual definition for precomputed cosine distances:
     1 - cos of unit vectors, clipped to [0, 2]; a zero vector has distance 1 to
-    every other vector.
+    every other vector. Rows without a vector or a key have no pairs.
     """
     ship_package(df.sparkSession)
-    key_type = df.schema[key].dataType
-    base = df.select(F.col(key).alias("k"), F.col(id_col).cast("long").alias("id"),
-                     F.col(vec_col).cast("array<double>").alias("v"))
-    counts = base.groupBy("k").agg(F.ceil(F.count("*") / F.lit(block_size)).cast("int").alias("nb"))
-    blocked = (base.join(counts, "k")
-               .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-               .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-               .select("k", "id", "v", "blk", F.least("blk", "j").alias("lo"), F.greatest("blk", "j").alias("hi")))
-    out_schema = T.StructType([T.StructField("k", key_type), T.StructField("a", T.LongType()),
-                               T.StructField("b", T.LongType()), T.StructField("dist", T.DoubleType())])
     limit = float(eps)
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"k": pd.Series([], dtype=object), "a": pd.Series([], dtype="int64"),
-                              "b": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype="float64")})
-        if pdf.empty:
-            return empty
-        lo, hi = int(pdf["lo"].iat[0]), int(pdf["hi"].iat[0])
-        k = pdf["k"].iat[0]
-
-        def unit(rows):
-            m = np.vstack(rows["v"].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            n[n == 0] = 1.0
-            return rows["id"].to_numpy(dtype=np.int64), m / n
-
-        ida, A = unit(pdf[pdf["blk"] == lo])
-        if lo == hi:
-            idb, B = ida, A
-        else:
-            rows_b = pdf[pdf["blk"] == hi]
-            if rows_b.empty:
-                return empty
-            idb, B = unit(rows_b)
-        dist = np.clip(1.0 - A @ B.T, 0.0, 2.0)
-        if lo == hi:
-            ii, jj = np.nonzero(np.triu(dist <= limit, k=1))
-        else:
-            ii, jj = np.nonzero(dist <= limit)
-        a, b = ida[ii], idb[jj]
-        return pd.DataFrame({"k": pd.Series([k] * len(ii), dtype=object), "a": np.minimum(a, b),
-                             "b": np.maximum(a, b), "dist": dist[ii, jj]})
-
-    pairs = blocked.groupBy("k", "lo", "hi").applyInPandas(tile, out_schema)
+    def tile(table: pa.Table) -> pa.Table:
+        t = _Tile(table, limit)
+        i, j = np.nonzero(np.triu(t.near) if t.same else t.near)
+        a, b = t.ids[t.a[i]], t.ids[t.b[j]]
+        return t.table(["a", "b", "dist"], np.minimum(a, b), np.maximum(a, b), t.dist[i, j])
+
+    rows = _tile_rows(_placed(_points(df, key, id_col, vec_col), block_size), limit)
+    kind = dict(rows.dtypes)["k"]
+    pairs = rows.groupBy("k", "lo", "hi").applyInArrow(tile, f"k {kind}, a long, b long, dist double")
     return pairs.select(F.col("k").alias(key), "a", "b", "dist")
 
 
 # --------------------------------------------------------------------------- G2
-LOCAL_MAX_POINTS = 200_000      # a key this small is labelled inside one task ...
-LOCAL_MAX_PAIRS = 5_000_000     # ... if its pair list is this small too (checked per key)
-
-
-def _label_arrays(ids: np.ndarray, a: np.ndarray, b: np.ndarray, min_samples: int):
-    """DBSCAN labels for one key from its ids (sorted) and pairs: (cluster_id, is_core)."""
-    n = len(ids)
-    ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
-    deg = np.bincount(ia, minlength=n) + np.bincount(ib, minlength=n)
-    core = deg + 1 >= min_samples
-    both = core[ia] & core[ib]
-    ca, cb = ia[both], ib[both]
-    lab = np.arange(n)
-    while True:            # min-label propagation with pointer jumping
-        prev = lab.copy()
-        np.minimum.at(lab, ca, lab[cb])
-        np.minimum.at(lab, cb, lab[ca])
+def _degrees(rows: DataFrame, eps: float) -> DataFrame:
+    """``k, id, deg``: number of other rows within eps."""
+    def tile(table: pa.Table) -> pa.Table:
+        t = _Tile(table, eps)
+        ids, deg = t.ids[t.a], t.near.sum(axis=1)
+        if not t.same:
+            ids, deg = np.r_[ids, t.ids[t.b]], np.r_[deg, t.near.sum(axis=0)]
+        return t.table(["id", "deg"], ids[deg > 0], deg[deg > 0])
+
+    out = rows.groupBy("k", "lo", "hi").applyInArrow(tile, f"k {dict(rows.dtypes)['k']}, id long, deg long")
+    return out.groupBy("k", "id").agg(F.sum("deg").alias("deg"))
+
+
+def _forest(rows: DataFrame, eps: float) -> DataFrame:
+    """``k, border, a, b``: edges that join the core rows of each tile, and roots that other rows touch."""
+    def tile(table: pa.Table) -> pa.Table:
+        t = _Tile(table, eps)
+        n = len(t.ids)
+        order = np.argsort(t.ids, kind="stable")
+        label = np.empty(n, np.int64)                 # rank of the smallest id known to be connected
+        label[order] = np.arange(n)
+        own = label.copy()
+        core = np.ones(n, bool) if t.core is None else t.core
+        link = t.near & core[t.a][:, None] & core[t.b][None, :]
         while True:
-            nxt = lab[lab]
-            if np.array_equal(nxt, lab):
+            before = label.copy()
+            label[t.a] = np.minimum(label[t.a], np.where(link, label[t.b][None, :], n).min(axis=1, initial=n))
+            label[t.b] = np.minimum(label[t.b], np.where(link, label[t.a][:, None], n).min(axis=0, initial=n))
+            label = label[order[label]]               # jump to the label of the smallest row
+            if np.array_equal(label, before):
                 break
-            lab = nxt
-        if np.array_equal(lab, prev):
-            break
-    big = np.iinfo(np.int64).max
-    border = np.full(n, big, dtype=np.int64)
-    one = core[ia] & ~core[ib]
-    np.minimum.at(border, ib[one], lab[ia[one]])
-    two = core[ib] & ~core[ia]
-    np.minimum.at(border, ia[two], lab[ib[two]])
-    root = np.where(core, lab, np.where(border < big, border, -1))
-    roots = np.unique(root[root >= 0])
-    cid = np.where(root >= 0, np.searchsorted(roots, root), -1)
-    return cid.astype(np.int64), core
-
-
-def _local_labels(points: DataFrame, pairs: DataFrame, min_samples: int, key: str, key_type) -> DataFrame:
-    ship_package(points.sparkSession)
-    rows = (points.select(F.col(key).alias("k"), F.lit(0).alias("kind"), F.col("id").alias("a"),
-                          F.lit(None).cast("long").alias("b"))
-            .unionByName(pairs.select(F.col(key).alias("k"), F.lit(1).alias("kind"), "a", "b")))
-    schema = T.StructType([T.StructField("k", key_type), T.StructField("id", T.LongType()),
-                           T.StructField("cluster_id", T.LongType()), T.StructField("is_core", T.BooleanType())])
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = pdf["kind"].to_numpy()
-        ids = np.sort(pdf["a"].to_numpy(dtype=np.int64)[kind == 0])
-        pr = pdf[kind == 1]
-        cid, core = _label_arrays(ids, pr["a"].to_numpy(dtype=np.int64), pr["b"].to_numpy(dtype=np.int64),
-                                  min_samples)
-        return pd.DataFrame({"k": pd.Series([pdf["k"].iat[0]] * len(ids), dtype=object), "id": ids,
-                             "cluster_id": cid, "is_core": core})
-
-    return rows.groupBy("k").applyInPandas(label, schema).withColumnRenamed("k", key)
+        root = t.ids[order[label]]
+        moved = label != own
+        a, b, border = [t.ids[moved]], [root[moved]], [np.zeros(moved.sum(), bool)]
+        for x, y, near in ((t.a, t.b, t.near), *(() if t.same else ((t.b, t.a, t.near.T),))):
+            i, j = np.nonzero(near & ~core[x][:, None] & core[y][None, :])
+            if len(i):
+                pairs = np.unique(np.stack([t.ids[x[i]], root[y[j]]], axis=1), axis=0)
+                a.append(pairs[:, 0])
+                b.append(pairs[:, 1])
+                border.append(np.ones(len(pairs), bool))
+        return t.table(["border", "a", "b"], np.concatenate(border), np.concatenate(a), np.concatenate(b))
+
+    return rows.groupBy("k", "lo", "hi").applyInArrow(tile, f"k {dict(rows.dtypes)['k']}, border boolean, a long, b long")
 
 
 ROOT_BUCKET_BITS = 16
@@ -165,81 +187,60 @@ def _root_ranks(roots: DataFrame, key: str) -> DataFrame:
             .select(key, "root", (F.col("offset") + F.col("r") - 1).alias("cluster_id")))
 
 
-def _distributed_labels(points: DataFrame, pairs: DataFrame, min_samples: int, key: str) -> DataFrame:
-    ends = pairs.select(key, F.col("a").alias("id"), F.col("b").alias("o")).unionByName(
-        pairs.select(key, F.col("b").alias("id"), F.col("a").alias("o")))
-    deg = ends.groupBy(key, "id").agg(F.count("*").alias("deg"))
-    pts = (points.join(deg, [key, "id"], "left")
-           .withColumn("is_core", (F.coalesce("deg", F.lit(0)) + 1) >= min_samples)
-           .drop("deg"))
-    core = pts.filter("is_core").select("id")
-    core_edges = (pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi")
-                  .join(core.withColumnRenamed("id", "b"), "b", "left_semi"))
-    comp = connected_components(core_edges)
-    pts = (pts.join(comp, "id", "left")
-           .withColumn("root", F.when(F.col("is_core"), F.coalesce("root", "id"))))
-    core_root = pts.filter("is_core").select(F.col("id").alias("o"), F.col("root").alias("croot"))
-    border = (ends.join(core_root, "o").groupBy("id").agg(F.min("croot").alias("broot")))
-    pts = (pts.join(border, "id", "left")
-           .withColumn("root", F.when(F.col("is_core"), F.col("root")).otherwise(F.col("broot")))
-           .drop("broot"))
-    ranks = _root_ranks(pts.filter(F.col("root").isNotNull()).select(key, "root").distinct(), key)
-    return (pts.join(ranks, [key, "root"], "left")
-            .select(key, "id", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"), "is_core"))
-
-
-def dbscan_labels(points: DataFrame, pairs: DataFrame, min_samples: int = 2, key: str = "category",
-                  id_col: str = "pos", local_max_points: int = LOCAL_MAX_POINTS,
-                  local_max_pairs: int = LOCAL_MAX_PAIRS) -> DataFrame:
-    """``(key, id, cluster_id, is_core)``; noise has cluster_id -1.
-
-    Core: at least ``min_samples`` points within eps, itself included. Clusters
-    are connected core points, numbered 0, 1, ... by their smallest id within
-    the key. A border point joins the lowest-numbered cluster among its core
-    neighbours.
-
-    Keys whose point and pair counts are within the local bounds are labelled
-    in one grouped task each (NumPy); larger keys, e.g. a category holding a
-    third of all rows, go through the distributed path (grouped counts,
-    connected components by large-star/small-star, grouped min for borders).
-    Both paths give the same labels.
+def dbscan_labels(df: DataFrame, eps: float, min_samples: int = 2, key: str = "category", id_col: str = "pos",
+                  vec_col: str = "vec", block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """``(key, id, cluster_id, is_core)`` of the rows with a vector; noise has cluster_id -1.
+
+    Core: at least ``min_samples`` rows within eps, itself included. Clusters
+    are connected core rows, numbered 0, 1, ... by their smallest id within
+    the key. A border row joins the lowest-numbered cluster among its core
+    neighbours. Everything is keyed by (key, id): ids may repeat between keys.
     """
-    key_type = points.schema[key].dataType
-    pts = points.select(key, F.col(id_col).cast("long").alias("id"))
-    sizes = (pts.groupBy(key).agg(F.count("*").alias("np"))
-             .join(pairs.groupBy(key).agg(F.count("*").alias("nq")), key, "left")
-             .select(key, ((F.col("np") <= local_max_points) &
-                           (F.coalesce("nq", F.lit(0)) <= local_max_pairs)).alias("local")))
-    flagged_pts = pts.join(sizes, key)
-    flagged_pairs = pairs.join(sizes, key)
-    out = _local_labels(flagged_pts.filter("local").drop("local"), flagged_pairs.filter("local").drop("local"),
-                        min_samples, key, key_type)
-    if sizes.filter(~F.col("local")).limit(1).count():
-        out = out.unionByName(_distributed_labels(flagged_pts.filter(~F.col("local")).drop("local"),
-                                                  flagged_pairs.filter(~F.col("local")).drop("local"),
-                                                  min_samples, key))
-    return out.withColumnRenamed("id", id_col)
+    ship_package(df.sparkSession)
+    placed = _placed(_points(df, key, id_col, vec_col), block_size)
+    limit = float(eps)
+    points = placed.select("k", "id")
+    if min_samples > 2:
+        deg = _degrees(_tile_rows(placed, limit), limit)
+        placed = (placed.join(deg, ["k", "id"], "left")
+                  .withColumn("core", F.coalesce("deg", F.lit(0)) + 1 >= min_samples).drop("deg").checkpoint())
+        points = placed.select("k", "id", "core")
+    forest = _forest(_tile_rows(placed, limit), limit).checkpoint()
+    node = lambda c: F.struct(F.col("k"), F.col(c).alias("id"))
+    comp = connected_components(forest.filter("NOT border").select(node("a").alias("a"), node("b").alias("b"))).select(
+        F.col("id.k").alias("k"), F.col("id.id").alias("id"), F.col("root.id").alias("root"))
+    if min_samples <= 2:                  # with two, every row that has a neighbour is core; with one, every row
+        pts = points.join(comp, ["k", "id"], "left").withColumn("core", F.col("root").isNotNull() | F.lit(min_samples < 2))
+        pts = pts.withColumn("root", F.when(F.col("core"), F.coalesce("root", "id")))
+    else:
+        touch = forest.filter("border").select("k", "a", F.col("b").alias("id")).join(comp, ["k", "id"], "left").groupBy(
+            "k", F.col("a").alias("id")).agg(F.min(F.coalesce("root", "id")).alias("broot"))
+        pts = (points.join(comp, ["k", "id"], "left").join(touch, ["k", "id"], "left")
+               .withColumn("root", F.when(F.col("core"), F.coalesce("root", "id")).otherwise(F.col("broot"))))
+    ranks = _root_ranks(pts.filter(F.col("root").isNotNull()).select("k", "root").distinct(), "k")
+    return pts.join(ranks, ["k", "root"], "left").select(
+        F.col("k").alias(key), F.col("id").alias(id_col), F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"),
+        F.col("core").alias("is_core"))
 
 
 # --------------------------------------------------------------------------- G3 + G1 + G2
 def cluster_members(df: DataFrame, eps: float = 0.35, min_samples: int = 2, key: str = "category",
                     id_col: str = "pos", vec_col: str = "vec", block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Every input row with ``cluster_id, is_noise, small`` added.
+    """Every input row with ``cluster_id, is_noise, small, cat_first`` added.
 
     A key with fewer than ``min_samples`` rows is one noise cluster with id 0
-    (``small`` = true); otherwise DBSCAN labels, noise = -1.
+    (``small`` = true); otherwise DBSCAN labels, noise = -1. A row without a
+    vector is noise; a row without a key belongs to ``unknown``.
     """
-    # the input is read four times (blocks, points, sizes, final join): compute it once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    # Both intermediate tables are small (pairs within eps; one label per row) and
-    # are read several times: a reliable checkpoint computes each once, cuts the
-    # lineage, and survives executor loss.
-    pairs = neighbor_pairs(df, eps, key, id_col, vec_col, block_size).checkpoint()
-    labels = dbscan_labels(df.select(key, id_col), pairs, min_samples, key, id_col).checkpoint()
+    df = df.withColumn(key, F.coalesce(F.col(key), F.lit(dims.UNKNOWN_CATEGORY)))
+    # one label per row, read several times: a reliable checkpoint computes it
+    # once, cuts the lineage and survives executor loss
+    labels = dbscan_labels(df, eps, min_samples, key, id_col, vec_col, block_size).checkpoint()
     sizes = df.groupBy(key).agg(F.count("*").alias("_n"), F.min(id_col).alias("cat_first"))
     return (df.join(labels, [key, id_col], "left").join(sizes, key)
             .withColumn("small", F.col("_n") < min_samples)
-            .withColumn("cluster_id", F.when(F.col("small"), F.lit(0).cast("long")).otherwise(F.col("cluster_id")))
+            .withColumn("cluster_id", F.when(F.col("small"), F.lit(0).cast("long"))
+                        .otherwise(F.coalesce("cluster_id", F.lit(-1).cast("long"))))
             .withColumn("is_noise", F.col("small") | (F.col("cluster_id") == -1))
             .drop("_n", "is_core"))
 
@@ -293,8 +294,7 @@ def clusters(members: DataFrame, top_k: int = 5, key: str = "category", id_col:
         F.when(F.col("small"), F.lit(None).cast("string")).otherwise(F.col("_longest.source")).alias("main_source"),
         "cat_first")
     # one row per cluster, read again by top-k, digest items and the header: keep it
-    return (table.join(cluster_keywords(members, top_k, key, id_col), [key, "cluster_id"])
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    return table.join(cluster_keywords(members, top_k, key, id_col), [key, "cluster_id"]).checkpoint()
 
 
 def cluster_by_category(df: DataFrame, eps: float = 0.35, min_samples: int = 2, top_k: int = 5,

@@ -42,20 +42,18 @@ def _is_star_forest(e: DataFrame) -> bool:
     return bad.limit(1).count() == 0
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, root)`` for every node that has an edge; root = smallest id of its component.
 
-    Nodes without edges are their own component and do not appear here.
+    Nodes without edges are their own component and do not appear here. Nodes
+    may be of any type that can be ordered. Every round moves edges to smaller
+    nodes, so the loop ends.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = (edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
          .filter(F.col("hi") != F.col("lo")).distinct().checkpoint())
-    for _ in range(max_rounds):
-        if _is_star_forest(e):
-            break
+    while not _is_star_forest(e):
         e = _small_star(_large_star(e)).checkpoint()
-    else:
-        raise RuntimeError("connected components did not converge")
     roots = e.select("lo").distinct().select(F.col("lo").alias("id"), F.col("lo").alias("root"))
     return e.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(roots)

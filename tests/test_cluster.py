@@ -102,23 +102,29 @@ def test_exact_eps_zero_vector_and_single_article(spark):
     assert table["solo"].main_source is None and table["solo"].main_title == "title 4"
 
 
-def test_local_and_distributed_labels_agree(spark):
-    pts = random_points(seed=11)
-    df = make_df(spark, pts)
-    pairs = G.neighbor_pairs(df, 0.08).cache()
-    pts_df = df.select("category", "pos")
-    local = rows(G.dbscan_labels(pts_df, pairs, 3), "category", "pos", "cluster_id", "is_core")
-    dist = rows(G.dbscan_labels(pts_df, pairs, 3, local_max_points=0), "category", "pos", "cluster_id", "is_core")
-    assert local == dist
+def test_equal_ids_in_two_categories(spark):
+    """Pairs a(1,2) and b(2,3): each id is labelled in its own category."""
+    pts = [("a", 1, [1.0, 0.0]), ("a", 2, [1.0, 0.01]), ("a", 3, [0.0, 1.0]),
+           ("b", 1, [0.0, 1.0]), ("b", 2, [1.0, 0.0]), ("b", 3, [1.0, 0.01])]
+    got = {(r.category, r.pos): r.cluster_id for r in G.cluster_members(make_df(spark, pts), 0.1, 2).collect()}
+    assert got == {("a", 1): 0, ("a", 2): 0, ("a", 3): -1, ("b", 1): -1, ("b", 2): 0, ("b", 3): 0}
 
 
-def test_distributed_ranks_across_id_buckets(spark):
-    pts = [(c, p * 70_001, v) for c, p, v in random_points(seed=13)]   # ids span many rank buckets
+def test_labels_do_not_depend_on_blocks(spark):
+    """Small blocks (many tiles, some skipped by their angles) and ids over many rank buckets give the same labels."""
+    pts = [(c, p * 70_001, v) for c, p, v in random_points(seed=13)]
     df = make_df(spark, pts)
-    pairs = G.neighbor_pairs(df, 0.08).cache()
-    got = {r.pos: r.cluster_id for r in G.dbscan_labels(df.select("category", "pos"), pairs, 2,
-                                                        local_max_points=0).collect()}
-    assert got == {p: v[0] for p, v in expected(pts, 0.08, 2).items()}
+    for eps, ms in [(0.08, 2), (0.08, 3), (0.6, 4), (1.0, 2)]:
+        for block in (7, 100_000):
+            got = {r.pos: (r.cluster_id, r.is_noise) for r in G.cluster_members(df, eps, ms, block_size=block).collect()}
+            assert got == expected(pts, eps, ms), (eps, ms, block)
+
+
+def test_missing_vectors_and_categories(spark):
+    pts = [("x", 1, [1.0, 0.0]), ("x", 2, [1.0, 0.0]), ("x", 3, None), (None, 4, [1.0, 0.0]), (None, 5, None)]
+    got = {r.pos: (r.category, r.cluster_id, r.is_noise) for r in G.cluster_members(make_df(spark, pts), 0.1, 2).collect()}
+    assert got == {1: ("x", 0, False), 2: ("x", 0, False), 3: ("x", -1, True), 4: ("unknown", -1, True), 5: ("unknown", -1, True)}
+    assert G.cluster_members(make_df(spark, pts).limit(0), 0.1, 2).count() == 0
 
 
 def test_neighbor_pairs_block_tiles_equal_single_tile(spark):
