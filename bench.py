@@ -30,7 +30,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = get_session(f"local[{cpus}]", app="gazette-bench", shuffle_partitions=2 * cpus,
-                        extra={"spark.driver.memory": "16g"})
+                        extra={"spark.driver.memory": "16g", "gazette.input.partitions": str(cpus)})
     warm = "/root/testdata/sf0.001"
     if os.path.isdir(warm):
         QUERIES["digest_basic"](spark, warm).write.format("noop").mode("overwrite").save()

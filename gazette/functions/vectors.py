@@ -1,4 +1,4 @@
-"""Vector column functions on ``array<double>`` using higher-order functions."""
+"""Vector column functions on ``array<double>`` (higher-order functions: JVM-side, without generated code)."""
 
 from __future__ import annotations
 

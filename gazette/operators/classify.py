@@ -1,9 +1,9 @@
 """Classification.
 
-Small dimension tables (keyword lists, category prototypes, description or
-hierarchy maps) are turned into literals after a size check, so every
-classifier is a pure projection over the articles: no join, no shuffle, and
-the per-article argmax is ``array_max`` over a struct array.
+Fixed dimension tables (keyword lists, description and hierarchy maps) are
+literals; category prototypes come from a table as one aggregated row (a
+scalar subquery). So every classifier is a projection over the articles: no
+join, no shuffle, no driver-side collection while the plan is built.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from gazette.functions.text import compose_text, keyword_hits, sql_double, sql_s
 from gazette.functions.vectors import dot, norm
 from gazette.operators.relevance import check_relevance
 
-MAX_PROTOTYPES = 4096  # prototypes are inlined as a literal; beyond this, refuse
-
 
 def _text(text_col):
     return compose_text() if text_col is None else F.col(text_col)
@@ -77,20 +75,19 @@ def prototypes_from_descriptions(desc_vectors: DataFrame) -> DataFrame:
     return desc_vectors.select(F.col("ord").cast("int"), "category", F.col("vec").cast("array<double>"))
 
 
-def prototype_literal(protos, max_rows: int = MAX_PROTOTYPES) -> Column:
-    """Collect a prototype table (bounded: one row per category) into a literal.
+def prototype_array(protos) -> Column:
+    """The prototypes as one array of ``(ord, category, vec)`` with unit vectors.
 
-    Accepts a DataFrame ``(ord, category, vec)`` or a list of such tuples.
-    Vectors are normalised here once, not per article.
+    Accepts a DataFrame (aggregated to one row when the query runs) or a list
+    of such tuples.
     """
     if isinstance(protos, DataFrame):
-        rows = protos.select("ord", "category", "vec").limit(max_rows + 1).collect()
-        rows = [(r["ord"], r["category"], r["vec"]) for r in rows]
-    else:
-        rows = list(protos)
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} prototypes; classification needs a bounded category table")
-    rows.sort(key=lambda r: r[0])
+        n = norm("vec")
+        unit = F.transform("vec", lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+        row = F.struct(F.col("ord").cast("int").alias("ord"), F.col("category").cast("string").alias("category"),
+                       unit.alias("vec"))
+        return protos.agg(F.array_sort(F.collect_list(row)).alias("protos")).scalar()
+    rows = sorted(protos, key=lambda r: r[0])
     items = []
     for o, c, v in rows:
         a = np.asarray(v, dtype=np.float64)
@@ -108,25 +105,27 @@ def classify_nearest(df: DataFrame, prototypes, vec_col: str = "vec", method: st
 
     Prototypes are unit vectors, so the argmax of the cosine is the argmax of
     the raw dot product; the article's norm (a positive per-row constant) is
-    applied once afterwards, outside any lambda.
+    applied once afterwards, outside any lambda. An article without a vector is
+    ``unknown`` with confidence 0.
     """
-    lit = prototype_literal(prototypes)
-    best = F.array_max(F.transform(lit, lambda p: F.struct(
+    df = df.withColumn("_protos", prototype_array(prototypes))
+    best = F.array_max(F.transform("_protos", lambda p: F.struct(
         F.coalesce(dot(F.col(vec_col), p["vec"]), F.lit(0.0)).alias("d"), (-p["ord"]).alias("neg_ord"),
         p["category"].alias("category"))))
     n = norm(vec_col)
     return (df.withColumn("_best", best)
-              .withColumn(out_category, F.col("_best.category"))
+              .withColumn(out_category, F.when(F.col(vec_col).isNull(), F.lit(dims.UNKNOWN_CATEGORY))
+                          .otherwise(F.col("_best.category")))
               .withColumn(out_conf, F.when(n > 0, F.col("_best.d") / n).otherwise(F.lit(0.0)))
               .withColumn("method", F.lit(method))
-              .drop("_best"))
+              .drop("_best", "_protos"))
 
 
 def score_table(df: DataFrame, prototypes, id_col: str = "article_id", vec_col: str = "vec",
                 labels: Sequence[str] | None = None) -> DataFrame:
     """Long form ``(id, ord, label, score)``: cosine of each vector to each prototype."""
-    lit = prototype_literal(prototypes)
-    out = df.select(id_col, norm(vec_col).alias("_n"), F.explode(F.transform(lit, lambda p: F.struct(
+    df = df.withColumn("_protos", prototype_array(prototypes))
+    out = df.select(id_col, norm(vec_col).alias("_n"), F.explode(F.transform("_protos", lambda p: F.struct(
         p["ord"].alias("ord"), p["category"].alias("label"),
         F.coalesce(dot(F.col(vec_col), p["vec"]), F.lit(0.0)).alias("d")))).alias("s"))
     out = out.select(id_col, "s.ord", "s.label",
@@ -205,19 +204,21 @@ def classify_gated(df: DataFrame, prototypes, irrelevant=dims.IRRELEVANT_KEYWORD
                    min_confidence: float | None = None) -> DataFrame:
     """Relevance gate, then nearest-prototype classification of relevant rows only.
 
-    ``CASE WHEN`` evaluates the prototype scores only for relevant rows, so the
-    gate saves the vector work without a split and a join back.
+    The gate takes the vector away from irrelevant rows before they are scored,
+    and a missing vector costs no products, so only relevant rows are scored
+    without a split and a join back.
     ``min_confidence`` (off by default) turns low-confidence relevant rows irrelevant.
     """
     gated = check_relevance(df, irrelevant, relevant, text_col)
     if min_confidence is not None:
         gated = gated.withColumn("is_relevant", F.col("is_relevant") &
                                  (F.col("relevance_confidence") >= F.lit(min_confidence)))
-    classified = classify_nearest(gated, prototypes, vec_col, method, "_cat", "_conf")
+    gated = gated.withColumn("_gated", F.when(F.col("is_relevant"), F.col(vec_col)))
+    classified = classify_nearest(gated, prototypes, "_gated", method, "_cat", "_conf")
     return (classified
             .withColumn("category", F.when(F.col("is_relevant"), F.col("_cat")).otherwise(F.lit(dims.IRRELEVANT_CATEGORY)))
             .withColumn("confidence", F.when(F.col("is_relevant"), F.col("_conf")).otherwise(F.lit(0.0)))
-            .drop("_cat", "_conf"))
+            .drop("_cat", "_conf", "_gated"))
 
 
 # --------------------------------------------------------------------------- C9

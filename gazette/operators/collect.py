@@ -1,8 +1,9 @@
 """Collection: per-source cap, filters, title de-duplication, global cap.
 
 Order is part of the semantics: sources in order, then entries in feed order.
-Every article carries ``source`` (its order key among sources) and ``pos``
-(entry order inside the source); ties are always broken by them.
+Every article carries ``source_ord`` (order of its source; without that column
+the source's name) and ``pos`` (entry order inside the source); ties are
+always broken by them.
 """
 
 from __future__ import annotations
@@ -10,9 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazette import dims
 from gazette.functions.text import compose_text as _compose, py_len_sum, trim_ws
 
-ORDER = ("source", "pos")
+
+
+def with_source_order(df: DataFrame, sources=dims.FEED_SOURCES) -> DataFrame:
+    """Adds ``source_ord``: the place of ``source`` in the feed list; unlisted sources come last."""
+    m = F.create_map(*[x for i, (name, _) in enumerate(sources) for x in (F.lit(name), F.lit(i))])
+    return df.withColumn("source_ord", F.coalesce(F.try_element_at(m, F.col("source")), F.lit(len(sources))))
+
+
+def collection_order(df: DataFrame) -> tuple[str, ...]:
+    return ("source_ord", "source", "pos") if "source_ord" in df.columns else ("source", "pos")
 
 
 def trim_text(df: DataFrame) -> DataFrame:
@@ -47,7 +58,7 @@ def filter_length(df: DataFrame, max_chars: int = 800) -> DataFrame:
     return df.filter(py_len_sum("title", "description") <= max_chars)
 
 
-def dedup_title(df: DataFrame, order=ORDER) -> DataFrame:
+def dedup_title(df: DataFrame, order=None) -> DataFrame:
     """One row per title, the first in collection order wins.
 
     A grouped ``min_by`` instead of a window: it aggregates partially before the
@@ -55,14 +66,14 @@ def dedup_title(df: DataFrame, order=ORDER) -> DataFrame:
     map-side instead of landing whole in one task.
     """
     cols = df.columns
-    key = F.struct(*[F.col(c) for c in order])
+    key = F.struct(*[F.col(c) for c in order or collection_order(df)])
     return (df.groupBy("title").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), key).alias("_r"))
               .select("_r.*"))
 
 
-def cap_total(df: DataFrame, n: int | None, order=ORDER) -> DataFrame:
+def cap_total(df: DataFrame, n: int | None, order=None) -> DataFrame:
     """First ``n`` accepted articles in collection order (TakeOrderedAndProject)."""
-    ordered = df.orderBy(*order)
+    ordered = df.orderBy(*(order or collection_order(df)))
     return ordered.limit(n) if n is not None else ordered
 
 

@@ -16,15 +16,15 @@
 from __future__ import annotations
 
 import math
-from pyspark import StorageLevel
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette import dims
-from gazette.functions.text import sql_double, sql_str
+from gazette.functions.text import sql_str
+from gazette.session import ensure_checkpoint_dir
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
-MAX_CLASSES = 10_000
 
 
 def english_stop_words() -> tuple[str, ...]:
@@ -62,16 +62,15 @@ def term_counts(df: DataFrame, id_col: str, text_col: str = "text", stop_words=N
 
 def fit_tfidf(train: DataFrame, id_col: str = "article_id", text_col: str = "text", max_features: int = 3000,
               stop_words=None) -> TfidfModel:
-    # the training set is read for counts, statistics and transformation: keep it;
-    # per-document term counts are the expensive part (whole texts) and are kept
-    # because transforming the training set reuses them
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    per_doc = term_counts(train, id_col, text_col, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    # per-document term counts are the expensive part (whole texts); transforming
+    # the training set reuses them
+    ensure_checkpoint_dir(train.sparkSession)
+    per_doc = term_counts(train, id_col, text_col, stop_words).checkpoint()
     per_term = per_doc.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     top = per_term.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     n = train.select(F.count("*")).scalar()
     vocab = top.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    return TfidfModel(vocab.persist(), n, max_features, stop_words, per_doc)
+    return TfidfModel(vocab.checkpoint(), n, max_features, stop_words, per_doc)
 
 
 def weights_from_counts(model: TfidfModel, tf: DataFrame, id_col: str) -> DataFrame:
@@ -92,12 +91,6 @@ def transform_tfidf(model: TfidfModel, docs: DataFrame, id_col: str = "article_i
     return weights_from_counts(model, toks.groupBy(id_col, "term").agg(F.count("*").alias("tf")), id_col)
 
 
-def _class_literal(rows) -> str:
-    items = [f"named_struct('ord', {i}, 'label', {sql_str(str(r[0]))}, 'prior', {sql_double(r[1])}, "
-             f"'lnorm', {sql_double(r[2])})" for i, r in enumerate(rows)]
-    return "array(" + ", ".join(items) + ")"
-
-
 def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", text_col: str = "text",
                 label_col: str = "label", alpha: float = 1.0, max_features: int = 3000,
                 method: str = "tfidf_naive_bayes") -> DataFrame:
@@ -107,7 +100,6 @@ def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", t
     Terms a class never saw contribute ``x * (log alpha - lnorm(c))``, so only the
     document's terms that a class did see need a join.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_tfidf(train, id_col, text_col, max_features)
     xtr = weights_from_counts(model, model.train_tf, id_col).join(train.select(id_col, label_col), id_col)
     fc = xtr.groupBy(label_col, "term").agg(F.sum("weight").alias("fc"))
@@ -115,12 +107,10 @@ def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", t
     n_train = train.select(F.count("*")).scalar()
     cls = (train.groupBy(label_col).agg(F.count("*").alias("n_c"))
            .join(fc.groupBy(label_col).agg(F.sum("fc").alias("total")), label_col, "left")
-           .select(label_col, (F.log(F.col("n_c")) - F.log(n_train)).alias("prior"),
-                   F.log(F.coalesce("total", F.lit(0.0)) + F.lit(alpha) * n_feat).alias("lnorm"))
-           .orderBy(label_col).limit(MAX_CLASSES + 1).collect())
-    if len(cls) > MAX_CLASSES:
-        raise ValueError("too many classes for naive Bayes")
-    classes = F.expr(_class_literal([(r[0], r[1], r[2]) for r in cls]))
+           .select(F.col(label_col).cast("string").alias("label"), (F.log(F.col("n_c")) - F.log(n_train)).alias("prior"),
+                   F.log(F.coalesce("total", F.lit(0.0)) + F.lit(alpha) * n_feat).alias("lnorm")))
+    # one row per class, in label order
+    classes = cls.agg(F.array_sort(F.collect_list(F.struct("label", "prior", "lnorm"))).alias("classes")).scalar()
     log_a = math.log(alpha)
     lfc = fc.select(label_col, "term", (F.log(F.col("fc") + alpha) - F.lit(log_a)).alias("lfc"))
     # x(d,t) = w(d,t) / |w(d)|: the per-document sums needed here are linear in x,
@@ -135,10 +125,11 @@ def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", t
     per_doc = (docs.select(id_col).join(mass, id_col, "left").join(seen, id_col, "left")
                .withColumn("x", F.coalesce(F.col("sw") / F.col("nrm"), F.lit(0.0)))
                .withColumn("smap", F.transform_values("smap", lambda k, v: v / F.col("nrm"))))
-    jll = F.transform(classes, lambda c: F.struct(
+    per_doc = per_doc.withColumn("_classes", classes)
+    jll = F.transform("_classes", lambda c, i: F.struct(
         (c["prior"] + (F.lit(log_a) - c["lnorm"]) * F.col("x")
          + F.coalesce(F.try_element_at(F.col("smap"), c["label"]), F.lit(0.0))).alias("j"),
-        (-c["ord"]).alias("neg_ord"), c["label"].alias("label")))
+        (-i).alias("neg_ord"), c["label"].alias("label")))
     out = per_doc.withColumn("_j", jll).withColumn("_b", F.array_max("_j"))
     denom = F.aggregate("_j", F.lit(0.0), lambda acc, s: acc + F.exp(s["j"] - F.col("_b.j")))
     return out.select(id_col, F.col("_b.label").alias("category"), (F.lit(1.0) / denom).alias("confidence"),
@@ -208,16 +199,17 @@ def classify_soft_vote(docs: DataFrame, train: DataFrame, id_col: str = "article
     from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
     tr, te, labels = _features(train, docs, text_col, label_col, max_features)
-    tr = tr.cache()
+    ensure_checkpoint_dir(train.sparkSession)
+    tr = tr.select("features", "_y").checkpoint()
     nb = NaiveBayes(modelType="multinomial", smoothing=1.0, labelCol="_y", featuresCol="features").fit(tr)
     rf = RandomForestClassifier(numTrees=50, seed=42, labelCol="_y", featuresCol="features").fit(tr)
     lr = LogisticRegression(maxIter=1000, labelCol="_y", featuresCol="features").fit(tr)
-    te = te.select(id_col, "features")
-    p_nb = nb.transform(te).select(id_col, vector_to_array("probability").alias("p_nb"))
-    p_rf = rf.transform(te).select(id_col, vector_to_array("probability").alias("p_rf"))
-    p_lr = lr.transform(te).select(id_col, vector_to_array("probability").alias("p_lr"))
-    p_svm = _svm_probs(tr, te, len(labels)).select(id_col, F.col("_p").alias("p_svm"))
-    allp = p_nb.join(p_rf, id_col).join(p_lr, id_col).join(p_svm, id_col)
+    # one frame through all models, no join: keep each model's probabilities only
+    own = ["rawPrediction", "probability", "prediction"]
+    allp = te.select(id_col, "features")
+    for name, model in (("p_nb", nb), ("p_rf", rf), ("p_lr", lr)):
+        allp = model.transform(allp).withColumn(name, vector_to_array("probability")).drop(*own)
+    allp = _svm_probs(tr, allp, len(labels)).withColumnRenamed("_p", "p_svm").drop("_sig", *own)
     avg = F.zip_with(F.zip_with("p_nb", "p_rf", lambda a, b: a + b), F.zip_with("p_lr", "p_svm", lambda a, b: a + b),
                      lambda a, b: (a + b) / 4.0)
     return _argmax_output(allp.withColumn("_p", avg), "_p", labels, id_col, "tfidf_ensemble")

@@ -128,10 +128,8 @@ def run_methods(df: DataFrame, methods: dict, keep: Sequence[str] = ("article_id
 
     ``methods`` maps a result name to a function DataFrame -> classified DataFrame.
     ``limits`` gives costly methods (paid model calls) only the first ``n``
-    articles in ``order_col`` order. The articles are cached once because every
-    method scans them.
+    articles in ``order_col`` order.
     """
-    df = df.cache()
     limits = limits or {}
     out = None
     for name, fn in methods.items():

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette import dims
+from gazette.session import path_exists
 
 STORE_COLUMNS = ["title", "description", "url", "source", "published", "title_hash", "collected_at",
                  "language", "category", "is_relevant", "classification_confidence"]
@@ -60,14 +61,16 @@ def saved_ids(batch: DataFrame, store: DataFrame, id_col: str = "id", order_col:
     return hashed.join(ids, "title_hash", "left").select(order_col, "title_hash", "existing_id")
 
 
+def read_store(spark, store_path: str) -> DataFrame:
+    """The store at a path; an empty one if nothing is there yet. Any other read error is raised."""
+    if not path_exists(spark, store_path):
+        return spark.createDataFrame([], "title_hash string")
+    return spark.read.parquet(store_path)
+
+
 def save_articles(batch: DataFrame, store_path: str, collected_at, order_col: str = "pos") -> DataFrame:
     """Append new rows to the store at ``store_path``; returns the appended rows (lazy)."""
-    spark = batch.sparkSession
-    try:
-        store = spark.read.parquet(store_path)
-    except Exception:  # no store yet
-        store = spark.createDataFrame([], "title_hash string")
-    fresh = new_articles(batch, store, collected_at, order_col)
+    fresh = new_articles(batch, read_store(batch.sparkSession, store_path), collected_at, order_col)
     fresh.write.mode("append").parquet(store_path)
     return fresh
 
@@ -91,6 +94,11 @@ def digest_record(dig: DataFrame, config: dict, created_at) -> DataFrame:
     )
 
 
+def append_digest(dig: DataFrame, config: dict, created_at, path: str) -> None:
+    """Appends the digest record to the table at ``path``."""
+    digest_record(dig, config, created_at).write.mode("append").parquet(path)
+
+
 # --------------------------------------------------------------------------- K5
 def mark_processed(ids: DataFrame, config: dict, processed_at, id_col: str = "article_id") -> DataFrame:
     """Processing history: one row per article id with the run's config."""
@@ -101,14 +109,23 @@ def mark_processed(ids: DataFrame, config: dict, processed_at, id_col: str = "ar
                       cfg.alias("pipeline_config"))
 
 
+def append_history(ids: DataFrame, config: dict, processed_at, path: str, id_col: str = "article_id") -> None:
+    """Appends processing history to the table at ``path``."""
+    mark_processed(ids, config, processed_at, id_col).write.mode("append").parquet(path)
+
+
 # --------------------------------------------------------------------------- K6
-def update_relevance(store: DataFrame, updates: DataFrame, updated_at, id_col: str = "id") -> DataFrame:
+def update_relevance(store: DataFrame, updates: DataFrame, updated_at, id_col: str = "id",
+                     order_col: str | None = None) -> DataFrame:
     """New version of the store with relevance flag, confidence and time set for updated ids.
 
-    Ids that are not stored are ignored (left join from the store side).
+    Ids that are not stored are ignored (left join from the store side). Of
+    several updates for one id the last by ``order_col`` counts (without it the
+    largest values), so a stored row stays one row.
     """
-    up = updates.select(F.col(id_col).alias("_uid"), F.col("is_relevant").alias("_rel"),
-                        F.col("relevance_confidence").alias("_conf"))
+    value = F.struct(F.col("is_relevant").alias("_rel"), F.col("relevance_confidence").alias("_conf"))
+    last = F.max_by(value, F.col(order_col)) if order_col else F.max(value)
+    up = updates.groupBy(F.col(id_col).alias("_uid")).agg(last.alias("_u")).select("_uid", "_u.*")
     out = store.join(up, store[id_col] == up["_uid"], "left")
     hit = F.col("_uid").isNotNull()
     base_conf = F.col("relevance_confidence") if "relevance_confidence" in store.columns else F.lit(None).cast("double")
@@ -119,6 +136,13 @@ def update_relevance(store: DataFrame, updates: DataFrame, updated_at, id_col: s
                .drop("_uid", "_rel", "_conf"))
 
 
+def write_relevance_version(store_path: str, updates: DataFrame, updated_at, new_path: str, id_col: str = "id",
+                            order_col: str | None = None) -> None:
+    """Writes the updated store as a new version at ``new_path``; the caller switches to it."""
+    store = updates.sparkSession.read.parquet(store_path)
+    update_relevance(store, updates, updated_at, id_col, order_col).write.parquet(new_path)
+
+
 # --------------------------------------------------------------------------- S2
 def get_articles(store: DataFrame, limit: int | None = 100, category: str | None = None, source: str | None = None,
                  date_from=None, is_relevant: bool | None = None, id_col: str = "id") -> DataFrame:

@@ -45,7 +45,7 @@ ARTICLES = f"""articles AS (
   SELECT t.doc_id AS article_id, t.doc_id AS pos,
          {trim('t.tr')} AS title,
          {trim('substr(t.text, length(t.tr) + 1)')} AS description,
-         t.source, p.url, e.ts AS published, t.lang AS language,
+         t.source, TRY_CAST(regexp_extract(t.source, '([0-9]+)$', 1) AS INTEGER) AS source_ord, p.url, e.ts AS published, t.lang AS language,
          CASE WHEN l.doc_id IS NOT NULL THEN list_filter(
            [CASE WHEN l.quality = 1 THEN 'quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END],
            lambda x: x IS NOT NULL) END AS labels
@@ -58,7 +58,7 @@ TEXTS = "texts AS (SELECT article_id, title || '. ' || coalesce(description, '')
 
 AV = """article_vectors AS (
   SELECT a.*, CAST(e.embedding AS DOUBLE[]) AS vec, e.label, 'c' || e.label AS category
-  FROM articles a JOIN embeddings e ON e.vec_id = a.article_id)"""
+  FROM articles a LEFT JOIN embeddings e ON e.vec_id = a.article_id)"""
 
 PROTOS = """protos AS (
   SELECT label AS ord, 'c' || label AS category, list(x ORDER BY i) AS vec FROM (
@@ -68,7 +68,7 @@ PROTOS = """protos AS (
   GROUP BY label)"""
 
 SCORES = """scores AS (
-  SELECT a.article_id, p.ord, p.category AS label, list_cosine_similarity(a.vec, p.vec) AS score
+  SELECT a.article_id, p.ord, p.category AS label, coalesce(list_cosine_similarity(a.vec, p.vec), 0.0) AS score
   FROM article_vectors a CROSS JOIN protos p)"""
 
 NEAREST = """best AS (
@@ -76,7 +76,7 @@ NEAREST = """best AS (
     SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, ord) AS rn FROM scores)
   WHERE rn = 1),
 nearest AS (
-  SELECT a.* EXCLUDE (category), b.category, b.confidence
+  SELECT a.* EXCLUDE (category), CASE WHEN a.vec IS NULL THEN 'unknown' ELSE b.category END AS category, b.confidence
   FROM article_vectors a JOIN best b USING (article_id))"""
 
 BASE_VEC = [ARTICLES, AV, PROTOS, SCORES, NEAREST]
@@ -277,8 +277,8 @@ COLLECT = [
     "lang AS (SELECT * FROM cap WHERE title IS NOT NULL AND title <> '' AND language = 'en')",
     "lenf AS (SELECT * FROM lang WHERE length(title) + length(coalesce(description, '')) <= 800)",
     """dedup AS (SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY title ORDER BY source, pos) AS rn2 FROM lenf) WHERE rn2 = 1)""",
-    "collected AS (SELECT * FROM dedup ORDER BY source, pos LIMIT 100)",
+    SELECT *, row_number() OVER (PARTITION BY title ORDER BY source_ord, source, pos) AS rn2 FROM lenf) WHERE rn2 = 1)""",
+    "collected AS (SELECT * FROM dedup ORDER BY source_ord, source, pos LIMIT 100)",
 ]
 
 TRAINING = """training AS (SELECT a.article_id, a.title || '. ' || coalesce(a.description, '') AS text,
@@ -330,19 +330,28 @@ def gated_ctes() -> list[str]:
         NORMALIZE,
         """garts AS (SELECT CAST(n.id AS BIGINT) AS article_id, CAST(n.id AS BIGINT) AS pos, n.title, n.description,
     n.source, n.title || '. ' || coalesce(n.description, '') AS text, CAST(e.embedding AS DOUBLE[]) AS vec
-  FROM norm n JOIN embeddings e ON e.vec_id = CAST(n.id AS BIGINT))""",
+  FROM norm n LEFT JOIN embeddings e ON e.vec_id = CAST(n.id AS BIGINT))""",
         relevance_cte("grel", "garts", "s.text"),
-        """gsc AS (SELECT a.article_id, p.ord, p.category AS label, list_cosine_similarity(a.vec, p.vec) AS score
+        """gsc AS (SELECT a.article_id, p.ord, p.category AS label, coalesce(list_cosine_similarity(a.vec, p.vec), 0.0) AS score
   FROM garts a CROSS JOIN protos p)""",
         """gbest AS (SELECT article_id, label AS ncat, score AS nconf FROM (
     SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, ord) AS rn FROM gsc) WHERE rn = 1)""",
-        """gclass AS (SELECT g.*, CASE WHEN g.is_relevant THEN b.ncat ELSE 'irrelevant' END AS category,
+        """gclass AS (SELECT g.*, CASE WHEN NOT g.is_relevant THEN 'irrelevant' WHEN g.vec IS NULL THEN 'unknown'
+      ELSE b.ncat END AS category,
     CASE WHEN g.is_relevant THEN b.nconf ELSE 0.0 END AS confidence
   FROM grel g JOIN gbest b USING (article_id))""",
         "grelevant AS (SELECT * FROM gclass WHERE coalesce(is_relevant, true))",
     ] + dbscan_ctes("grelevant", Q.EPS, Q.MIN_SAMPLES) + CLUSTERS + items_ctes(Q.MAX_EVENTS) + [header_cte()]
 
 
+def collected_digest_ctes() -> list[str]:
+    """Collection, then the basic digest over the collected articles."""
+    return [ARTICLES, AV, PROTOS, *COLLECT[1:],
+            "cav AS (SELECT v.* FROM article_vectors v JOIN collected c USING (article_id))",
+            SCORES.replace("article_vectors", "cav"), NEAREST.replace("article_vectors", "cav"),
+            *dbscan_ctes("nearest", Q.EPS, Q.MIN_SAMPLES), *CLUSTERS, *items_ctes(Q.MAX_EVENTS), header_cte()]
+
+
 def basic_digest_ctes() -> list[str]:
     return BASE_VEC + dbscan_ctes("nearest", Q.EPS, Q.MIN_SAMPLES) + CLUSTERS + items_ctes(Q.MAX_EVENTS) + [
         header_cte()]
@@ -466,7 +475,7 @@ JOIN (SELECT article_id, sum(exp(j - mx)) AS den FROM nbr GROUP BY article_id) z
   count(*) FILTER (WHERE size >= 2 AND NOT is_noise) AS significant FROM clusters GROUP BY category""")
     o["top_clusters"] = with_(members2 + CLUSTERS + [top_cte(10)],
                               "SELECT rank, category, cluster_id, size, main_title FROM top")
-    o["clusters_trimmed"] = with_(members2, "SELECT category, cluster_id, pos, title, source FROM members")
+    o["clusters_trimmed"] = with_(members2, "SELECT category, cluster_id, pos, title, coalesce(source, '') AS source FROM members")
     # ---------------------------------------------------------------- digest
     text_ctes = [
         """blocks AS (SELECT category, cluster_id, i, blk, len,
@@ -511,7 +520,7 @@ FROM clusters c JOIN srcs s USING (category, cluster_id)""")
     (SELECT count(*) FROM gclass WHERE NOT coalesce(is_relevant, true)) AS irrelevant_articles,
     '2.0_enhanced' AS pipeline_version FROM header h)"""
     o["digest_metadata"] = with_(gated + [meta], "SELECT * FROM meta")
-    o["digest_basic"] = with_(basic, f"""SELECT {ITEM_COLS}, h.title AS digest_title, h.footer, h.total_articles,
+    o["digest_basic"] = with_(collected_digest_ctes(), f"""SELECT {ITEM_COLS}, h.title AS digest_title, h.footer, h.total_articles,
   h.total_events FROM items i, header h""".replace("SELECT rank, title", "SELECT i.rank, i.title"))
     o["digest_gated"] = with_(gated + [meta], f"""SELECT i.rank, i.title, i.summary, i.category, i.source_count,
   i.keywords, i.sources, m.title AS digest_title, m.footer, m.total_articles, m.total_events, m.articles_processed,
@@ -524,6 +533,9 @@ FROM clusters c JOIN srcs s USING (category, cluster_id)""")
   SELECT *, row_number() OVER (PARTITION BY title_hash ORDER BY pos) AS rn FROM (
     SELECT *, md5(coalesce(title, '') || coalesce(description, '')) AS title_hash FROM articles))
 WHERE rn = 1 AND title_hash NOT IN (SELECT title_hash FROM store)""")
+    o["store_saved_ids"] = with_(BT + STORE, """SELECT a.pos, md5(coalesce(a.title, '') || coalesce(a.description, '')) AS title_hash,
+  s.existing_id FROM articles a LEFT JOIN (SELECT title_hash, min(id) AS existing_id FROM store GROUP BY title_hash) s
+  ON s.title_hash = md5(coalesce(a.title, '') || coalesce(a.description, ''))""")
     o["store_digest_record"] = with_(basic, """SELECT language, CAST(total_events AS BIGINT) AS events_count,
   CAST(0 AS BIGINT) AS articles_processed, '2.0_enhanced' AS pipeline_version, '0.7' AS clustering_eps, footer
 FROM header""")
@@ -585,7 +597,7 @@ SELECT article_id, 'nearest', category, {r6('confidence')}, 'nearest_prototype'
   {trim(f"regexp_replace(title, {bad}, '', 'g')")} AS title,
   {trim(f"regexp_replace(coalesce(description, ''), {bad}, '', 'g')")} AS description,
   regexp_replace(coalesce(url, ''), {bad}, '', 'g') AS url FROM articles""")
-    o["feed_collect"] = with_([f"""articles AS (SELECT article_id, pos, source, language,
+    o["feed_collect"] = with_([f"""articles AS (SELECT article_id, pos, source, source_ord, language,
   {trim(f"regexp_replace(title, {bad}, '', 'g')")} AS title,
   {trim(f"regexp_replace(coalesce(description, ''), {bad}, '', 'g')")} AS description FROM ({ARTICLES[len('articles AS ('):-1]}))"""]
         + COLLECT[1:], "SELECT article_id, source, title FROM collected")
@@ -596,8 +608,10 @@ SELECT title_hash, coalesce(title, '') AS title, coalesce(source, '') AS source
   SELECT *, row_number() OVER (PARTITION BY title_hash ORDER BY pos) AS rn FROM (
     SELECT *, md5(coalesce(title, '') || coalesce(description, '')) AS title_hash FROM articles))
 WHERE rn = 1 AND title_hash NOT IN (SELECT title_hash FROM store)""")
-    o["sink_roundtrip"] = with_(BASE_VEC, "SELECT article_id, category AS csv_category, category AS json_category "
-                                          "FROM nearest")
+    own = [f"md5(coalesce({c}, '')) AS {p}_{c}" for p in ("csv", "json")
+           for c in ("title", "description", "source", "category")]
+    o["sink_roundtrip"] = with_(BASE_VEC, f"""SELECT article_id, {', '.join(own)}, (SELECT count(*) FROM articles) AS total_articles,
+  true AS text_has_footer FROM nearest""")
     o["method_files"] = with_([MR], "SELECT method, count(*) AS count FROM mr GROUP BY method")
     return o
 

@@ -7,7 +7,6 @@ doubles rounded to 6 places so results compare exactly with the SQL oracle.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from gazette import dims
@@ -19,6 +18,7 @@ from gazette.operators import digest as D
 from gazette.operators import relevance as R
 from gazette.operators import stats as T
 from gazette.operators import store as K
+from gazette.plans import pipelines as PL
 from gazette.session import spread
 from gazette.sources import fixtures as fx
 
@@ -296,8 +296,8 @@ def q_top_clusters(spark, sf):
 
 
 def q_clusters_trimmed(spark, sf):
-    members = _members(spark, sf)
-    return members.select("category", "cluster_id", "pos", "title", "source")
+    from gazette.sinks import files
+    return files.clusters_trimmed(_members(spark, sf))
 
 
 # --------------------------------------------------------------------------- digest
@@ -339,28 +339,15 @@ def q_digest_text(spark, sf):
     return D.render_text(D.digest(_items(spark, sf), AS_OF))
 
 
-def _gated_pipeline(spark, sf):
-    """Store read -> article projection -> gate + classify -> cluster relevant rows -> digest."""
-    store = fx.store_articles(spark, sf)
-    read = K.get_articles(store, limit=None)
-    arts = K.normalize_store_articles(read).withColumn("article_id", F.col("id").cast("long"))
-    emb = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("article_id"),
-                                                   F.col("embedding").cast("array<double>").alias("vec"), "label")
-    arts = arts.join(emb, "article_id").withColumn("pos", F.col("article_id"))
-    protos = _protos(spark, sf)
-    classified = C.classify_gated(arts, protos, dims.FIXTURE_IRRELEVANT, dims.FIXTURE_RELEVANT)
-    # the classified table feeds clustering, the digest and the run counts: compute it once
-    classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
-    relevant, _ = R.split_relevance(classified)
-    members = G.cluster_members(relevant, EPS, MIN_SAMPLES)
-    top = G.top_clusters(G.clusters(members), n=MAX_EVENTS)
-    items = D.digest_items(top, members, max_items=MAX_EVENTS)
-    return read, classified, items
+def _run_gated(spark, sf):
+    vectors = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("article_id"),
+                                                       F.col("embedding").cast("array<double>").alias("vec"))
+    return PL.run_digest_gated(fx.store_articles(spark, sf), vectors, _protos(spark, sf), AS_OF, None, dims.FIXTURE_IRRELEVANT,
+                               dims.FIXTURE_RELEVANT, EPS, MIN_SAMPLES, MAX_EVENTS)
 
 
 def q_digest_metadata(spark, sf):
-    _, classified, items = _gated_pipeline(spark, sf)
-    return D.digest_metadata(D.digest(items, AS_OF), classified).drop("items")
+    return _run_gated(spark, sf).digest.drop("items")
 
 
 def _with_header(items, head, cols):
@@ -371,14 +358,14 @@ def _with_header(items, head, cols):
 
 
 def q_digest_basic(spark, sf):
-    items = _items(spark, sf)
-    return _with_header(items, D.digest(items, AS_OF), ["title", "footer", "total_articles", "total_events"])
+    run = PL.run_digest(fx.labelled_vectors(spark, sf), _protos(spark, sf), AS_OF, eps=EPS, min_samples=MIN_SAMPLES,
+                        max_events=MAX_EVENTS)
+    return _with_header(run.items, run.digest, ["title", "footer", "total_articles", "total_events"])
 
 
 def q_digest_gated(spark, sf):
-    _, classified, items = _gated_pipeline(spark, sf)
-    meta = D.digest_metadata(D.digest(items, AS_OF), classified)
-    return _with_header(items, meta, ["title", "footer", "total_articles", "total_events", "articles_processed",
+    run = _run_gated(spark, sf)
+    return _with_header(run.items, run.digest, ["title", "footer", "total_articles", "total_events", "articles_processed",
                                       "relevant_articles", "irrelevant_articles", "pipeline_version"])
 
 
@@ -393,6 +380,12 @@ def q_store_insert_new(spark, sf):
     return fresh.select("pos", "title_hash", "title", "source", "is_relevant")
 
 
+def q_store_saved_ids(spark, sf):
+    """The stored id of every article of the batch, null for new ones (K2)."""
+    return K.saved_ids(fx.articles(spark, sf, with_url=False, with_published=False, with_labels=False),
+                       fx.store_articles(spark, sf))
+
+
 def q_store_digest_record(spark, sf):
     dig = D.digest(_items(spark, sf), AS_OF)
     rec = K.digest_record(dig, {"classification_method": "nearest_prototype", "clustering_eps": EPS,
@@ -448,13 +441,12 @@ def q_stats_by_source(spark, sf):
 
 
 def q_run_stats(spark, sf):
-    read, classified, items = _gated_pipeline(spark, sf)
-    return T.run_stats(read, classified, items)
+    run = _run_gated(spark, sf)
+    return T.run_stats(run.collected, run.classified, run.items)
 
 
 def q_category_counts(spark, sf):
-    _, classified, _ = _gated_pipeline(spark, sf)
-    relevant, _ = R.split_relevance(classified)
+    relevant, _ = R.split_relevance(_run_gated(spark, sf).classified)
     return T.category_counts(relevant, top=5)
 
 
@@ -509,7 +501,8 @@ def q_feed_collect(spark, sf):
     feeds.write_feeds(fx.articles(spark, sf, with_published=False, with_labels=False), path)
     arts = feeds.read_feeds(spark, path).join(
         fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("guid"),
-                                                F.col("lang").alias("language")), "guid")
+                                                F.col("lang").alias("language")), "guid").withColumn(
+        "source_ord", F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"))
     return P.collect_pipeline(arts, max_total=100).select(F.col("guid").cast("long").alias("article_id"), "source",
                                                            "title")
 
@@ -529,7 +522,7 @@ def q_ingest_stream(spark, sf):
 
 
 def q_sink_roundtrip(spark, sf):
-    """Classified articles written as CSV and JSON, digest as JSON and text, read back."""
+    """Classified articles written as CSV and JSON, digest as JSON and text; all of it read back."""
     from gazette.session import scratch_path
     from gazette.sinks import files
     base = scratch_path(spark, "sinks")
@@ -538,10 +531,16 @@ def q_sink_roundtrip(spark, sf):
     files.write_classified_json(classified, f"{base}/json", {"method": "nearest_prototype"})
     dig = D.digest(_items(spark, sf), AS_OF)
     files.write_digest(dig, D.render_text(dig), f"{base}/digest")
-    csv = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(f"{base}/csv")
+    csv = spark.read.options(multiLine=True, **files.CSV).csv(f"{base}/csv")
     js = spark.read.json(f"{base}/json/articles")
-    return (csv.select(F.col("article_id").cast("long").alias("article_id"), F.col("category").alias("csv_category"))
-            .join(js.select("article_id", F.col("category").alias("json_category")), "article_id"))
+    own = ("title", "description", "source", "category")
+    total = spark.read.json(f"{base}/json/metadata").select("total_articles").scalar()
+    text = spark.read.text(f"{base}/digest/text", wholetext=True).select("value").scalar()
+    footer = spark.read.json(f"{base}/digest/digest").select("footer").scalar()
+    side = lambda df, p: df.select(F.col("article_id").cast("long").alias("article_id"),
+                                   *[F.md5(F.coalesce(F.col(c), F.lit(""))).alias(f"{p}_{c}") for c in own])
+    return side(csv, "csv").join(side(js, "json"), "article_id").select(
+        "*", total.alias("total_articles"), F.contains(text, footer).alias("text_has_footer"))
 
 
 def q_method_files(spark, sf):
@@ -602,6 +601,7 @@ QUERIES = {
     "digest_gated": q_digest_gated,
     "article_hash": q_article_hash,
     "store_insert_new": q_store_insert_new,
+    "store_saved_ids": q_store_saved_ids,
     "store_digest_record": q_store_digest_record,
     "store_mark_processed": q_store_mark_processed,
     "store_update_relevance": q_store_update_relevance,

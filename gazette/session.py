@@ -70,18 +70,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df, min_partitions: int | None = None):
-    """Spread a narrow input over all cores before CPU-heavy row work.
+def spread(df):
+    """Deal a text input into as many partitions as the caller has set in ``gazette.input.partitions``.
 
-    A few large files (or one row group) become one task per file; text
-    processing on them would then run on a single core. When the input has
-    fewer splits than the cluster has cores, rows are redistributed round-robin;
-    on a large input with many splits this is a no-op and costs nothing.
+    Unset (the default), the scan's own splits are used. A caller whose input is
+    one small file with one row group sets it, so that text work is not one task.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    n = df.sparkSession.conf.get("gazette.input.partitions", None)
+    return df.repartition(int(n)) if n else df
+
+
+def broadcast_if_small(df, rows: int = 200_000):
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is (Spark shuffles).
+
+    Counting runs the plan, so pass a checkpointed or stored frame.
+    """
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at ``path`` (any file system that Spark reads)?"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 _SHIPPED: set[str] = set()

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """CSV cannot hold arrays, maps or structs: arrays are joined, the rest become JSON."""
     cols = []
@@ -27,8 +30,8 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def write_classified_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Classified articles as CSV with a header."""
-    _flat(df).write.mode(mode).option("header", True).csv(path)
+    """Classified articles as CSV with a header; quotes are doubled, as ordinary CSV readers expect."""
+    _flat(df).write.mode(mode).options(**CSV).csv(path)
 
 
 def write_classified_json(df: DataFrame, path: str, meta: dict, mode: str = "overwrite") -> None:
@@ -66,4 +69,4 @@ def write_methods(results: DataFrame, summary: DataFrame, path: str, mode: str =
     """Full results as JSON, the per-method summary as JSON, one CSV directory per method."""
     results.write.mode(mode).json(os.path.join(path, "results"))
     summary.write.mode(mode).json(os.path.join(path, "summary"))
-    _flat(results).write.mode(mode).partitionBy("method").option("header", True).csv(os.path.join(path, "by_method"))
+    _flat(results).write.mode(mode).partitionBy("method").options(**CSV).csv(os.path.join(path, "by_method"))

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from gazette.functions.text import trim_ws
 
 ITEM_SCHEMA = "title string, description string, link string, guid string"
-ITEM_RE = r"(?s)<item[\s>].*?</item>|<item/>"
+# an item ends at its end tag outside CDATA sections
+ITEM_RE = (r"(?s)<item(?:\s[^>]*)?>(?:[^<]++|<!\[CDATA\[.*?\]\]>|<(?!/item>|!\[CDATA\[))*+</item>"
+           r"|<item(?:\s[^>]*)?/>")
 # characters XML 1.0 cannot carry; a feed never contains them
 INVALID_XML = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
 XML_OPTIONS = {"rowTag": "item", "ignoreSurroundingSpaces": "false"}
@@ -27,13 +29,18 @@ def xml_safe(c):
     return F.regexp_replace(c, INVALID_XML, "")
 
 
-def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """Articles from landed feed files below ``path`` (layout ``source=<name>/chunk=<n>/``).
+def read_feeds(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """Articles from landed feed files below ``path``.
+
+    With ``source`` a plain folder (or file) of that source's feeds; without it
+    the layout ``source=<name>/chunk=<n>/``.
 
     Columns: ``source, pos`` (order key), ``title, description`` (stripped,
     missing -> ''), ``url`` (link as is, missing -> ''), ``guid``.
     """
     raw = spark.read.text(path, wholetext=True)
+    if source is not None:
+        raw = raw.select("value", F.lit(source).alias("source"), F.lit(0).alias("chunk"))
     items = raw.select("source", "chunk", F.input_file_name().alias("_file"),
                        F.posexplode(F.regexp_extract_all("value", F.lit(ITEM_RE), 0)).alias("idx", "xml"))
     parsed = items.withColumn("r", F.from_xml("xml", ITEM_SCHEMA, XML_OPTIONS))

@@ -30,6 +30,7 @@ def _project(docs: DataFrame, extra: list[str], with_text: bool) -> DataFrame:
         trim_ws(F.expr("substr(text, length(substring(substring_index(text, '\n', 1), 1, 120)) + 1)"))
         .alias("description"),
         "source",
+        F.regexp_extract("source", r"(\d+)$", 1).try_cast("int").alias("source_ord"),
         F.col("lang").alias("language"),
         *(["text"] if with_text else []),
         *extra,
@@ -37,20 +38,19 @@ def _project(docs: DataFrame, extra: list[str], with_text: bool) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str, with_published: bool = True, with_url: bool = True,
-             with_labels: bool = True, with_text: bool = False, only=None) -> DataFrame:
+             with_labels: bool = True, with_text: bool = False, extra_cols=None) -> DataFrame:
     """``article_id, pos, title, description, source, language [, url, published, labels]``.
 
     Title = first line of the document cut at 120 code points, description =
     the rest of the text; both stripped. Nothing of the text is dropped.
-    ``only`` (a DataFrame keyed by ``doc_id``) restricts the documents before the
-    text projection, so the string work runs only on rows that are kept; its
-    other columns are carried along.
+    ``source_ord`` is the number in the source's name. ``extra_cols`` (a DataFrame
+    keyed by ``doc_id``) adds its other columns; documents without a row there stay.
     """
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     extra = []
-    if only is not None:
-        docs = docs.join(only, "doc_id")
-        extra = [c for c in only.columns if c != "doc_id"]
+    if extra_cols is not None:
+        docs = docs.join(extra_cols, "doc_id", "left")
+        extra = [c for c in extra_cols.columns if c != "doc_id"]
     df = _project(docs, extra, with_text)
     if with_url:
         pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("article_id"), "url")
@@ -70,17 +70,13 @@ def articles(spark: SparkSession, sf_dir: str, with_published: bool = True, with
 
 
 def article_vectors(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """Articles with their embedding (``vec`` as array<double>) and ``label``.
-
-    The embedding join runs before the text projection (only documents with a
-    vector are trimmed and split).
-    """
+    """All articles with their embedding (``vec`` as array<double>, null without one) and ``label``."""
     kw.setdefault("with_published", False)
     kw.setdefault("with_url", False)
     kw.setdefault("with_labels", False)
     emb = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
-    return articles(spark, sf_dir, only=emb, **kw)
+    return articles(spark, sf_dir, extra_cols=emb, **kw)
 
 
 def labelled_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +130,11 @@ def store_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from gazette.operators.classify import classify_keyword
     from gazette.operators.store import article_hash
-    arts = articles(spark, sf_dir)
-    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("article_id"), "quality")
-    stored = arts.join(lab, "article_id")
+    # one join with the labels gives the filter, the flag and the label list
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    arts = articles(spark, sf_dir, with_labels=False, extra_cols=lab)
+    stored = arts.filter(F.col("quality").isNotNull()).withColumn("labels", F.array_compact(F.array(
+        F.when(F.col("quality") == 1, F.lit("quality")), F.when(F.col("toxic") == 1, F.lit("toxic")))))
     stored = classify_keyword(stored, dims.FIXTURE_CATEGORY_KEYWORDS, text_col=None)
     stored = article_hash(stored)
     return stored.select(

@@ -12,14 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gazette.operators.store import new_articles
-
-
-def _read_store(spark: SparkSession, store_path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(store_path)
-    except Exception:  # the store does not exist yet
-        return spark.createDataFrame([], "title_hash string")
+from gazette.operators.store import new_articles, read_store
 
 
 def ingest_stream(spark: SparkSession, landing_dir: str, schema: StructType, store_path: str,
@@ -32,7 +25,7 @@ def ingest_stream(spark: SparkSession, landing_dir: str, schema: StructType, sto
     stream = spark.readStream.schema(schema).format(fmt).load(landing_dir)
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
-        store = _read_store(batch.sparkSession, store_path)
+        store = read_store(batch.sparkSession, store_path)
         fresh = new_articles(batch, store, F.current_timestamp())
         fresh.write.mode("append").parquet(store_path)
 

@@ -98,10 +98,20 @@ def test_python_whitespace_semantics(spark):
     assert got == {i: (t.strip(), len(t.split())) for i, t in enumerate(texts)}
 
 
-def test_spread_only_narrow_inputs(spark):
+def test_spread_is_the_callers_choice(spark):
     from gazette.session import spread
-    narrow = spark.range(100).coalesce(1)
-    assert spread(narrow, 4).rdd.getNumPartitions() == 4
-    wide = spark.range(100).repartition(8)
-    assert spread(wide, 4) is wide
-    assert sorted(r.id for r in spread(narrow, 4).collect()) == list(range(100))
+    df = spark.range(100).coalesce(1)
+    assert spread(df) is df
+    spark.conf.set("gazette.input.partitions", "4")
+    try:
+        out = spread(df)
+        assert out.rdd.getNumPartitions() == 4 and sorted(r.id for r in out.collect()) == list(range(100))
+    finally:
+        spark.conf.unset("gazette.input.partitions")
+
+
+def test_feed_order_beats_source_name(spark):
+    data = [("bbc_world", 1, "Same", "", "en"), ("cnn", 1, "Same", "", "en"), ("zzz", 1, "Other", "", "en"), ("npr", 2, "N", "", "en")]
+    df = P.with_source_order(spark.createDataFrame(data, SCHEMA))
+    out = P.collect_pipeline(df, max_total=2)
+    assert rows(out, "source", "title") == [("cnn", "Same"), ("npr", "N")]

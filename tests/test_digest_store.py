@@ -98,6 +98,32 @@ def test_store_operations(spark):
     up = spark.createDataFrame([("2", False, 0.1), ("99", True, 0.9)], "id string, is_relevant boolean, relevance_confidence double")
     out = {r.id: (r.is_relevant, r.relevance_confidence) for r in K.update_relevance(st, up, "2024-01-01").collect()}
     assert out == {"1": (True, None), "2": (False, 0.1)}
+    twice = spark.createDataFrame([("2", False, 0.1, 1), ("2", True, 0.4, 2)],
+                                  "id string, is_relevant boolean, relevance_confidence double, at int")
+    out = [(r.id, r.is_relevant) for r in K.update_relevance(st, twice, "2024-01-01", order_col="at").orderBy("id").collect()]
+    assert out == [("1", True), ("2", True)]
+
+
+def test_store_files(spark, tmp_path):
+    """Inserts, records, history and a new version at paths; an unreadable store is an error, not an empty one."""
+    import pytest
+    path = str(tmp_path / "store")
+    batch = spark.createDataFrame([(1, "A", "x"), (2, "A", "x"), (3, "B", None)], "pos long, title string, description string")
+    K.save_articles(batch, path, "2024-01-01 00:00:00")
+    K.save_articles(batch, path, "2024-01-02 00:00:00")
+    assert spark.read.parquet(path).count() == 2
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        K.save_articles(batch, str(bad), "2024-01-01 00:00:00")
+    K.append_history(batch.withColumnRenamed("pos", "article_id"), {"m": "x"}, "2024-01-01", str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 3
+    st = spark.createDataFrame([("1", True)], "id string, is_relevant boolean")
+    st.write.parquet(str(tmp_path / "v1"))
+    up = spark.createDataFrame([("1", False, 0.2)], "id string, is_relevant boolean, relevance_confidence double")
+    K.write_relevance_version(str(tmp_path / "v1"), up, "2024-01-01", str(tmp_path / "v2"))
+    assert [r.is_relevant for r in spark.read.parquet(str(tmp_path / "v2")).collect()] == [False]
 
 
 def test_get_articles_and_digests(spark):

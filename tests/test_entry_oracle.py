@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from gazette.plans.oracle import build
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages labels conversations".split()
@@ -41,8 +42,7 @@ def test_entry_runs(spark):
     assert df.count() >= 1 and "summary" in df.columns
 
 
-@pytest.mark.parametrize("name", ["collect_pipeline", "relevance", "classify_keyword", "classify_nearest",
-                                  "dbscan", "clusters", "digest_basic", "vote_weighted", "tfidf", "store_insert_new"])
+@pytest.mark.parametrize("name", sorted(build()))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -102,6 +102,30 @@ def test_feed_reader_items_and_channels(spark):
     assert got == [("First", "", "http://x/1"), ("Second", "Text & more", "http://x/2"), ("Third", "", "")]
 
 
+def test_feed_items_with_cdata_in_a_plain_folder(spark):
+    from gazette.sources import feeds
+    d = tempfile.mkdtemp(prefix="gz-feed-")
+    with open(os.path.join(d, "a.xml"), "w") as f:
+        f.write("<rss><channel><item><title><![CDATA[One </item> two]]></title><link>u1</link></item>"
+                "<item><title>Next</title><description>a &lt;b&gt; c</description></item><item/></channel></rss>")
+    got = [(r.source, r.title, r.description, r.url) for r in feeds.read_feeds(spark, d, source="npr").orderBy("pos").collect()]
+    assert got[:2] == [("npr", "One </item> two", "", "u1"), ("npr", "Next", "a <b> c", "")]
+
+
+def test_csv_is_read_by_pandas(spark):
+    import glob
+
+    import pandas as pd
+
+    from gazette.sinks import files
+    d = tempfile.mkdtemp(prefix="gz-csv-")
+    text = 'say "hi", back\\slash\nnew line'
+    df = spark.createDataFrame([(1, text, "x")], "article_id long, title string, category string")
+    files.write_classified_csv(df.coalesce(1), f"{d}/csv")
+    back = pd.read_csv(glob.glob(f"{d}/csv/part-*.csv")[0])
+    assert back.title.tolist() == [text] and back.category.tolist() == ["x"]
+
+
 def test_sinks_round_trip(spark):
     from gazette.sinks import files
     d = tempfile.mkdtemp(prefix="gz-sink-")
@@ -109,7 +133,7 @@ def test_sinks_round_trip(spark):
                                "article_id long, title string, description string, category string, "
                                "keywords array<string>, is_relevant boolean")
     files.write_classified_csv(df, f"{d}/csv")
-    back = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(f"{d}/csv").collect()[0]
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{d}/csv").collect()[0]
     assert back.title == "T, with comma" and back.description == "line\nbreak" and back.keywords == '["k1","k2"]'
     files.write_classified_json(df, f"{d}/json", {"method": "m"})
     meta = spark.read.json(f"{d}/json/metadata").collect()[0]
