@@ -47,7 +47,7 @@ from gazette.llm import vocab as V
 from gazette.llm.trie import by_length, compiled
 from gazette.session import scratch_path
 
-HEAD_WORDS = 65_536          # words kept in every task's table; each at most HEAD_BYTES long
+HEAD_WORDS = 131_072         # words kept in every task's table; each at most HEAD_BYTES long
 HEAD_BYTES = 48
 EM_STEPS = 2
 MAX_PARTS = 8                # languages with a unigram model of their own
@@ -125,13 +125,26 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([0] * len(n) if held else n, pa.int64()), pa.array(n, pa.int64())], ["word", "part", "c", "n"])
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of at least ``rows`` rows: more words of one length for each matrix step."""
+    group: list[pa.RecordBatch] = []
+    for b in batches:
+        group.append(b)
+        if sum(x.num_rows for x in group) >= rows:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
 def _expected_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, total, words = None, 0.0, 0
-        for b in batches:
+        for group in together(batches):
             lattice = lattice or Lattice(*shared.value)
-            total = total + lattice.expected(b.column("word").to_pylist())
-            words += b.num_rows
+            some = [w for b in group for w in b.column("word").to_pylist()]
+            total = total + lattice.expected(some)
+            words += len(some)
         if words:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)),
@@ -142,16 +155,19 @@ def _expected_pass(shared):
 def _marginal_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = None
-        for b in batches:
+        for group in together(batches):
             lattice = lattice or Lattice(*shared.value)
-            lat = lattice.marginals(b.column("word").to_pylist()) / LN10
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lat)], [*b.schema.names, "lat"])
+            lat = lattice.marginals([w for b in group for w in b.column("word").to_pylist()]) / LN10
+            at = 0
+            for b in group:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lat[at:at + b.num_rows])], [*b.schema.names, "lat"])
+                at += b.num_rows
     return run
 
 
-def _score_pass(shared, parts: int):
+def _score_pass(shared, parts: int, id_kind: pa.DataType):
     """One row per document with the sums over its common words and its first other word, then one per other word."""
-    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), *[pa.float64()] * (parts + 1), pa.binary(), pa.int64()]
+    kinds = [pa.int64(), id_kind, pa.bool_(), pa.int64(), pa.int64(), *[pa.float64()] * (parts + 1), pa.binary(), pa.int64()]
     names = ["rid", "id", "held_out", "n_tokens", "known", "base", *[f"s{k}" for k in range(parts)], "word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +245,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sc = spark.sparkContext
     kind = dict(docs.dtypes)[id_col]
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % held_modulus == held_remainder
-    src = docs.select(F.col(id_col).cast("string").alias("id"), held.alias("held"), F.col(lang_col).cast("string").alias("lang"),
+    # whole numbers stay numbers: their maximum is kept in a hash aggregate
+    id_kind = "long" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+    src = docs.select(F.col(id_col).cast(id_kind).alias("id"), held.alias("held"), F.col(lang_col).cast("string").alias("lang"),
                       F.col(text_col).cast("binary").alias("text"))
     langs = src.filter(~F.col("held")).groupBy("lang").agg(F.count("*").alias("n"))
     ends = langs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -273,14 +291,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = spark.read.parquet(scored).select(
         "word", "n", (F.col("c") > 0).cast("double").alias("_known"), F.log10((F.col("c") + 1) / F.lit(denominator)).alias("_base"),
         *[x.alias(f"_s{k}") for k, x in enumerate(logs)])
-    common = table.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head_words).collect()
+    common = table.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head_words).drop("n").toArrow()
     # at most head_words rows of at most HEAD_BYTES bytes and MAX_PARTS + 3 numbers
-    head = sc.broadcast(({bytes(r["word"]): i for i, r in enumerate(common)},
-                         np.array([r[2:] for r in common], np.float64).reshape(len(common), parts + 2)))
+    numbers = [common.column(c).to_numpy() for c in common.schema.names if c != "word"]
+    head = sc.broadcast(({w: i for i, w in enumerate(common.column("word").to_pylist())},
+                         np.stack(numbers, axis=1) if common.num_rows else np.zeros((0, parts + 2))))
 
     names = [f"s{k}" for k in range(parts)]
     rows = src.select(F.monotonically_increasing_id().alias("rid"), "id", "held", "text").mapInArrow(
-        _score_pass(head, parts), "rid long, id string, held_out boolean, n_tokens long, known long, base double, "
+        _score_pass(head, parts, pa.int64() if id_kind == "long" else pa.string()), f"rid long, id {id_kind}, held_out boolean, n_tokens long, known long, base double, "
         + ", ".join(f"{x} double" for x in names) + ", word binary, n long")
     got = rows.join(table.drop("n"), "word", "left")
     added = lambda own, other: F.sum(F.coalesce(F.col(own), F.lit(0)) + F.coalesce(F.col("n") * F.col(other), F.lit(0)))
