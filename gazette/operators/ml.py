@@ -24,6 +24,7 @@ from gazette import dims
 from gazette.functions.text import sql_str
 from gazette.session import ensure_checkpoint_dir
 
+DENSE_ROWS = 500
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -91,6 +92,41 @@ def transform_tfidf(model: TfidfModel, docs: DataFrame, id_col: str = "article_i
     return weights_from_counts(model, toks.groupBy(id_col, "term").agg(F.count("*").alias("tf")), id_col)
 
 
+def tfidf_vectors(model: TfidfModel, docs: DataFrame, id_col: str = "article_id", text_col: str = "text") -> DataFrame:
+    """``(id, vec array<double>)``: TF-IDF weights as dense vectors over the vocabulary in term order.
+
+    A vector for every document, for the operators that take one (nearest
+    prototype, clustering); a document without a vocabulary term has the zero
+    vector. A vector has at most ``max_features`` places; documents are dealt in
+    batches of ``DENSE_ROWS``.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    # at most max_features rows
+    terms = model.vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i"))
+    size = model.vocab.count()
+    weights = transform_tfidf(model, docs, id_col, text_col).join(F.broadcast(terms), "term")
+    sparse = docs.select(id_col).join(weights.groupBy(id_col).agg(
+        F.collect_list(F.struct("i", "weight")).alias("_e")), id_col, "left")
+    kind = dict(docs.dtypes)[id_col]
+
+    def dense(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, DENSE_ROWS):
+                b = whole.slice(a, DENSE_ROWS)
+                out = np.zeros((b.num_rows, size))
+                for row, entries in enumerate(b.column("_e").to_pylist()):
+                    for e in entries or ():
+                        out[row, e["i"]] = e["weight"]
+                offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * size)
+                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))],
+                                                 [id_col, "vec"])
+
+    return sparse.select(id_col, "_e").mapInArrow(dense, f"{id_col} {kind}, vec array<double>")
+
+
 def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", text_col: str = "text",
                 label_col: str = "label", alpha: float = 1.0, max_features: int = 3000,
                 method: str = "tfidf_naive_bayes") -> DataFrame:

@@ -462,6 +462,15 @@ GROUP BY ROLLUP (main_category, sub_category)""")
     max(j) OVER (PARTITION BY article_id) AS mx FROM jll)"""],
         f"""SELECT b.article_id, b.label AS category, {r6('1.0 / z.den')} AS confidence FROM nbr b
 JOIN (SELECT article_id, sum(exp(j - mx)) AS den FROM nbr GROUP BY article_id) z USING (article_id) WHERE b.rn = 1""")
+    o["classify_tfidf_nearest"] = with_(BT + tfidf_ctes() + [
+        """tp AS (SELECT tr.label, t.term, sum(t.weight) / any_value(c.n) AS p FROM trtfidf t JOIN training tr USING (article_id)
+  JOIN (SELECT label, count(*) AS n FROM training GROUP BY label) c ON c.label = tr.label GROUP BY tr.label, t.term)""",
+        "tn AS (SELECT label, sqrt(sum(p * p)) AS norm FROM tp GROUP BY label)",
+        """td AS (SELECT d.article_id, p.label, sum(d.weight * p.p) AS dot FROM tfidf d JOIN tp p USING (term) GROUP BY ALL)""",
+        """ts AS (SELECT a.article_id, n.label, coalesce(d.dot / n.norm, 0.0) AS score FROM texts a CROSS JOIN tn n
+  LEFT JOIN td d ON d.article_id = a.article_id AND d.label = n.label)"""], f"""SELECT article_id, label AS category,
+  {r6('score')} AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, label) AS rn FROM ts) WHERE rn = 1""")
     # ---------------------------------------------------------------- clustering
     members2 = BASE_VEC + dbscan_ctes("nearest", Q.EPS, Q.MIN_SAMPLES)
     members4 = BASE_VEC + dbscan_ctes("nearest", Q.EPS, 4)

@@ -232,6 +232,17 @@ def q_classify_nb(spark, sf):
     return out.select("article_id", "category", r6("confidence").alias("confidence"))
 
 
+def q_classify_tfidf_nearest(spark, sf):
+    """Articles without given vectors: TF-IDF vectors (V1) to the nearest mean vector of the labelled articles."""
+    from gazette.operators import ml
+    train = fx.training(spark, sf)
+    model = ml.fit_tfidf(train)
+    labelled = ml.tfidf_vectors(model, train).join(train.select("article_id", "label"), "article_id")
+    protos = C.build_prototypes(labelled, "label", "vec")
+    out = C.classify_nearest(ml.tfidf_vectors(model, _texts(spark, sf)), protos)
+    return out.select("article_id", "category", r6("confidence").alias("confidence"))
+
+
 def _ml_query(name):
     def q(spark, sf):
         from gazette.operators import ml
@@ -579,6 +590,7 @@ QUERIES = {
     "training_rows": q_training_rows,
     "tfidf": q_tfidf,
     "classify_nb": q_classify_nb,
+    "classify_tfidf_nearest": q_classify_tfidf_nearest,
     "classify_svm": _ml_query("classify_svm"),
     "classify_rf": _ml_query("classify_rf"),
     "classify_soft_vote": _ml_query("classify_soft_vote"),
