@@ -19,9 +19,10 @@ At similarity 0.75 two fingerprints differ in 11 bits on average with a
 standard deviation of 3, so a radius of 20 passes about 999 in 1,000 of the
 least similar leaks and all but never loses a closer one.
 
-Scale: one pass over the texts with a lookup join, one more to cut the windows
-of documents with a hit. The item table is broadcast only if it has at most
-``BROADCAST_ROWS`` shingles; beyond that Spark shuffles. Windows are rows, no
+Scale: one pass over the texts with a lookup join, one more that reads the
+texts of documents with a hit and cuts their windows. The item table and the
+ids of documents with a hit are broadcast only up to ``BROADCAST_ROWS`` rows;
+beyond that Spark shuffles. Windows are rows, no
 key gathers the rows of a hot item.
 
 Defined results: null or wordless items match nothing; null and empty texts
@@ -35,6 +36,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.session import broadcast_if_small, ensure_checkpoint_dir
+
 SHINGLE = 5
 SIMILARITY = 0.75
 RADIUS = 20
@@ -86,6 +89,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY,
                radius: int = RADIUS) -> DataFrame:
     """``id, item, start, n_words, hamming, similarity``: the best window of each leaked item in each document."""
+    ensure_checkpoint_dir(docs.sparkSession)
     items = item_table(benchmark, item_col, item_text)
     sizes = [r[0] for r in items.select("k").distinct().collect()] or [SHINGLE]       # at most five numbers
     places = []
@@ -104,8 +108,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         one = text.select("doc", F.posexplode(shingles("words", k)).alias("p", "h"), F.lit(k).alias("k"))
         found = one if found is None else found.unionByName(one)
     laid = (found.join(table, ["k", "h"]).select("doc", "item", "n", "k", (F.col("p") - F.col("q")).alias("s"))
-            .groupBy("doc", "item", "n", "k", "s").agg(F.count("*").alias("hits")))
-    cut = laid.join(text.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).select(
+            .groupBy("doc", "item", "n", "k", "s").agg(F.count("*").alias("hits"))).checkpoint()
+    # the texts of documents with a hit only: their ids are broadcast up to a checked number
+    hit = broadcast_if_small(laid.select(F.col("doc").alias("_hit")).distinct(), BROADCAST_ROWS)
+    again = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).join(
+        hit, F.col("_doc").eqNullSafe(F.col("_hit")), "left_semi").select("_doc", words(F.col("_t")).alias("words"))
+    cut = laid.join(again, F.col("doc").eqNullSafe(F.col("_doc"))).select(
         "doc", "item", "k", F.greatest("s", F.lit(0)).alias("start"),
         F.expr("slice(words, greatest(s, 0) + 1, greatest(least(s + n, size(words)) - greatest(s, 0), 0))").alias("words"))
     windows = cut.withColumn("sh", weighted("words", "k")).withColumn("fp", simhash("sh"))
