@@ -1,11 +1,11 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Pages are read as tokens: tags and words, each told apart by the containers
-around it. Tokens of a host with the same occurrence vector (how often in which
+Pages are read as tokens: tags and text strings (one block's text), each told
+apart by the containers around it. Tokens of a host with the same occurrence vector (how often in which
 page) form an equivalence class. A class is valid if it is large
 (``MIN_CLASS`` tokens) and frequent (``MIN_PAGES`` pages and ``MIN_SHARE`` of the
 host's pages). Valid classes make up the host's template, nested by their
-containers: their tags frame the slots, their words are the fixed text. What
+containers: their tags frame the slots, their strings are the fixed text. What
 is left in the slots is the page's own text. A slot is dropped if its container
 says so (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments, scripts), or if over the host it holds mostly links. If most pages of
@@ -15,7 +15,7 @@ text, the text is what these hold.
 Scale: the vector of a token is never built. Its signature, the XOR of
 hash(page, count) over the pages, is summed map-side per batch and then by
 (host, token), so a host with a third of all pages is spread over its tokens and
-tasks. Template rows are bounded by the tags and words of a page; the table is
+tasks. Template rows are bounded by the tags and strings of a page; the table is
 broadcast up to ``BROADCAST_ROWS`` rows and joined by host beyond that. Pages
 stay where they are.
 
@@ -163,20 +163,14 @@ class Page:
                 break
 
 
-def token_key(path: str, word: str) -> int:
-    """Signed 64-bit key of a word or tag in its containers."""
-    return xxhash.xxh64_intdigest(f"{path}\x00{word}") - (1 << 63)
+def token_key(path: str, text: str) -> int:
+    """Signed 64-bit key of a string or tag in its containers."""
+    return xxhash.xxh64_intdigest(f"{path}\x00{text}") - (1 << 63)
 
 
 def _tokens(page: Page) -> Counter:
     """How often each token occurs in the page."""
-    out: Counter = Counter()
-    by_path: dict[str, Counter] = {}
-    for path, _, _, text, _ in page.blocks:
-        by_path.setdefault(path, Counter()).update(text.split())
-    for path, words in by_path.items():
-        for w, n in words.items():
-            out[token_key(path, w)] += n
+    out = Counter([token_key(path, text) for path, _, _, text, _ in page.blocks])
     for t, n in Counter(page.tags).items():
         out[token_key("", t)] += n
     return out
@@ -244,7 +238,7 @@ def main_text(page: Page, tokens: frozenset[int], link_paths: frozenset[int], ar
             continue
         if linked > LINK_SHARE * len(text) and not inside:
             continue
-        if tokens and token_key(path, text.partition(" ")[0]) in tokens and all(token_key(path, w) in tokens for w in text.split()):
+        if tokens and token_key(path, text) in tokens:
             continue                                     # fixed text of the template
         own.append((inside, text))
     framed = sum(len(t) for i, t in own if i)
