@@ -10,20 +10,24 @@ is left in the slots is the page's own text. A slot is dropped if its container
 says so (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments, scripts), or if over the host it holds mostly links. If most pages of
 the host frame an ``article`` or ``main``, or it holds half of a page's own
-text, the text is what these hold.
-
-Scale: the vector of a token is never built. Its signature, the XOR of
-hash(page, count) over the pages, is summed map-side per batch and then by
-(host, token), so a host with a third of all pages is spread over its tokens and
-tasks. Template rows are bounded by the tags and strings of a page; the table is
+text, the text is all that these hold: template and link rules are for what
+stands outside. Pages of a host with equal bodies (all strings that are neither
+excluded nor links outside an article) count as one page, so copies of a page are
+no evidence of a template.
+
+Scale: the vector of a token is never built. Each page becomes one packed row of
+token keys; of equal bodies one row stays (partial aggregate by host and body).
+The signature, the XOR of hash(body, count) over the bodies, is summed map-side
+per batch and then by (host, token), so a host with a third of all pages is
+spread over its bodies, tokens and tasks. Template rows are bounded by the tags and strings of a page; the table is
 broadcast up to ``BROADCAST_ROWS`` rows and joined by host beyond that. Pages
 stay where they are.
 
 Defined results: null html gives the empty text; a null or odd url belongs to
 the empty host; hosts of fewer than ``MIN_PAGES`` pages have no template and
 are read by their containers alone; unclosed and stray tags, cut pages and very
-long ones are read as far as they go; repeated rows each get their row (their
-equal vectors cancel, which can only make a template smaller).
+long ones are read as far as they go; repeated rows each get their row and count
+as one page of the host.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -178,29 +183,55 @@ def _tokens(page: Page) -> Counter:
 
 _VECTORS = "host string, token long, sig long, pages long, total long, chars long, linked long, article long"
 _NAMES = ["host", "token", "sig", "pages", "total", "chars", "linked", "article"]
+_PACKED = np.dtype([("token", "<i8"), ("n", "<i4"), ("chars", "<i4"), ("linked", "<i4")])
+
+
+def body_key(page: Page) -> int:
+    """Key of the page's body: its strings that are not excluded, without links outside the article."""
+    return token_key("body", "\n".join([text for _, out, inside, text, linked in page.blocks
+                                        if not out and (inside or linked <= LINK_SHARE * len(text))]))
+
+
+def _page_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host, body, packed, article`` of each page; ``packed`` holds its tokens (n > 0) and the links of its paths (n = 0)."""
+    for b in batches:
+        hosts, htmls = b.column("host"), b.column("html").to_pylist()
+        for a in range(0, len(htmls), 2_000):
+            out: list[tuple] = []
+            for html in htmls[a:a + 2_000]:
+                page = Page(html or "")
+                paths: dict[str, list[int]] = {}
+                framed = 0
+                for path, excluded, article, text, linked in page.blocks:
+                    framed |= article
+                    if not excluded:
+                        row = paths.setdefault(path, [0, 0])
+                        row[0] += len(text)
+                        row[1] += linked
+                rows = [(t, n, 0, 0) for t, n in _tokens(page).items()]
+                rows += [(token_key("path", p), 0, c, k) for p, (c, k) in paths.items()]
+                out.append((body_key(page), np.array(sorted(rows), _PACKED).tobytes(), int(framed)))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([hosts.slice(a, len(out)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
+                                              pa.array(cols[2], pa.int64())], ["host", "body", "packed", "article"])
 
 
 def _vector_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: partial occurrence vectors, link shares of paths and numbers of pages (token 0) of each host."""
+    """Per batch: partial occurrence vectors, link shares of paths and numbers of bodies (token 0) of each host."""
     for b in batches:
         hosts: dict[str, dict[int, list[int]]] = {}
-        for host, page_id, html in zip(*(b.column(c).to_pylist() for c in ("host", "pid", "html")), strict=True):
+        for host, body, packed, framed in zip(*(b.column(c).to_pylist() for c in ("host", "body", "packed", "article")), strict=True):
             own = hosts.setdefault(host, {})
-            page = Page(html or "")
-            framed = 0
-            for path, out, article, text, linked in page.blocks:
-                framed |= article
-                if not out:
-                    row = own.setdefault(token_key("path", path), [0, 0, 0, 0, 0, 0])
-                    row[3] += len(text)
-                    row[4] += linked
-            for token, n in _tokens(page).items():
+            for token, n, chars, linked in np.frombuffer(packed, _PACKED).tolist():
                 row = own.get(token)
                 if row is None:
                     row = own[token] = [0, 0, 0, 0, 0, 0]
-                row[0] ^= xxhash.xxh64_intdigest(f"{page_id}/{n}") - (1 << 63)
-                row[1] += 1
-                row[2] += n
+                if n:
+                    row[0] ^= xxhash.xxh64_intdigest(f"{body}/{n}") - (1 << 63)
+                    row[1] += 1
+                    row[2] += n
+                row[3] += chars
+                row[4] += linked
             row = own.setdefault(0, [0, 0, 0, 0, 0, 0])
             row[1] += 1
             row[5] += framed
@@ -211,8 +242,11 @@ def _vector_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, min_class: int = MIN_CLASS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, tokens, link_paths, article`` of every host with enough pages; ``pages`` has host, pid, html."""
-    v = (pages.select("host", "pid", "html").mapInArrow(_vector_pass, _VECTORS).groupBy("host", "token")
+    """``host, tokens, link_paths, article`` of every host with enough pages; ``pages`` has host, html."""
+    bodies = (pages.select("host", "html").mapInArrow(_page_pass, "host string, body long, packed binary, article long")
+              .groupBy("host", "body").agg(F.min(F.struct("packed", "article")).alias("p"))
+              .select("host", "body", "p.packed", "p.article"))
+    v = (bodies.mapInArrow(_vector_pass, _VECTORS).groupBy("host", "token")
          .agg(F.bit_xor("sig").alias("sig"), *[F.sum(c).alias(c) for c in _NAMES[3:]]).checkpoint())
     hosts = v.filter(F.col("token") == 0).filter(F.col("pages") >= min_pages).select(
         "host", F.col("pages").alias("n"), F.col("article").alias("n_article"))
@@ -230,10 +264,12 @@ def templates(pages: DataFrame, min_class: int = MIN_CLASS, min_pages: int = MIN
 
 def main_text(page: Page, tokens: frozenset[int], link_paths: frozenset[int], article: bool | None) -> tuple[str, int]:
     """``(text, slots used)`` of a page under its host's template."""
-    own = []
+    own, whole = [], []
     for path, out, inside, text, linked in page.blocks:
         if out:
             continue
+        if inside:
+            whole.append((inside, text))
         if link_paths and token_key("path", path) in link_paths:
             continue
         if linked > LINK_SHARE * len(text) and not inside:
@@ -241,9 +277,11 @@ def main_text(page: Page, tokens: frozenset[int], link_paths: frozenset[int], ar
         if tokens and token_key(path, text) in tokens:
             continue                                     # fixed text of the template
         own.append((inside, text))
-    framed = sum(len(t) for i, t in own if i)
-    if framed and (article is not False or 2 * framed >= sum(len(t) for _, t in own)):
-        own = [x for x in own if x[0]]
+    framed = sum(len(t) for _, t in whole)
+    rest = sum(len(t) for i, t in own if not i)
+    # an article of fixed strings only (teasers) is the text if it is no shorter than the rest
+    if framed and (framed >= rest or article is not False and any(i for i, _ in own)):
+        own = whole
     return "\n".join(t for _, t in own), len(own)
 
 
@@ -277,14 +315,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keep = [id_col, url_col] if keep is None else keep
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     src = pages.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], host.alias("_host"),
-                       F.col(id_col).cast("string").alias("_pid"), F.col(html_col).alias("_html"))
-    found = templates(src.select(F.col("_host").alias("host"), F.coalesce("_pid", F.lit("")).alias("pid"),
-                                 F.col("_html").alias("html"))).checkpoint()
+                       F.col(html_col).alias("_html"))
+    found = templates(src.select(F.col("_host").alias("host"), F.col("_html").alias("html"))).checkpoint()
     rows = found.agg(F.coalesce(F.sum(F.size(F.coalesce("tokens", F.array())) + F.size(F.coalesce("link_paths", F.array())) + 1),
                                 F.lit(0))).first()[0]
     table = found.select(F.col("host").alias("_host"), F.col("tokens").alias("_tokens"), F.col("link_paths").alias("_links"),
                          F.col("article").alias("_article"))
-    both = src.drop("_pid").join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, "_host", "left")
+    both = src.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, "_host", "left")
     both = both.select(*[f"_k{i}" for i in range(len(keep))], "_host", "_html", "_tokens", "_links", "_article")
     ddl = ("".join(f"_k{i} {f.dataType.simpleString()}, " for i, f in enumerate(src.schema.fields[:len(keep)]))
            + "text string, n_chars long, n_slots long")

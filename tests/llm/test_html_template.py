@@ -58,3 +58,31 @@ def test_join_by_host_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, H.extract(df).collect()))
     monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, H.extract(df).collect())) == want
+
+
+def texts(spark, htmls):
+    rows = [(i, f"http://h.example/{i}", x) for i, x in enumerate(htmls)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_copies_are_no_template(spark):
+    nav = "<div>Fixed words of the site</div><div>and more</div><div>and last</div>"
+    for tag in ("article", "div"):
+        one = [f"<body>{nav}<{tag}><h1>Copy</h1><p>first line</p><p>second</p><p>third</p></{tag}><a>link {i}</a></body>" for i in range(12)]
+        other = [f"<body>{nav}<{tag}><h1>T{i}</h1><p>own {i} text of it</p></{tag}></body>" for i in range(8)]
+        got = texts(spark, one + other)
+        assert got[:12] == ["Copy\nfirst line\nsecond\nthird"] * 12
+        assert got[12:] == [f"T{i}\nown {i} text of it" for i in range(8)]
+
+
+def test_fixed_strings_and_links_in_the_article_stay(spark):
+    htmls = [f"<body><div>Site words</div><article><h2>Summary</h2><p>By our staff</p><p>own text {i}</p><h2>Sources</h2>"
+             f"<ul><li><a href=x>paper number {i}</a></ul></article></body>" for i in range(8)]
+    assert texts(spark, htmls) == [f"Summary\nBy our staff\nown text {i}\nSources\npaper number {i}" for i in range(8)]
+
+
+def test_fixed_teasers_are_no_article(spark):
+    teaser = "<article>one</article><article>two</article><article>three</article>"
+    assert texts(spark, [f"<body><div>the text of page {i}, long enough</div>{teaser}</body>" for i in range(8)]) == [
+        f"the text of page {i}, long enough" for i in range(8)]
