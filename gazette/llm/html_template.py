@@ -64,6 +64,9 @@ NOISE = re.compile(
     r"copyright|disclaimer|search|complementary|contentinfo)(?:$|[^a-z])")
 HEADER = re.compile(r"(?:^|[^a-z])(?:header|masthead|topbar|toolbar)(?:$|[^a-z])")
 
+WORD = re.compile(r"[a-z]+")
+WRAPPERS = CONTAINERS | {"td", "tr", "tbody"}
+
 TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)"
     r"|(?P<skip>" + "|".join(SKIPPED) + r")\b.*?(?:</(?P=skip)\s*>|\Z)"
@@ -74,16 +77,28 @@ NAME = re.compile(r"""\b(class|id|role|itemprop|style)\s*=\s*(?:"([^"]*)"|'([^']
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 
+def is_noise(names: str) -> bool:
+    """If one of the names consists of noise words only (``sidebar``, ``cookie-notice``; not ``has-sidebar``)."""
+    return any(parts and all(NOISE.search(x) or HEADER.search(x) for x in parts) for parts in map(WORD.findall, names.split()))
+
+
 class Page:
-    """One pass over a page: ``blocks`` (path, excluded, in article, text, link characters) and ``tags`` (path and tag)."""
+    """One pass over a page: ``blocks`` (path, excluded, in article, text, link characters) and ``tags`` (path and tag).
+
+    A wrapper with a noise word in its names is judged when the page is read,
+    see ``_judge``; ``html``, ``body`` and ``main`` are never excluded by names.
+    """
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, bool, bool, str, int]] = []
         self.tags: list[str] = []
-        self.stack: list[tuple[str, str, bool, bool]] = []        # tag, path, excluded, in article
-        self.path, self.out, self.article = "", False, False
+        self.stack: list[tuple[str, str, bool, bool, int]] = []   # tag, path, excluded, in article, named wrapper
+        self.path, self.out, self.article, self.named = "", False, False, -1
+        self.wrappers: list[list] = []                   # outer one, name is noise, holds main, holds articles
+        self.within: list[int] = []                      # named wrapper of each block
         self.held: list[str] = []
         self.place = ("", False, False)                  # where the held text began
+        self.begun = -1
         self.link = self.linked = 0
         at = 0
         for m in TOKEN.finditer(html):
@@ -100,12 +115,14 @@ class Page:
         if at < len(html):
             self._text(html[at:])
         self._flush()
+        if self.wrappers:
+            self._judge()
 
     def _text(self, text: str) -> None:
         if self.out and self.stack[-1][0] in INLINE:     # an advert or the like inside a line
             return
         if not self.held:
-            self.place = (self.path, self.out, self.article)
+            self.place, self.begun = (self.path, self.out, self.article), self.named
         self.held.append(text)
         if self.link:
             self.linked += len(text)
@@ -115,11 +132,53 @@ class Page:
             text = " ".join(unescape("".join(self.held)).split())
             if text:
                 self.blocks.append((*self.place, text, min(self.linked, len(text))))
+                self.within.append(self.begun)
             self.held.clear()
         self.linked = 0
 
     def _set(self) -> None:
-        _, self.path, self.out, self.article = self.stack[-1] if self.stack else ("", "", False, False)
+        _, self.path, self.out, self.article, self.named = self.stack[-1] if self.stack else ("", "", False, False, -1)
+
+    def _judge(self) -> None:
+        """Exclude the named wrappers, but not those around the page's content.
+
+        Text counts without links. A wrapper of ``main`` stays. One of articles
+        stays if they are no shorter than the article text around it, one without if
+        it holds more text than there is around it. One whose name is noise has to hold
+        all article text and more text than all that stays. (An article whose
+        name is not noise needs no judgement.)
+        """
+        n = len(self.wrappers)
+        held = [[0, 0] for _ in range(n + 1)]            # text, article text; the last one is the text in no wrapper
+        for (_, out, inside, text, linked), w in zip(self.blocks, self.within, strict=True):
+            if not out:
+                held[w][0] += len(text) - linked
+                held[w][1] += (len(text) - linked) * inside
+        around: list[list[int]] = []
+        direct = [list(x) for x in held]
+        for outer, *_ in self.wrappers:
+            more = around[outer] if outer >= 0 else [0, 0]
+            around.append([more[0] + direct[outer][0], more[1] + direct[outer][1]])
+        stays = [False] * n
+
+        def stay(i: int) -> None:
+            stays[i] = True
+            held[self.wrappers[i][0]][0] += held[i][0]
+            held[self.wrappers[i][0]][1] += held[i][1]
+
+        for i in range(n - 1, -1, -1):
+            _, noise, main, articles = self.wrappers[i]
+            if main or not noise and (held[i][1] >= around[i][1] if articles else held[i][0] > around[i][0]):
+                stay(i)
+        text, framed = held[-1]                          # what stays
+        for i in range(n - 1, -1, -1):
+            if not stays[i] and self.wrappers[i][1] and self.wrappers[i][3] and not framed and held[i][0] > text:
+                stay(i)
+        gone: list[bool] = []
+        for i, (outer, *_) in enumerate(self.wrappers):
+            gone.append(not stays[i] or outer >= 0 and gone[outer])
+        self.blocks = [(path, out or w >= 0 and gone[w], inside, text, linked)
+                       for (path, out, inside, text, linked), w in zip(self.blocks, self.within, strict=True)]
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag == "a":
@@ -147,10 +206,25 @@ class Page:
         if tag in VOID or attrs.endswith("/"):
             return
         inside = self.article or tag in ("article", "main") or "articlebody" in names or " main " in f" {names} "
-        headed = (tag == "header" or bool(names and HEADER.search(names))) and not inside
-        excluded = self.out or tag in BOILERPLATE or noisy or headed
-        if tag in CONTAINERS or excluded != self.out or inside != self.article:
-            self.stack.append((tag, f"{self.path}>{label}", excluded, inside))
+        titled = bool(names and HEADER.search(names))
+        excluded = self.out or tag in BOILERPLATE or hidden or tag == "header" and not inside
+        named = self.named
+        if not excluded:
+            starts = tag == "article" or inside and not self.article
+            noise = (noisy or titled and not inside) and tag not in ("html", "body", "main")
+            if noise and (tag in WRAPPERS or starts):
+                own = is_noise(names)
+                if own or not starts:
+                    self.wrappers.append([named, own, False, starts])
+                    named = len(self.wrappers) - 1
+                noise = False
+            excluded = noise
+            outer = named if starts or tag == "main" else -1
+            while outer >= 0:                            # the wrappers around an article or main
+                self.wrappers[outer][2 if tag == "main" else 3] = True
+                outer = -1 if self.wrappers[outer][1] and tag != "main" else self.wrappers[outer][0]
+        if tag in CONTAINERS or excluded != self.out or inside != self.article or named != self.named:
+            self.stack.append((tag, f"{self.path}>{label}", excluded, inside, named))
             self._set()
 
     def _close(self, tag: str) -> None:

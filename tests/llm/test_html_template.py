@@ -86,3 +86,24 @@ def test_fixed_teasers_are_no_article(spark):
     teaser = "<article>one</article><article>two</article><article>three</article>"
     assert texts(spark, [f"<body><div>the text of page {i}, long enough</div>{teaser}</body>" for i in range(8)]) == [
         f"the text of page {i}, long enough" for i in range(8)]
+
+
+def test_names_of_wrappers_do_not_exclude_the_page():
+    read = lambda html: [t for _, out, _, t, _ in H.Page(html).blocks if not out]
+    noise = "<div class='sidebar'>side words</div><div class='comments'><article class='comment'>a reader's long remark</article></div>"
+    for names in ("single has-sidebar", "no-sidebar", "layout sidebar-right", "post type-post comments-open", "page search-results",
+                  "site sticky-header"):
+        for a, b in (("<body X>", "</body>"), ("<main X>", "</main>"), ("<article X>", "</article>"), ("<div X><article>", "</article></div>"),
+                     ("<div X><div X><main>", "</main></div></div>"), ("<div X>", "</div>"), ("<div class='articleBody X'>", "</div>")):
+            a = a.replace("'articleBody X'", f"'articleBody {names}'").replace("X", f"class='{names}'")
+            assert read(f"<html class='{names}'>{a}<h1>Title</h1><p>the text of the page</p>{b}{noise}</html>") == [
+                "Title", "the text of the page"], (a, names)
+    assert read(f"<div class='has-sidebar'><div>the text of the page</div>{noise}</div>") == ["the text of the page"]
+    assert read("<article>the long text<section class='related-posts'><article>card</article></section></article>") == ["the long text"]
+    assert read("<article class='comment'>a</article><article class='post comments-open'>b</article>") == ["b"]
+    assert read("<div class='comments'>only readers</div><div class='share'><p>x</p></div>") == []
+
+
+def test_pages_in_named_wrappers(spark):
+    htmls = [f"<body class='single has-sidebar'><article class='post comments-open'><p>text {i}</p></article></body>" for i in range(6)]
+    assert texts(spark, htmls) == [f"text {i}" for i in range(6)]
