@@ -3,7 +3,7 @@
 Pages are read as tokens: tags and text strings (one block's text), each told
 apart by the containers around it. Tokens of a host with the same occurrence vector (how often in which
 page) form an equivalence class. A class is valid if it is large
-(``MIN_CLASS`` tokens) and frequent (``MIN_PAGES`` pages and ``MIN_SHARE`` of the
+(``MIN_CLASS`` tags and words of strings) and frequent (``MIN_PAGES`` pages and ``MIN_SHARE`` of the
 host's pages). Valid classes make up the host's template, nested by their
 containers: their tags frame the slots, their strings are the fixed text. What
 is left in the slots is the page's own text. A slot is dropped if its container
@@ -247,11 +247,12 @@ def token_key(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\x00{text}") - (1 << 63)
 
 
-def _tokens(page: Page) -> Counter:
-    """How often each token occurs in the page."""
-    out = Counter([token_key(path, text) for path, _, _, text, _ in page.blocks])
+def _tokens(page: Page) -> dict[int, tuple[int, int]]:
+    """How often each token occurs in the page, and its number of words (a tag counts as one)."""
+    out = {token_key(path, text): (n, text.count(" ") + 1)
+           for (path, text), n in Counter([(path, text) for path, _, _, text, _ in page.blocks]).items()}
     for t, n in Counter(page.tags).items():
-        out[token_key("", t)] += n
+        out[token_key("", t)] = (n, 1)
     return out
 
 
@@ -267,7 +268,7 @@ def body_key(page: Page) -> int:
 
 
 def _page_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, body, packed, article`` of each page; ``packed`` holds its tokens (n > 0) and the links of its paths (n = 0)."""
+    """``host, body, packed, article`` of each page; ``packed`` holds its tokens (n > 0, chars their words) and the links of its paths (n = 0)."""
     for b in batches:
         hosts, htmls = b.column("host"), b.column("html").to_pylist()
         for a in range(0, len(htmls), 2_000):
@@ -282,7 +283,7 @@ def _page_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         row = paths.setdefault(path, [0, 0])
                         row[0] += len(text)
                         row[1] += linked
-                rows = [(t, n, 0, 0) for t, n in _tokens(page).items()]
+                rows = [(t, n, size, 0) for t, (n, size) in _tokens(page).items()]
                 rows += [(token_key("path", p), 0, c, k) for p, (c, k) in paths.items()]
                 out.append((body_key(page), np.array(sorted(rows), _PACKED).tobytes(), int(framed)))
             cols = list(zip(*out, strict=True))
@@ -327,8 +328,8 @@ def templates(pages: DataFrame, min_class: int = MIN_CLASS, min_pages: int = MIN
     frequent = v.filter((F.col("token") != 0) & (F.col("pages") >= min_pages)).join(hosts.select("host", "n"), "host").filter(
         F.col("pages") >= F.col("n") * min_share)
     # tokens of one occurrence vector; what is frequent on a host is bounded by the size of its pages
-    classes = frequent.groupBy("host", "sig", "pages", "total").agg(F.collect_list("token").alias("c")).filter(
-        F.size("c") >= min_class)
+    classes = frequent.groupBy("host", "sig", "pages", "total").agg(
+        F.collect_list("token").alias("c"), F.sum(F.col("chars") / F.col("pages")).alias("size")).filter(F.col("size") >= min_class)
     tokens = classes.groupBy("host").agg(F.flatten(F.collect_list("c")).alias("tokens"))
     links = v.filter((F.col("pages") == 0) & (F.col("linked") > LINK_SHARE * F.col("chars"))).groupBy("host").agg(
         F.collect_list("token").alias("link_paths"))

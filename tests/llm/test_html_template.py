@@ -107,3 +107,9 @@ def test_names_of_wrappers_do_not_exclude_the_page():
 def test_pages_in_named_wrappers(spark):
     htmls = [f"<body class='single has-sidebar'><article class='post comments-open'><p>text {i}</p></article></body>" for i in range(6)]
     assert texts(spark, htmls) == [f"text {i}" for i in range(6)]
+
+
+def test_notice_on_part_of_the_pages(spark):
+    notice = "<div>We have moved to a new building in town</div>"
+    htmls = [f"<body>{notice if i % 5 < 3 else ''}<div><p>text of page {i}</p></div></body>" for i in range(20)]
+    assert texts(spark, htmls) == [f"text of page {i}" for i in range(20)]
