@@ -24,8 +24,9 @@ cross documents and are judged on the input.
 Memory is bounded by a slab, a shard or a hash bucket; no step gathers the
 rows of a key without bound: identical text is pre-aggregated in each shard.
 
-Slabs are numbered in scan order, so ``docs`` must give the same partitions
-when read again (a file scan, or a checkpointed frame); a checksum guards it.
+Slabs are cut by rows and text bytes, whatever the Arrow batches, and numbered in
+scan order, so ``docs`` must give the same partitions when read again (a file
+scan, or a checkpointed frame); a checksum guards each of the three reads.
 
 Defined results: null text has no bytes; texts below ``LENGTH`` bytes lose
 nothing; of rows with equal ids the one read first counts as earlier; a null
@@ -51,6 +52,7 @@ from gazette.session import scratch_path
 LENGTH = 100
 GRAM = 32
 SLAB = 4_000_000
+SLAB_ROWS = 10_000          # a document's place in its slab has 16 bits
 SHARD = 2_000_000           # bytes of run text a shard should hold
 RUN = 127                   # windows of a run at most
 SELF = 128                  # marks a run whose minimiser occurs in it more than once
@@ -136,24 +138,41 @@ def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
 
 
 def _slabs(batches: Iterator[pa.RecordBatch]):
-    """``(slab, batch, texts)``; a document's place in its slab has 16 bits."""
+    """``(slab, pieces of batches, texts)``; where a slab ends depends on the partition's rows and texts only."""
     slab = TaskContext.get().partitionId() << 32
+    pieces: list[pa.RecordBatch] = []
+    texts: list[bytes] = []
+    total = 0
     for b in batches:
-        texts = [t or b"" for t in b.column("_text").to_pylist()]
-        for start, some in T.slabs(texts, SLAB):
-            for a in range(0, len(some), 50_000):
-                part = some[a:a + 50_000]
-                yield slab, b.slice(start + a, len(part)), part
-                slab += 1
+        own = [t or b"" for t in b.column("_text").to_pylist()]
+        start = 0
+        for i, t in enumerate(own):
+            if texts and (len(texts) == SLAB_ROWS or total + len(t) > SLAB):
+                if i > start:
+                    pieces.append(b.slice(start, i - start))
+                yield slab, pieces, texts
+                slab, start, pieces, texts, total = slab + 1, i, [], [], 0
+            texts.append(t)
+            total += len(t)
+        if start < len(own):
+            pieces.append(b.slice(start))
+    if texts:
+        yield slab, pieces, texts
 
 
 def _check(texts: list[bytes]) -> int:
     out = 0
     for t in texts:
-        out = zlib.crc32(t, out)
+        out = zlib.crc32(t, zlib.crc32(len(t).to_bytes(8), out))
     return out
 
 
+def _same(found: pa.Table, slab: pa.Table) -> None:
+    marks = {m for m in found.column("mark").to_pylist() if m is not None}
+    if marks and marks != set(slab.column("mark").to_pylist()):
+        raise RuntimeError("the input gave other rows when read again; checkpoint it first")
+
+
 def _count_pass(buckets: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab, _, texts in _slabs(batches):
@@ -210,10 +229,11 @@ def _repeated_runs(shard: int):
 # ---------------------------------------------------------------- slabs with their texts
 def _payload_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each slab's rows as one compressed Arrow stream."""
-    for slab, batch, texts in _slabs(batches):
+    for slab, pieces, texts in _slabs(batches):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_batch(batch)
+        with pa.ipc.new_stream(sink, pieces[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            for piece in pieces:
+                w.write_batch(piece)
         yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), pa.array([_check(texts)], pa.int64()),
                                           pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slab", "mark", "rows"])
 
@@ -231,9 +251,8 @@ def _cut_runs(shards: int, length: int):
         """The repeated runs of one slab, packed by shard."""
         out: list[tuple] = []
         if spans.num_rows:
+            _same(spans, slab)
             rows = _rows(slab)
-            if spans.column("mark")[0].as_py() != slab.column("mark")[0].as_py():
-                raise RuntimeError("the input gave other rows when read again; checkpoint it first")
             number = slab.column("slab")[0].as_py()
             texts = [t or b"" for t in rows.column("_text").to_pylist()]
             ids = np.array([NULL_ID if i is None else i for i in rows.column("_id").to_pylist()], np.int64)
@@ -482,9 +501,10 @@ def join_spans(spans: np.ndarray) -> np.ndarray:
 
 def _cut_pass(schema: pa.Schema, with_text: bool):
     def run(found: pa.Table, slab: pa.Table) -> pa.Table:
+        _same(found, slab)
         rows = _rows(slab)
         texts = [t or b"" for t in rows.column("_text").to_pylist()]
-        spans = np.concatenate([np.frombuffer(x, SPAN) for x in found.column("spans").to_pylist()] or [np.zeros(0, SPAN)])
+        spans = np.concatenate([np.frombuffer(x, SPAN) for x in found.column("spans").to_pylist() if x is not None] or [np.zeros(0, SPAN)])
         spans = spans[np.argsort(spans["place"], kind="stable")]
         cuts = np.searchsorted(spans["place"], np.arange(len(texts) + 1))
         out: list[list] = [[], [], [], [], [], []]
@@ -528,14 +548,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-runs * (length + (length - gram) // 2) // shard))
 
-    # both branches read the same scan, so slab numbers agree; the checksum guards it
+    # all reads are of the same scan, so slab numbers agree; the checksum guards it
     slabs = src.select("_id", "_text").mapInArrow(_payload_pass, "slab long, mark long, rows binary")
     cut = repeated.groupBy("slab").cogroup(slabs.groupBy("slab")).applyInArrow(_cut_runs(shards, length), _RUNS)
     path = scratch_path(spark, "suffix-found")
     cut.groupBy("shard").applyInArrow(_shard_pass(partitions, length), _FOUND).write.parquet(path)
     found = spark.read.parquet(path)
     merged = found.filter("range IS NOT NULL").select("range", "windows").groupBy("range").applyInArrow(_merge_pass(length), _FOUND)
-    spans = found.filter("slab IS NOT NULL").select("slab", "spans").unionByName(merged.select("slab", "spans"))
+    # with the checksum of each slab that has spans, for the last read
+    spans = (found.filter("slab IS NOT NULL").select("slab", "spans").unionByName(merged.select("slab", "spans"))
+             .unionByName(repeated.select("slab", "mark").distinct(), allowMissingColumns=True))
 
     kinds = [f.dataType.simpleString() for f in src.schema.fields[:len(keep)]]
     ddl = ("".join(f"_k{i} {k}, " for i, k in enumerate(kinds))

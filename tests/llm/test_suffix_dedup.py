@@ -73,3 +73,29 @@ def test_merge_by_binary_search_keeps_the_earliest():
     one = np.zeros(1, S.SPAN)
     one["place"], one["a"], one["b"] = 70, 0, 100
     assert got == {(0, one.tobytes())}
+
+
+def test_slabs_do_not_depend_on_arrow_batches(spark, monkeypatch):
+    """The three reads send different columns, so batches limited by bytes end at different rows."""
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(5)]
+    rows = [(i, rng.choice(base)[rng.randrange(100):] + str(i), "k" * 2_000) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra string").coalesce(1)
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(conf)
+    spark.conf.set(conf, "20000")
+    try:
+        got = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in S.deduplicate(df, keep=["doc_id", "extra"]).collect())
+    finally:
+        spark.conf.set(conf, old)
+    assert got == [(r[0], w[1], w[3]) for r, w in zip(rows, cut_repeats([r[:2] for r in rows]), strict=True)]
+
+
+def test_other_rows_are_noticed():
+    import pyarrow as pa
+    mark = lambda *m: pa.table({"mark": pa.array(m, pa.int64())})
+    S._same(mark(None, 5, 5), mark(5))
+    S._same(mark(), mark(5))
+    for other in (mark(6), mark()):
+        with pytest.raises(RuntimeError):
+            S._same(mark(None, 5), other)
