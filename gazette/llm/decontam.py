@@ -5,9 +5,10 @@ words of a shorter item). A shingle weighs its number of characters. Similarity
 of a window and an item is the weight of shared distinct shingles over the
 weight of all.
 
-1. Document shingles are looked up among the item shingles. A window that
-   shares no shingle has similarity 0, so windows are laid only where a shingle
-   is found: item-sized, aligned to the shingle's place in the item.
+1. Document shingles are looked up among the item shingles. Pairs whose shared
+   shingles weigh less than ``SIMILARITY`` of the item cannot reach it and go. In
+   the others all item-sized windows that hold a shared shingle are laid, clipped
+   at the ends of the text; those that share too little weight go.
 2. Window and item get a 64-bit weighted SimHash. Fingerprints are cut into
    ``RADIUS + 1`` blocks; two within ``RADIUS`` bits agree in one block at
    least (pigeonhole), so the join on (item, block, value) loses none of them,
@@ -92,31 +93,46 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     ensure_checkpoint_dir(docs.sparkSession)
     items = item_table(benchmark, item_col, item_text)
     sizes = [r[0] for r in items.select("k").distinct().collect()] or [SHINGLE]       # at most five numbers
-    places = []
+    weight = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["w"])
+    table = None
     for k in sizes:
-        own = items.filter(F.col("k") == k)
-        places.append(own.select("item", "n", F.lit(k).alias("k"), F.posexplode(shingles("words", k)).alias("q", "h")))
-    table = places[0]
-    for p in places[1:]:
-        table = table.unionByName(p)
+        one = items.filter(F.col("k") == k).select("item", "n", F.lit(k).alias("k"), "words", weight("sh").alias("total"),
+                                                   F.posexplode(shingles("words", k)).alias("q", "h"))
+        one = one.withColumn("w", F.expr(f"aggregate(slice(words, q + 1, {k}), 0, (a, x) -> a + length(x))")).drop("words", "q")
+        table = one if table is None else table.unionByName(one)
+    table = table.dropDuplicates(["item", "h"])
     if table.count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
 
     text = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("words"))
     found = None
     for k in sizes:
-        one = text.select("doc", F.posexplode(shingles("words", k)).alias("p", "h"), F.lit(k).alias("k"))
+        one = text.select("doc", F.explode(shingles("words", k)).alias("h"), F.lit(k).alias("k"))
         found = one if found is None else found.unionByName(one)
-    laid = (found.join(table, ["k", "h"]).select("doc", "item", "n", "k", (F.col("p") - F.col("q")).alias("s"))
-            .groupBy("doc", "item", "n", "k", "s").agg(F.count("*").alias("hits"))).checkpoint()
-    # the texts of documents with a hit only: their ids are broadcast up to a checked number
+    # no window shares more weight with an item than the whole document does
+    enough = lambda shared, total: shared >= total * similarity - 1e-6
+    laid = (found.join(table, ["k", "h"]).select("doc", "item", "n", "k", "total", "h", "w").distinct()
+            .groupBy("doc", "item", "n", "k", "total").agg(F.sum("w").alias("shared"))
+            .filter(enough(F.col("shared"), F.col("total")))).drop("total", "shared").checkpoint()
+    # the texts of documents with such an item only: their ids are broadcast up to a checked number
     hit = broadcast_if_small(laid.select(F.col("doc").alias("_hit")).distinct(), BROADCAST_ROWS)
     again = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).join(
         hit, F.col("_doc").eqNullSafe(F.col("_hit")), "left_semi").select("_doc", words(F.col("_t")).alias("words"))
-    cut = laid.join(again, F.col("doc").eqNullSafe(F.col("_doc"))).select(
-        "doc", "item", "k", F.greatest("s", F.lit(0)).alias("start"),
+    cut = None
+    for k in sizes:
+        hashes = items.filter(F.col("k") == k).select("item", shingles("words", k).alias("want"), F.col("sh").alias("sh_w"))
+        one = (laid.filter(F.col("k") == k).join(again, F.col("doc").eqNullSafe(F.col("_doc"))).join(hashes, "item")
+               .withColumn("have", shingles("words", k)))
+        # every window that holds a shared shingle
+        one = one.withColumn("s", F.explode(F.expr(
+            "array_distinct(flatten(transform(filter(transform(have, (h, i) -> IF(array_contains(want, h), i, NULL)), "
+            "i -> i IS NOT NULL), p -> sequence(p - n + k, p))))"))).drop("have", "want")
+        cut = one if cut is None else cut.unionByName(one)
+    cut = cut.select(
+        "doc", "item", "k", "sh_w", F.greatest("s", F.lit(0)).alias("start"),
         F.expr("slice(words, greatest(s, 0) + 1, greatest(least(s + n, size(words)) - greatest(s, 0), 0))").alias("words"))
-    windows = cut.withColumn("sh", weighted("words", "k")).withColumn("fp", simhash("sh"))
+    windows = cut.withColumn("sh", weighted("words", "k")).filter(
+        enough(weight(F.array_intersect("sh", "sh_w")), weight("sh_w"))).drop("sh_w").withColumn("fp", simhash("sh"))
     # (item, block, bits) agree in one block at least for all fingerprints within the radius
     sides = windows.select("doc", "item", "start", F.size("words").alias("n_words"), "sh", "fp",
                            F.explode(blocks("fp", radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
@@ -129,7 +145,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         F.arrays_zip(blocks("fp", radius).alias("x"), blocks("fp_i", radius).alias("y")),
         lambda z: z["x"]["bits"] == z["y"]["bits"]), lambda z: z["x"]["block"]))
     near = near.filter(F.col("block") == first)
-    weight = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["w"])
     scored = near.withColumn("similarity", weight(F.array_intersect("sh", "sh_i")) / weight(F.array_union("sh", "sh_i")))
     best = scored.filter(F.col("similarity") >= similarity).groupBy("doc", "item").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("first"), "n_words", "hamming")).alias("m"))

@@ -53,3 +53,14 @@ def test_edges(spark):
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
     test_edited_passages(spark)
+
+
+def test_leaks_cut_at_the_edges_of_a_text(spark):
+    item = [f"{'abcdefgh'[i % 8] * (1 + i % 7)}{i}" for i in range(59)]
+    other = [f"otherwords{i}" for i in range(80)]
+    docs = [(1, " ".join(item[:49] + other)), (2, " ".join(other + item[10:])), (3, " ".join(other[:40] + item[5:54] + other[40:])),
+            (4, " ".join(item[8:])), (5, " ".join(item[:25] + ["x"] + item[28:] + other)), (6, " ".join(item[:30] + other))]
+    items = [(100, " ".join(item))]
+    got, want = found(spark, docs, items), leak_pairs(docs, items)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {(1, 100), (2, 100)} <= got.keys() and (6, 100) not in got
