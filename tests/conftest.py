@@ -12,9 +12,3 @@ def spark():
     from gazette.session import get_session
     s = get_session("local[4]", app="gazette-tests", shuffle_partitions=4)
     yield s
-
-
-def rows(df, *cols):
-    """Collect selected columns as sorted tuples."""
-    sel = df.select(*cols) if cols else df
-    return sorted(tuple(r) for r in sel.collect())

@@ -1,7 +1,7 @@
 """Classification (C1-C9, C15) on hand-built rows."""
 
 import pytest
-from conftest import rows
+from support import rows
 
 from gazette import dims
 from gazette.operators import classify as C

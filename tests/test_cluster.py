@@ -3,7 +3,7 @@
 import math
 
 import numpy as np
-from conftest import rows
+from support import rows
 
 from gazette.operators import cluster as G
 from gazette.operators.components import connected_components

@@ -1,6 +1,6 @@
 """Collection (P1-P9) and relevance gate (R1-R5) on hand-built rows."""
 
-from conftest import rows
+from support import rows
 
 from gazette.operators import collect as P
 from gazette.operators import relevance as R

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from conftest import rows
+from support import rows
 
 from gazette.operators import digest as D
 from gazette.operators import stats as T
