@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, decontam, fst_pieces, html_template, jaccard_join, kn_langid, lattice_lm, oracles, quality, ring, suffix_dedup
+from gazette.llm import byte_bpe, chat, decontam, fst_pieces, html_template, jaccard_join, kn_langid, lattice_lm, oracles, quality, ring, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest_columns(byte_bpe.decode(byte_bpe.encode(_read(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_template": op1_html_template,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_fst": op8_piece_fst,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_kn_langid": op10_kn_langid,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
