@@ -15,9 +15,9 @@ pre-token and two chunks. The ids of a text are its segments' ids in order.
 The last matches of a chunk (within ``LOOK`` code points of its end) are not
 used as boundaries, since the pattern may look further than the chunk goes.
 
-Merging: the adjacent pair with the lowest rank first, the leftmost on ties,
-as rank files define it. Long pieces use a heap, so a piece of n bytes costs
-n log n. Decoding gathers the bytes of the ids.
+Merging (``merges``): the adjacent pair with the lowest rank first, the leftmost
+on ties, as rank files define it; the new words of some megabytes of text merge
+together. Decoding gathers the bytes of the ids.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; rows
 with equal ids are encoded each; an empty table gives an empty result; only the
@@ -27,12 +27,9 @@ columns named in ``keep`` are read beside the text, so other names cannot clash.
 from __future__ import annotations
 
 import base64
-import heapq
-from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazette.llm.merges import Merges, WordCoder
 from gazette.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK = 1 << 16          # code points of a chunk
 OVERLAP = 1 << 10        # code points that a chunk shares with its successor
 LOOK = 4                 # code points that the pattern may look beyond a match, with room
-SMALL = 48               # bytes of a piece up to which a plain scan finds the next merge
-CACHE = 1 << 18          # pieces whose ids a task remembers
+SLAB = 2_000_000         # characters of the texts that a task encodes together
 
 
 def default_pattern() -> str:
@@ -63,56 +60,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    n = len(piece)
-    after = array("q", range(1, n + 1))          # start of the next part
-    before = array("q", range(-1, n - 1))
-    rank_at = array("q", [-1]) * n               # rank of the pair that starts here
-
-    def pair(i: int) -> int:
-        j = after[i]
-        r = ranks.get(piece[i:after[j]], -1) if j < n else -1
-        rank_at[i] = r
-        return r
-
-    heap = [(r << 40) | i for i in range(n - 1) if (r := pair(i)) >= 0]
-    heapq.heapify(heap)
-    low = (1 << 40) - 1
-    while heap:
-        top = heapq.heappop(heap)
-        i = top & low
-        if rank_at[i] != top >> 40:
-            continue
-        j = after[i]
-        k = after[i] = after[j]
-        rank_at[j] = -1
-        if k < n:
-            before[k] = i
-        if (r := pair(i)) >= 0:
-            heapq.heappush(heap, (r << 40) | i)
-        if (h := before[i]) >= 0 and (r := pair(h)) >= 0:
-            heapq.heappush(heap, (r << 40) | h)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i:after[i]]])
-        i = after[i]
-    return out
-
-
 @dataclass(frozen=True)
 class Spec:
     """A rank file (found on every machine), a pre-token pattern and the sizes of chunks."""
@@ -128,41 +75,23 @@ class Spec:
 
 
 class Encoder:
-    """Pre-tokens and ids of texts, with a memory of recent pieces."""
+    """Pre-tokens and ids of texts."""
 
     def __init__(self, spec: Spec):
         import regex
 
-        self.ranks = load_ranks(spec.ranks)
-        missing = [b for b in range(256) if bytes([b]) not in self.ranks]
+        ranks = load_ranks(spec.ranks)
+        missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the rank file lacks single bytes: {missing[:5]}")
         self.pattern = regex.compile(spec.pattern or default_pattern())
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.words = WordCoder(Merges.of_ranks(ranks), ranks)
 
     def ends(self, text: str) -> np.ndarray:
         return np.fromiter((m.end() for m in self.pattern.finditer(text)), np.int64)
 
-    def piece(self, word: str) -> tuple[int, ...]:
-        ids = self.known.get(word)
-        if ids is None:
-            raw = word.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                ids = (whole,)
-            else:
-                ids = tuple((_merge_short if len(raw) <= SMALL else _merge_long)(raw, self.ranks))
-            if len(word) <= 64:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[word] = ids
-        return ids
-
-    def words(self, words: Sequence[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, words)))
-
-    def text(self, text: str) -> list[int]:
-        return self.words(self.pattern.findall(text))
+    def texts(self, texts: Sequence[str]) -> list[np.ndarray]:
+        return self.words.ids([self.pattern.findall(t) for t in texts])
 
 
 @lru_cache(maxsize=2)
@@ -236,7 +165,7 @@ def _segment_pass(spec: Spec):
             words = enc.pattern.findall(text[a:]) if rows[0]["_to"] is None else _until(enc, text, a, b)
         return pa.table({"_rid": pa.array([table.column("_rid")[0].as_py()], pa.int64()),
                          "_c": pa.array([rows[0]["_c"]], pa.int64()),
-                         "_ids": pa.array([enc.words(words)], pa.list_(pa.int32()))})
+                         "_ids": pa.array(enc.words.ids([words]), pa.list_(pa.int32()))})
     return run
 
 
@@ -285,17 +214,31 @@ def encode(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "te
     return short.unionByName(long).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids")
 
 
+def slabs(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring items of together at most ``most`` (one item at least)."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _encode_whole(rows: DataFrame, kept: list[T.StructField], spec: Spec) -> DataFrame:
     def run(batches):
         enc = encoder(spec)
         for batch in batches:
-            ids = [np.array(enc.text(t), np.int32) for t in batch.column("_text").to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(i) for i in ids], out=offsets[1:])
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-            arrays = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, column], names=[*[f.name for f in kept], "ids"])
+            sizes = pc.utf8_length(batch.column("_text")).to_pylist()
+            for lo, hi in slabs(sizes, SLAB):
+                part = batch.slice(lo, hi - lo)
+                ids = enc.texts(part.column("_text").to_pylist())
+                offsets = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(i) for i in ids], out=offsets[1:])
+                flat = np.concatenate(ids)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], column], names=[*[f.name for f in kept], "ids"])
 
     return rows.mapInArrow(run, T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -339,13 +282,14 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", spec:
     def run(batches):
         table = byte_table(spec.ranks)
         for batch in batches:
-            ids = batch.column(ids_col)
-            counts = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64)
-            out, at, flat = [], 0, np.asarray(ids.flatten(), np.int64)
-            for n in counts.tolist():                       # a row at a time: the index is as long as its bytes
-                out.append(table.gather(flat[at:at + n])[0].tobytes())
-                at += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
+            counts = pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_pylist()
+            for lo, hi in slabs(counts, SLAB):
+                part = batch.slice(lo, hi - lo)
+                out, at, flat = [], 0, np.asarray(part.column(ids_col).flatten())
+                for n in counts[lo:hi]:                     # a row at a time: the index is as long as its bytes
+                    out.append(table.gather(flat[at:at + n])[0].tobytes())
+                    at += n
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
