@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import byte_bpe, chat, decontam, fst_pieces, html_template, jaccard_join, kn_langid, lattice_lm, oracles, quality, ring, suffix_dedup
+from gazette.llm import (byte_bpe, chat, decontam, divergence, fst_pieces, html_template, jaccard_join, kn_langid, lattice_lm, oracles,
+                         quality, ring, suffix_dedup, token_align)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +62,14 @@ def op10_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.audit(_read(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_columns(byte_bpe.decode(byte_bpe.encode(_read(spark, sf_dir, "documents"))))
 
@@ -77,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_fst": op8_piece_fst,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_kn_langid": op10_kn_langid,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_token_align": op12_token_align,
         "op13_byte_bpe": op13_byte_bpe,
     }
 
