@@ -187,9 +187,10 @@ class ShardedHash:
         for s in sorted(self.shards):
             self.base[s] = n
             n += len(self.shards[s].keys)
-        self.keys = [k for s in sorted(self.shards) for k in self.shards[s].keys.to_pylist()]
-        # the place of a slot among the slots of its language, and the slots of each language
-        lang = [k[:k.rindex(b"\0")] for k in self.keys]
+        keys = [k for s in sorted(self.shards) for k in self.shards[s].keys.to_pylist()]
+        # the term of each slot, its place among the slots of its language, and the slots of each language
+        lang = [k[:k.rindex(b"\0")] for k in keys]
+        self.terms = _strings([k[len(x) + 1:] for k, x in zip(keys, lang, strict=True)])
         self.of_lang: dict[bytes, np.ndarray] = {}
         order = sorted(range(n), key=lambda i: lang[i])
         self.place = np.zeros(n, np.int64)
@@ -244,15 +245,15 @@ class _Counters:
 
     def add_in(self) -> Iterator[pa.RecordBatch]:
         """Looks up the held words and adds them to the counters."""
-        groups = list(self.words)
-        lists = [list(self.words[g]) for g in groups]
-        keys = [key_of(g[0], w) for g, own in zip(groups, lists, strict=True) for w in own]
-        found = self.table.find(keys) if keys else np.empty(0, np.int64)
-        at = 0
-        for g, own in zip(groups, lists, strict=True):
-            slot = found[at:at + len(own)]
-            at += len(own)
-            n = np.fromiter((self.words[g][w] for w in own), np.int64, len(own))
+        slots: dict[str, dict[bytes, int]] = {}
+        for (lang, _), count in self.words.items():
+            slots.setdefault(lang, {}).update(dict.fromkeys(count))
+        for lang, words in slots.items():                    # once for all groups of a language
+            found = self.table.find([key_of(lang, w) for w in words])
+            slots[lang] = dict(zip(words, found.tolist(), strict=True))
+        for g, count in self.words.items():
+            slot = np.fromiter(map(slots[g[0]].__getitem__, count), np.int64, len(count))
+            n = np.fromiter(count.values(), np.int64, len(count))
             if g not in self.slots:
                 size = len(self.table.of_lang.get(g[0].encode(), ()))
                 if self.used + size > self.cells:
@@ -262,9 +263,9 @@ class _Counters:
             hit = slot >= 0
             self.slots[g][self.table.place[slot[hit]]] += n[hit]
             if not self.complete:
-                rest = self.other.setdefault(g, {})
+                rest, words = self.other.setdefault(g, {}), list(count)
                 for i in np.flatnonzero(~hit).tolist():
-                    rest[own[i]] = rest.get(own[i], 0) + int(n[i])
+                    rest[words[i]] = rest.get(words[i], 0) + int(n[i])
         self.words.clear()
         if sum(map(len, self.other.values())) > HOLD:
             yield from self.emit()
@@ -276,7 +277,7 @@ class _Counters:
             at = np.flatnonzero(count)
             for lo in range(0, len(at), 1 << 16):
                 k = at[lo:lo + (1 << 16)]
-                yield _rows(g, [self.table.keys[s][len(g[0].encode()) + 1:] for s in own[k].tolist()], count[k], True)
+                yield _rows(g, self.table.terms.take(pa.array(own[k])), count[k], True)
         for g, rest in self.other.items():
             words = list(rest)
             for lo in range(0, len(words), 1 << 16):
@@ -292,8 +293,9 @@ _COUNTS = "lang string, source string, term string, n long, known boolean"
 
 def _rows(group: tuple[str, str], words, n, known: bool) -> pa.RecordBatch:
     k = len(words)
-    return pa.RecordBatch.from_arrays([pa.array([group[0]] * k, pa.string()), pa.array([group[1]] * k, pa.string()), _strings(words),
-                                       pa.array(n, pa.int64()), pa.array([known] * k)], names=["lang", "source", "term", "n", "known"])
+    terms_ = words if isinstance(words, pa.Array) else _strings(words)
+    return pa.RecordBatch.from_arrays([pa.repeat(group[0], k).cast(pa.string()), pa.repeat(group[1], k).cast(pa.string()), terms_,
+                                       pa.array(n, pa.int64()), pa.array(np.full(k, known))], names=["lang", "source", "term", "n", "known"])
 
 
 @lru_cache(maxsize=1)
