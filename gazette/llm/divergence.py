@@ -51,7 +51,7 @@ TOP_TERMS = 10
 SCALE = 1_000_000_000
 HOT = 1 << 19             # kept terms that every task gets
 LONGEST = 96              # bytes of a language and term in the hash
-SHARD = 1 << 14           # keys of a shard, about
+SHARD = 1 << 11           # keys of a shard, about
 CELLS = 1 << 24           # counters that a task holds
 HOLD = 1 << 19            # words that a task holds before it adds them in or emits them
 GAMMA = 2.0               # bits of a level for each key that is left
