@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gazette import dims
 from gazette.functions.text import compose_text, keyword_hits, sql_double, sql_str, str_array
 from gazette.functions.vectors import dot, norm
+from gazette.operators.dictionary import SHORT, dictionary_hits
 from gazette.operators.relevance import check_relevance
 
 
@@ -30,7 +31,10 @@ def classify_keyword(df: DataFrame, cat_keywords=dims.CATEGORY_KEYWORDS, text_co
     """Per-category count of contained keywords; argmax, first category wins ties.
 
     No hit at all -> ``default`` with confidence 0.0 (zero hits over any list).
+    More than ``SHORT`` keywords are matched in one pass of the text.
     """
+    if sum(len(kws) for _, kws in cat_keywords) > SHORT:
+        return _classify_dictionary(df, cat_keywords, text_col, default, method)
     out = df.withColumn("_lt", F.lower(_text(text_col)))
     scores = F.array(*[
         F.struct(keyword_hits("_lt", kws, lowered=True).alias("hits"), F.lit(-i).alias("neg_ord"),
@@ -47,6 +51,21 @@ def classify_keyword(df: DataFrame, cat_keywords=dims.CATEGORY_KEYWORDS, text_co
                .drop("_lt", "_best"))
 
 
+def _classify_dictionary(df: DataFrame, cat_keywords, text_col, default: str, method: str) -> DataFrame:
+    """The same over the counts of ``dictionary_hits``: only categories with a hit are compared."""
+    out = dictionary_hits(df, [kws for _, kws in cat_keywords], F.lower(_text(text_col)), "_hits")
+    best = F.array_max(F.transform("_hits", lambda h: F.struct(h["n"].alias("n"), (-h["grp"]).alias("neg"))))
+    names = str_array([c for c, _ in cat_keywords])
+    sizes = F.expr("array(" + ", ".join(str(len(kws)) for _, kws in cat_keywords) + ")")
+    at = -F.col("_best.neg")
+    return (out.withColumn("_best", best)
+               .withColumn("category", F.coalesce(F.get(names, at), F.lit(default)))
+               .withColumn("confidence", F.when(at.isNotNull(), F.least(F.lit(1.0), F.col("_best.n") / F.get(sizes, at)))
+                           .otherwise(F.lit(0.0)))
+               .withColumn("method", F.lit(method))
+               .drop("_hits", "_best"))
+
+
 # --------------------------------------------------------------------------- C3
 def build_prototypes(df: DataFrame, label_col: str = "category", vec_col: str = "vec",
                      ord_col: str | None = None) -> DataFrame:
@@ -253,10 +272,11 @@ def training_rows(dim_df: DataFrame, replicate: int = 3, text_col: str = "descri
 # --------------------------------------------------------------------------- C15
 def registry() -> dict[str, Callable[..., DataFrame]]:
     """Named classification methods: DataFrame -> DataFrame with category, confidence, method."""
-    from gazette.operators import ml
+    from gazette.operators import ml, nearest
     return {
         "keyword": classify_keyword,
         "nearest": classify_nearest,
+        "nearest_table": nearest.classify_nearest_table,
         "gated": classify_gated,
         "answer": label_from_answer,
         "vote": vote_weighted,

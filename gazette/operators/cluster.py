@@ -2,12 +2,11 @@
 
 Scale notes
 -----------
-* Neighbour search is exact. Within a category, vectors are ordered by their
-  angle to a pivot vector and cut into blocks of at most about ``block_size``
-  rows; by the triangle inequality on angles, two blocks whose angle ranges
-  are further apart than eps allows hold no pair, and their tile is never laid.
-  Every other pair of blocks is one matrix product in ``applyInArrow``, so a
-  task holds two blocks whatever the size of the category.
+* Neighbour search is exact. Categories beyond ``block_size`` rows are split by a
+  metric tree (``metric_tree``); by the triangle inequality on angles, two of
+  its balls that are further apart than eps allows hold no pair, and no tile
+  below them is laid. Every other pair of leaves is one matrix product in
+  ``applyInArrow``, so a task holds two blocks whatever the category's size.
 * DBSCAN needs no pair table: tiles return degrees (one number per row) and a
   spanning forest of their core rows (at most one edge per row), joined by
   connected components; border rows bring the roots they touch.
@@ -18,8 +17,6 @@ Scale notes
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,12 +24,11 @@ from pyspark.sql import functions as F
 
 from gazette import dims
 from gazette.functions.text import WHITESPACE_RUN, py_len_sum
-from gazette.functions.vectors import dot, norm
+from gazette.operators import metric_tree
 from gazette.operators.components import connected_components
-from gazette.session import ensure_checkpoint_dir, ship_package
+from gazette.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 DEFAULT_BLOCK = 2048
-BIN_STEP = 1 << 20          # block number = angle bin * BIN_STEP + part of the bin
 
 
 # --------------------------------------------------------------------------- tiles
@@ -41,46 +37,45 @@ def _points(df: DataFrame, key: str, id_col: str, vec_col: str) -> DataFrame:
         F.col(key).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
 
 
-def _placed(points: DataFrame, block_size: int) -> DataFrame:
-    """``k, id, v, nb, bin, blk``: rows of a category in blocks by angle to its first vector, then by hash."""
-    ensure_checkpoint_dir(points.sparkSession)
-    sizes = points.groupBy("k").agg(F.ceil(F.count("*") / F.lit(block_size)).cast("int").alias("nb"),
-                                    F.min_by("v", "id").alias("pivot"))
-    cos = F.try_divide(dot("v", "pivot"), norm("v") * norm("pivot"))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(cos, F.lit(1.0)))))
-    bins = F.when(F.col("nb") > 1, F.least(F.col("nb") - 1, F.floor(angle / math.pi * F.col("nb")).cast("int"))).otherwise(0)
-    rows = points.join(sizes, "k").select("k", "id", "v", "nb", bins.alias("bin"))
-    parts = rows.groupBy("k", "bin").agg(F.ceil(F.count("*") / F.lit(block_size)).cast("int").alias("parts"))
-    rows = rows.join(parts, ["k", "bin"])
-    return rows.select("k", "id", "v", "nb", "bin", "parts",
-                       (F.col("bin") * BIN_STEP + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("long").alias("blk")).checkpoint()
-
-
-def _tile_rows(placed: DataFrame, eps: float) -> DataFrame:
-    """The rows of every tile that may hold a pair: ``k, lo, hi, side`` and the row."""
-    far = math.acos(1.0 - eps) + 1e-9 if eps < 1.0 else math.pi      # a zero vector has no angle: keep all tiles then
-    block = placed.groupBy("k", "nb", "bin", "blk").agg(F.count("*").alias("_n"))
-    x, y = block.alias("x"), block.alias("y")
-    tiles = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.blk") <= F.col("y.blk"))
-                   & ((F.col("y.bin") - F.col("x.bin") - 1) * math.pi / F.col("x.nb") <= far)).select(
-        F.col("x.k").alias("k"), F.col("x.blk").alias("lo"), F.col("y.blk").alias("hi"))
-    keep = [c for c in placed.columns if c not in ("nb", "bin", "parts", "blk")]
-    lo = placed.withColumn("lo", F.col("blk")).join(tiles, ["k", "lo"]).select(*keep, "lo", "hi", F.lit(0).alias("side"))
-    hi = placed.withColumn("hi", F.col("blk")).join(tiles.filter("lo <> hi"), ["k", "hi"]).select(
+def _blocks(df: DataFrame, key: str, id_col: str, vec_col: str, block_size: int) -> metric_tree.Blocks:
+    """The rows with a vector in blocks of a metric tree; they are read several times, so they are kept first."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return metric_tree.build(_points(df, key, id_col, vec_col).checkpoint(), block_size)
+
+
+def _tile_rows(rows: DataFrame, tiles: DataFrame | None) -> DataFrame:
+    """The rows of every tile: ``k, lo, hi, side`` and the row. Without ``tiles`` every key is one block and one tile."""
+    keep = [c for c in rows.columns if c != "blk"]
+    if tiles is None:
+        return rows.select(*keep, F.col("blk").alias("lo"), F.col("blk").alias("hi"), F.lit(0).alias("side"))
+    lo = rows.withColumnRenamed("blk", "lo").join(tiles, ["k", "lo"]).select(*keep, "lo", "hi", F.lit(0).alias("side"))
+    hi = rows.withColumnRenamed("blk", "hi").join(tiles.filter("lo <> hi"), ["k", "hi"]).select(
         *keep, "lo", "hi", F.lit(1).alias("side"))
     return lo.unionByName(hi)
 
 
+def tile_counts(df: DataFrame, eps: float, key: str = "category", id_col: str = "pos", vec_col: str = "vec",
+                block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """Per key the number of blocks, of tiles that ``neighbor_pairs`` and ``dbscan_labels`` lay, and of all pairs of blocks.
+
+    For choosing eps and the block size of a table: the work is proportional to the tiles.
+    """
+    ship_package(df.sparkSession)
+    blocks = _blocks(df, key, id_col, vec_col, block_size)
+    tiles = blocks.tiles(float(eps))
+    n = blocks.rows.groupBy("k").agg(F.countDistinct("blk").alias("blocks"))
+    laid = n.select("k", F.lit(1).cast("long").alias("tiles")) if tiles is None else tiles.groupBy("k").agg(F.count("*").alias("tiles"))
+    return n.join(laid, "k").select(F.col("k").alias(key), "blocks", "tiles",
+                                    F.expr("blocks * (blocks + 1) div 2").alias("all_pairs"))
+
+
 class _Tile:
     """Unit vectors of the two blocks of a tile and which rows lie within eps of each other."""
 
     def __init__(self, table: pa.Table, eps: float):
         side = table.column("side").to_numpy()
         ids = table.column("id").to_numpy()
-        vec = table.column("v").combine_chunks()
-        m = vec.flatten().to_numpy().reshape(len(ids), -1)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        m = m / np.where(length == 0, 1.0, length)
+        m = metric_tree.unit(table, "v")
         self.key = table.column("k")[0]
         self.a = np.flatnonzero(side == 0)
         self.same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
@@ -115,7 +110,8 @@ def neighbor_pairs(df: DataFrame, eps: float, key: str = "category", id_col: str
         a, b = t.ids[t.a[i]], t.ids[t.b[j]]
         return t.table(["a", "b", "dist"], np.minimum(a, b), np.maximum(a, b), t.dist[i, j])
 
-    rows = _tile_rows(_placed(_points(df, key, id_col, vec_col), block_size), limit)
+    blocks = _blocks(df, key, id_col, vec_col, block_size)
+    rows = _tile_rows(blocks.rows, blocks.tiles(limit))
     kind = dict(rows.dtypes)["k"]
     pairs = rows.groupBy("k", "lo", "hi").applyInArrow(tile, f"k {kind}, a long, b long, dist double")
     return pairs.select(F.col("k").alias(key), "a", "b", "dist")
@@ -197,15 +193,16 @@ def dbscan_labels(df: DataFrame, eps: float, min_samples: int = 2, key: str = "c
     neighbours. Everything is keyed by (key, id): ids may repeat between keys.
     """
     ship_package(df.sparkSession)
-    placed = _placed(_points(df, key, id_col, vec_col), block_size)
     limit = float(eps)
+    blocks = _blocks(df, key, id_col, vec_col, block_size)
+    placed, tiles = blocks.rows, blocks.tiles(limit)
     points = placed.select("k", "id")
     if min_samples > 2:
-        deg = _degrees(_tile_rows(placed, limit), limit)
+        deg = _degrees(_tile_rows(placed, tiles), limit)
         placed = (placed.join(deg, ["k", "id"], "left")
                   .withColumn("core", F.coalesce("deg", F.lit(0)) + 1 >= min_samples).drop("deg").checkpoint())
         points = placed.select("k", "id", "core")
-    forest = _forest(_tile_rows(placed, limit), limit).checkpoint()
+    forest = _forest(_tile_rows(placed, tiles), limit).checkpoint()
     node = lambda c: F.struct(F.col("k"), F.col(c).alias("id"))
     comp = connected_components(forest.filter("NOT border").select(node("a").alias("a"), node("b").alias("b"))).select(
         F.col("id.k").alias("k"), F.col("id.id").alias("id"), F.col("root.id").alias("root"))
@@ -232,17 +229,25 @@ def cluster_members(df: DataFrame, eps: float = 0.35, min_samples: int = 2, key:
     (``small`` = true); otherwise DBSCAN labels, noise = -1. A row without a
     vector is noise; a row without a key belongs to ``unknown``.
     """
-    df = df.withColumn(key, F.coalesce(F.col(key), F.lit(dims.UNKNOWN_CATEGORY)))
-    # one label per row, read several times: a reliable checkpoint computes it
-    # once, cuts the lineage and survives executor loss
-    labels = dbscan_labels(df, eps, min_samples, key, id_col, vec_col, block_size).checkpoint()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    df = _kept(df.withColumn(key, F.coalesce(F.col(key), F.lit(dims.UNKNOWN_CATEGORY))), "cluster-input")
+    labels = dbscan_labels(df, eps, min_samples, key, id_col, vec_col, block_size)
     sizes = df.groupBy(key).agg(F.count("*").alias("_n"), F.min(id_col).alias("cat_first"))
-    return (df.join(labels, [key, id_col], "left").join(sizes, key)
-            .withColumn("small", F.col("_n") < min_samples)
-            .withColumn("cluster_id", F.when(F.col("small"), F.lit(0).cast("long"))
-                        .otherwise(F.coalesce("cluster_id", F.lit(-1).cast("long"))))
-            .withColumn("is_noise", F.col("small") | (F.col("cluster_id") == -1))
-            .drop("_n", "is_core"))
+    members = (df.join(labels, [key, id_col], "left").join(sizes, key)
+               .withColumn("small", F.col("_n") < min_samples)
+               .withColumn("cluster_id", F.when(F.col("small"), F.lit(0).cast("long"))
+                           .otherwise(F.coalesce("cluster_id", F.lit(-1).cast("long"))))
+               .withColumn("is_noise", F.col("small") | (F.col("cluster_id") == -1))
+               .drop("_n", "is_core"))
+    return _kept(members, "cluster-members")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a stored table: computed once, read by column, safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 # --------------------------------------------------------------------------- G5
@@ -253,6 +258,12 @@ def cluster_keywords(members: DataFrame, top_k: int = 5, key: str = "category",
     Words: lower-cased text split on white space, longer than 3 code points,
     letters only, not a stop word.
     """
+    all_clusters = members.select(key, "cluster_id").distinct()
+    return _with_keywords(all_clusters, members, top_k, key, id_col, stop_words)
+
+
+def _with_keywords(table: DataFrame, members: DataFrame, top_k: int, key: str, id_col: str, stop_words) -> DataFrame:
+    """``table`` (a row per cluster) with the ``keywords`` of each cluster."""
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
     w = (members.select(key, "cluster_id", id_col, F.posexplode(F.split(text, WHITESPACE_RUN)).alias("i", "w"))
          .filter((F.length("w") > 3) & F.col("w").rlike(r"^\p{L}+$")
@@ -268,8 +279,7 @@ def cluster_keywords(members: DataFrame, top_k: int = 5, key: str = "category",
     kw = (top.groupBy(key, "cluster_id")
           .agg(F.array_sort(F.collect_list(F.struct("r", "w"))).alias("_k"))
           .select(key, "cluster_id", F.transform("_k", lambda s: s["w"]).alias("keywords")))
-    all_clusters = members.select(key, "cluster_id").distinct()
-    return (all_clusters.join(kw, [key, "cluster_id"], "left")
+    return (table.join(kw, [key, "cluster_id"], "left")
             .withColumn("keywords", F.coalesce("keywords", F.array(F.lit(dims.KEYWORD_DEFAULT)))))
 
 
@@ -294,7 +304,7 @@ def clusters(members: DataFrame, top_k: int = 5, key: str = "category", id_col:
         F.when(F.col("small"), F.lit(None).cast("string")).otherwise(F.col("_longest.source")).alias("main_source"),
         "cat_first")
     # one row per cluster, read again by top-k, digest items and the header: keep it
-    return table.join(cluster_keywords(members, top_k, key, id_col), [key, "cluster_id"]).checkpoint()
+    return _with_keywords(table, members, top_k, key, id_col, dims.KEYWORD_STOP_WORDS).checkpoint()
 
 
 def cluster_by_category(df: DataFrame, eps: float = 0.35, min_samples: int = 2, top_k: int = 5,

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gazette import dims
 from gazette.functions.text import sql_str
+from gazette.operators import calibrate
 from gazette.session import ensure_checkpoint_dir
 
 DENSE_ROWS = 500
@@ -201,19 +202,41 @@ def _argmax_output(pred: DataFrame, prob_col: str, labels, id_col: str, method:
                        best["p"].alias("confidence"), F.lit(method).alias("method"))
 
 
-def _svm_probs(tr, te, n_classes):
+def _margins(tr: DataFrame, te: DataFrame) -> DataFrame:
+    """``te`` with ``_m``: the margins of one-vs-rest linear SVMs fitted on ``tr``."""
     from pyspark.ml.classification import LinearSVC, OneVsRest
     from pyspark.ml.functions import vector_to_array
     model = OneVsRest(classifier=LinearSVC(maxIter=100), labelCol="_y", featuresCol="features").fit(tr)
-    raw = vector_to_array(F.col("rawPrediction"))
-    sig = F.transform(raw, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-m)))
-    return model.transform(te).withColumn("_sig", sig).withColumn(
-        "_p", F.transform("_sig", lambda s: s / F.aggregate("_sig", F.lit(0.0), lambda a, x: a + x)))
+    return model.transform(te).withColumn("_m", vector_to_array(F.col("rawPrediction"))).drop("rawPrediction", "prediction")
+
+
+def svm_calibration(tr: DataFrame) -> dict:
+    """``class index -> (a, b)``: sigmoids fitted on the margins of rows that their model has not seen.
+
+    Without enough rows for folds that all hold every label the margins of the fitted rows themselves are used.
+    """
+    dealt = calibrate.folds(tr, "_y", "features")
+    if dealt is None:
+        seen = _margins(tr, tr)
+    else:
+        seen = None
+        for f in range(calibrate.FOLDS):
+            part = _margins(dealt.filter(F.col("_fold") != f).drop("_fold"), dealt.filter(F.col("_fold") == f).drop("_fold"))
+            seen = part if seen is None else seen.unionByName(part)
+    rows = seen.select("_y", F.posexplode("_m").alias("cls", "m"))
+    return calibrate.fit_sigmoid(rows.select("cls", (F.col("_y").cast("int") == F.col("cls")).alias("y"), "m").checkpoint())
+
+
+def _svm_probs(tr, te, n_classes):
+    ensure_checkpoint_dir(tr.sparkSession)
+    tr = tr.select("features", "_y").checkpoint()              # fitted several times
+    params = svm_calibration(tr)
+    return _margins(tr, te).withColumn("_p", calibrate.probabilities(F.col("_m"), params, n_classes)).drop("_m")
 
 
 def classify_svm(docs: DataFrame, train: DataFrame, id_col: str = "article_id", text_col: str = "text",
                  label_col: str = "label", max_features: int = 3000) -> DataFrame:
-    """TF-IDF + one-vs-rest linear SVM; probabilities are normalised sigmoids of the margins."""
+    """TF-IDF + one-vs-rest linear SVM; probabilities by Platt scaling on cross-fitted margins."""
     tr, te, labels = _features(train, docs, text_col, label_col, max_features)
     return _argmax_output(_svm_probs(tr, te, len(labels)), "_p", labels, id_col, "tfidf_svm")
 
@@ -245,7 +268,7 @@ def classify_soft_vote(docs: DataFrame, train: DataFrame, id_col: str = "article
     allp = te.select(id_col, "features")
     for name, model in (("p_nb", nb), ("p_rf", rf), ("p_lr", lr)):
         allp = model.transform(allp).withColumn(name, vector_to_array("probability")).drop(*own)
-    allp = _svm_probs(tr, allp, len(labels)).withColumnRenamed("_p", "p_svm").drop("_sig", *own)
+    allp = _svm_probs(tr, allp, len(labels)).withColumnRenamed("_p", "p_svm").drop(*own)
     avg = F.zip_with(F.zip_with("p_nb", "p_rf", lambda a, b: a + b), F.zip_with("p_lr", "p_svm", lambda a, b: a + b),
                      lambda a, b: (a + b) / 4.0)
     return _argmax_output(allp.withColumn("_p", avg), "_p", labels, id_col, "tfidf_ensemble")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gazette import dims
 from gazette.functions.text import compose_text, keyword_hits as _hits, word_count
+from gazette.operators.dictionary import SHORT, dictionary_hits, hits_of
 
 
 def _text(text_col):
@@ -17,8 +18,14 @@ def _text(text_col):
 
 def keyword_hits(df: DataFrame, irrelevant: Sequence[str] = dims.IRRELEVANT_KEYWORDS,
                  relevant: Sequence[str] = dims.RELEVANT_KEYWORDS, text_col: str | None = None) -> DataFrame:
-    """Distinct dictionary entries contained in the lower-cased text."""
+    """Distinct dictionary entries contained in the lower-cased text.
+
+    Short lists are literals in the projection; longer ones are matched in one pass by ``dictionary_hits``.
+    """
     lt = F.lower(_text(text_col))
+    if len(irrelevant) + len(relevant) > SHORT:
+        return (dictionary_hits(df, [irrelevant, relevant], lt, "_hits")
+                .withColumn("irrelevant_hits", hits_of(0, "_hits")).withColumn("relevant_hits", hits_of(1, "_hits")).drop("_hits"))
     return (df.withColumn("_lt", lt)
               .withColumn("irrelevant_hits", _hits("_lt", irrelevant, lowered=True))
               .withColumn("relevant_hits", _hits("_lt", relevant, lowered=True))

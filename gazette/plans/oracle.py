@@ -86,6 +86,18 @@ def kw_hits(text: str, words) -> str:
     return f"len(list_filter({sql_list(words)}, lambda k: contains(lower({text}), k)))"
 
 
+def lexicon_cte(label: str) -> str:
+    """CTE ``lexicon``: (grp, entry), words that documents of one label only hold."""
+    src = "documents JOIN labels USING (doc_id)" if label == "quality" else "documents"
+    space = "'[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'"
+    return f"""lexicon AS (
+  SELECT min(grp) AS grp, entry FROM (
+    SELECT doc_id, CAST({label} AS VARCHAR) AS grp, unnest(list_distinct(regexp_split_to_array(lower(text), {space}))) AS entry
+    FROM {src} WHERE {label} IS NOT NULL AND text IS NOT NULL)
+  WHERE length(entry) >= {Q.LEXICON_CHARS} GROUP BY entry
+  HAVING min(grp) = max(grp) AND count(*) >= {Q.LEXICON_ROWS})"""
+
+
 def keyword_class(name: str, src: str, text: str, cat_keywords) -> str:
     """CTE ``name``: (article_id, category, confidence) by the keyword rule."""
     values = ", ".join(f"({i}, {sq(c)}, {sql_list(k)})" for i, (c, k) in enumerate(cat_keywords))
@@ -400,6 +412,15 @@ def build() -> dict[str, str]:
     # ---------------------------------------------------------------- relevance
     o["keyword_hits"] = with_(BT, f"""SELECT article_id, {kw_hits('text', dims.FIXTURE_IRRELEVANT)} AS irrelevant_hits,
   {kw_hits('text', dims.FIXTURE_RELEVANT)} AS relevant_hits FROM texts""")
+    o["keyword_hits_lexicon"] = with_(BT + [lexicon_cte("quality")], """SELECT article_id,
+  (SELECT count(*) FROM lexicon WHERE grp = '0' AND contains(lower(text), entry)) AS irrelevant_hits,
+  (SELECT count(*) FROM lexicon WHERE grp = '1' AND contains(lower(text), entry)) AS relevant_hits FROM texts""")
+    o["classify_lexicon"] = with_(BT + [lexicon_cte("lang")], f"""SELECT article_id,
+  CASE WHEN hits > 0 THEN grp ELSE 'world' END AS category,
+  {r6('CASE WHEN hits > 0 THEN least(1.0, hits / n) ELSE 0.0 END')} AS confidence FROM (
+  SELECT t.article_id, g.grp, g.n, (SELECT count(*) FROM lexicon l WHERE l.grp = g.grp AND contains(lower(t.text), l.entry)) AS hits
+  FROM texts t CROSS JOIN (SELECT grp, count(*) AS n FROM lexicon GROUP BY grp) g)
+QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY hits DESC, grp) = 1""")
     o["relevance"] = with_(rel_all, f"SELECT article_id, is_relevant, {r6('relevance_confidence')} AS relevance_confidence, "
                                     "wc AS word_count FROM rel")
     o["relevance_split"] = with_(rel_all, "SELECT article_id, CASE WHEN coalesce(is_relevant, true) THEN 'relevant' "
@@ -413,6 +434,15 @@ def build() -> dict[str, str]:
     o["prototypes"] = with_([ARTICLES, AV, PROTOS], f"""SELECT CAST(ord AS INTEGER) AS ord, category, CAST(dim AS BIGINT) AS dim,
   {r6('x')} AS x FROM (SELECT ord, category, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM protos)""")
     o["classify_nearest"] = with_(BASE_VEC, f"SELECT article_id, category, {r6('confidence')} AS confidence FROM nearest")
+    o["classify_nearest_table"] = with_([ARTICLES, AV, """sprotos AS (
+  SELECT category, row_number() OVER (ORDER BY category) AS ord, list(x ORDER BY i) AS vec FROM (
+    SELECT category || '/' || source AS category, i, avg(x) AS x FROM (
+      SELECT category, source, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM article_vectors WHERE vec IS NOT NULL)
+    GROUP BY 1, i) GROUP BY category)""", """sbest AS (
+  SELECT a.article_id, p.category, coalesce(list_cosine_similarity(a.vec, p.vec), 0.0) AS s FROM article_vectors a CROSS JOIN sprotos p
+  QUALIFY row_number() OVER (PARTITION BY a.article_id ORDER BY round(s, 9) DESC, p.ord) = 1)"""],
+        f"""SELECT a.article_id, CASE WHEN a.vec IS NULL THEN 'unknown' ELSE b.category END AS category,
+  {r6('CASE WHEN a.vec IS NULL THEN 0.0 ELSE b.s END')} AS confidence FROM article_vectors a JOIN sbest b USING (article_id)""")
     o["label_top1"] = with_(BASE_VEC, f"SELECT article_id, category, {r6('confidence')} AS confidence FROM best")
     o["label_from_description"] = with_([ARTICLES, AV, PROTOS, SCORES], f"""SELECT article_id,
   CASE ({desc_list})[ord + 1] {desc_case} ELSE 'world' END AS category FROM (
@@ -475,6 +505,9 @@ JOIN (SELECT article_id, sum(exp(j - mx)) AS den FROM nbr GROUP BY article_id) z
     members2 = BASE_VEC + dbscan_ctes("nearest", Q.EPS, Q.MIN_SAMPLES)
     members4 = BASE_VEC + dbscan_ctes("nearest", Q.EPS, 4)
     o["neighbor_pairs"] = with_(members2, f"SELECT category, a, b, {r6('dist')} AS dist FROM pairs")
+    tree = BASE_VEC + dbscan_ctes("nearest", Q.TREE_EPS, 4)
+    o["neighbor_pairs_tree"] = with_(tree, f"SELECT category, a, b, {r6('dist')} AS dist FROM pairs")
+    o["dbscan_tree"] = with_(tree, "SELECT category, pos, cluster_id, is_noise FROM members")
     o["dbscan"] = with_(members2, "SELECT category, pos, cluster_id, is_noise FROM members")
     o["dbscan_border"] = with_(members4, "SELECT category, pos, cluster_id, is_noise FROM members")
     o["clusters"] = with_(members2 + CLUSTERS, """SELECT category, cluster_id, size, is_noise, main_title, main_source,
@@ -617,6 +650,27 @@ SELECT title_hash, coalesce(title, '') AS title, coalesce(source, '') AS source
   SELECT *, row_number() OVER (PARTITION BY title_hash ORDER BY pos) AS rn FROM (
     SELECT *, md5(coalesce(title, '') || coalesce(description, '')) AS title_hash FROM articles))
 WHERE rn = 1 AND title_hash NOT IN (SELECT title_hash FROM store)""")
+    clean = lambda c: trim(f"regexp_replace({c}, {bad}, '', 'g')")
+    o["ingest_feeds"] = with_(BT + STORE, f"""SELECT title_hash, title, source FROM store
+UNION ALL
+SELECT title_hash, title, source FROM (
+  SELECT *, row_number() OVER (PARTITION BY title_hash ORDER BY pos // 100, source || '/', pos) AS rn FROM (
+    SELECT *, md5(title || description) AS title_hash FROM (
+      SELECT pos, source, {clean('title')} AS title, {clean("coalesce(description, '')")} AS description FROM articles)))
+WHERE rn = 1 AND title_hash NOT IN (SELECT title_hash FROM store)""")
+    ranges = [*BT, *STORE, *rel_all[len(BT):], """merged AS (
+  SELECT title_hash, id, title, source, category, is_relevant FROM store
+  UNION ALL
+  SELECT title_hash, NULL, coalesce(title, ''), coalesce(source, ''), NULL, true FROM (
+    SELECT *, row_number() OVER (PARTITION BY title_hash ORDER BY pos) AS rn FROM (
+      SELECT *, md5(coalesce(title, '') || coalesce(description, '')) AS title_hash FROM articles))
+  WHERE rn = 1 AND title_hash NOT IN (SELECT title_hash FROM store)),
+updated AS (
+  SELECT m.* EXCLUDE (is_relevant), CASE WHEN r.article_id IS NOT NULL THEN r.is_relevant ELSE m.is_relevant END AS is_relevant,
+    r.relevance_confidence FROM merged m LEFT JOIN rel r ON CAST(r.article_id AS VARCHAR) = m.id)"""]
+    o["store_ranges"] = with_(ranges, f"""SELECT title_hash, id, title, source, is_relevant,
+  {r6('relevance_confidence')} AS relevance_confidence FROM updated""")
+    o["store_ranges_stats"] = with_(ranges, "SELECT category, source, is_relevant, count(*) AS count FROM updated GROUP BY ALL")
     own = [f"md5(coalesce({c}, '')) AS {p}_{c}" for p in ("csv", "json")
            for c in ("title", "description", "source", "category")]
     o["sink_roundtrip"] = with_(BASE_VEC, f"""SELECT article_id, {', '.join(own)}, (SELECT count(*) FROM articles) AS total_articles,

@@ -14,6 +14,7 @@ from gazette.functions.text import compose_text as _compose
 from gazette.operators import classify as C
 from gazette.operators import cluster as G
 from gazette.operators import collect as P
+from gazette.operators import dictionary as DI
 from gazette.operators import digest as D
 from gazette.operators import relevance as R
 from gazette.operators import stats as T
@@ -23,6 +24,10 @@ from gazette.session import spread
 from gazette.sources import fixtures as fx
 
 EPS = 0.7
+TREE_EPS = 0.6
+TREE_BLOCK = 64              # rows of a leaf in the queries on small blocks
+PROTOTYPE_BLOCK = 1 << 16    # bytes of a block in the query, so that it has several
+LEXICON_ROWS, LEXICON_CHARS = 5, 6
 MIN_SAMPLES = 2
 MAX_EVENTS = 7
 AS_OF = "2024-02-01"
@@ -156,7 +161,29 @@ def q_relevance_report(spark, sf):
     return R.relevance_report(_relevance(spark, sf))
 
 
+def _lexicons(spark, sf, label):
+    """Groups of words that only documents of one value of ``label`` hold: a dictionary that grows with the data."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rows = docs.join(fx.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id") if label == "quality" else docs
+    return DI.dictionary_groups(DI.exclusive_lexicon(rows, label, min_rows=LEXICON_ROWS, min_chars=LEXICON_CHARS))
+
+
+def q_keyword_hits_lexicon(spark, sf):
+    """R1 with dictionaries of any size: words of rejected and of accepted documents, in every article."""
+    names, groups = _lexicons(spark, sf, "quality")
+    of = dict(zip(names, groups, strict=True))
+    hits = DI.dictionary_hits(_texts(spark, sf), [of.get("0", []), of.get("1", [])], F.lower("text"))
+    return hits.select("article_id", DI.hits_of(0).alias("irrelevant_hits"), DI.hits_of(1).alias("relevant_hits"))
+
+
 # --------------------------------------------------------------------------- classification
+def q_classify_lexicon(spark, sf):
+    """C1 with a dictionary per language: the words that only its documents hold."""
+    names, groups = _lexicons(spark, sf, "lang")
+    out = C.classify_keyword(_texts(spark, sf), list(zip(names, groups, strict=True)), "text")
+    return out.select("article_id", "category", r6("confidence").alias("confidence"))
+
+
 def q_classify_keyword(spark, sf):
     out = C.classify_keyword(_texts(spark, sf), dims.FIXTURE_CATEGORY_KEYWORDS, "text")
     return out.select("article_id", "category", r6("confidence").alias("confidence"), "method")
@@ -172,6 +199,19 @@ def q_classify_nearest(spark, sf):
     return _classified(spark, sf).select("article_id", "category", r6("confidence").alias("confidence"))
 
 
+def q_classify_nearest_table(spark, sf):
+    """C2 and C3 with a table of prototypes: the mean vector of every label and source, in blocks."""
+    from pyspark.sql import Window
+
+    from gazette.operators.nearest import classify_nearest_table
+    av = fx.labelled_vectors(spark, sf)
+    named = av.filter(F.col("vec").isNotNull()).withColumn("proto", F.concat_ws("/", "category", "source"))
+    means = C.build_prototypes(named.withColumn("_one", F.lit(0)), "proto", "vec", ord_col="_one")
+    ranked = means.select(F.row_number().over(Window.orderBy("category")).alias("ord"), "category", "vec")
+    out = classify_nearest_table(av.drop("category"), ranked, block_bytes=PROTOTYPE_BLOCK)
+    return out.select("article_id", "category", r6("confidence").alias("confidence"))
+
+
 def _scores(spark, sf, labels=None):
     return C.score_table(fx.labelled_vectors(spark, sf), _protos(spark, sf), labels=labels)
 
@@ -285,6 +325,18 @@ def q_dbscan_border(spark, sf):
     return _members(spark, sf, 4).select("category", "pos", "cluster_id", "is_noise")
 
 
+def q_neighbor_pairs_tree(spark, sf):
+    """G1 over many small leaves of the metric tree: the same pairs as in one block."""
+    pairs = G.neighbor_pairs(_classified(spark, sf), TREE_EPS, block_size=TREE_BLOCK)
+    return pairs.select("category", "a", "b", r6("dist").alias("dist"))
+
+
+def q_dbscan_tree(spark, sf):
+    """G2 over many small leaves of the metric tree."""
+    members = G.cluster_members(_classified(spark, sf), TREE_EPS, 4, block_size=TREE_BLOCK)
+    return members.select("category", "pos", "cluster_id", "is_noise")
+
+
 def q_clusters(spark, sf):
     _, table = _cluster_table(spark, sf)
     return table.select("category", "cluster_id", F.col("size").cast("long"), "is_noise", "main_title",
@@ -518,18 +570,55 @@ def q_feed_collect(spark, sf):
                                                            "title")
 
 
+def _landed_store(spark, sf):
+    """A range store that holds the labelled articles, in a new folder."""
+    from gazette.operators.hash_store import HashStore
+    from gazette.session import scratch_path
+    store = HashStore(spark, scratch_path(spark, "store"))
+    store.load(fx.store_articles(spark, sf))
+    return store
+
+
 def q_ingest_stream(spark, sf):
     """Landed article files ingested by a streaming query into the store (K3)."""
     from gazette.session import scratch_path
     from gazette.streaming.ingest import ingest_stream
-    landing, store, ckpt = (scratch_path(spark, n) for n in ("landing", "store", "stream-ckpt"))
+    landing, ckpt = (scratch_path(spark, n) for n in ("landing", "stream-ckpt"))
     arts = fx.articles(spark, sf, with_labels=False)
     arts.write.parquet(landing)
-    existing = fx.store_articles(spark, sf).select("title_hash", "title", "source", F.col("article_id").alias("pos"))
-    existing.write.parquet(store)
-    q = ingest_stream(spark, landing, arts.schema, store, ckpt)
-    q.awaitTermination()
-    return spark.read.parquet(store).select("title_hash", "title", "source")
+    store = _landed_store(spark, sf)
+    ingest_stream(spark, landing, arts.schema, store.path, ckpt).awaitTermination()
+    return store.articles().select("title_hash", "title", "source")
+
+
+def q_ingest_feeds(spark, sf):
+    """Landed RSS files ingested by a streaming query into the store (S1 and K3), in feed order."""
+    from gazette.session import scratch_path
+    from gazette.sources import feeds
+    from gazette.streaming.ingest import ingest_feeds
+    landing, ckpt = (scratch_path(spark, n) for n in ("feeds", "stream-ckpt"))
+    feeds.write_feeds(fx.articles(spark, sf, with_published=False, with_labels=False), landing)
+    store = _landed_store(spark, sf)
+    ingest_feeds(spark, landing, store.path, ckpt).awaitTermination()
+    return store.articles().select("title_hash", "title", "source")
+
+
+def q_store_ranges(spark, sf):
+    """K2 and K6 on the range store: all articles inserted, the computed relevance set, the current rows."""
+    store = _landed_store(spark, sf)
+    store.insert(fx.articles(spark, sf, with_url=False, with_published=False, with_labels=False), RUN_TS)
+    updates = _relevance(spark, sf).select(F.col("article_id").cast("string").alias("id"), "is_relevant", "relevance_confidence")
+    store.update_relevance(updates, RUN_TS)
+    return store.articles().select("title_hash", "id", "title", "source", "is_relevant", r6("relevance_confidence").alias("relevance_confidence"))
+
+
+def q_store_ranges_stats(spark, sf):
+    """T1-T3 from the counts of the commits, after an insert and an update."""
+    store = _landed_store(spark, sf)
+    store.insert(fx.articles(spark, sf, with_url=False, with_published=False, with_labels=False), RUN_TS)
+    updates = _relevance(spark, sf).select(F.col("article_id").cast("string").alias("id"), "is_relevant", "relevance_confidence")
+    store.update_relevance(updates, RUN_TS)
+    return store.counts().select("category", "source", "is_relevant", F.col("n").alias("count"))
 
 
 def q_sink_roundtrip(spark, sf):
@@ -575,12 +664,15 @@ QUERIES = {
     "lang_detect": q_lang_detect,
     "collect_detected": q_collect_detected,
     "keyword_hits": q_keyword_hits,
+    "keyword_hits_lexicon": q_keyword_hits_lexicon,
     "relevance": q_relevance,
     "relevance_split": q_relevance_split,
     "relevance_report": q_relevance_report,
     "classify_keyword": q_classify_keyword,
+    "classify_lexicon": q_classify_lexicon,
     "prototypes": q_prototypes,
     "classify_nearest": q_classify_nearest,
+    "classify_nearest_table": q_classify_nearest_table,
     "label_top1": q_label_top1,
     "label_from_description": q_label_from_description,
     "vote_weighted": q_vote_weighted,
@@ -597,6 +689,8 @@ QUERIES = {
     "neighbor_pairs": q_neighbor_pairs,
     "dbscan": q_dbscan,
     "dbscan_border": q_dbscan_border,
+    "neighbor_pairs_tree": q_neighbor_pairs_tree,
+    "dbscan_tree": q_dbscan_tree,
     "clusters": q_clusters,
     "cluster_keywords": q_cluster_keywords,
     "significant_clusters": q_significant_clusters,
@@ -634,6 +728,9 @@ QUERIES = {
     "feed_scan": q_feed_scan,
     "feed_collect": q_feed_collect,
     "ingest_stream": q_ingest_stream,
+    "ingest_feeds": q_ingest_feeds,
+    "store_ranges": q_store_ranges,
+    "store_ranges_stats": q_store_ranges_stats,
     "sink_roundtrip": q_sink_roundtrip,
     "method_files": q_method_files,
 }

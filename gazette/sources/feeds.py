@@ -1,6 +1,6 @@
 """RSS feed files as a source (S1) and a writer that lands articles as feeds.
 
-Reading: every landed file is one text row; its ``<item>`` elements are split
+Reading (as a table or as a stream): every landed file is one text row; its ``<item>`` elements are split
 out in document order and each is parsed with Spark's built-in ``from_xml``.
 The order key is (chunk, file, item index), so "first N entries of a source"
 keeps feed order. A feed file is a natural, bounded unit (one fetch).
@@ -38,7 +38,20 @@ def read_feeds(spark: SparkSession, path: str, source: str | None = None) -> Dat
     Columns: ``source, pos`` (order key), ``title, description`` (stripped,
     missing -> ''), ``url`` (link as is, missing -> ''), ``guid``.
     """
-    raw = spark.read.text(path, wholetext=True)
+    return _articles(spark.read.text(path, wholetext=True), source)
+
+
+def stream_feeds(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """The same columns from feed files as they land: a streaming frame with one offset per landed file.
+
+    Spark's file source lists and reads the files (any file system that Spark
+    reaches) and keeps the list of those processed in the query's checkpoint.
+    The layout ``source=<name>/chunk=<n>/`` must have its first folder when the query starts.
+    """
+    return _articles(spark.readStream.text(path, wholetext=True), source)
+
+
+def _articles(raw: DataFrame, source: str | None) -> DataFrame:
     if source is not None:
         raw = raw.select("value", F.lit(source).alias("source"), F.lit(0).alias("chunk"))
     items = raw.select("source", "chunk", F.input_file_name().alias("_file"),

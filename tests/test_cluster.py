@@ -134,6 +134,36 @@ def test_neighbor_pairs_block_tiles_equal_single_tile(spark):
     assert one == many and len(one) > 0
 
 
+def test_tree_prunes_tiles_of_clustered_vectors(spark):
+    """Tight clusters in 32 dimensions: same pairs and labels as one block, from a fraction of the tiles."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(40, 32))
+    pts = [("x", i, [float(x) for x in centers[i % 40] + rng.normal(scale=0.05, size=32)]) for i in range(1600)]
+    pts += [("y", 5000 + i, [float(x) for x in rng.normal(size=32)]) for i in range(30)]
+    df = make_df(spark, pts)
+    eps = 0.02
+    tiles = {r.category: r for r in G.tile_counts(df, eps, block_size=40).collect()}
+    assert tiles["y"].tiles == tiles["y"].all_pairs == 1
+    assert tiles["x"].blocks >= 40 and tiles["x"].tiles < 0.15 * tiles["x"].all_pairs
+    small = rows(G.neighbor_pairs(df, eps, block_size=40), "category", "a", "b")
+    assert small == rows(G.neighbor_pairs(df, eps, block_size=10_000), "category", "a", "b") and len(small) > 10_000
+    for ms in (2, 4):
+        got = {r.pos: (r.cluster_id, r.is_noise) for r in G.cluster_members(df, eps, ms, block_size=40).collect()}
+        assert got == expected(pts, eps, ms)
+
+
+def test_tree_without_separation(spark):
+    """Equal vectors, zero vectors and eps beyond 1 leave nothing to prune, and nothing is lost."""
+    pts = [("x", i, [1.0, 0.0, 0.0]) for i in range(60)] + [("x", 100 + i, [0.0, 0.0, 0.0]) for i in range(20)]
+    pts += [("x", 200 + i, angle_vec(i * 4) + [0.1 * (i % 3)]) for i in range(80)]
+    df = make_df(spark, pts)
+    for eps, ms in [(0.01, 3), (1.0, 2), (1.2, 5)]:
+        got = {r.pos: (r.cluster_id, r.is_noise) for r in G.cluster_members(df, eps, ms, block_size=9).collect()}
+        assert got == expected(pts, eps, ms), (eps, ms)
+    equal = make_df(spark, pts[:60])
+    assert G.neighbor_pairs(equal, 0.1, block_size=7).count() == 60 * 59 // 2
+
+
 def test_invariants_and_repartition(spark):
     pts = random_points(seed=5)
     df = make_df(spark, pts)

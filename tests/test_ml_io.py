@@ -144,6 +144,7 @@ def test_sinks_round_trip(spark):
 
 
 def test_streaming_ingest(spark):
+    from gazette.operators.hash_store import HashStore
     from gazette.streaming.ingest import ingest_stream
     d = tempfile.mkdtemp(prefix="gz-stream-")
     schema = "pos long, title string, description string, source string"
@@ -154,7 +155,7 @@ def test_streaming_ingest(spark):
     spark.createDataFrame([(4, "B", "y", "s"), (5, "C", "z", "s")], schema).write.parquet(f"{d}/landing2")
     q = ingest_stream(spark, f"{d}/landing2", spark.createDataFrame([], schema).schema, f"{d}/store", f"{d}/ckpt2")
     q.awaitTermination()
-    titles = sorted(r.title for r in spark.read.parquet(f"{d}/store").collect())
+    titles = sorted(r.title for r in HashStore(spark, f"{d}/store").articles().collect())
     assert titles == ["A", "B", "C"]
 
 
