@@ -48,8 +48,10 @@ from gazette.llm.merges import Merges, WordCoder
 from gazette.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 WIDTH = 1 << 14          # ends of both sides in one piece of the merge
-SLAB = 2_000_000         # characters of the texts that are aligned together
-BLOCK = 1 << 20          # links laid out at a time
+SLAB = 500_000           # characters of the texts that are aligned together
+TOKENS = 1_000_000       # tokens of the texts whose links are laid out together
+BLOCK = 1 << 19          # links laid out at a time
+BATCH = 1000             # rows of tokens that a task reads at a time
 WIDE = 1 << 12           # links of a group from which its distinct ids are paired instead
 COMMON = 1 << 18         # pairs whose counts every task gets
 MARK = "▁"
@@ -77,17 +79,27 @@ class Sides:
     def __init__(self, pair: Pair):
         import regex
         import sentencepiece
+        import tiktoken
 
         with open(pair.byte_level, encoding="utf-8") as f:
             file = json.load(f)
         vocab, byte = file["model"]["vocab"], byte_alphabet()
         special = {t["id"] for t in file.get("added_tokens", ())}
-        self.a_bytes = ByteTable({i: bytes(byte[c] for c in t) for t, i in vocab.items() if i not in special})
+        entry = {i: bytes(byte[c] for c in t) for t, i in vocab.items() if i not in special}
+        self.a_bytes = ByteTable(entry)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         letter = {b: c for c, b in byte.items()}
-        self.words = WordCoder(Merges([vocab[letter[b]] for b in range(256)],
-                                      [(vocab[x], vocab[y], r, vocab[x + y]) for r, (x, y) in enumerate(pairs)], len(vocab)))
+        merges = Merges([vocab[letter[b]] for b in range(256)],
+                        [(vocab[x], vocab[y], r, vocab[x + y]) for r, (x, y) in enumerate(pairs)], len(vocab))
+        self.words = WordCoder(merges)
         self.pattern = regex.compile(default_pattern())     # the split that byte-level files use
+        # If every token is what the listed merges make of its own bytes, then two neighbours that spell a token are always
+        # the listed pair (what merges inside a token's bytes does not depend on what is beside them). Joining by
+        # spelling, as rank files do, is then the same for every text, and a rank encoder may be used, ids being ranks.
+        spelt = {b: i for i, b in entry.items()}
+        order = [vocab[x + y] for x, y in pairs]
+        same = order == sorted(order) and [np.frombuffer(x, np.int32).tolist() for x in merges.encode(list(spelt))] == [[i] for i in spelt.values()]
+        self.ranks = tiktoken.Encoding("side-a", pat_str=default_pattern(), mergeable_ranks=spelt, special_tokens={}) if same else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=pair.pieces)
         piece = {}
         for i in range(self.b.get_piece_size()):
@@ -96,12 +108,18 @@ class Sides:
         self.b_bytes = ByteTable(piece)
         self.n_a, self.n_b = len(self.a_bytes.known), len(self.b_bytes.known)
 
-    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of a space and each text; strings of special tokens are text like any other."""
-        return self.words.ids([self.pattern.findall(" " + t) if t else [] for t in texts])
+    def encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and each text in a row, and the number of each; strings of special tokens are plain text."""
+        if self.ranks:
+            return _flat([np.array(self.ranks.encode_ordinary(" " + t), np.int32) for t in texts])
+        return _flat(self.words.ids([self.pattern.findall(" " + t) for t in texts]))
 
-    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int32) for x in self.b.encode(texts, num_threads=1)] if texts else []
+    def encode_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([np.array(x, np.int32) for x in self.b.encode(texts, num_threads=1)] if texts else [])
+
+
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.empty(0, np.int32), *parts]), np.array([len(p) for p in parts], np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -149,27 +167,43 @@ def common_ends(a: np.ndarray, b: np.ndarray, width: int = WIDTH) -> tuple[np.nd
 
 
 # --------------------------------------------------------------------------- align
-def align_texts(texts: list[str], both: Sides, width: int = WIDTH) -> list[tuple[np.ndarray, ...] | None]:
-    """``(A ids, B ids, A tokens of each group, B tokens of each group)`` of every text, None without tokens."""
-    a_all, b_all = both.encode_a(texts), both.encode_b(texts)
-    out: list[tuple[np.ndarray, ...] | None] = [None] * len(texts)
-    good = []
-    for i, (text, a, b) in enumerate(zip(texts, a_all, b_all, strict=True)):
-        if text and len(a) and len(b):
-            raw = b" " + text.encode()
-            if both.a_bytes.gather(a)[0].tobytes() == raw and both.b_bytes.gather(b)[0].tobytes() == raw:
-                good.append(i)
-    if not good:
-        return out
-    a, b = np.concatenate([a_all[i] for i in good]), np.concatenate([b_all[i] for i in good])
+def _spells(table: ByteTable, ids: np.ndarray, counts: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Which texts are, byte by byte, the tokens they were encoded to?"""
+    data, size = table.gather(ids)
+    upto = np.r_[0, np.cumsum(size)]
+    at = np.r_[0, np.cumsum(counts)]
+    length = upto[at[1:]] - upto[at[:-1]]
+    want = np.array([len(r) for r in raw], np.int64)
+    out = length == want
+    if out.all():                                          # the usual case: one comparison of all bytes
+        wrong = np.flatnonzero(data != np.frombuffer(b"".join(raw), np.uint8))
+        out[np.searchsorted(np.cumsum(want), wrong, "right")] = False
+    else:
+        for i in np.flatnonzero(out).tolist():
+            out[i] = data[upto[at[i]]:upto[at[i + 1]]].tobytes() == raw[i]
+    return out
+
+
+def align_texts(texts: list[str], both: Sides, width: int = WIDTH) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """A ids, B ids, A tokens of each group, B tokens of each group: of all texts in a row, with the number of each text
+    (0 for a text without tokens)."""
+    full = [t for t in texts if t]
+    raw = [b" " + t.encode() for t in full]
+    (a, n_a), (b, n_b) = both.encode_a(full), both.encode_b(full)
+    good = _spells(both.a_bytes, a, n_a, raw) & _spells(both.b_bytes, b, n_b, raw)
+    a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+    n_a, n_b = n_a * good, n_b * good
     x, y = common_ends(np.cumsum(both.a_bytes.length[a]), np.cumsum(both.b_bytes.length[b]), width)
-    size_a, size_b = np.diff(x, prepend=-1).astype(np.int32), np.diff(y, prepend=-1).astype(np.int32)
     # every text ends in a shared end, so no group lies across two texts
-    last = np.cumsum([len(a_all[i]) for i in good]) - 1
-    upto = np.searchsorted(x, last) + 1
-    for i, g, h in zip(good, np.r_[0, upto[:-1]], upto, strict=True):
-        out[i] = (a_all[i], b_all[i], size_a[g:h], size_b[g:h])
-    return out
+    n_groups = np.diff(np.searchsorted(x, np.cumsum(n_a) - 1, "right"), prepend=0)
+    has = np.array([bool(t) for t in texts], bool)
+
+    def of_all(n: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(texts), np.int64)
+        out[has] = n
+        return out
+
+    return ((a, of_all(n_a)), (b, of_all(n_b)), (np.diff(x, prepend=-1), of_all(n_groups)), (np.diff(y, prepend=-1), of_all(n_groups)))
 
 
 _ARRAYS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
@@ -177,29 +211,49 @@ _ARRAYS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
 
 def align(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", pair: Pair = Pair(),
           width: int = WIDTH) -> DataFrame:
-    """The columns ``keep`` and ``a_ids, b_ids`` (the tokens) and ``a_sizes, b_sizes`` (tokens of every group)."""
+    """The columns ``keep`` and ``a_ids, b_ids`` (the tokens) and ``a_sizes, b_sizes`` (tokens of every group), each
+    packed as 32-bit numbers in a binary column; ``unpack`` makes them arrays."""
     ship_package(df.sparkSession)
     rows = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text_"))
     kept = [f for f in rows.schema.fields if f.name != "_text_"]
-    schema = T.StructType([*kept, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in _ARRAYS]])
+    schema = T.StructType([*kept, *[T.StructField(n, T.BinaryType()) for n in _ARRAYS]])
 
     def run(batches):
         both = sides(pair)
         for batch in batches:
-            texts = batch.column("_text_").to_pylist()
-            for lo, hi in slabs([len(t) for t in texts], SLAB):
-                found = align_texts(texts[lo:hi], both, width)
+            for lo, hi in slabs(pc.utf8_length(batch.column("_text_")).to_pylist(), SLAB):
                 part = batch.slice(lo, hi - lo)
-                lists = [_lists([f[k] if f else np.empty(0, np.int32) for f in found]) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *lists], names=schema.names)
+                packed = [_packed(*x) for x in align_texts(part.column("_text_").to_pylist(), both, width)]
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *packed], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32), pa.int32()))
+def _packed(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = (4 * np.r_[0, np.cumsum(counts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype(np.int32))])
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a packed column in a row, and the number of each row."""
+    return (np.frombuffer(b"".join(column.to_pylist()), np.int32),
+            np.asarray(pc.binary_length(column), np.int64) // 4)
+
+
+def unpack(aligned: DataFrame) -> DataFrame:
+    """``align``'s result with arrays of integers."""
+    rest = [f for f in aligned.schema.fields if f.name not in _ARRAYS]
+    schema = T.StructType([*rest, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in _ARRAYS]])
+
+    def run(batches):
+        for batch in batches:
+            lists = []
+            for n in _ARRAYS:
+                flat, counts = _numbers(batch.column(n))
+                lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], *lists], names=schema.names)
+
+    return aligned.mapInArrow(run, schema)
 
 
 # --------------------------------------------------------------------------- links
@@ -218,9 +272,9 @@ class _Slab:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> _Slab:
-        flat = [np.asarray(batch.column(n).flatten(), np.int64) for n in _ARRAYS]
-        count = [np.asarray(pc.list_value_length(batch.column(n)), np.int64) for n in _ARRAYS[:3]]
-        return cls(*flat, np.repeat(np.arange(batch.num_rows), count[2]), *count)
+        (a, n_a), (b, n_b), (p, n_groups), (q, _) = [_numbers(batch.column(n)) for n in _ARRAYS]
+        doc = np.repeat(np.arange(batch.num_rows), n_groups)
+        return cls(*[x.astype(np.int64) for x in (a, b, p, q)], doc, n_a, n_b, n_groups)
 
 
 def _pairs_of(first_a: np.ndarray, p: np.ndarray, first_b: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,12 +330,12 @@ def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.n
 
 
 def _slabs_of(batch: pa.RecordBatch, radix: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch with together some 4 million tokens (one row at least) and keys within 63 bits."""
-    size = np.asarray(pc.add(pc.list_value_length(batch.column("a_ids")), pc.list_value_length(batch.column("b_ids"))), np.int64)
+    """Rows of a batch with together some ``TOKENS`` tokens (one row at least) and keys within 63 bits."""
+    size = np.asarray(pc.add(pc.binary_length(batch.column("a_ids")), pc.binary_length(batch.column("b_ids"))), np.int64) // 4
     most = max(1, (1 << 62) // radix)
     start, total = 0, 0
     for i, n in enumerate(size.tolist()):
-        if i > start and (total + n > 4_000_000 or i - start >= most):
+        if i > start and (total + n > TOKENS or i - start >= most):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -325,9 +379,13 @@ def link_counts(aligned: DataFrame, pair: Pair = Pair(), hold: int = 1 << 21) ->
 
 
 # --------------------------------------------------------------------------- score
-def group_digests(s: _Slab, words: list[bytes]) -> list[str]:
-    """SHA-256 of ``a1,a2|b1;a3|b2,b3`` of every text ('' without tokens). ``words[4 * id + mark]``: the id in
-    decimal and its mark."""
+def decimals(size: int) -> ByteTable:
+    """Entry ``4 * id + mark``: the id in decimal and ``,``, ``|``, ``;`` or nothing."""
+    return ByteTable({4 * i + k: str(i).encode() + m for i in range(size) for k, m in enumerate((b",", b"|", b";", b""))})
+
+
+def group_digests(s: _Slab, words: ByteTable) -> list[str]:
+    """SHA-256 of ``a1,a2|b1;a3|b2,b3`` of every text ('' without tokens)."""
     end_p, end_q = np.cumsum(s.p), np.cumsum(s.q)
     place_a = np.arange(len(s.a)) + np.repeat(end_q - s.q, s.p)
     place_b = np.arange(len(s.b)) + np.repeat(end_p, s.q)
@@ -337,11 +395,10 @@ def group_digests(s: _Slab, words: list[bytes]) -> list[str]:
     mark_b[end_q - 1] = np.where(last, 3, 2)
     line = np.empty(len(s.a) + len(s.b), np.int64)
     line[place_a], line[place_b] = s.a * 4 + mark_a, s.b * 4 + mark_b
-    out, at = [], 0
-    for n in (s.n_a + s.n_b).tolist():
-        out.append(hashlib.sha256(b"".join(map(words.__getitem__, line[at:at + n].tolist()))).hexdigest() if n else "")
-        at += n
-    return out
+    data, size = words.gather(line)
+    raw = data.tobytes()
+    at = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(s.n_a + s.n_b)]].tolist()
+    return [hashlib.sha256(raw[x:y]).hexdigest() if y > x else "" for x, y in zip(at, at[1:], strict=False)]
 
 
 _SCORED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -374,7 +431,7 @@ def score(aligned: DataFrame, counts: DataFrame, pair: Pair = Pair(), common: in
         key = a.astype(np.int64) * both.n_b + b
         order = np.argsort(key)
         key, n, best = key[order], n[order], best[order].astype(np.int64)
-        words = [str(i).encode() + m for i in range(max(both.n_a, both.n_b)) for m in (b",", b"|", b";", b"")]
+        words = decimals(max(both.n_a, both.n_b))
         for batch in batches:
             for part in _slabs_of(batch, radix):
                 s = _Slab.of(part)
@@ -426,8 +483,12 @@ def audit(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "tex
     """``align``, ``link_counts`` and ``score`` in a row, with stored tables between them."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    tokens, links = scratch_path(spark, "align-tokens"), scratch_path(spark, "align-links")
+    tokens, links, scored = (scratch_path(spark, f"align-{n}") for n in ("tokens", "links", "result"))
     align(df, keep, text_col, pair, width).write.option("compression", "zstd").parquet(tokens)
-    aligned = spark.read.parquet(tokens)
+    # rows of tokens are wide: a session of its own hands them to Python some thousand at a time
+    narrow = spark.newSession()
+    narrow.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    aligned = narrow.read.parquet(tokens)
     link_counts(aligned, pair).write.parquet(links)
-    return score(aligned, spark.read.parquet(links), pair, common)
+    score(aligned, narrow.read.parquet(links), pair, common).write.parquet(scored)
+    return spark.read.parquet(scored)

@@ -88,10 +88,17 @@ def test_merge_path_finds_all_common_ends(x, y, width):
 def test_words_one_by_one_are_the_librarys_tokens(libs):
     r = random.Random(3)
     both = A.sides(PAIR)
-    bits = ["'s", " ", "  ", "\n", "word", "Ünï", "日本", "12", "!!", "😀", "<|endoftext|>", "\x00", "don't", "e" * 70]
-    texts = ["".join(r.choice(bits) for _ in range(40)) for _ in range(80)]
-    for t in texts:
-        assert both.encode_a([t])[0].tolist() == libs[0].encode(" " + t, add_special_tokens=False).ids
+    bits = ["'s", " ", "  ", "\n", "word", "Ünï", "日本", "12", "!!", "😀", "<|endoftext|>", "\x00", "don't", "e" * 70, "▁", "<0x41>", "\t"]
+    texts = ["".join(r.choice(bits) for _ in range(40)) for _ in range(150)] + ["", " ", "   ", "a ", " a  b   ", "x" * 5000]
+    for side, want in ((both.encode_a(texts), [libs[0].encode(" " + t, add_special_tokens=False).ids for t in texts]),
+                       (both.encode_b([t or " " for t in texts]), [libs[1].encode(t or " ") for t in texts])):
+        parts = np.split(side[0], np.cumsum(side[1])[:-1])
+        assert [p.tolist() for p in parts] == want
+    assert both.ranks is not None
+    both.ranks, kept = None, both.ranks                                  # by the listed merges instead
+    other = both.encode_a(texts)
+    both.ranks = kept
+    assert all((x == y).all() for x, y in zip(other, both.encode_a(texts), strict=True))
 
 
 def test_given_documents(spark, libs):
@@ -115,6 +122,16 @@ def test_edges(spark, libs, monkeypatch):
     assert A.audit(df.limit(0)).count() == 0
 
 
+def test_tokens_and_groups_as_arrays(spark, libs):
+    rows = [(1, "A tokenizer's text"), (2, ""), (3, None), (4, "größer 日本")]
+    out = {r.doc_id: r for r in A.unpack(A.align(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, t in rows:
+        r = out[i]
+        assert list(r.a_ids) == (libs[0].encode(" " + t, add_special_tokens=False).ids if t else [])
+        assert list(r.b_ids) == (libs[1].encode(t) if t else [])
+        assert sum(r.a_sizes) == len(r.a_ids) and sum(r.b_sizes) == len(r.b_ids) and len(r.a_sizes) == len(r.b_sizes)
+
+
 def test_wide_groups_and_small_blocks(monkeypatch):
     r = np.random.default_rng(1)
     p, q = np.array([3, 50, 1, 7]), np.array([2, 60, 9, 1])
