@@ -29,6 +29,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gazette.operators.store import article_hash, new_articles, update_relevance
 from gazette.session import ensure_checkpoint_dir, path_exists, scratch_path
@@ -68,12 +69,9 @@ class HashStore:
         number = max((c.number for c in self.commits()), default=0) + 1
         return f"{number:012d}-{uuid.uuid4().hex[:8]}", number
 
-    def _publish(self, commit: str, number: int, replaces: bool, origin: str | None) -> list[str]:
-        """Writes the counts of what the commit has written, then the file that makes it current."""
-        path = f"{self.path}/data"
-        if not path_exists(self.spark, path):
-            return []
-        own = self.spark.read.option("basePath", path).parquet(path).filter(F.col("commit") == commit)
+    def _publish(self, commit: str, number: int, replaces: bool, origin: str | None, schema: StructType) -> list[str]:
+        """Writes the counts of what the commit has written (``schema``), then the file that makes it current."""
+        own = self._written(commit, schema)
         ranges = sorted(r["range"] for r in own.select("range").distinct().collect())        # at most 16 ** prefix
         if ranges or origin is not None:
             for c in COUNTED:
@@ -123,17 +121,17 @@ class HashStore:
         return stored.drop("range", "commit")
 
     # ------------------------------------------------------------------ writing
-    def _write(self, rows: DataFrame, commit: str) -> None:
+    def _write(self, rows: DataFrame, commit: str) -> StructType:
         out = rows.withColumn("range", self.range_of()).withColumn("commit", F.lit(commit))
         # a range is written by one task: md5 spreads the rows evenly over the ranges
         out.repartition("range").sortWithinPartitions("range", "title_hash").write.mode("append").partitionBy(
             "range", "commit").parquet(f"{self.path}/data")
+        return out.schema
 
     def load(self, rows: DataFrame, origin: str | None = None) -> list[str]:
         """Appends rows that have a ``title_hash`` as they are; returns the ranges written."""
         commit, number = self._begin()
-        self._write(rows, commit)
-        return self._publish(commit, number, False, origin)
+        return self._publish(commit, number, False, origin, self._write(rows, commit))
 
     def insert(self, batch: DataFrame, collected_at, order_col: str = "pos", origin: str | None = None) -> DataFrame:
         """K2: appends the rows of ``batch`` whose hash is not stored; returns these rows, read back.
@@ -148,13 +146,14 @@ class HashStore:
         known = self.read(touched)
         known = self.spark.createDataFrame([], "title_hash string") if known is None else known.select("title_hash")
         commit, number = self._begin()
-        self._write(new_articles(kept.drop("title_hash"), known, collected_at, order_col), commit)
-        self._publish(commit, number, False, origin)
-        return self._written(commit)
+        schema = self._write(new_articles(kept.drop("title_hash"), known, collected_at, order_col), commit)
+        self._publish(commit, number, False, origin, schema)
+        return self._written(commit, schema).drop("range", "commit")
 
-    def _written(self, commit: str) -> DataFrame:
+    def _written(self, commit: str, schema: StructType) -> DataFrame:
+        """The rows of one commit, published or not."""
         path = f"{self.path}/data"
-        return self.spark.read.option("basePath", path).parquet(path).filter(F.col("commit") == commit).drop("range", "commit")
+        return self.spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("commit") == commit)
 
     def touched_by(self, updates: DataFrame, id_col: str = "id") -> list[str]:
         """The ranges that hold ids of ``updates`` (from their ``title_hash``, if they bring it, else by the id column)."""
@@ -175,8 +174,7 @@ class HashStore:
             return []
         commit, number = self._begin()
         changed = update_relevance(stored.drop("range", "commit"), updates.drop("title_hash"), updated_at, id_col, order_col)
-        self._write(changed, commit)
-        return self._publish(commit, number, True, None)
+        return self._publish(commit, number, True, None, self._write(changed, commit))
 
     def compact(self) -> list[str]:
         """All current rows as one commit."""
@@ -184,8 +182,7 @@ class HashStore:
         if stored is None:
             return []
         commit, number = self._begin()
-        self._write(stored.drop("range", "commit"), commit)
-        return self._publish(commit, number, True, None)
+        return self._publish(commit, number, True, None, self._write(stored.drop("range", "commit"), commit))
 
     # ------------------------------------------------------------------ statistics
     def counts(self) -> DataFrame:
