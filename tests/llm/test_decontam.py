@@ -64,3 +64,25 @@ def test_leaks_cut_at_the_edges_of_a_text(spark):
     got, want = found(spark, docs, items), leak_pairs(docs, items)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert {(1, 100), (2, 100)} <= got.keys() and (6, 100) not in got
+
+
+def test_what_the_radius_keeps(spark):
+    """Windows just above the similarity: how many are within the radius of their item's fingerprint."""
+    import random
+
+    from pyspark.sql import functions as F
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    items, edited = [], []
+    for i in range(600):
+        w = [word() for _ in range(rng.randint(40, 80))]
+        items.append((i, " ".join(w)))
+        cut = rng.randint(len(w) // 10, len(w) // 7)                      # one end replaced: similarity about 0.75 to 0.82
+        edited.append((i, " ".join(w[:-cut] + [word() for _ in range(cut)])))
+    side = lambda rows: D.item_table(spark.createDataFrame(rows, "item_id long, text string"))
+    a, b = side(items), side(edited).select("item", F.col("sh").alias("sh_b"), F.col("total").alias("t_b"), F.col("fp").alias("fp_b"))
+    both = a.join(b, "item").withColumn("shared", D.weight(F.array_intersect("sh", "sh_b")))
+    both = both.select((F.col("shared") / (F.col("total") + F.col("t_b") - F.col("shared"))).alias("s"),
+                       F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))).alias("d"))
+    near = [r.d for r in both.filter("s BETWEEN 0.75 AND 0.82").collect()]
+    assert len(near) > 150 and sum(d <= D.RADIUS for d in near) / len(near) >= 0.99
