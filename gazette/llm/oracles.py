@@ -23,13 +23,9 @@ FROM x GROUP BY conv_id"""
 
 def _op4() -> str:
     score = {r: e.replace("/", "::DOUBLE /") for r, e in quality.RULES.items()}
-    grid = " UNION ALL ".join(
-        f"SELECT *, '{r}' AS rule, {c} AS cutoff, {score[r]} > {c} AS hit FROM held"
-        for r in score for c in quality.CUTOFFS)
-    passed = " AND ".join(f"coalesce({e} <= cut_{r}, true)" for r, e in score.items())
-    cuts = ", ".join(f"max(CASE WHEN rule = '{r}' THEN {{'gain': gain, 'cutoff': cutoff}} END).cutoff AS cut_{r}"
-                     for r in score)
-    tests = len(score) * len(quality.CUTOFFS)
+    above = [" OR ".join(f"{score[r]} > {quality.LADDERS[r][i]}" for r in score) for i in range(quality.LEVELS)]
+    grid = " UNION ALL ".join(f"SELECT *, {i + 1} AS level, {x} AS hit FROM held" for i, x in enumerate(above))
+    passed = " AND ".join(f"coalesce({e} <= ({list(quality.LADDERS[r])})[level], true)" for r, e in score.items())
     a = quality.ALPHA
     return rf"""WITH w AS (
   SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t,
@@ -49,13 +45,14 @@ c AS (SELECT l.doc_id, stratum, len(w)::BIGINT AS n_words,
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 held AS (SELECT j.*, q FROM j JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY 1)
     USING (doc_id) WHERE NOT base_failed),
-risk AS (SELECT stratum, rule, cutoff, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND hit) AS k,
+risk AS (SELECT stratum, level, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND hit) AS k,
     count(*) FILTER (q = 0) AS nb, count(*) FILTER (q = 0 AND hit) AS kb FROM ({grid}) GROUP BY ALL),
 tested AS (SELECT *, CASE WHEN k < n * {a} THEN list_sum(list_transform(range(0, k + 1), lambda i:
       exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a})))) ELSE 1 END AS p,
     kb - {quality.GOOD_COST} * k AS gain FROM risk),
-cut AS (SELECT stratum, {cuts} FROM tested WHERE gain > 0 AND p <= {quality.DELTA} /
-    ((SELECT count(DISTINCT stratum) FROM held) * {tests}) GROUP BY stratum)
+certified AS (SELECT * FROM tested QUALIFY max(p) OVER (PARTITION BY stratum ORDER BY level) <=
+    {quality.DELTA} / (SELECT count(DISTINCT stratum) FROM held)),
+cut AS (SELECT stratum, arg_max(level, struct_pack(g := gain, l := -level)) AS level FROM certified WHERE gain > 0 GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {passed} AS kept FROM j LEFT JOIN cut USING (stratum)"""
 

@@ -1,17 +1,24 @@
 """Quality rules with risk-controlled thresholds (DataFrame expressions only).
 
 Every document gets counts from its whole text and, from them, five badness
-scores (``RULES``). Labelled documents are the holdout. For each stratum
-(language), rule and cutoff of a fixed grid, the false rejections among good
-documents are tested against ``ALPHA``: the exact binomial tail
-``P(Bin(n, ALPHA) <= k)`` must be at most ``DELTA`` divided by the number of
-tests (Bonferroni over strata x rules x cutoffs). This is the same as the
-Clopper-Pearson upper bound of the false-rejection rate staying below
-``ALPHA``. So with probability ``1 - DELTA`` every chosen cutoff of every
-stratum rejects at most ``ALPHA`` of the good documents. Among the certified
-cutoffs the one with the largest ``bad rejected - GOOD_COST * good rejected``
-is taken, the loosest on a tie; a rule without a certified cutoff of positive
-gain stays silent in that stratum.
+scores (``RULES``). The rules tighten together over the levels of fixed ladders
+(``LADDERS``): at each level a document is rejected if any score is above its
+cutoff of that level, so each level rejects what the one before it does and more.
+
+Labelled documents are the holdout. For each stratum (language) and level the
+false rejections of this verdict among good documents are tested against
+``ALPHA``: the exact binomial tail ``P(Bin(n, ALPHA) <= k)``, which is the same as
+the Clopper-Pearson upper bound of the false-rejection rate staying below
+``ALPHA``. Within a stratum the levels are tested in order, from the loosest on,
+each at the whole level of the stratum, until the first that fails (a
+fixed-sequence test, which needs no further correction); the strata share
+``DELTA`` evenly (Bonferroni). So with probability ``1 - DELTA`` the verdict of every
+stratum, all five rules together, rejects at most ``ALPHA`` of its good documents.
+Among the certified levels the one with the largest ``bad rejected - GOOD_COST *
+good rejected`` is taken, the loosest on a tie; a stratum without a certified
+level of positive gain rejects nothing beyond the base rule. A stratum needs
+``ln(DELTA / strata) / ln(1 - ALPHA)`` good documents to certify anything: 217 with
+four strata.
 
 Scale: one pass over the texts, no shuffle of words: repeated 3-word windows
 are found inside the row by sorting (hash, position). The slim counts are
@@ -27,7 +34,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.session import ensure_checkpoint_dir
@@ -43,8 +50,16 @@ RULES = {
     "capitals": "n_upper / greatest(word_chars, 1)",
     "shouting": "n_exclaim / greatest(n_words, 1)",
 }
-CUTOFFS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)
-ALPHA, DELTA = 0.01, 0.05
+# the cutoff of each rule at each level, from the loosest on
+LADDERS = {
+    "symbols": (0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.05, 0.03),
+    "dup_lines": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2),
+    "repeats": (0.5, 0.48, 0.46, 0.43, 0.4, 0.36, 0.32, 0.28, 0.24, 0.2, 0.15, 0.1),
+    "capitals": (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.4, 0.3),
+    "shouting": (0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.07, 0.05),
+}
+LEVELS = 12
+ALPHA, DELTA = 0.02, 0.05
 GOOD_COST = 10          # a lost good document weighs as much as ten bad ones kept
 
 
@@ -106,36 +121,39 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k < n * F.lit(p), term * total).otherwise(F.lit(1.0))
 
 
+def rejected_at(level: int) -> Column:
+    """Is any score above its cutoff of the level (1 .. ``LEVELS``)?"""
+    return reduce(lambda a, b: a | b, [F.expr(e) > F.lit(LADDERS[r][level - 1]) for r, e in RULES.items()])
+
+
 def risk_table(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "stratum",
-               alpha: float = ALPHA, delta: float = DELTA, rules=None, cutoffs=CUTOFFS) -> DataFrame:
-    """``stratum, rule, cutoff, n_good, k_good, n_bad, k_bad, p_value, certified`` for every test."""
-    rules = rules or RULES
+               alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``stratum, level, n_good, k_good, n_bad, k_bad, p_value, certified`` for every test."""
     lab = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.min("quality").alias("_q"))
     held = counts.filter(~base_failed()).join(lab, id_col)
-    names = [(r, c) for r in rules for c in cutoffs]
-    hits = [F.count_if((F.col("_q") == q) & (F.expr(rules[r]) > F.lit(c))).alias(f"{'gb'[1 - q]}_{i}")
-            for i, (r, c) in enumerate(names) for q in (1, 0)]
+    held = held.select(stratum, "_q", *[rejected_at(i).alias(f"r_{i}") for i in range(1, LEVELS + 1)])
+    hits = [F.count_if((F.col("_q") == q) & F.col(f"r_{i}")).alias(f"{'bg'[q]}_{i}") for i in range(1, LEVELS + 1) for q in (0, 1)]
     agg = held.groupBy(stratum).agg(F.count_if(F.col("_q") == 1).alias("n_good"),
                                     F.count_if(F.col("_q") == 0).alias("n_bad"), *hits)
-    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"g_{i}").alias("k_good"),
-                               F.col(f"b_{i}").alias("k_bad")) for i, (r, c) in enumerate(names)])
-    # strata are counted by an aggregate joined back, so that the correction knows the number of tests
-    m = agg.agg(F.count("*").alias("_s"))
-    out = agg.select(stratum, "n_good", "n_bad", F.explode(tests).alias("x")).select(
-        stratum, "n_good", "n_bad", "x.*").join(F.broadcast(m))          # one row
-    p = binomial_tail(F.col("n_good"), F.col("k_good"), alpha)
-    return out.withColumn("p_value", p).withColumn(
-        "certified", F.col("p_value") <= F.lit(delta) / (F.col("_s") * F.lit(len(names)))).drop("_s")
-
-
-def cutoff_table(risk: DataFrame, stratum: str = "stratum", rules=None) -> DataFrame:
-    """One row per stratum with the chosen cutoff of each rule (null: the rule is silent)."""
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"g_{i}").alias("k_good"), F.col(f"b_{i}").alias("k_bad"))
+                       for i in range(1, LEVELS + 1)])
+    # the number of strata, joined to each of them by a constant key, so that the correction knows it
+    m = agg.agg(F.count("*").alias("_s")).withColumn("_one", F.lit(1))
+    out = agg.select(stratum, "n_good", "n_bad", F.explode(levels).alias("x")).select(
+        stratum, "n_good", "n_bad", "x.*", F.lit(1).alias("_one")).join(F.broadcast(m), "_one").drop("_one")          # one row
+    out = out.withColumn("p_value", binomial_tail(F.col("n_good"), F.col("k_good"), alpha))
+    # in order: a level counts only if all levels before it are certified as well
+    worst = F.max("p_value").over(Window.partitionBy(stratum).orderBy("level"))
+    return out.withColumn("certified", worst <= F.lit(delta) / F.col("_s")).drop("_s")
+
+
+def level_table(risk: DataFrame, stratum: str = "stratum") -> DataFrame:
+    """``stratum, level``: the chosen level (null: nothing is rejected)."""
     gain = F.col("k_bad") - GOOD_COST * F.col("k_good")
     ok = F.col("certified") & (gain > 0)
-    best = lambda r: F.max(F.when(ok & (F.col("rule") == r),
-                                  F.struct(gain.alias("gain"), F.col("cutoff").alias("cutoff"))))
-    return risk.groupBy(stratum).agg(*[best(r)["cutoff"].alias(f"cut_{r}") for r in (rules or RULES)])
+    best = F.max(F.when(ok, F.struct(gain.alias("gain"), (-F.col("level")).alias("loose"))))
+    return risk.groupBy(stratum).agg((-best["loose"]).alias("level"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -146,10 +164,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                       F.col(text_col).alias("_text"))
     counts = text_counts(src, [id_col, "stratum"], "_text").checkpoint()
     # one row per language; checkpointed, so its size is known before it is broadcast
-    cuts = cutoff_table(risk_table(counts, labels, id_col, "stratum", alpha, delta)).checkpoint()
+    cuts = level_table(risk_table(counts, labels, id_col, "stratum", alpha, delta)).checkpoint()
     cuts = F.broadcast(cuts) if cuts.count() <= 10_000 else cuts
-    passed = reduce(lambda a, b: a & b, [F.coalesce(F.expr(e) <= F.col(f"cut_{r}"), F.lit(True))
-                                         for r, e in RULES.items()])
+    # not element_at: on a constant array it has a value for a null level
+    cutoff = lambda r: F.get(F.array(*[F.lit(c) for c in LADDERS[r]]), F.col("level") - 1)
+    passed = reduce(lambda a, b: a & b, [F.coalesce(F.expr(e) <= cutoff(r), F.lit(True)) for r, e in RULES.items()])
     failed = base_failed()
     return counts.join(cuts, "stratum", "left").select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

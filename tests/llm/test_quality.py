@@ -43,18 +43,57 @@ def test_binomial_tail_is_exact(spark):
         assert math.isclose(r.p, want, rel_tol=1e-8)
 
 
-def test_certified_cutoffs_keep_the_risk(spark):
-    """Enough labelled rows: symbol junk is cut, good rows stay, and a thin stratum certifies nothing."""
-    good = " ".join(f"w{i}" for i in range(80))
-    junk = " ".join(f"w{i}###" for i in range(80))
-    docs = spark.range(2200).select(
-        F.col("id").alias("doc_id"), F.when(F.col("id") % 11 == 0, junk).otherwise(good).alias("text"),
-        F.when(F.col("id") < 2100, "en").otherwise("xx").alias("lang"))
-    labels = docs.select("doc_id", F.when(F.col("doc_id") % 11 == 0, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
-    out = Q.judge(docs, labels).join(labels, "doc_id").groupBy((F.col("doc_id") < 2100).alias("en"), "quality", "kept").count()
-    got = {(r.en, r.quality, r.kept): r["count"] for r in out.collect()}
-    assert (True, 1, False) not in got and (True, 0, True) not in got
-    assert (False, 0, False) not in got
+def planted(spark):
+    """Strata of 2,100, 300, 217 and 216 good rows with junk in each; in ``fr`` good rows look like junk now and then."""
+    def rows():
+        at = 0
+        for lang, n in (("en", 2100), ("es", 300), ("de", 217), ("xx", 216), ("fr", 1500)):
+            for i in range(n):
+                odd = lang == "fr" and i % 25 == 0
+                yield at, " ".join(f"w{k}" + ("##" if odd and k % 2 else "") for k in range(80 + i % 3)), lang, 1
+                at += 1
+            for i in range(40):
+                yield at, " ".join(f"w{k}###" for k in range(80 + i % 3)), lang, 0
+                at += 1
+    rows = list(rows())
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows], "doc_id long, quality int, toxic int")
+    return rows, docs, labels
+
+
+def test_certified_levels_keep_the_risk(spark):
+    rows, docs, labels = planted(spark)
+    kept = {r.doc_id: r.kept for r in Q.judge(docs, labels).collect()}
+    lost = {}
+    for i, _, lang, q in rows:
+        lost.setdefault((lang, q), []).append(not kept[i])
+    # with five strata a stratum needs ln(0.01) / ln(0.98) = 228 good rows: es has them, de and xx have not
+    assert all(lost["en", 0]) and all(lost["es", 0]) and not any(lost["de", 0]) and not any(lost["xx", 0])
+    for lang in ("en", "es", "de", "xx"):
+        assert not any(lost[lang, 1])
+    assert sum(lost["fr", 1]) <= Q.ALPHA * len(lost["fr", 1])
+    counts_ = Q.text_counts(docs.withColumnRenamed("lang", "stratum"), ["doc_id", "stratum"]).checkpoint()
+    risk = Q.risk_table(counts_, labels)
+    by = {(r.stratum, r.level): r for r in risk.collect()}
+    certified = [by["fr", i].certified for i in range(1, Q.LEVELS + 1)]
+    assert certified == sorted(certified, reverse=True) and not all(certified)       # in order, up to the first that fails
+
+
+def test_the_sql_rejects_the_same_planted_rows(spark, tmp_path):
+    _, docs, labels = planted(spark)
+    docs.withColumn("source", F.lit("s")).write.parquet(str(tmp_path / "documents"))
+    labels.write.parquet(str(tmp_path / "labels"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}/*.parquet')")
+    want = dict(con.execute(f"SELECT doc_id, kept FROM ({SQL['op4_quality_rules']})").fetchall())
+    got = {r.doc_id: r.kept for r in Q.judge(docs, labels).collect()}
+    assert got == want and 70 < sum(not k for k in got.values()) < 200
+
+
+def test_ladders_are_nested():
+    assert set(Q.LADDERS) == set(Q.RULES)
+    assert all(len(x) == Q.LEVELS and list(x) == sorted(x, reverse=True) for x in Q.LADDERS.values())
 
 
 def test_edges(spark):
