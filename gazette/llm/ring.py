@@ -10,15 +10,18 @@ overflow, a few hundredths of the rows, leaves its home shard.
 
 Scale: one pass over the texts makes slim rows (id, size, crc, cell), which
 are checkpointed. Only one total per cell reaches the driver: at most
-``CELLS`` rows whatever the input. Slots are numbered per cell (a window over
-``CELLS`` even groups) plus the cell's offset in its shard, so nothing is
-ever sorted per shard.
+``CELLS`` rows whatever the input. A cell heavier than ``1 / SPLIT`` of a shard (a
+key that repeats in a great part of the rows) is cut into parts by a hash of
+the row; each part is a cell of its own with the same home, so it takes what
+room there is and goes on clockwise. Slots are numbered per cell (a window over
+even groups) plus the cell's offset in its shard, so nothing is ever sorted per
+shard.
 
 Defined results: a null text has size 8 and crc 0; a null key is a key like
-any other; rows with equal keys share a cell and so a shard, and ties in a
-cell are ordered by (key, crc, size). An empty table gives an empty result.
-A single cell that fits nowhere (heavier than every shard's room) goes to the
-least loaded shard.
+any other; rows with equal keys share a cell, and a shard unless the cell is
+that heavy; ties in a cell are ordered by (key, crc, size). An empty table
+gives an empty result. A part that fits nowhere (a row larger than every
+shard's room) goes to the least loaded shard.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from gazette.session import ensure_checkpoint_dir
 CELLS = 1 << 16          # ring positions; also the bound of what the driver sees
 VNODES = 256             # virtual nodes of each shard
 SLACK = 0.001            # a shard may exceed the mean by this share
+SPLIT = 64               # a cell above this part of a shard is split
 
 
 def ring_points(shards: int, vnodes: int = VNODES, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -47,9 +51,9 @@ def ring_points(shards: int, vnodes: int = VNODES, cells: int = CELLS) -> list[t
     return [(c, s) for c, _, s in sorted(pts)]
 
 
-def place_cells(totals: dict[int, int], shards: int, slack: float = SLACK, vnodes: int = VNODES,
-                cells: int = CELLS) -> tuple[dict[int, int], dict[int, int]]:
-    """``(cell -> shard, cell -> home shard)`` for the loaded cells.
+def place_cells(totals: dict, shards: int, slack: float = SLACK, vnodes: int = VNODES,
+                cells: int = CELLS) -> tuple[dict, dict]:
+    """``(cell -> shard, cell -> home shard)`` for the loaded cells: numbers, or (number, part) of split ones.
 
     Heavy cells are placed first (ties: lower cell), so that light ones fill
     the last gaps; each goes clockwise from its home until a shard has room.
@@ -60,7 +64,7 @@ def place_cells(totals: dict[int, int], shards: int, slack: float = SLACK, vnode
     load = [0] * shards
     placed, homes = {}, {}
     for cell, size in sorted(totals.items(), key=lambda x: (-x[1], x[0])):
-        start = bisect.bisect_left(at, cell)
+        start = bisect.bisect_left(at, cell[0] if isinstance(cell, tuple) else cell)
         homes[cell] = points[start % len(points)][1]
         seen: set[int] = set()
         target = None
@@ -93,19 +97,26 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         (F.octet_length(text).cast("long") + F.lit(8)).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int").alias("_cell"),
+        F.monotonically_increasing_id().alias("_row"),
     ).checkpoint()
-    cells = slim.groupBy("_cell").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # <= CELLS rows
-    totals = {r["_cell"]: r["b"] for r in cells}
+    whole = slim.groupBy("_cell").agg(F.sum("size").alias("b")).collect()                    # <= CELLS rows
+    room = max(1, sum(r["b"] for r in whole) // (shards * SPLIT))
+    parts = {r["_cell"]: -(-r["b"] // room) for r in whole if r["b"] > room}                 # <= shards * SPLIT cells
+    n_parts = F.try_element_at(F.create_map(*[F.lit(x) for p in sorted(parts.items()) for x in p]), F.col("_cell")) if parts else F.lit(None)
+    slim = slim.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_row"), n_parts.cast("long")), F.lit(0)).cast("int")).drop("_row")
+    cells = slim.groupBy("_cell", "_part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()   # <= CELLS + 2 * shards * SPLIT
+    totals = {(r["_cell"], r["_part"]): r["b"] for r in cells}
     placed, homes = place_cells(totals, shards, slack, vnodes)
     offset, filled = {}, [0] * shards
-    for r in sorted(cells, key=lambda r: r["_cell"]):
-        offset[r["_cell"]] = filled[placed[r["_cell"]]]
-        filled[placed[r["_cell"]]] += r["n"]
-    table = spark.createDataFrame([(c, placed[c], homes[c], offset[c]) for c in sorted(placed)],
-                                  "_cell int, shard int, home_shard int, _offset long")
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_id", "text_crc32", "size"))
-    # the placement table has at most CELLS rows: about 2 MB
-    return slim.join(F.broadcast(table), "_cell").select(
+    for r in sorted(cells, key=lambda r: (r["_cell"], r["_part"])):
+        c = (r["_cell"], r["_part"])
+        offset[c] = filled[placed[c]]
+        filled[placed[c]] += r["n"]
+    table = spark.createDataFrame([(*c, placed[c], homes[c], offset[c]) for c in sorted(placed)],
+                                  "_cell int, _part int, shard int, home_shard int, _offset long")
+    rank = F.row_number().over(Window.partitionBy("_cell", "_part").orderBy("_id", "text_crc32", "size"))
+    # the placement table has at most CELLS + 2 * shards * SPLIT rows: about 2 MB
+    return slim.join(F.broadcast(table), ["_cell", "_part"]).select(
         F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("_offset") + rank - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "home_shard")

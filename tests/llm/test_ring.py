@@ -46,3 +46,44 @@ def test_edges(spark):
         own = sorted(r.slot for r in out if r.shard == s)
         assert own == list(range(len(own)))
     assert R.shard_documents(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_placement_recomputed(spark):
+    """Every row's shard by a plain walk over the ring: cells by weight, clockwise to the first shard with room."""
+    import xxhash
+    rows = [(i, "x" * (i * 37 % 900), "en", "s", 1) for i in range(3000)]
+    got = {r.doc_id: (r.shard, r.home_shard) for r in R.shard_documents(frame(spark, rows), shards=5).collect()}
+    cell = {}
+    for i, t, *_ in rows:
+        h = xxhash.xxh64_intdigest(str(i).encode(), 42)
+        cell[i] = (h - (1 << 64) if h >> 63 else h) % R.CELLS
+    load = Counter()
+    for i, t, *_ in rows:
+        load[cell[i]] += len(t) + 8
+    total = sum(load.values())
+    assert max(load.values()) <= total // (5 * R.SPLIT)                       # nothing is split here
+    owner = defaultdict(list)
+    for c, shard in R.ring_points(5):
+        owner[c].append(shard)
+    room = {s: -(-total * (1 + R.SLACK) // 5) for s in range(5)}
+    place = {}
+    for c in sorted(load, key=lambda c: (-load[c], c)):
+        way = [s for k in range(R.CELLS) for s in owner.get((c + k) % R.CELLS, ())]
+        home = way[0]
+        fits = next((s for s in way if room[s] >= load[c]), None)
+        fits = min(room, key=lambda s: (-room[s], s)) if fits is None else fits
+        room[fits] -= load[c]
+        place[c] = (fits, home)
+    assert got == {i: place[cell[i]] for i in cell}
+
+
+def test_a_key_with_a_third_of_the_rows(spark):
+    rows = [(7 if i % 3 else i, f"text {i}" * 9, "en", "s", 1) for i in range(6000)] + [(None, "same", "en", "s", 1)] * 1500
+    out = R.shard_documents(frame(spark, rows), shards=6).collect()
+    load, slots = Counter(), defaultdict(list)
+    for r in out:
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    mean = sum(load.values()) / 6
+    assert len(out) == len(rows) and max(load.values()) <= mean * 1.02 and min(load.values()) >= mean * 0.95
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
