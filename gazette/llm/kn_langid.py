@@ -9,8 +9,9 @@ and their contexts another one with the interpolation weights; a text is
 scored by binary search, from the longest n-gram down to the first hit. The
 language of lowest cross-entropy per symbol wins (ties: the lesser label).
 
-Learning uses a bounded sample: at most ``TRAIN_DOCS`` labelled documents per
-language for the counts and ``CALIBRATION_DOCS`` others for calibration, both
+Learning uses a bounded sample: of the ``MAX_LANGS`` commonest values of the
+language column (the lesser on ties) at most ``TRAIN_DOCS`` labelled documents
+each for the counts and ``CALIBRATION_DOCS`` others for calibration, both
 the first by a hash of the id, always whole texts. Counts are summed in
 Spark. Calibration fits the sharpness of ``score`` (the winner's share of
 ``exp(-sharpness * symbols * cross-entropy)``, symbols capped) by log loss and
@@ -42,6 +43,7 @@ MAX_SYMBOLS = (1 << BITS) - 3
 TRAIN_DOCS = 600
 CALIBRATION_DOCS = 200
 REJECT = 0.999
+MAX_LANGS = 64               # languages that get a model: the commonest among the labelled rows
 CHUNK = 1 << 20
 _LETTERS: np.ndarray | None = None
 
@@ -229,15 +231,19 @@ def _predict_pass(shared):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS):
+        train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS, max_langs: int = MAX_LANGS):
     """``(Model, sharpness, rejection bounds)`` from labelled rows, or None without any."""
     lab = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    top = lab.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not top:
+        return None
+    lab = lab.filter(F.col("lang").isin([r["lang"] for r in top]))
     h = F.xxhash64(F.col("_id").cast("string"), F.lit("langid"))
     w = Window.partitionBy("lang").orderBy("_h", "_id")
     # the first rows of each language by hash: a window limit that each task applies before the shuffle
     pick = (lab.select("lang", "_id", h.alias("_h")).withColumn("_k", F.row_number().over(w))
-            .filter(F.col("_k") <= train_docs + calibration_docs).collect())      # bounded per language
+            .filter(F.col("_k") <= train_docs + calibration_docs).collect())      # bounded per language, and these are bounded
     spark = docs.sparkSession
     if not pick:
         return None

@@ -29,6 +29,62 @@ def test_models_are_distributions():
         assert np.allclose(total, 1.0, atol=1e-6)
 
 
+def plain_kneser_ney(counts, size):
+    """``p(symbol | context)`` by the textbook recursion over dictionaries."""
+    orders = [None] * (K.ORDER + 1)
+    orders[K.ORDER] = dict(counts)
+    for n in range(K.ORDER - 1, 0, -1):
+        shorter = {}
+        for g in orders[n + 1]:
+            shorter[g[1:]] = shorter.get(g[1:], 0) + 1           # distinct symbols before it
+        orders[n] = shorter
+    discount, total, kinds = {}, {}, {}
+    for n in range(1, K.ORDER + 1):
+        ones, twos = (sum(c == k for c in orders[n].values()) for k in (1, 2))
+        discount[n] = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.9)
+        for g, c in orders[n].items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c
+            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+
+    def p(g):
+        n, ctx = len(g), g[:-1]
+        low = p(g[1:]) if n > 1 else 1 / size
+        if ctx not in total:
+            return low
+        return max(orders[n].get(g, 0) - discount[n], 0) / total[ctx] + discount[n] * kinds[ctx] / total[ctx] * low
+    return p
+
+
+def test_probabilities_equal_plain_kneser_ney():
+    texts = {"a": "abra cadabra abba cab bad dab", "b": "die der das dieb und deren diebe"}
+    counts = {k: counted(v) for k, v in texts.items()}
+    m = K.Model(counts)
+    size = len(m.ids) + 1
+    probe = ["".join(g) for v in counts.values() for g in v] + ["abab", " ddd", "bbbb", "dieu", "zzzz", "aza ", "   a"]
+    symbol = lambda c: m.ids.get(ord(c), 1)
+    keys = np.array([sum(symbol(c) << (K.BITS * (K.ORDER - 1 - i)) for i, c in enumerate(g)) for g in probe], np.int64)
+    got = m._lookup(keys, K.ORDER)
+    for j, lang in enumerate(m.langs):
+        p = plain_kneser_ney({tuple(map(symbol, g)): n for g, n in counts[lang].items()}, size)
+        assert np.allclose(got[:, j], [np.log(p(tuple(map(symbol, g)))) for g in probe], atol=1e-9)
+    text = "dab die abra"
+    ce, length = m.entropies([text])
+    s = " " * (K.ORDER - 2) + K.symbols(text).tobytes().decode("utf-32-le")
+    grams = [s[i:i + K.ORDER] for i in range(len(s) - K.ORDER + 1)]
+    assert length[0] == len(grams)
+    for j, lang in enumerate(m.langs):
+        p = plain_kneser_ney({tuple(map(symbol, g)): n for g, n in counts[lang].items()}, size)
+        assert abs(ce[0, j] + np.mean([np.log(p(tuple(map(symbol, g)))) for g in grams])) < 1e-9
+
+
+def test_many_language_values_are_bounded(spark):
+    rows = [(i, f"some english words number {i} here and there", "en", "s", 1) for i in range(60)]
+    rows += [(100 + i, f"einige deutsche wörter nummer {i} hier und dort", "de", "s", 1) for i in range(50)]
+    rows += [(1000 + i, f"noise {i}", f"x{i}", "s", 1) for i in range(300)]
+    model, _, _ = K.fit(frame(spark, rows, False), max_langs=2)
+    assert model.langs == ["de", "en"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
