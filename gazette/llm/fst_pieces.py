@@ -1,21 +1,24 @@
 """SentencePiece-style encoding and decoding as shortest paths of a weighted transducer.
 
-``Transducer`` joins three parts of an existing vocabulary file:
+Two weighted transducers are compiled from a vocabulary file and composed:
 
-* the normaliser: a mark before the text and a mark for every space, all else
-  unchanged (a mark character in the text itself is never read as a space: it
-  goes through the byte pieces, which keeps decoding exact);
-* the pieces: a trie whose final states write a piece id with a weight
-  ``-log p``, ``p`` a Zipf law over the file's scores (minus the merge rank);
-* byte fallback: for each byte without a piece of its own an arc that writes
-  its byte piece, heavier than any piece.
+* the normaliser reads bytes and writes bytes and marks: a mark before the text and
+  a mark for every space, all else unchanged (the bytes of a mark character in the text
+  stay bytes, so they are never read as a space, which keeps decoding exact);
+* the pieces read bytes and marks and write piece ids: a path of states per piece
+  that goes back to the start writing its id with a weight ``-log p``, ``p`` a Zipf
+  law over the file's scores (minus the merge rank); byte fallback: for each
+  byte without a piece of its own a path that writes its byte piece, heavier
+  than any piece.
 
-``Transducer.shortest`` composes it with an input and takes the
+``Transducer`` holds their composition as tables. ``shortest`` composes it with
+an input, which is a chain of its bytes, and takes the
 tropical-semiring (min, +) shortest path; on equal weight at a place the path
 whose last piece starts first wins. No piece has a mark after another character, so the
 composed lattice falls apart at every such place and the best path of a text
 is the concatenation of the best paths of its chunks; each task keeps the
 paths of chunks it has seen (at most ``CACHE`` of them, then starts afresh).
+A chunk of any length takes memory in proportion to its bytes.
 
 A narrow job: no shuffle, texts of together ``BATCH_BYTES`` bytes (one at
 least) at a time. Defined results: null text encodes like the empty text, to the id of
@@ -25,9 +28,12 @@ dropped by the query, kept by ``encode``.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +42,116 @@ from pyspark.sql import functions as F
 
 from gazette.llm import vocab as V
 from gazette.llm.lattice_lm import initial_weights
-from gazette.llm.trie import by_length, compiled
+from gazette.llm.trie import LONG, Tables, by_length, compiled
 
 CACHE = 500_000
+EPS, MARK = -1, 256          # no symbol; the mark, beside the 256 bytes
 BATCH_BYTES = 4_000_000
 
 
+@dataclass
+class Fst:
+    """A weighted transducer: ``arcs[state]`` are (input, output, weight, next state); it starts in state 0."""
+
+    arcs: list[list[tuple[int, int, float, int]]]
+    final: set[int]
+
+
+def normaliser() -> Fst:
+    """Bytes to bytes and marks."""
+    return Fst([[(EPS, MARK, 0.0, 1)], [(b, MARK if b == 32 else b, 0.0, 1) for b in range(256)]], {1})
+
+
+def piece_machine(vocabulary: V.Vocabulary, weights: np.ndarray) -> Fst:
+    """Bytes and marks to piece ids."""
+    arcs: list[list[tuple[int, int, float, int]]] = [[]]
+    states: dict[tuple[int, int], int] = {}
+
+    def path(symbols: list[int], piece: int) -> None:
+        at = 0
+        for x in symbols:
+            if (at, x) not in states:
+                states[at, x] = len(arcs)
+                arcs[at].append((x, EPS, 0.0, len(arcs)))
+                arcs.append([])
+            at = states[at, x]
+        arcs[at].append((EPS, piece, float(weights[piece]), 0))
+
+    alone = set()
+    for i, p in enumerate(vocabulary.pieces):
+        if p:
+            symbols = [x for k, part in enumerate(p.split(V.MARK_BYTES)) for x in ([MARK] if k else []) + list(part)]
+            path(symbols, i)
+            if len(symbols) == 1:
+                alone.add(symbols[0])
+    for b, i in enumerate(vocabulary.byte_ids):
+        if b not in alone:
+            path([b], i)
+    return Fst(arcs, {0})
+
+
+def compose(a: Fst, b: Fst) -> Fst:
+    """The machine that reads what ``a`` reads and writes what ``b`` makes of ``a``'s output (``a`` writes a symbol on every arc)."""
+    by_output = [{} for _ in a.arcs]
+    for p, own in enumerate(a.arcs):
+        for i, o, w, q in own:
+            by_output[p].setdefault(o, []).append((i, w, q))
+    names, todo, arcs = {(0, 0): 0}, [(0, 0)], [[]]
+
+    def state(pair: tuple[int, int]) -> int:
+        if pair not in names:
+            names[pair] = len(todo)
+            todo.append(pair)
+            arcs.append([])
+        return names[pair]
+
+    for p, q in todo:                                       # grows while it is read
+        own = arcs[names[p, q]]
+        for i, o, w, r in b.arcs[q]:
+            if i == EPS:
+                own.append((EPS, o, w, state((p, r))))
+            else:
+                own += [(x, o, w + v, state((s, r))) for x, v, s in by_output[p].get(i, ())]
+    return Fst(arcs, {n for (p, q), n in names.items() if p in a.final and q in b.final})
+
+
+def tables(machine: Fst) -> tuple[Tables, int]:
+    """The composed machine as ``Tables`` over bytes from its home state on, and its number of states.
+
+    Home is the state that writing a piece leads back to; the mark before a text is read as a space.
+    """
+    homes = {n for own in machine.arcs for i, o, _, n in own if i == EPS and o != EPS}
+    if len(homes) != 1:
+        raise ValueError("not a machine of pieces")
+    number, order = {}, list(homes)
+    for s in order:                                         # home is 0; grows while it is read
+        number[s] = len(number)
+        order += [n for i, _, _, n in machine.arcs[s] if i != EPS and n not in number and n not in homes]
+    next_, piece = np.zeros((len(order), 256), np.int32), np.full(len(order), -1, np.int32)
+    for s in order:
+        for i, o, _, n in machine.arcs[s]:
+            if i != EPS:
+                next_[number[s], i] = number[n]
+            elif o != EPS:
+                piece[number[s]] = o
+    return Tables(next_, piece), len(machine.arcs)
+
+
+@lru_cache(maxsize=2)
+def composed(vocabulary: V.Vocabulary, weights: tuple[float, ...]) -> tuple[Tables, int]:
+    """Once per Python worker."""
+    return tables(compose(normaliser(), piece_machine(vocabulary, np.array(weights))))
+
+
 class Transducer:
-    """Normaliser, pieces and byte fallback, compiled from a vocabulary."""
+    """Normaliser, pieces and byte fallback, composed from a vocabulary."""
 
     def __init__(self, vocabulary: V.Vocabulary):
         self.trie = compiled(vocabulary)
         self.surface = self.trie.surface                # what each id stands for, with spaces for marks
         self.weights = -np.array(initial_weights(vocabulary))
         self.weights[list(vocabulary.byte_ids)] = self.weights.max() + 1.0
+        self.tables, self.states = composed(vocabulary, tuple(self.weights.tolist()))
         self.fallback = np.zeros(len(self.weights), bool)
         self.fallback[list(vocabulary.byte_ids)] = True
         inner = set().union(*vocabulary.pieces)
@@ -63,11 +165,15 @@ class Transducer:
         out: list = [None] * len(chunks)
         for at, mat in by_length(chunks):
             n, length = mat.shape
+            if length > LONG:
+                for k, row in zip(at, mat, strict=True):
+                    out[k] = self._shortest_long(row.tobytes())
+                continue
             cost = np.full((length + 1, n), np.inf)
             cost[0] = 0.0
             came = np.zeros((length + 1, n), np.int32)
             wrote = np.zeros((length + 1, n), np.int32)
-            for i, here in enumerate(self.trie.arcs(mat)):
+            for i, here in self.tables.arcs(mat):
                 for j, rows, piece in here:
                     x = cost[i, rows] + self.weights[piece]
                     better = x < cost[j, rows]
@@ -85,6 +191,23 @@ class Transducer:
                 out[k] = p[len(p) - m:].tobytes()
         return out
 
+    def _shortest_long(self, chunk: bytes) -> bytes:
+        """The same for one long chunk: 16 bytes a byte."""
+        n, weight = len(chunk), self.weights.tolist()
+        cost = array("d", [0.0]) + array("d", [math.inf]) * n
+        came, wrote = array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
+        for i in range(n):
+            for j, piece in self.tables.ways(chunk, i):
+                x = cost[i] + weight[piece]
+                if x < cost[j]:
+                    cost[j], came[j], wrote[j] = x, i, piece
+        path = array("i")
+        while n:
+            path.append(wrote[n])
+            n = came[n]
+        path.reverse()
+        return path.tobytes()
+
     def encode(self, texts: list[bytes]) -> list[array]:
         """Ids of each text; chunks that are not yet known are composed together."""
         if len(self.cache) >= CACHE:
@@ -97,9 +220,10 @@ class Transducer:
             if None in ids:
                 open_.append((ids, chunks))
         new = list({c for ids, chunks in open_ for c, i in zip(chunks, ids, strict=True) if i is None})
-        self.cache.update(zip(new, self.shortest(new), strict=True))
+        found = dict(zip(new, self.shortest(new), strict=True))
         for ids, chunks in open_:
-            ids[:] = [known(c) for c in chunks]
+            ids[:] = [found[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
+        self.cache.update((c, i) for c, i in found.items() if len(c) <= LONG)
         return [array("i", b"".join(ids)) for ids in out]
 
     def decode(self, ids) -> bytes:

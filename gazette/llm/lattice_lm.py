@@ -12,9 +12,10 @@ lattices (forward-backward).
 Words seen in training also have an arc of their own. With absolute
 discounting (D = n1 / (n1 + 2 n2)) a token has probability
 ``(c - D) / N + (D V / N) * marginal``; the end has only its own arc. That is
-one unigram model; there is one for each of the commonest languages of the
-training rows (at most ``MAX_PARTS``) and one for all of them together, and
-the text's marginal probability is the weighted sum over these parts.
+one unigram model; there is one for each of the ``MAX_PARTS`` commonest languages
+of the training rows, one for all other languages together (if there are more),
+and one for all rows, and the text's marginal probability is the sum over these
+parts, weighted by their rows.
 
 Flow: (1) one pass counts words per batch, a grouped sum gives the word table
 (word, counts); (2) ``EM_STEPS`` passes over it sum expected piece counts (the
@@ -35,6 +36,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm import vocab as V
-from gazette.llm.trie import by_length, compiled
+from gazette.llm.trie import LONG, by_length, compiled
 from gazette.session import scratch_path
 
 HEAD_WORDS = 131_072         # words kept in every task's table; each at most HEAD_BYTES long
@@ -71,37 +73,79 @@ class Lattice:
             own = side & self.trie.used
             self.logw[own] = np.log(weight[own] / weight[own].sum()) + more
 
-    def _forward(self, arcs, n: int) -> np.ndarray:
+    def _forward(self, arcs, n: int, length: int) -> np.ndarray:
         """alpha[j]: log of the summed weight of all paths over the first j bytes (the mark included)."""
-        alpha = np.full((len(arcs) + 1, n), -np.inf)
+        alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0.0
-        for i, here in enumerate(arcs):
+        for i, here in arcs:
             for j, rows, piece in here:
                 alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.logw[piece])
         return alpha
 
+    def _forward_long(self, s: bytes) -> array:
+        """The same for one long string."""
+        w = self.logw.tolist()
+        alpha = array("d", [-math.inf]) * (len(s) + 1)
+        alpha[0] = 0.0
+        for i in range(len(s)):
+            if alpha[i] > -math.inf:
+                for j, piece in self.trie.ways(s, i):
+                    alpha[j] = log_add(alpha[j], alpha[i] + w[piece])
+        return alpha
+
     def marginals(self, words: list[bytes]) -> np.ndarray:
         """Natural log of the summed weight of all segmentations of each word."""
         out = np.empty(len(words))
         for at, mat in by_length([b" " + w for w in words]):
-            out[at] = self._forward(self.trie.arcs(mat), len(at))[-1] + self.stop
+            n, length = mat.shape
+            if length > LONG:
+                for k, row in zip(at, mat, strict=True):
+                    out[k] = self._forward_long(row.tobytes())[-1] + self.stop
+            else:
+                out[at] = self._forward(self.trie.arcs(mat), n, length)[-1] + self.stop
         return out
 
     def expected(self, words: list[bytes]) -> np.ndarray:
         """Expected number of each piece over the segmentations of the words (forward-backward)."""
         total = np.zeros(len(self.logw))
         for at, mat in by_length([b" " + w for w in words]):
-            arcs = self.trie.arcs(mat)
-            alpha = self._forward(arcs, len(at))
+            n, length = mat.shape
+            if length > LONG:
+                for row in mat:
+                    self._expected_long(row.tobytes(), total)
+                continue
+            arcs = list(self.trie.arcs(mat))               # of at most SLAB bytes, read twice
+            alpha = self._forward(arcs, n, length)
             beta = np.full_like(alpha, -np.inf)
             beta[-1] = 0.0
-            for i in range(len(arcs) - 1, -1, -1):
-                for j, rows, piece in arcs[i]:
+            for i, here in reversed(arcs):
+                for j, rows, piece in here:
                     x = self.logw[piece] + beta[j, rows]
                     beta[i, rows] = np.logaddexp(beta[i, rows], x)
                     total += np.bincount(piece, np.exp(alpha[i, rows] + x - alpha[-1, rows]), len(total))
         return total
 
+    def _expected_long(self, s: bytes, total: np.ndarray) -> None:
+        alpha, w = self._forward_long(s), self.logw.tolist()
+        beta = array("d", [-math.inf]) * (len(s) + 1)
+        beta[-1] = 0.0
+        sums: dict[int, float] = {}
+        for i in range(len(s) - 1, -1, -1):
+            for j, piece in self.trie.ways(s, i):
+                x = w[piece] + beta[j]
+                beta[i] = log_add(beta[i], x)
+                share = alpha[i] + x - alpha[-1]
+                if share > -700.0:
+                    sums[piece] = sums.get(piece, 0.0) + math.exp(share)
+        for piece, x in sums.items():
+            total[piece] += x
+
+
+def log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
 
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased (A-Z) runs without ASCII white space; ``bytes`` methods do exactly that."""
@@ -251,10 +295,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col(text_col).cast("binary").alias("text"))
     langs = src.filter(~F.col("held")).groupBy("lang").agg(F.count("*").alias("n"))
     ends = langs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = [(r["lang"], r["n"]) for r in langs.filter(F.col("lang").isNotNull()).orderBy(F.desc("n"), "lang").limit(MAX_PARTS).collect()]
-    part = F.lit(len(top))
+    named = langs.filter(F.col("lang").isNotNull())
+    top = [(r["lang"], r["n"]) for r in named.orderBy(F.desc("n"), "lang").limit(MAX_PARTS).collect()]
+    others = (named.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in top)
+    pooled = F.lit(len(top))                               # of the other languages; rows without one have no part
+    if others:
+        top.append((None, others))
+    part = F.when(F.col("lang").isNull(), F.lit(len(top))).otherwise(pooled)
     for k, (lang, _) in enumerate(top):
-        part = F.when(F.col("lang") == lang, F.lit(k)).otherwise(part)
+        if lang is not None:
+            part = F.when(F.col("lang") == lang, F.lit(k)).otherwise(part)
     src = src.withColumn("part", part.cast("int"))
 
     raw = scratch_path(spark, "lm-words")

@@ -60,3 +60,51 @@ def test_edges(spark):
     back = P.decode(out, keep=["text"]).collect()
     assert all(r.decoded == (r["text"] or "") for r in back)
     assert P.encode(docs.limit(0), check=True).count() == 0
+
+
+def test_composition_reads_what_the_normaliser_writes():
+    """Composed by hand on a tiny vocabulary: all paths of both machines against those of their composition."""
+    n = P.normaliser()
+    pieces = P.Fst([[(P.MARK, P.EPS, 0.0, 1), (97, P.EPS, 0.0, 2)], [(P.EPS, 7, 1.5, 0), (97, P.EPS, 0.0, 3)], [(P.EPS, 8, 2.0, 0)],
+                    [(P.EPS, 9, 0.5, 0)]], {0})
+    both = P.compose(n, pieces)
+
+    def paths(machine, text, state=0, eps=0):
+        """(outputs, weight) of all paths that read the text."""
+        out = [((), 0.0)] if not text and state in machine.final else []
+        for i, o, w, to in machine.arcs[state]:
+            if i == P.EPS and eps < 4:
+                rest = paths(machine, text, to, eps + 1)
+            elif text and i == text[0]:
+                rest = paths(machine, text[1:], to)
+            else:
+                continue
+            out += [((() if o == P.EPS else (o,)) + x, w + v) for x, v in rest]
+        return out
+    for text in (b"", b"a", b" ", b"a a", b"aa"):
+        want = [(ids, w + v) for middle, w in paths(n, text) for ids, v in paths(pieces, middle)]
+        assert sorted(paths(both, text)) == sorted(want) and want
+
+
+def test_composed_tables_are_the_trie(fst):
+    assert (fst.tables.piece >= 0).sum() == (fst.trie.piece >= 0).sum() and fst.states > 30_000
+    for s in (b" the", "größer".encode(), "▁x".encode(), b"\x00\xff  q"):
+        for i in range(len(s)):
+            assert fst.tables.ways(s, i) == fst.trie.ways(s, i)
+
+
+def test_long_strings_one_by_one(fst, monkeypatch):
+    rng = random.Random(8)
+    chunks = [b" " + bytes(rng.choice(b"abcdethin.,") for _ in range(n)) for n in (5, 60, 300)]
+    together = fst.shortest(chunks)
+    monkeypatch.setattr(P, "LONG", 2)
+    assert fst.shortest(chunks) == together
+
+
+def test_four_megabytes_without_a_space(spark):
+    """A base64-like string is one chunk: encoded and decoded whole, memory in proportion to it."""
+    rng = random.Random(1)
+    text = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=4_000_000))
+    out = P.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=["doc_id"], check=True)
+    row = out.select("round_trip", "n_fallback", "ids").collect()[0]
+    assert row.round_trip and row.n_fallback == 0 and len(row.ids) < 4_000_000
