@@ -47,6 +47,7 @@ MIN_CLASS = 3
 MIN_PAGES = 4
 MIN_SHARE = 0.5
 LINK_SHARE = 0.5
+LINK_BODIES = 1000           # a path of links counts if one in so many bodies of the host has it
 BROADCAST_ROWS = 200_000
 
 # Element roles.
@@ -82,6 +83,11 @@ def is_noise(names: str) -> bool:
     return any(parts and all(NOISE.search(x) or HEADER.search(x) for x in parts) for parts in map(WORD.findall, names.split()))
 
 
+def short_name(name: str) -> str:
+    """Names longer than 60 characters as their beginning and a hash, so that different ones stay different."""
+    return name if len(name) <= 60 else f"{name[:40]}~{xxhash.xxh64_hexdigest(name)}"
+
+
 class Page:
     """One pass over a page: ``blocks`` (path, excluded, in article, text, link characters) and ``tags`` (path and tag).
 
@@ -201,7 +207,7 @@ class Page:
             if tag == "body":                            # whatever the head left open ends here
                 self.stack.clear()
                 self._set()
-        label = tag + ("." + re.sub(r"[\d\s]+", ".", names)[:60] if names else "")
+        label = tag + ("." + short_name(re.sub(r"[\d\s]+", ".", names)) if names else "")
         self.tags.append(f"{self.path}<{label}>")
         if tag in VOID or attrs.endswith("/"):
             return
@@ -304,7 +310,7 @@ def _vector_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if n:
                     row[0] ^= xxhash.xxh64_intdigest(f"{body}/{n}") - (1 << 63)
                     row[1] += 1
-                    row[2] += n
+                row[2] += n or 1                             # of a path: the bodies that have it
                 row[3] += chars
                 row[4] += linked
             row = own.setdefault(0, [0, 0, 0, 0, 0, 0])
@@ -331,7 +337,9 @@ def templates(pages: DataFrame, min_class: int = MIN_CLASS, min_pages: int = MIN
     classes = frequent.groupBy("host", "sig", "pages", "total").agg(
         F.collect_list("token").alias("c"), F.sum(F.col("chars") / F.col("pages")).alias("size")).filter(F.col("size") >= min_class)
     tokens = classes.groupBy("host").agg(F.flatten(F.collect_list("c")).alias("tokens"))
-    links = v.filter((F.col("pages") == 0) & (F.col("linked") > LINK_SHARE * F.col("chars"))).groupBy("host").agg(
+    # a rare path is judged block by block; so a host has at most LINK_BODIES paths for each path of a page
+    links = v.filter((F.col("pages") == 0) & (F.col("linked") > LINK_SHARE * F.col("chars")) & (F.col("total") >= min_pages)).join(
+        hosts.select("host", "n"), "host").filter(F.col("total") * LINK_BODIES >= F.col("n")).groupBy("host").agg(
         F.collect_list("token").alias("link_paths"))
     return (hosts.join(tokens, "host", "left").join(links, "host", "left")
             .select("host", "tokens", "link_paths", (F.col("n_article") >= F.col("n") * min_share).alias("article")))

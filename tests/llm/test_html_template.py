@@ -113,3 +113,33 @@ def test_notice_on_part_of_the_pages(spark):
     notice = "<div>We have moved to a new building in town</div>"
     htmls = [f"<body>{notice if i % 5 < 3 else ''}<div><p>text of page {i}</p></div></body>" for i in range(20)]
     assert texts(spark, htmls) == [f"text of page {i}" for i in range(20)]
+
+
+def test_vectors_equal_plain_occurrence_vectors(spark):
+    """Template tokens of a host without articles against classes of plainly written vectors."""
+    htmls = [page(i, " and more" if i % 3 else "") for i in range(9)]
+    rows = [(f"h{i % 2}", x) for i, x in enumerate(htmls * 2)]
+    got = {r.host: set(r.tokens or ()) for r in H.templates(spark.createDataFrame(rows, "host string, html string")).collect()}
+    for host in ("h0", "h1"):
+        bodies = {}
+        for h, html in rows:
+            if h == host:
+                p = H.Page(html)
+                bodies.setdefault(H.body_key(p), H._tokens(p))
+        every = {t for own in bodies.values() for t in own}
+        classes = {}
+        for t in every:
+            classes.setdefault(tuple(own.get(t, (0, 0))[0] for own in bodies.values()), []).append(t)
+        want = set()
+        for vector, tokens in classes.items():
+            on = sum(n > 0 for n in vector)
+            words = sum(sum(own[t][1] for own in bodies.values() if t in own) / on for t in tokens)
+            if on >= H.MIN_PAGES and on >= H.MIN_SHARE * len(bodies) and words >= H.MIN_CLASS:
+                want.update(tokens)
+        assert got[host] == want and len(want) > 20
+
+
+def test_long_names_stay_apart():
+    a, b = ("x" * 70 + "a"), ("x" * 70 + "b")
+    paths = [path for path, *_ in H.Page(f"<div class='{a}'>one</div><div class='{b}'>two</div><div class='{a}'>three</div>").blocks]
+    assert paths[0] == paths[2] != paths[1] and all(len(p) < 80 for p in paths)
