@@ -2,8 +2,8 @@
 
 Layout below the store's path::
 
-    data/range=<first digits of title_hash>/commit=<number>-<token>/*.parquet
-    stats/commit=<number>-<token>/*.parquet          counts of the commit by range
+    data/range=r<first digits of title_hash>/commit=c<number>-<token>/*.parquet
+    stats/commit=c<number>-<token>/*.parquet         counts of the commit by range
     commits/*.json                                   one file per published commit
 
 A commit writes its data and counts first and is published last, by one small
@@ -67,7 +67,7 @@ class HashStore:
 
     def _begin(self) -> tuple[str, int]:
         number = max((c.number for c in self.commits()), default=0) + 1
-        return f"{number:012d}-{uuid.uuid4().hex[:8]}", number
+        return f"c{number:012d}-{uuid.uuid4().hex[:8]}", number
 
     def _publish(self, commit: str, number: int, replaces: bool, origin: str | None, schema: StructType) -> list[str]:
         """Writes the counts of what the commit has written (``schema``), then the file that makes it current."""
@@ -86,7 +86,7 @@ class HashStore:
 
     # ------------------------------------------------------------------ reading
     def range_of(self, hash_col: str = "title_hash") -> Column:
-        return F.substring(hash_col, 1, self.prefix)
+        return F.concat(F.lit("r"), F.substring(hash_col, 1, self.prefix))       # with a letter: never read as a number
 
     def _current(self, live: dict[str, list[str]]) -> Column:
         """A filter on the partition columns alone: the directories of current commits."""
@@ -110,7 +110,6 @@ class HashStore:
             live = {r: live[r] for r in ranges if r in live}
         path = f"{self.path}/data"
         stored = self.spark.read.option("basePath", path).option("mergeSchema", "true").parquet(path)
-        stored = stored.withColumn("range", F.col("range").cast("string")) if dict(stored.dtypes)["range"] != "string" else stored
         return stored.filter(self._current(live))
 
     def articles(self) -> DataFrame:
@@ -193,7 +192,7 @@ class HashStore:
             return self.spark.createDataFrame([], ddl)
         path = f"{self.path}/stats"
         rows = self.spark.read.option("basePath", path).parquet(path)
-        rows = rows.withColumn("range", F.col("range").cast("string")).filter(self._current(live))
+        rows = rows.filter(self._current(live))
         return rows.groupBy(*COUNTED).agg(F.sum("n").alias("n"))
 
     def totals(self) -> DataFrame:

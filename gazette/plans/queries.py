@@ -24,8 +24,9 @@ from gazette.session import spread
 from gazette.sources import fixtures as fx
 
 EPS = 0.7
-TREE_EPS = 0.6
-TREE_BLOCK = 64              # rows of a leaf in the queries on small blocks
+TREE_EPS = 0.7
+TREE_BLOCK = 8               # rows of a leaf in the queries on small blocks
+STORE_PREFIX = 1             # 16 ranges for the stores that the queries build
 PROTOTYPE_BLOCK = 1 << 16    # bytes of a block in the query, so that it has several
 LEXICON_ROWS, LEXICON_CHARS = 5, 6
 MIN_SAMPLES = 2
@@ -574,7 +575,7 @@ def _landed_store(spark, sf):
     """A range store that holds the labelled articles, in a new folder."""
     from gazette.operators.hash_store import HashStore
     from gazette.session import scratch_path
-    store = HashStore(spark, scratch_path(spark, "store"))
+    store = HashStore(spark, scratch_path(spark, "store"), STORE_PREFIX)
     store.load(fx.store_articles(spark, sf))
     return store
 
@@ -587,7 +588,7 @@ def q_ingest_stream(spark, sf):
     arts = fx.articles(spark, sf, with_labels=False)
     arts.write.parquet(landing)
     store = _landed_store(spark, sf)
-    ingest_stream(spark, landing, arts.schema, store.path, ckpt).awaitTermination()
+    ingest_stream(spark, landing, arts.schema, store.path, ckpt, prefix=STORE_PREFIX).awaitTermination()
     return store.articles().select("title_hash", "title", "source")
 
 
@@ -599,7 +600,7 @@ def q_ingest_feeds(spark, sf):
     landing, ckpt = (scratch_path(spark, n) for n in ("feeds", "stream-ckpt"))
     feeds.write_feeds(fx.articles(spark, sf, with_published=False, with_labels=False), landing)
     store = _landed_store(spark, sf)
-    ingest_feeds(spark, landing, store.path, ckpt).awaitTermination()
+    ingest_feeds(spark, landing, store.path, ckpt, prefix=STORE_PREFIX).awaitTermination()
     return store.articles().select("title_hash", "title", "source")
 
 

@@ -45,11 +45,11 @@ def test_insert_reads_the_ranges_of_the_batch(spark, tmp_path):
     batch = spark.createDataFrame([(1, "t5", "d", "x"), (2, "new", "d", "x"), (3, "new", "d", "y"), (4, None, None, None)], ARTICLE)
     fresh = store.insert(batch, "2024-01-01 00:00:00")
     assert sorted((r.title, r.source) for r in fresh.collect()) == [("", ""), ("new", "x")]
-    touched = sorted({md5("t5", "d")[0], md5("new", "d")[0], md5()[0]})
+    touched = sorted({"r" + h[0] for h in (md5("t5", "d"), md5("new", "d"), md5())})
     plan = store.read(touched)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and all(f"range#" in plan for _ in touched)
     files = store.read(touched).select(F.input_file_name()).distinct().collect()
-    assert {f[0].split("range=")[1][0] for f in files} <= set(touched)
+    assert {f[0].split("range=")[1][:2] for f in files} <= set(touched)
     assert store.insert(batch, "2024-01-02 00:00:00").count() == 0 and store.articles().count() == 202
 
 
@@ -57,11 +57,11 @@ def test_an_update_rewrites_the_ranges_of_its_ids(spark, tmp_path):
     store = store_of(spark, tmp_path / "s", many(200))
     before = {r.title: r.commit for r in store.read().select("title", "commit").collect()}
     up = spark.createDataFrame([("17", False, 0.25), ("none", True, 0.5)], "id string, is_relevant boolean, relevance_confidence double")
-    own = md5("t17", "d")[0]
+    own = "r" + md5("t17", "d")[0]
     assert store.update_relevance(up, "2024-02-01 00:00:00") == [own]
     after = {r.title: r.commit for r in store.read().select("title", "commit").collect()}
     assert set(after) == set(before)
-    assert {t for t in before if after[t] != before[t]} == {t for t in before if md5(t, "d")[0] == own}
+    assert {t for t in before if after[t] != before[t]} == {t for t in before if "r" + md5(t, "d")[0] == own}
     row = store.articles().filter("id = '17'").collect()[0]
     assert (row.is_relevant, row.relevance_confidence, str(row.relevance_updated_at)) == (False, 0.25, "2024-02-01 00:00:00")
     by_hash = up.withColumn("title_hash", F.lit(md5("t17", "d")))
@@ -114,6 +114,13 @@ def test_statistics_equal_a_recount(spark, tmp_path):
     assert {len(c) for c in store.live().values()} == {1}
 
 
+def test_ranges_and_commits_that_look_like_numbers(spark, tmp_path):
+    store = HashStore(spark, str(tmp_path / "s"), 3)
+    rows = [(h + "0" * (32 - len(h)), f"t{i}") for i, h in enumerate(["001", "1e5", "012", "999"])]
+    store.load(spark.createDataFrame(rows, "title_hash string, title string"))
+    assert sorted(store.live()) == ["r001", "r012", "r1e5", "r999"] and store.articles().count() == 4
+
+
 def test_an_empty_store(spark, tmp_path):
     store = HashStore(spark, str(tmp_path / "none"))
     assert store.read() is None and store.articles().count() == 0 and store.counts().count() == 0
