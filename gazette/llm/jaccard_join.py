@@ -65,6 +65,18 @@ REST = np.uint64((1 << 40) - 1)
 SEEDS = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
 
 
+def pack48(tokens: np.ndarray) -> bytes:
+    """48 bits of every token's hash, sorted, six bytes each."""
+    short = np.sort(T.mix(tokens) >> np.uint64(16))
+    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack48(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def set_key(s: np.ndarray) -> int:
     """A signed 64-bit hash of a set of shingle hashes."""
     return int(T.mix(np.array([T.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
@@ -93,7 +105,7 @@ def _pack_pass(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value                         # sorted hashes
         seen: set[int] = set()
-        slab = TaskContext.get().partitionId() << 32
+        slab = T.first_slab(TaskContext.get().partitionId())
         for b in batches:
             ids = b.column("id").to_pylist()
             texts = [t or b"" for t in b.column("text").to_pylist()]
@@ -210,7 +222,7 @@ def _slab_sets(table: pa.Table) -> pa.Table:
             t = np.r_[token[a:b], own | np.uint64(1 << 62)]
             f = np.r_[freq[a:b], own.astype(np.int64) + (1 << 40)]
             prefixes = [t[o[:room]].view(np.int64) for o in order_keys(t, f)]
-            row[3:] = [True, unique, np.sort(t).tobytes(), *prefixes]
+            row[3:] = [True, unique, pack48(t), *prefixes]
         for column, value in zip(out, row, strict=True):
             column.append(value)
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]
@@ -218,41 +230,45 @@ def _slab_sets(table: pa.Table) -> pa.Table:
                                 ["id", "node", "n", "live", "u", "tokens", "p0", "p1", "p2"])
 
 
-def _verify_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``a, b, i, link``: the exact overlap of each pair; a pair must share a prefix shingle in every order."""
-    for b in batches:
-        col = {c: b.column(c).to_pylist() for c in b.schema.names}
-        overlap, link = [], []
-        for k in range(b.num_rows):
-            x, y = np.frombuffer(col["ta"][k], np.uint64), np.frombuffer(col["tb"][k], np.uint64)
-            i = len(np.intersect1d(x, y, assume_unique=True))
-            overlap.append(i)
-            link.append(7 * i >= 3 * (col["na"][k] + col["nb"][k])
-                        and all(not set(col[f"a{o}"][k]).isdisjoint(col[f"b{o}"][k]) for o in range(1, ORDERS)))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlap, pa.int32()), pa.array(link, pa.bool_())],
-                                         ["a", "b", "i", "link"])
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds overlap and link to pairs (a, b) of nodes."""
+def _verify_pass(filtered: bool):
+    """``a, b, i, link``: the exact overlap of each pair. With ``filtered`` only of pairs that share a prefix shingle in
+    every order; the others cannot link and are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if filtered:
+                sides = [list(zip(*[b.column(f"{s}{o}").to_pylist() for o in range(ORDERS)], strict=True)) for s in "ab"]
+                both = [all(not set(p).isdisjoint(q) for p, q in zip(x, y, strict=True)) for x, y in zip(*sides, strict=True)]
+                b = b.filter(pa.array(both, pa.bool_()))
+            col = {c: b.column(c).to_pylist() for c in ("ta", "tb", "na", "nb")}
+            overlap = [len(np.intersect1d(unpack48(x), unpack48(y), assume_unique=True))
+                       for x, y in zip(col["ta"], col["tb"], strict=True)]
+            link = [7 * i >= 3 * (m + n) for i, m, n in zip(overlap, col["na"], col["nb"], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlap, pa.int32()), pa.array(link, pa.bool_())],
+                                             ["a", "b", "i", "link"])
+    return run
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, filtered: bool = False) -> DataFrame:
+    """Overlap and link of pairs (a, b) of nodes; ``filtered``: the prefix filters of all orders come first."""
+    orders = range(ORDERS) if filtered else ()
     side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}"),
-                                 *[F.col(f"p{o}").alias(f"{s}{o}") for o in range(1, ORDERS)])
+                                 *[F.col(f"p{o}").alias(f"{s}{o}") for o in orders])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(_verify_pass, "a long, b long, i int, link boolean")
+    return both.mapInArrow(_verify_pass(filtered), "a long, b long, i int, link boolean")
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Steps 1 to 3: one row per document (``_SETS``), written to the shared folder."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = src.count()
+    rows, text_bytes = src.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     share = min(1.0, SAMPLE_DOCS / max(1, rows))
     least = max(8, rows * share / 500)
     common = (src.sample(share, seed=9).select("text").mapInArrow(_common_pass, "token long, n long")
               .groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
               .orderBy(F.desc("n"), "token").limit(COMMON).collect())           # at most COMMON numbers
     known = np.sort(np.array([r["token"] for r in common], np.int64).view(np.uint64))
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = T.bucket_count(text_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = scratch_path(spark, "jaccard-sets")
     (src.mapInArrow(_pack_pass(spark.sparkContext.broadcast(known), buckets), _PACKED)
      .groupBy("bucket").applyInArrow(_count_bucket, _COUNTED)
@@ -272,7 +288,10 @@ def link_sets(rows: DataFrame) -> DataFrame:
     shared = groups.join(size, ["o", "token"])
     every = shared.groupBy("node").agg(F.countDistinct("o").alias("k"),
                                        (F.sum(F.when(F.col("o") == 0, F.col("c")).otherwise(0)) / F.first("n")).alias("score"))
-    sets.join(every.filter(F.col("k") == ORDERS).select("node", "score"), "node").write.parquet(kept)
+    # of the later orders 31 bits of a shingle are kept from here on: a filter that lets a few more pairs pass
+    short = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias(c)
+    (sets.select("node", "n", "u", "tokens", "p0", short("p1"), short("p2")).join(every.filter(F.col("k") == ORDERS).select("node", "score"), "node")
+     .write.parquet(kept))
     sets = spark.read.parquet(kept)
 
     first = sets.select("node", "score", F.explode("p0").alias("token"))
@@ -302,7 +321,7 @@ def link_sets(rows: DataFrame) -> DataFrame:
     pairs = (allowed.join(end("x"), ["centre", "nx", "ix", "wx"]).join(end("y"), ["centre", "ny", "iy", "wy"])
              .filter("rootx <> rooty").select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
              .distinct())
-    more = _verify(pairs, sets).filter("link").select("a", "b").checkpoint()
+    more = _verify(pairs, sets, filtered=True).filter("link").select("a", "b").checkpoint()
     if more.isEmpty():
         return comp
     return connected_components(more.unionByName(comp.select(F.col("root").alias("a"), F.col("id").alias("b"))))
@@ -317,7 +336,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .join(comp.select(F.col("id").alias("node"), "root"), "node", "left")
             .select("_id", "n_shingles", F.coalesce("root", "node").alias("root")))
     base = base.checkpoint()
-    least = base.filter("n_shingles > 0").groupBy("root").agg(F.min("_id").alias("_least"))
+    # kept apart, so that the join below is one of two shuffles and a large component can be split
+    least = base.filter("n_shingles > 0").groupBy("root").agg(F.min("_id").alias("_least")).checkpoint()
     return base.join(least, "root", "left").select(
         F.col("_id").alias(id_col), "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("_id")).otherwise(F.col("_least")).alias("component_id"))

@@ -30,6 +30,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+BUCKET_BYTES = 32 << 20      # text bytes whose hashes go to one bucket, about
+SLABS_BITS = 20              # slabs of a partition
+
+
+def bucket_count(text_bytes: int, tasks: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """How many hash buckets a table of so many text bytes gets: enough for all tasks, and none above its share."""
+    return max(64, 2 * tasks, -(-text_bytes // bucket_bytes))
+
+
+def first_slab(partition: int) -> int:
+    """The number of a partition's first slab. Slab and place (16 bits) fit 63 bits for up to 2^27 partitions."""
+    if partition >= 1 << 27:
+        raise ValueError("too many partitions")
+    return partition << SLABS_BITS
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, U(base), np.uint64)
     out[:1] = 1
