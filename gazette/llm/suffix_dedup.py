@@ -139,7 +139,7 @@ def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
 
 def _slabs(batches: Iterator[pa.RecordBatch]):
     """``(slab, pieces of batches, texts)``; where a slab ends depends on the partition's rows and texts only."""
-    slab = TaskContext.get().partitionId() << 32
+    slab = T.first_slab(TaskContext.get().partitionId())
     pieces: list[pa.RecordBatch] = []
     texts: list[bytes] = []
     total = 0
@@ -538,7 +538,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.col(text_col).cast("binary").alias("_text"))
     slim = src.select("_text")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(64, 2 * partitions)
+    text_bytes = slim.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = T.bucket_count(text_bytes, partitions)
 
     path = scratch_path(spark, "suffix-runs")
     (slim.mapInArrow(_count_pass(buckets, length, gram),
@@ -552,7 +553,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slabs = src.select("_id", "_text").mapInArrow(_payload_pass, "slab long, mark long, rows binary")
     cut = repeated.groupBy("slab").cogroup(slabs.groupBy("slab")).applyInArrow(_cut_runs(shards, length), _RUNS)
     path = scratch_path(spark, "suffix-found")
-    cut.groupBy("shard").applyInArrow(_shard_pass(partitions, length), _FOUND).write.parquet(path)
+    cut.groupBy("shard").applyInArrow(_shard_pass(max(partitions, buckets // 16), length), _FOUND).write.parquet(path)
     found = spark.read.parquet(path)
     merged = found.filter("range IS NOT NULL").select("range", "windows").groupBy("range").applyInArrow(_merge_pass(length), _FOUND)
     # with the checksum of each slab that has spans, for the last read

@@ -99,3 +99,13 @@ def test_other_rows_are_noticed():
     for other in (mark(6), mark()):
         with pytest.raises(RuntimeError):
             S._same(mark(None, 5), other)
+
+
+def test_slab_numbers_and_buckets_at_scale():
+    from gazette.llm import textops as T
+    last = T.first_slab((1 << 27) - 1) + (1 << T.SLABS_BITS) - 1
+    assert (last << 16) | 0xFFFF < 1 << 63 and T.first_slab(32_768) > T.first_slab(32_767) + 1_000_000
+    with pytest.raises(ValueError):
+        T.first_slab(1 << 27)
+    assert T.bucket_count(0, 8) == 64 and T.bucket_count(10**13, 200) * T.BUCKET_BYTES >= 10**13
+    assert all(n / T.bucket_count(n, 200) <= T.BUCKET_BYTES for n in (10**9, 10**12, 10**14))
