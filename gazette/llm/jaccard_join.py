@@ -230,27 +230,32 @@ def _slab_sets(table: pa.Table) -> pa.Table:
                                 ["id", "node", "n", "live", "u", "tokens", "p0", "p1", "p2"])
 
 
+VERIFIED = 512               # pairs whose sets a task holds as Python lists
+
+
 def _verify_pass(filtered: bool):
     """``a, b, i, link``: the exact overlap of each pair. With ``filtered`` only of pairs that share a prefix shingle in
-    every order; the others cannot link and are left out."""
+    the later orders too; the others cannot link and are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if filtered:
-                sides = [list(zip(*[b.column(f"{s}{o}").to_pylist() for o in range(ORDERS)], strict=True)) for s in "ab"]
-                both = [all(not set(p).isdisjoint(q) for p, q in zip(x, y, strict=True)) for x, y in zip(*sides, strict=True)]
-                b = b.filter(pa.array(both, pa.bool_()))
-            col = {c: b.column(c).to_pylist() for c in ("ta", "tb", "na", "nb")}
-            overlap = [len(np.intersect1d(unpack48(x), unpack48(y), assume_unique=True))
-                       for x, y in zip(col["ta"], col["tb"], strict=True)]
-            link = [7 * i >= 3 * (m + n) for i, m, n in zip(overlap, col["na"], col["nb"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlap, pa.int32()), pa.array(link, pa.bool_())],
-                                             ["a", "b", "i", "link"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, VERIFIED):
+                b = batch.slice(start, VERIFIED)
+                if filtered:
+                    sides = [list(zip(*[b.column(f"{s}{o}").to_pylist() for o in range(1, ORDERS)], strict=True)) for s in "ab"]
+                    both = [all(not set(p).isdisjoint(q) for p, q in zip(x, y, strict=True)) for x, y in zip(*sides, strict=True)]
+                    b = b.filter(pa.array(both, pa.bool_()))
+                col = {c: b.column(c).to_pylist() for c in ("ta", "tb", "na", "nb")}
+                overlap = [len(np.intersect1d(unpack48(x), unpack48(y), assume_unique=True))
+                           for x, y in zip(col["ta"], col["tb"], strict=True)]
+                link = [7 * i >= 3 * (m + n) for i, m, n in zip(overlap, col["na"], col["nb"], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlap, pa.int32()),
+                                                  pa.array(link, pa.bool_())], ["a", "b", "i", "link"])
     return run
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, filtered: bool = False) -> DataFrame:
-    """Overlap and link of pairs (a, b) of nodes; ``filtered``: the prefix filters of all orders come first."""
-    orders = range(ORDERS) if filtered else ()
+    """Overlap and link of pairs (a, b) of nodes of one star; ``filtered``: the prefix filters of the later orders come first."""
+    orders = range(1, ORDERS) if filtered else ()
     side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}"),
                                  *[F.col(f"p{o}").alias(f"{s}{o}") for o in orders])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
