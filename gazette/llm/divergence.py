@@ -368,9 +368,9 @@ def value_of(p, q):
 
 def _tile(table: pa.Table) -> pa.Table:
     """Partial values of all pairs of sources between the two source blocks of a tile."""
-    name = table.column("source").combine_chunks().dictionary_encode()
-    who = np.asarray(name.indices)
-    names = name.dictionary
+    source = table.column("source").combine_chunks()
+    names = pc.unique(source).sort()          # not as rows arrive: all tiles of a pair must name it the same way round
+    who = np.asarray(pc.index_in(source, names))
     marker = np.asarray(pc.is_null(table.column("term")))
     n, block, total, v = (np.asarray(table.column(c)) for c in ("n", "sb", "total", "v"))
     size = len(names)

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,3 +127,15 @@ def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(D, "PIECE", 7)
     text = "Abc dé-F  longlonglonglongword x1y" * 3
     assert [w for p in D.terms(text) for w in p] == D.TERM.findall(text.encode().lower())
+
+
+def test_tiles_name_a_pair_the_same_way_round():
+    """Rows reach a tile in any order; the partial values of a pair add up only if all its tiles call it (a, b)."""
+    kinds = {"lang": pa.string(), "tb": pa.int64(), "x": pa.int64(), "y": pa.int64(), "source": pa.string(), "sb": pa.int64(),
+             "total": pa.int64(), "v": pa.int64(), "term": pa.string(), "n": pa.int64()}
+    found = []
+    for tb, sources in ((0, ["s1", "s2", "s3"]), (1, ["s3", "s1", "s2"])):
+        rows = [("en", tb, 0, 0, s, 0, 9, 2, None, 0) for s in sources] + [("en", tb, 0, 0, s, 0, 9, 2, f"t{tb}", 3) for s in sources]
+        t = D._tile(pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds.items(), zip(*rows), strict=True)}))
+        found.append(sorted(zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)))
+    assert found[0] == found[1] == [("s1", "s2"), ("s1", "s3"), ("s2", "s3")]
