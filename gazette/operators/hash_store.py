@@ -122,8 +122,8 @@ class HashStore:
     # ------------------------------------------------------------------ writing
     def _write(self, rows: DataFrame, commit: str) -> StructType:
         out = rows.withColumn("range", self.range_of()).withColumn("commit", F.lit(commit))
-        # a range is written by one task: md5 spreads the rows evenly over the ranges
-        out.repartition("range").sortWithinPartitions("range", "title_hash").write.mode("append").partitionBy(
+        # rows of a range come together; a range of more than a task's share of bytes is split among several
+        out.hint("rebalance", F.col("range")).sortWithinPartitions("range", "title_hash").write.mode("append").partitionBy(
             "range", "commit").parquet(f"{self.path}/data")
         return out.schema
 
