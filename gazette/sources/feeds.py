@@ -5,18 +5,22 @@ out in document order and each is parsed with Spark's built-in ``from_xml``.
 The order key is (chunk, file, item index), so "first N entries of a source"
 keeps feed order. A feed file is a natural, bounded unit (one fetch).
 
-Writing: articles are grouped into files of at most ``items_per_file`` items
-per (source, chunk), so no group grows with the data.
+Writing: the articles of a source fill files of ``items_per_file`` items in ``pos``
+order, so files are as many as the articles need and no group grows with the data. Each
+item names its chunk, which is ``pos`` by ``items_per_file``; items of other feeds have
+the chunk of their folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.functions.text import trim_ws
 
-ITEM_SCHEMA = "title string, description string, link string, guid string"
+ITEM_SCHEMA = "title string, description string, link string, guid string, chunk string"
+NO_CHUNK = "none"            # chunk of an article without ``pos``
+SPAN = 8192                  # positions whose articles are ranked in one group
 # an item ends at its end tag outside CDATA sections
 ITEM_RE = (r"(?s)<item(?:\s[^>]*)?>(?:[^<]++|<!\[CDATA\[.*?\]\]>|<(?!/item>|!\[CDATA\[))*+</item>"
            r"|<item(?:\s[^>]*)?/>")
@@ -59,7 +63,8 @@ def _articles(raw: DataFrame, source: str | None) -> DataFrame:
     parsed = items.withColumn("r", F.from_xml("xml", ITEM_SCHEMA, XML_OPTIONS))
     return parsed.select(
         F.col("source").cast("string").alias("source"),
-        F.struct(F.col("chunk").cast("long").alias("chunk"), "_file", F.col("idx").cast("long").alias("idx"))
+        F.struct(F.when(F.col("r.chunk").isNull(), F.col("chunk").cast("long")).otherwise(F.col("r.chunk").try_cast("long"))
+                 .alias("chunk"), "_file", F.col("idx").cast("long").alias("idx"))
         .alias("pos"),
         trim_ws(F.coalesce("r.title", F.lit(""))).alias("title"),
         trim_ws(F.coalesce("r.description", F.lit(""))).alias("description"),
@@ -70,18 +75,28 @@ def _articles(raw: DataFrame, source: str | None) -> DataFrame:
 
 def write_feeds(df: DataFrame, path: str, items_per_file: int = 100, id_col: str = "article_id",
                 mode: str = "overwrite") -> None:
-    """Land articles as RSS files, ``items_per_file`` at most per file, in ``pos`` order."""
+    """Land articles as RSS files of ``items_per_file`` items of a source (its last file: at most), in ``pos`` order."""
+    order = F.floor(F.col("pos") / items_per_file).cast("long")
     item = F.to_xml(F.struct(xml_safe(F.col("title")).alias("title"),
                              xml_safe(F.col("description")).alias("description"),
                              xml_safe(F.col("url")).alias("link"),
-                             F.col(id_col).cast("string").alias("guid")), XML_OPTIONS)
-    chunked = df.select("source", F.floor(F.col("pos") / items_per_file).cast("long").alias("chunk"), "pos",
-                        item.alias("xml"))
-    files = (chunked.groupBy("source", "chunk")
+                             F.col(id_col).cast("string").alias("guid"),
+                             F.coalesce(order.cast("string"), F.lit(NO_CHUNK)).alias("chunk")), XML_OPTIONS)
+    span = F.floor(F.col("pos") / SPAN).cast("long").alias("_span")
+    # the place of an article in its source: those of the spans before, and its rank in its own
+    sizes = df.groupBy(F.col("source").alias("_source"), span.alias("_of")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_source").orderBy("_of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = sizes.select("_source", "_of", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("source", "_span").orderBy("pos", "xml"))
+    ranked = df.select("source", "pos", span, item.alias("xml")).withColumn("_rank", rank)
+    ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("_source")) & F.col("_span").eqNullSafe(F.col("_of")))
+    number = F.floor((F.col("_before") + F.col("_rank") - 1) / items_per_file).cast("long")
+    # folders of equal width: files of a source sort as they were filled
+    files = (ranked.select("source", F.format_string("%012d", number).alias("chunk"), "pos", "xml").groupBy("source", "chunk")
              .agg(F.array_sort(F.collect_list(F.struct("pos", "xml"))).alias("_items"))
              .select("source", "chunk",
                      F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel><title>'),
                               xml_safe(F.col("source")), F.lit("</title>\n"),
                               F.array_join(F.transform("_items", lambda s: s["xml"]), "\n"),
                               F.lit("\n</channel></rss>\n")).alias("value")))
-    files.repartition("source", "chunk").write.mode(mode).partitionBy("source", "chunk").text(path)
+    files.write.mode(mode).partitionBy("source", "chunk").text(path)

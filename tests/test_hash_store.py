@@ -208,3 +208,31 @@ def test_types_survive_the_state(spark, tmp_path):
     assert got["A"].description == rows[0][2] and got["B"].description == "" and got["B"].published is None
     assert got["A"].published.isoformat(" ") == rows[0][4]
     assert os.path.isdir(tmp_path / "ck" / "seeds")
+
+
+def test_a_large_range_is_written_by_several_tasks(spark, tmp_path):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = [(f"{i:05d}" * 40, f"text {i}", "s") for i in range(4000)]
+    df = article_hash(spark.createDataFrame(rows, "title string, description string, source string").repartition(8))
+    store = HashStore(spark, str(tmp_path / "s"), 1)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        store.load(df)
+    finally:
+        spark.conf.set(key, before)
+    for r in range(16):
+        assert len(list((tmp_path / "s" / "data" / f"range=r{r:x}").glob("*/*.parquet"))) > 1
+    assert sorted(tuple(r) for r in store.articles().select("title", "description", "source").collect()) == rows
+
+
+def test_feed_files_are_filled_and_keep_the_order(spark, tmp_path):
+    rows = [(i, f"T{i}", "d", f"u{i}", f"s{i % 5}", i) for i in range(200)] + [(None, "N", "d", "u", "s1", 200)]
+    arts = spark.createDataFrame(rows, "pos long, title string, description string, url string, source string, article_id long")
+    feeds.write_feeds(arts, str(tmp_path / "f"), items_per_file=4)
+    files = list((tmp_path / "f").glob("*/*/*.txt"))
+    assert len(files) == 4 * 10 + 11                       # as many as the items need, not one per source and chunk
+    out = feeds.read_feeds(spark, str(tmp_path / "f"))
+    got = [(r.source, int(r.guid)) for r in out.filter("pos.chunk IS NOT NULL").orderBy("pos").collect()]
+    assert got == [(r[4], r[5]) for r in sorted(rows[:200], key=lambda r: (r[0] // 4, r[4], r[0]))]
+    assert sorted(int(r.guid) for r in out.filter("pos.chunk IS NULL").collect()) == [200]
