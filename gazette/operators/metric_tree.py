@@ -35,6 +35,7 @@ CHUNK = 8192                 # rows of a node that are assigned in one task, abo
 LEVELS = 9                   # 16^9 leaves; numbers of nodes stay below 2^41
 PARTS = 1 << 22              # block number = node * PARTS + part of the node
 SLACK = 1e-6                 # for rounded angles
+BUNDLE = 2048                # rows up to which the blocks below a node are laid together
 
 
 def unit(table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
@@ -82,18 +83,44 @@ class Blocks:
 
     rows: DataFrame
     nodes: DataFrame | None
+    block_size: int
 
     def tiles(self, eps: float) -> DataFrame | None:
         """``k, lo, hi``: the pairs of blocks (each with itself) that may hold two rows within eps; None if every key
         is one block. A zero vector is at distance 1 from all others, so nothing is dropped from eps 1 on."""
-        if self.nodes is None:
-            return None
-        reach = math.acos(1.0 - eps) + SLACK if eps < 1.0 else math.inf
-        pairs = _descend(self.nodes, reach)
-        parts = self.nodes.filter("leaf").select("k", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        side = lambda n, p: parts.select("k", F.col("node").alias(n), (F.col("node") * PARTS + F.col("part")).alias(p))
-        tiles = pairs.join(side("a", "lo"), ["k", "a"]).join(side("b", "hi"), ["k", "b"]).filter("lo <= hi")
-        return tiles.select("k", "lo", "hi")
+        return None if self.nodes is None else _tiles(self.nodes, eps)
+
+    def bundles(self) -> Blocks:
+        """The same rows with the blocks below a node of at most ``BUNDLE`` rows as one block.
+
+        A row goes to every tile of its block, and tiles grow with the square of the blocks; of bundles there are as few
+        as of blocks of ``BUNDLE`` rows, however small the leaves. A bundle has the ball of its node.
+        """
+        if self.nodes is None or self.block_size >= BUNDLE:
+            return self
+        above = self.nodes.select("k", F.col("node").alias("parent"), F.col("n").alias("_up"))
+        kept = self.nodes.join(above, ["k", "parent"], "left").filter(F.col("parent").isNull() | (F.col("_up") > BUNDLE))
+        small = F.col("n") <= BUNDLE
+        nodes = _stored(kept.select("k", "node", "parent", "n", "center", "radius", (F.col("leaf") | small).alias("leaf"),
+                                    F.when(small, F.lit(1)).otherwise(F.col("parts")).alias("parts")), "tree-nodes")
+        line = [F.col("node")]                          # a leaf and the nodes above it
+        for _ in range(LEVELS):
+            line.append(F.when(line[-1] > 0, F.floor((line[-1] - 1) / F.lit(FANOUT)).cast("long")))
+        leaves = self.nodes.filter("leaf").select("k", "node", F.explode(F.array_compact(F.array(*line))).alias("_head"))
+        heads = nodes.filter(small).select("k", F.col("node").alias("_head"))
+        rows = self.rows.withColumn("node", F.floor(F.col("blk") / F.lit(PARTS)).cast("long"))
+        rows = rows.join(leaves.join(heads, ["k", "_head"]), ["k", "node"], "left")
+        rows = rows.select("k", "id", "v", F.coalesce(F.col("_head") * PARTS, F.col("blk")).alias("blk"))
+        return Blocks(_stored(rows, "tree-bundles"), nodes, BUNDLE)
+
+
+def _tiles(nodes: DataFrame, eps: float) -> DataFrame:
+    reach = math.acos(1.0 - eps) + SLACK if eps < 1.0 else math.inf
+    pairs = _descend(nodes, reach)
+    parts = nodes.filter("leaf").select("k", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    side = lambda n, p: parts.select("k", F.col("node").alias(n), (F.col("node") * PARTS + F.col("part")).alias(p))
+    tiles = pairs.join(side("a", "lo"), ["k", "a"]).join(side("b", "hi"), ["k", "b"]).filter("lo <= hi")
+    return tiles.select("k", "lo", "hi")
 
 
 def _descend(nodes: DataFrame, reach: float) -> DataFrame:
@@ -134,7 +161,7 @@ def build(points: DataFrame, block_size: int) -> Blocks:
     sizes = points.groupBy("k").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > block_size)
     if large.limit(1).count() == 0:
-        return Blocks(points.withColumn("blk", F.lit(0).cast("long")), None)
+        return Blocks(points.withColumn("blk", F.lit(0).cast("long")), None, block_size)
 
     kind = dict(points.dtypes)["k"]
     long = lambda c: F.lit(c).cast("long")
@@ -168,7 +195,7 @@ def build(points: DataFrame, block_size: int) -> Blocks:
             break
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts"))
     rows = _union(placed).select("k", "id", "v", (F.col("node") * PARTS + part).cast("long").alias("blk"))
-    return Blocks(_stored(rows, "tree-blocks"), _union(nodes))
+    return Blocks(_stored(rows, "tree-blocks"), _union(nodes), block_size)
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
