@@ -56,9 +56,10 @@ def _tile_rows(rows: DataFrame, tiles: DataFrame | None) -> DataFrame:
 
 def tile_counts(df: DataFrame, eps: float, key: str = "category", id_col: str = "pos", vec_col: str = "vec",
                 block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Per key the number of blocks, of tiles that ``neighbor_pairs`` and ``dbscan_labels`` lay, and of all pairs of blocks.
+    """Per key the number of blocks, of tiles of blocks that may hold a pair, and of all pairs of blocks.
 
-    For choosing eps and the block size of a table: the work is proportional to the tiles.
+    For choosing eps and the block size of a table: the work is proportional to the tiles. ``neighbor_pairs`` and
+    ``dbscan_labels`` lay blocks smaller than ``metric_tree.BUNDLE`` rows in bundles of them.
     """
     ship_package(df.sparkSession)
     blocks = _blocks(df, key, id_col, vec_col, block_size)
@@ -110,7 +111,7 @@ def neighbor_pairs(df: DataFrame, eps: float, key: str = "category", id_col: str
         a, b = t.ids[t.a[i]], t.ids[t.b[j]]
         return t.table(["a", "b", "dist"], np.minimum(a, b), np.maximum(a, b), t.dist[i, j])
 
-    blocks = _blocks(df, key, id_col, vec_col, block_size)
+    blocks = _blocks(df, key, id_col, vec_col, block_size).bundles()
     rows = _tile_rows(blocks.rows, blocks.tiles(limit))
     kind = dict(rows.dtypes)["k"]
     pairs = rows.groupBy("k", "lo", "hi").applyInArrow(tile, f"k {kind}, a long, b long, dist double")
@@ -194,7 +195,7 @@ def dbscan_labels(df: DataFrame, eps: float, min_samples: int = 2, key: str = "c
     """
     ship_package(df.sparkSession)
     limit = float(eps)
-    blocks = _blocks(df, key, id_col, vec_col, block_size)
+    blocks = _blocks(df, key, id_col, vec_col, block_size).bundles()
     placed, tiles = blocks.rows, blocks.tiles(limit)
     points = placed.select("k", "id")
     if min_samples > 2:
@@ -268,12 +269,17 @@ def _with_keywords(table: DataFrame, members: DataFrame, top_k: int, key: str, i
     w = (members.select(key, "cluster_id", id_col, F.posexplode(F.split(text, WHITESPACE_RUN)).alias("i", "w"))
          .filter((F.length("w") > 3) & F.col("w").rlike(r"^\p{L}+$")
                  & ~F.col("w").isin(list(stop_words))))
-    # first occurrence = smallest (article, word index): two hash aggregations with
-    # fixed-width buffers (a struct minimum would force a sort-based aggregate)
-    per_doc = w.groupBy(key, "cluster_id", "w", id_col).agg(F.count("*").alias("n"), F.min("i").alias("i"))
-    counts = (per_doc.groupBy(key, "cluster_id", "w")
-              .agg(F.sum("n").alias("n"), F.min(id_col).alias("p"), F.min_by("i", id_col).alias("i"))
-              .withColumn("first", F.struct("p", "i")))
+    # first occurrence = smallest (article, word index), with fixed-width buffers (a struct minimum would force a
+    # sort-based aggregate). Ids of 31 bits make one number with the index: one aggregation, combined map-side
+    lo, hi = members.agg(F.min(id_col), F.max(id_col)).first()
+    if isinstance(lo, int) and 0 <= lo and hi < 1 << 31:
+        counts = w.groupBy(key, "cluster_id", "w").agg(
+            F.count("*").alias("n"), F.min(F.shiftleft(F.col(id_col).cast("long"), 32) + F.col("i")).alias("first"))
+    else:
+        per_doc = w.groupBy(key, "cluster_id", "w", id_col).agg(F.count("*").alias("n"), F.min("i").alias("i"))
+        counts = (per_doc.groupBy(key, "cluster_id", "w")
+                  .agg(F.sum("n").alias("n"), F.min(id_col).alias("p"), F.min_by("i", id_col).alias("i"))
+                  .withColumn("first", F.struct("p", "i")))
     rank = Window.partitionBy(key, "cluster_id").orderBy(F.desc("n"), F.asc("first"))
     top = counts.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= top_k)
     kw = (top.groupBy(key, "cluster_id")

@@ -201,3 +201,32 @@ def test_connected_components(spark):
     got = dict(rows(connected_components(df), "id", "root"))
     assert all(got[i] == 1 for i in range(1, 41))
     assert got[101] == 100 and got[205] == 200 and got[202] == 200 and len(got) == 46
+
+
+def test_small_leaves_are_laid_in_bundles(spark):
+    from gazette.operators import metric_tree
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(2600, 3))
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(m.tolist())], "category string, pos long, vec array<double>")
+    points = df.toDF("k", "id", "v").checkpoint()
+    bundles = metric_tree.build(points, 8).bundles()
+    sizes = [r["count"] for r in bundles.rows.groupBy("blk").count().collect()]
+    assert sum(sizes) == 2600 and max(sizes) <= metric_tree.BUNDLE and len(sizes) <= metric_tree.FANOUT
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(1.0 - u @ u.T <= 0.001, 1))
+    got = {(r.a, r.b) for r in G.neighbor_pairs(df, 0.001, block_size=8).select("a", "b").collect()}
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 500
+
+
+def test_keywords_take_one_shuffle_of_words_for_ids_of_31_bits(spark):
+    texts = ["gamma alpha beta beta", "delta alpha gamma", "omega delta"]
+
+    def made(shift):
+        df = spark.createDataFrame([("k", 0, i + shift, t, None) for i, t in enumerate(texts)],
+                                   "category string, cluster_id long, pos long, title string, description string")
+        return G.cluster_keywords(df, stop_words=["stop"])
+
+    small, large = made(0), made(1 << 40)
+    assert small.first()["keywords"] == large.first()["keywords"] == ["gamma", "alpha", "beta", "delta", "omega"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(small).count("Exchange hashpartitioning") < plan(large).count("Exchange hashpartitioning")
