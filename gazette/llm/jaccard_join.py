@@ -107,12 +107,12 @@ def _pack_pass(shared, buckets: int):
         seen: set[int] = set()
         slab = T.first_slab(TaskContext.get().partitionId())
         for b in batches:
-            ids = b.column("id").to_pylist()
-            texts = [t or b"" for t in b.column("text").to_pylist()]
-            for start, some in T.slabs(texts, SLAB):
-                for a in range(0, len(some), 50_000):             # a document's place in a slab has 16 bits
-                    part = some[a:a + 50_000]
-                    yield one(slab, ids[start + a:start + a + len(part)], T.shingles(part), common, seen)
+            lengths = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+            for start, end in T.spans(lengths, SLAB):             # only the texts of a slab become Python objects
+                for a in range(start, end, 50_000):               # a document's place in a slab has 16 bits
+                    part = b.slice(a, min(end - a, 50_000))
+                    texts = [t or b"" for t in part.column("text").to_pylist()]
+                    yield one(slab, part.column("id").to_pylist(), T.shingles(texts), common, seen)
                     slab += 1
 
     def one(slab, ids, sets, common, seen):

@@ -52,16 +52,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def slabs(texts: list[bytes], size: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """``(first index, texts)`` of together at most ``size`` bytes (one text at least)."""
+def spans(lengths: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """``(first, end)`` of runs of texts of together at most ``size`` bytes (one text at least)."""
     start, total = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and total + len(t) > size:
-            yield start, texts[start:i]
+    for i, n in enumerate(lengths):
+        if i > start and total + n > size:
+            yield start, i
             start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def slabs(texts: list[bytes], size: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """``(first index, texts)`` of together at most ``size`` bytes (one text at least)."""
+    for start, end in spans([len(t) for t in texts], size):
+        yield start, texts[start:end]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +84,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(starts, begin)
 
 
+HASHED = 500_000             # text bytes whose words are hashed at a time: the arrays take some 40 bytes for each
+
+
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text (empty without words)."""
+    return [s for _, some in slabs(texts, HASHED) for s in _shingles(some)]
+
+
+def _shingles(texts: list[bytes]) -> list[np.ndarray]:
     h, first = word_hashes(texts)
     runs = None
     if len(h) >= SHINGLE:

@@ -44,3 +44,18 @@ def test_edges(spark):
         (str(r[0]), w[0], str(w[1])) for r, w in zip(rows, want, strict=True))
     assert J.components(frame(spark, rows).limit(0)).count() == 0
     assert J.components(frame(spark, [(1, None, None, None, None)])).collect()[0].component_id == 1
+
+
+def test_words_are_hashed_some_texts_at_a_time(monkeypatch):
+    """Shingles do not depend on how many texts are hashed together, and no more than ``HASHED`` bytes are."""
+    import numpy as np
+
+    from gazette.llm import textops as T
+    texts = [b"", b"one two", b"a b c d e f " * 30, b" \n", b"x" * 400, b"tail of five or six words"]
+    want, seen, hashed = T.shingles(texts), [], T.word_hashes
+    monkeypatch.setattr(T, "HASHED", 300)
+    monkeypatch.setattr(T, "word_hashes", lambda some: (seen.append(sum(map(len, some))), hashed(some))[1])
+    got = T.shingles(texts)
+    assert len(got) == len(want) and all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    assert len(seen) > 1 and max(seen) <= 400
+    assert [texts[a:b] for a, b in T.spans([len(t) for t in texts], 300)] == [part for _, part in T.slabs(texts, 300)]
