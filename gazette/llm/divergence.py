@@ -3,8 +3,9 @@
 Terms are runs of letters A-Z (lowered) and of characters beyond ASCII. A
 language keeps the terms that at least ``min_docs`` of its documents hold.
 
-Pass 1 counts, for each (language, term), the documents that hold it, exactly;
-tasks add up before they emit. Pass 2 counts occurrences of kept terms per
+Both passes cut the texts of a slab into terms with numpy and number the distinct
+ones with Arrow. Pass 1 counts, for each (language, term), the documents that
+hold it, exactly; tasks add up the documents of a slab before they emit. Pass 2 counts occurrences of kept terms per
 (language, source). The kept terms go into a sharded minimal perfect hash:
 levels of bits, on each of which a key that meets no other key claims a place;
 the place's rank among all claimed ones is the key's slot. Every slot stores its
@@ -32,7 +33,6 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.textops import mix
+from gazette.llm.textops import mix, spans
 from gazette.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 MIN_DOCS = 10
@@ -54,6 +54,7 @@ LONGEST = 96              # bytes of a language and term in the hash
 SHARD = 1 << 11           # keys of a shard, about
 CELLS = 1 << 24           # counters that a task holds
 HOLD = 1 << 19            # words that a task holds before it adds them in or emits them
+WORD = 16                 # bytes of text reckoned for each of them: slabs of up to HOLD * WORD bytes
 GAMMA = 2.0               # bits of a level for each key that is left
 LEVEL = 0x9E3779B97F4A7C15
 TERM_BLOCK, SOURCE_BLOCK = 1024, 128
@@ -73,6 +74,54 @@ def terms(text: str) -> Iterator[list[bytes]]:
         at = to
 
 
+LOWER = np.arange(256, dtype=np.uint8)      # the byte of a term that a byte of text stands for, 0 between terms
+LOWER[65:91] += 32
+LOWER[[b for b in range(128) if not 97 <= LOWER[b] <= 122]] = 0
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``(text of every term, its number, the distinct terms)`` of a slab of texts (``large_binary``)."""
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if at[0] == at[-1]:
+        return np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.binary())
+    low = LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[at[0]:at[-1]]]
+    at = at - at[0]
+    inside = low != 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begin = at[:-1][at[:-1] < at[-1]]
+    first[begin] = inside[begin]                         # a term ends with its text
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(np.flatnonzero(first), at)))
+    edges = np.r_[np.flatnonzero(first[inside]), int(inside.sum())].astype(np.int32)
+    raw = [None, pa.py_buffer(edges), pa.py_buffer(low[inside])]
+    coded = pa.Array.from_buffers(pa.binary(), len(owner), raw).dictionary_encode()
+    return owner, np.asarray(coded.indices, np.int64), coded.dictionary
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often each occurs (``np.unique`` is slower on so many)."""
+    ordered = np.sort(values)
+    start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+    return ordered[start], np.diff(np.r_[start, len(ordered)])
+
+
+def coded_terms(texts: pa.Array, hold: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, bool]]:
+    """``(row of every term, its number, the distinct terms, whole)`` of a column, a slab at a time.
+
+    Texts of more than a slab and ``PIECE`` bytes come in several parts, with ``whole`` false.
+    """
+    raw = texts.cast(pa.large_binary())
+    sizes = pc.binary_length(raw).to_pylist()
+    for lo, hi in spans(sizes, hold * WORD):
+        if sizes[lo] > max(hold * WORD, PIECE):
+            for part in terms(texts[lo].as_py()):
+                coded = pa.array(part, pa.binary()).dictionary_encode()
+                yield np.full(len(part), lo), np.asarray(coded.indices, np.int64), coded.dictionary, False
+        else:
+            owner, code, words = _split(raw.slice(lo, hi - lo))
+            yield owner + lo, code, words, True
+
+
 def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
@@ -80,30 +129,34 @@ def _strings(values: list[bytes]) -> pa.Array:
 # --------------------------------------------------------------------------- pass 1
 def document_frequencies(docs: DataFrame, hold: int = HOLD) -> DataFrame:
     """``lang, term, docs``: how many rows of a language hold the term."""
-    def run(batches):
-        held: dict[str, Counter] = {}
-
-        def emit():
-            for lang, count in held.items():
-                words = list(count)
-                for lo in range(0, len(words), 1 << 16):
-                    part = words[lo:lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), _strings(part),
-                                                      pa.array([count[w] for w in part], pa.int64())], names=["lang", "term", "docs"])
-            held.clear()
+    def emit(lang, words, n):
+        for lo in range(0, len(n), 1 << 16):
+            part = n[lo:lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)).cast(pa.string()), words.slice(lo, len(part)).cast(pa.string()),
+                                              pa.array(part, pa.int64())], names=["lang", "term", "docs"])
 
+    def run(batches):
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found: set[bytes] = set()
-                for part in terms(text):
-                    found.update(part)
-                held.setdefault(lang, Counter()).update(found)
-                if sum(map(len, held.values())) > hold:
-                    yield from emit()
-        yield from emit()
+            langs = batch.column("lang").dictionary_encode()
+            lang_of, names = np.asarray(langs.indices, np.int64), langs.dictionary.to_pylist()
+            parts: dict[int, set[bytes]] = {}               # of texts that come in parts
+            for row, code, words, whole in coded_terms(batch.column("text"), hold):
+                if not whole:
+                    parts.setdefault(int(row[0]), set()).update(words.to_pylist())
+                    continue
+                if len(code):
+                    once, _ = _runs(row * len(words) + code)
+                    row = once // len(words)
+                    key, n = _runs(lang_of[row] * len(words) + once - row * len(words))
+                    edges = np.searchsorted(key, np.arange(len(names) + 1) * len(words))
+                    for lang, lo, hi in zip(names, edges, edges[1:], strict=False):
+                        yield from emit(lang, words.take(pa.array(key[lo:hi] % len(words))), n[lo:hi])
+            for row, found in parts.items():
+                yield from emit(names[lang_of[row]], pa.array(list(found), pa.binary()), np.ones(len(found), np.int64))
 
     rows = docs.select("lang", "text").mapInArrow(run, "lang string, term string, docs long")
-    return rows.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
+    # dealt first: rows of a task hardly repeat, so adding them up before the shuffle would only cost a hash table
+    return rows.repartition("lang", "term").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
 # --------------------------------------------------------------------------- perfect hash
@@ -204,18 +257,18 @@ class ShardedHash:
             self.place[own] = np.arange(hi - lo)
             lo = hi
 
-    def find(self, keys: list[bytes]) -> np.ndarray:
-        h = key_hashes(keys)
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """Slot of every key (``key_of``), -1 if it is not stored."""
+        h = key_hashes(keys.to_pylist())
         out = np.full(len(keys), -1, np.int64)
         shard = (h & self.mask).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        column = pa.array(keys, pa.binary())
         edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)) if len(order) else []
         for lo, hi in zip(edges, edges[1:], strict=False):
             own = order[lo:hi]
             s = int(shard[own[0]])
             if s in self.shards:
-                slot = self.shards[s].find(column.take(pa.array(own)), h[own])
+                slot = self.shards[s].find(keys.take(pa.array(own)), h[own])
                 out[own] = np.where(slot >= 0, slot + self.base[s], -1)
         return out
 
@@ -238,35 +291,38 @@ class _Counters:
 
     def __init__(self, table: ShardedHash, complete: bool, cells: int):
         self.table, self.complete, self.cells = table, complete, cells
-        self.words: dict[tuple[str, str], Counter] = {}
         self.slots: dict[tuple[str, str], np.ndarray] = {}
         self.other: dict[tuple[str, str], dict[bytes, int]] = {}
         self.used = 0
 
-    def add_in(self) -> Iterator[pa.RecordBatch]:
-        """Looks up the held words and adds them to the counters."""
-        slots: dict[str, dict[bytes, int]] = {}
-        for (lang, _), count in self.words.items():
-            slots.setdefault(lang, {}).update(dict.fromkeys(count))
-        for lang, words in slots.items():                    # once for all groups of a language
-            found = self.table.find([key_of(lang, w) for w in words])
-            slots[lang] = dict(zip(words, found.tolist(), strict=True))
-        for g, count in self.words.items():
-            slot = np.fromiter(map(slots[g[0]].__getitem__, count), np.int64, len(count))
-            n = np.fromiter(count.values(), np.int64, len(count))
+    def add(self, groups: list[tuple[str, str]], group: np.ndarray, code: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Adds terms: the group (place in ``groups``, one language after the other) and the number of each."""
+        key, n = _runs(group * max(1, len(words)) + code)
+        edges = np.searchsorted(key, np.arange(len(groups) + 1) * len(words))
+        code = key % max(1, len(words))
+        slots, of = np.empty(0, np.int64), None
+        for i, g in enumerate(groups):
+            own, times = code[edges[i]:edges[i + 1]], n[edges[i]:edges[i + 1]]
+            if g[0] != of:                                   # looked up once for all groups of a language
+                of, last = g[0], i
+                while last < len(groups) and groups[last][0] == of:
+                    last += 1
+                used = np.unique(code[edges[i]:edges[last]])
+                slots = np.full(len(words), -1, np.int64)
+                slots[used] = self.table.find(pc.binary_join_element_wise(key_of(of, b""), words.take(pa.array(used)), b""))
             if g not in self.slots:
-                size = len(self.table.of_lang.get(g[0].encode(), ()))
+                size = len(self.table.of_lang.get(of.encode(), ()))
                 if self.used + size > self.cells:
                     yield from self.emit()
                 self.slots[g] = np.zeros(size, np.int64)
                 self.used += size
+            slot = slots[own]
             hit = slot >= 0
-            self.slots[g][self.table.place[slot[hit]]] += n[hit]
+            self.slots[g][self.table.place[slot[hit]]] += times[hit]
             if not self.complete:
-                rest, words = self.other.setdefault(g, {}), list(count)
-                for i in np.flatnonzero(~hit).tolist():
-                    rest[words[i]] = rest.get(words[i], 0) + int(n[i])
-        self.words.clear()
+                rest = self.other.setdefault(g, {})
+                for w, k in zip(words.take(pa.array(own[~hit])).to_pylist(), times[~hit].tolist(), strict=True):
+                    rest[w] = rest.get(w, 0) + k
         if sum(map(len, self.other.values())) > HOLD:
             yield from self.emit()
 
@@ -321,20 +377,16 @@ def group_counts(docs: DataFrame, kept: DataFrame, hot: int = HOT, cells: int =
     def run(batches):
         state = _Counters(_loaded(shared), complete, cells)
         for batch in batches:
-            held = 0
-            for lang, source, text in zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "text")], strict=True):
-                count = state.words.setdefault((lang, source), Counter())
-                for part in terms(text):
-                    before = len(count)
-                    count.update(part)
-                    held += len(count) - before
-                if held > hold:
-                    yield from state.add_in()
-                    held = 0
-            yield from state.add_in()
+            pairs = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
+            groups = sorted(set(pairs))
+            place = {g: i for i, g in enumerate(groups)}
+            group = np.array([place[p] for p in pairs], np.int64)
+            for row, code, words, _ in coded_terms(batch.column("text"), hold):
+                yield from state.add(groups, group[row], code, words)
         yield from state.emit()
 
     rows = docs.select("lang", "source", "text").mapInArrow(run, _COUNTS)
+    rows = rows.repartition("lang", "source", "term")      # as in pass 1
     if complete:
         return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     path = scratch_path(spark, "divergence-rows")

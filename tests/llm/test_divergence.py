@@ -139,3 +139,19 @@ def test_tiles_name_a_pair_the_same_way_round():
         t = D._tile(pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds.items(), zip(*rows), strict=True)}))
         found.append(sorted(zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)))
     assert found[0] == found[1] == [("s1", "s2"), ("s1", "s3"), ("s2", "s3")]
+
+
+@pytest.mark.parametrize("hold", [1, 20, D.HOLD])
+def test_slabs_hold_the_terms_of_each_text(hold, monkeypatch):
+    """Arrow-coded terms of a column, also of a slice and of texts longer than a slab, equal those of each text alone."""
+    monkeypatch.setattr(D, "PIECE", 200)
+    texts = ["", "ab", "cd Ab1ab", "\x00", "日本 ÉÀ-é", "z" * 700, "Word word " * 90, "", "tail"]
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    found = [[] for _ in texts]
+    for row, code, words, _ in D.coded_terms(column, hold):
+        words = words.to_pylist()
+        assert len(set(words)) == len(words)
+        for r, c in zip(row.tolist(), code.tolist(), strict=True):
+            found[r].append(words[c])
+    assert found == [D.TERM.findall(t.encode().lower()) for t in texts]
+    assert list(D.coded_terms(pa.array([], pa.string()), hold)) == []
