@@ -153,7 +153,8 @@ def q_relevance(spark, sf):
 
 
 def q_relevance_split(spark, sf):
-    rel, irr = R.split_relevance(_relevance(spark, sf))
+    # stored, so that both sides read flags and not the texts
+    rel, irr = R.split_relevance(_relevance(spark, sf).select("article_id", "is_relevant").checkpoint())
     return (rel.select("article_id", F.lit("relevant").alias("side"))
             .unionByName(irr.select("article_id", F.lit("irrelevant").alias("side"))))
 

@@ -115,3 +115,13 @@ def test_feed_order_beats_source_name(spark):
     df = P.with_source_order(spark.createDataFrame(data, SCHEMA))
     out = P.collect_pipeline(df, max_total=2)
     assert rows(out, "source", "title") == [("cnn", "Same"), ("npr", "N")]
+
+
+def test_split_reads_the_texts_once(spark):
+    """Both sides come from stored flags: the result no longer reads the documents."""
+    from gazette.plans.queries import q_relevance, q_relevance_split
+    sf = "/root/testdata/sf0.001"
+    out = q_relevance_split(spark, sf)
+    assert out.inputFiles() == []
+    want = {r.article_id: "relevant" if r.is_relevant else "irrelevant" for r in q_relevance(spark, sf).collect()}
+    assert {r.article_id: r.side for r in out.collect()} == want
