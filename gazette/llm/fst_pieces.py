@@ -33,20 +33,22 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm import textops as T
 from gazette.llm import vocab as V
 from gazette.llm.lattice_lm import initial_weights
-from gazette.llm.trie import LONG, Tables, by_length, compiled
+from gazette.llm.trie import LONG, PieceTrie, Tables, by_length, compiled, surfaces
 
 CACHE = 500_000
 EPS, MARK = -1, 256          # no symbol; the mark, beside the 256 bytes
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 
 @dataclass
@@ -147,8 +149,8 @@ class Transducer:
     """Normaliser, pieces and byte fallback, composed from a vocabulary."""
 
     def __init__(self, vocabulary: V.Vocabulary):
-        self.trie = compiled(vocabulary)
-        self.surface = self.trie.surface                # what each id stands for, with spaces for marks
+        self.vocabulary = vocabulary
+        self.surface = surfaces(vocabulary)             # what each id stands for, with spaces for marks
         self.weights = -np.array(initial_weights(vocabulary))
         self.weights[list(vocabulary.byte_ids)] = self.weights.max() + 1.0
         self.tables, self.states = composed(vocabulary, tuple(self.weights.tolist()))
@@ -160,6 +162,11 @@ class Transducer:
         self.chunks = re.compile(b"[" + alone + b"]| *[^ " + alone + b"]+| +", re.DOTALL)
         self.cache: dict[bytes, bytes] = {}
 
+    @cached_property
+    def trie(self) -> PieceTrie:
+        """The plain trie of the vocabulary: a kilobyte a state beside the composed tables, so made only for who asks."""
+        return compiled(self.vocabulary)
+
     def shortest(self, chunks: list[bytes]) -> list[bytes]:
         """Ids (packed 32-bit integers) on the lightest path that reads each chunk (spaces stand for marks)."""
         out: list = [None] * len(chunks)
@@ -243,14 +250,9 @@ def _encode_pass(shared, decode: bool):
         fst = None
         for b in batches:
             fst = fst or Transducer(shared.value)
-            texts = [t or b"" for t in b.column("_text").to_pylist()]
-            start = 0
-            while start < len(texts):                 # some texts of together BATCH_BYTES bytes, one at least
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= BATCH_BYTES):
-                    size += len(texts[stop])
-                    stop += 1
-                some = texts[start:stop]
+            lengths = pc.fill_null(pc.binary_length(b.column("_text")), 0).to_pylist()
+            for start, stop in T.spans(lengths, BATCH_BYTES):             # only the texts of a span become Python objects
+                some = [t or b"" for t in b.column("_text").slice(start, stop - start).to_pylist()]
                 parts = fst.encode(some)
                 lists = _id_lists(parts)
                 marks = np.r_[0, np.cumsum(fst.fallback[lists.values.to_numpy()])]
@@ -261,7 +263,6 @@ def _encode_pass(shared, decode: bool):
                     cols.append(pa.array([fst.decode(p) == t for p, t in zip(parts, some, strict=True)], pa.bool_()))
                     names.append("round_trip")
                 yield pa.RecordBatch.from_arrays(cols, names)
-                start = stop
     return run
 
 

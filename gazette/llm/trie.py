@@ -66,14 +66,20 @@ class Tables:
         return out
 
 
+def surfaces(vocabulary: V.Vocabulary) -> list[bytes]:
+    """What each id stands for, with spaces for marks."""
+    surface = [p.replace(V.MARK_BYTES, b" ") for p in vocabulary.pieces]
+    for p in surface:
+        if b" " in p.lstrip(b" "):
+            raise ValueError("a piece has a mark after another character")
+    for b, i in enumerate(vocabulary.byte_ids):
+        surface[i] = bytes([b])
+    return surface
+
+
 class PieceTrie(Tables):
     def __init__(self, vocabulary: V.Vocabulary):
-        self.surface = [p.replace(V.MARK_BYTES, b" ") for p in vocabulary.pieces]
-        for p in self.surface:
-            if b" " in p.lstrip(b" "):
-                raise ValueError("a piece has a mark after another character")
-        for b, i in enumerate(vocabulary.byte_ids):
-            self.surface[i] = bytes([b])
+        self.surface = surfaces(vocabulary)
         normal = {p: i for i, p in enumerate(self.surface) if vocabulary.pieces[i]}
         for b, i in enumerate(vocabulary.byte_ids):
             if b != 32:                                  # a space is always a mark

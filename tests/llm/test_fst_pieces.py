@@ -108,3 +108,20 @@ def test_four_megabytes_without_a_space(spark):
     out = P.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=["doc_id"], check=True)
     row = out.select("round_trip", "n_fallback", "ids").collect()[0]
     assert row.round_trip and row.n_fallback == 0 and len(row.ids) < 4_000_000
+
+
+def test_a_worker_holds_one_set_of_tables_and_a_span_of_texts(monkeypatch):
+    """The plain trie is not made for encoding, and a batch's texts become Python objects span by span."""
+    import pyarrow as pa
+    P.compiled.cache_clear()
+    texts = ["some words of a text " * 20] * 7 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([None if t is None else t.encode() for t in texts])], ["doc_id", "_text"])
+    seen = []
+    encode = P.Transducer.encode
+    monkeypatch.setattr(P.Transducer, "encode", lambda self, some: seen.append(len(some)) or encode(self, some))
+    monkeypatch.setattr(P, "BATCH_BYTES", 1000)
+    shared = type("Shared", (), {"value": V.load()})
+    out = pa.Table.from_batches(P._encode_pass(shared, True)(iter([batch]))).to_pydict()
+    assert seen == [2, 2, 2, 3] and out["doc_id"] == list(range(9)) and all(out["round_trip"])
+    assert out["ids"][0] == out["ids"][6] and out["ids"][7] == out["ids"][8]
+    assert P.compiled.cache_info().currsize == 0
