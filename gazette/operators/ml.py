@@ -93,16 +93,19 @@ def transform_tfidf(model: TfidfModel, docs: DataFrame, id_col: str = "article_i
     return weights_from_counts(model, toks.groupBy(id_col, "term").agg(F.count("*").alias("tf")), id_col)
 
 
-def tfidf_vectors(model: TfidfModel, docs: DataFrame, id_col: str = "article_id", text_col: str = "text") -> DataFrame:
+def tfidf_vectors(model: TfidfModel, docs: DataFrame, id_col: str = "article_id", text_col: str = "text",
+                  beside: DataFrame | None = None) -> DataFrame:
     """``(id, vec array<double>)``: TF-IDF weights as dense vectors over the vocabulary in term order.
 
     A vector for every document, for the operators that take one (nearest
     prototype, clustering); a document without a vocabulary term has the zero
     vector. A vector has at most ``max_features`` places; documents are dealt in
-    batches of ``DENSE_ROWS``.
+    batches of ``DENSE_ROWS``. ``beside`` is joined by ``id`` while the vectors
+    are still sparse, so no join moves dense ones; its columns stand before ``vec``.
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql import Window
 
     # at most max_features rows
@@ -110,22 +113,26 @@ def tfidf_vectors(model: TfidfModel, docs: DataFrame, id_col: str = "article_id"
     size = model.vocab.count()
     weights = transform_tfidf(model, docs, id_col, text_col).join(F.broadcast(terms), "term")
     sparse = docs.select(id_col).join(weights.groupBy(id_col).agg(
-        F.collect_list(F.struct("i", "weight")).alias("_e")), id_col, "left")
-    kind = dict(docs.dtypes)[id_col]
+        F.collect_list(F.struct("i", "weight")).alias("_e")), id_col, "left").select(id_col, "_e")
+    if beside is not None:
+        sparse = sparse.join(beside, id_col)
+    own = [c for c in sparse.columns if c != "_e"]
+    kinds = dict(sparse.dtypes)
 
     def dense(batches):
         for whole in batches:
             for a in range(0, whole.num_rows, DENSE_ROWS):
                 b = whole.slice(a, DENSE_ROWS)
                 out = np.zeros((b.num_rows, size))
-                for row, entries in enumerate(b.column("_e").to_pylist()):
-                    for e in entries or ():
-                        out[row, e["i"]] = e["weight"]
+                entries = b.column("_e")
+                each = entries.flatten()
+                n = pc.fill_null(pc.list_value_length(entries), 0).to_numpy()
+                out[np.repeat(np.arange(b.num_rows), n), each.field("i").to_numpy()] = each.field("weight").to_numpy()
                 offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * size)
-                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))],
-                                                 [id_col, "vec"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own],
+                                                  pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], [*own, "vec"])
 
-    return sparse.select(id_col, "_e").mapInArrow(dense, f"{id_col} {kind}, vec array<double>")
+    return sparse.mapInArrow(dense, "".join(f"`{c}` {kinds[c]}, " for c in own) + "vec array<double>")
 
 
 def classify_nb(docs: DataFrame, train: DataFrame, id_col: str = "article_id", text_col: str = "text",

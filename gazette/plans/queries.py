@@ -279,7 +279,7 @@ def q_classify_tfidf_nearest(spark, sf):
     from gazette.operators import ml
     train = fx.training(spark, sf)
     model = ml.fit_tfidf(train)
-    labelled = ml.tfidf_vectors(model, train).join(train.select("article_id", "label"), "article_id")
+    labelled = ml.tfidf_vectors(model, train, beside=train.select("article_id", "label"))
     protos = C.build_prototypes(labelled, "label", "vec")
     out = C.classify_nearest(ml.tfidf_vectors(model, _texts(spark, sf)), protos)
     return out.select("article_id", "category", r6("confidence").alias("confidence"))
