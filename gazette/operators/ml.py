@@ -26,6 +26,7 @@ from gazette.operators import calibrate
 from gazette.session import ensure_checkpoint_dir
 
 DENSE_ROWS = 500
+FIT_ROWS = 20_000            # training rows of one task
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -191,14 +192,28 @@ def _features(train: DataFrame, docs: DataFrame, text_col: str, label_col: str,
     cv = CountVectorizer(inputCol="_tok2", outputCol="_tf", vocabSize=max_features)
     idf = IDF(inputCol="_tf", outputCol="_idf_unused")
     idx = StringIndexer(inputCol=label_col, outputCol="_y", stringOrderType="alphabetAsc")
-    fitted = Pipeline(stages=[tok, stop, cv, idf, idx]).fit(train)
-    idf_vec = fitted.stages[3].idf.toArray() + 1.0       # smoothed idf + 1
+    # texts are cut once: the counts, the idf and the vectors all read the stored tokens
+    ensure_checkpoint_dir(train.sparkSession)
+    cut = stop.transform(tok.transform(train.select(text_col, label_col))).select(label_col, "_tok2").checkpoint()
+    fitted = Pipeline(stages=[cv, idf, idx]).fit(cut)
+    idf_vec = fitted.stages[1].idf.toArray() + 1.0       # smoothed idf + 1
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf_vec), inputCol="_tf", outputCol="_tfidf")
     norm = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-    prep = lambda d: norm.transform(scale.transform(fitted.stages[2].transform(
-        fitted.stages[1].transform(fitted.stages[0].transform(d)))))
-    tr = fitted.stages[4].transform(prep(train))
-    return tr, prep(docs), list(fitted.stages[4].labels)
+    prep = lambda d: norm.transform(scale.transform(fitted.stages[0].transform(d)))
+    tr = fitted.stages[2].transform(prep(cut))
+    return tr, prep(stop.transform(tok.transform(docs))), list(fitted.stages[2].labels)
+
+
+def _stored(tr: DataFrame) -> DataFrame:
+    """Features and labels, stored for the many passes of a fit, in partitions of about ``FIT_ROWS`` rows.
+
+    A text scan leaves a partition for a few MB of text; as vectors these are small, and each of the hundreds of passes
+    would pay for a task each.
+    """
+    sc = tr.sparkSession.sparkContext
+    ensure_checkpoint_dir(tr.sparkSession)
+    tr = tr.select("features", "_y").checkpoint()
+    return tr.coalesce(max(sc.defaultParallelism, -(-tr.count() // FIT_ROWS)))
 
 
 def _argmax_output(pred: DataFrame, prob_col: str, labels, id_col: str, method: str) -> DataFrame:
@@ -209,43 +224,49 @@ def _argmax_output(pred: DataFrame, prob_col: str, labels, id_col: str, method:
                        best["p"].alias("confidence"), F.lit(method).alias("method"))
 
 
-def _margins(tr: DataFrame, te: DataFrame) -> DataFrame:
-    """``te`` with ``_m``: the margins of one-vs-rest linear SVMs fitted on ``tr``."""
+def _margins(tr: DataFrame, te: DataFrame, n_classes: int) -> DataFrame:
+    """``te`` with ``_m``: the margins of one-vs-rest linear SVMs fitted on ``tr``.
+
+    With two classes the two problems mirror each other (labels swapped, weights negated), so one fit gives both margins.
+    """
     from pyspark.ml.classification import LinearSVC, OneVsRest
     from pyspark.ml.functions import vector_to_array
-    model = OneVsRest(classifier=LinearSVC(maxIter=100), labelCol="_y", featuresCol="features").fit(tr)
+    if n_classes == 2:
+        model = LinearSVC(maxIter=100, labelCol="_y", featuresCol="features").fit(tr)
+    else:
+        model = OneVsRest(classifier=LinearSVC(maxIter=100), labelCol="_y", featuresCol="features").fit(tr)
     return model.transform(te).withColumn("_m", vector_to_array(F.col("rawPrediction"))).drop("rawPrediction", "prediction")
 
 
-def svm_calibration(tr: DataFrame) -> dict:
+def svm_calibration(tr: DataFrame, n_classes: int) -> dict:
     """``class index -> (a, b)``: sigmoids fitted on the margins of rows that their model has not seen.
 
     Without enough rows for folds that all hold every label the margins of the fitted rows themselves are used.
     """
     dealt = calibrate.folds(tr, "_y", "features")
     if dealt is None:
-        seen = _margins(tr, tr)
+        seen = _margins(tr, tr, n_classes)
     else:
         seen = None
         for f in range(calibrate.FOLDS):
-            part = _margins(dealt.filter(F.col("_fold") != f).drop("_fold"), dealt.filter(F.col("_fold") == f).drop("_fold"))
+            part = _margins(dealt.filter(F.col("_fold") != f).drop("_fold"), dealt.filter(F.col("_fold") == f).drop("_fold"),
+                            n_classes)
             seen = part if seen is None else seen.unionByName(part)
     rows = seen.select("_y", F.posexplode("_m").alias("cls", "m"))
     return calibrate.fit_sigmoid(rows.select("cls", (F.col("_y").cast("int") == F.col("cls")).alias("y"), "m").checkpoint())
 
 
 def _svm_probs(tr, te, n_classes):
-    ensure_checkpoint_dir(tr.sparkSession)
-    tr = tr.select("features", "_y").checkpoint()              # fitted several times
-    params = svm_calibration(tr)
-    return _margins(tr, te).withColumn("_p", calibrate.probabilities(F.col("_m"), params, n_classes)).drop("_m")
+    """``tr`` is read by every pass of every fit, so it comes from ``_stored``."""
+    params = svm_calibration(tr, n_classes)
+    return _margins(tr, te, n_classes).withColumn("_p", calibrate.probabilities(F.col("_m"), params, n_classes)).drop("_m")
 
 
 def classify_svm(docs: DataFrame, train: DataFrame, id_col: str = "article_id", text_col: str = "text",
                  label_col: str = "label", max_features: int = 3000) -> DataFrame:
     """TF-IDF + one-vs-rest linear SVM; probabilities by Platt scaling on cross-fitted margins."""
     tr, te, labels = _features(train, docs, text_col, label_col, max_features)
-    return _argmax_output(_svm_probs(tr, te, len(labels)), "_p", labels, id_col, "tfidf_svm")
+    return _argmax_output(_svm_probs(_stored(tr), te, len(labels)), "_p", labels, id_col, "tfidf_svm")
 
 
 def classify_rf(docs: DataFrame, train: DataFrame, id_col: str = "article_id", text_col: str = "text",
@@ -265,8 +286,7 @@ def classify_soft_vote(docs: DataFrame, train: DataFrame, id_col: str = "article
     from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
     tr, te, labels = _features(train, docs, text_col, label_col, max_features)
-    ensure_checkpoint_dir(train.sparkSession)
-    tr = tr.select("features", "_y").checkpoint()
+    tr = _stored(tr)
     nb = NaiveBayes(modelType="multinomial", smoothing=1.0, labelCol="_y", featuresCol="features").fit(tr)
     rf = RandomForestClassifier(numTrees=50, seed=42, labelCol="_y", featuresCol="features").fit(tr)
     lr = LogisticRegression(maxIter=1000, labelCol="_y", featuresCol="features").fit(tr)
