@@ -15,7 +15,8 @@ cross documents and are judged on the input.
 3. Each shard builds a suffix array of its runs by Larsson-Sadakane refinement
    (ranks by 8 bytes, then 16, 32, 64 and ``LENGTH``; only unsorted groups are
    sorted again) and its common prefixes by Kasai's rule, all in numpy. Equal
-   neighbours are repeats; the earliest one stays.
+   neighbours are repeats; the earliest one stays. The arrays take some 50
+   times the text, so a shard goes through them in pieces, by minimiser.
 4. Minimisers of several shards: every shard sends the hashes of its earliest
    windows as sorted runs, dealt by hash; they are merged by binary search and
    later windows of a hash are repeats too.
@@ -42,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +56,13 @@ GRAM = 32
 SLAB = 4_000_000
 SLAB_ROWS = 10_000          # a document's place in its slab has 16 bits
 SHARD = 2_000_000           # bytes of run text a shard should hold
+PIECES = 4                  # parts of a shard (by minimiser) that are sorted one after the other
+BLOCK = 1 << 19             # strings that are hashed at a time
 RUN = 127                   # windows of a run at most
 SELF = 128                  # marks a run whose minimiser occurs in it more than once
 REST = np.uint64((1 << 40) - 1)
 NULL_ID = -(1 << 63)
+BYTE = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)    # lowest bit of each byte of a word
 _WAY: dict[str, np.ndarray] = {}
 
 
@@ -70,7 +75,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size``-byte string of ``raw``."""
+    """Hash of every ``size``-byte string of ``raw``, which does not depend on its place; block by block."""
+    if len(raw) < size:
+        return np.empty(0, np.uint64)
+    return np.concatenate([_block_hashes(raw[a:a + BLOCK + size - 1], size) for a in range(0, len(raw) - size + 1, BLOCK)])
+
+
+def _block_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     n = len(raw)
     up, down = _powers(n + 1)
     fold = np.zeros(n + 1, np.uint64)
@@ -137,27 +148,31 @@ def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return np.concatenate(starts), np.concatenate(sizes), np.concatenate(minis)
 
 
+def _texts(pieces: list[pa.RecordBatch]) -> list[bytes]:
+    return [t or b"" for piece in pieces for t in piece.column("_text").to_pylist()]
+
+
 def _slabs(batches: Iterator[pa.RecordBatch]):
-    """``(slab, pieces of batches, texts)``; where a slab ends depends on the partition's rows and texts only."""
+    """``(slab, pieces of batches, texts)``; where a slab ends depends on the partition's rows and texts only.
+
+    Only the texts of a slab become Python objects."""
     slab = T.first_slab(TaskContext.get().partitionId())
     pieces: list[pa.RecordBatch] = []
-    texts: list[bytes] = []
-    total = 0
+    rows = total = 0
     for b in batches:
-        own = [t or b"" for t in b.column("_text").to_pylist()]
         start = 0
-        for i, t in enumerate(own):
-            if texts and (len(texts) == SLAB_ROWS or total + len(t) > SLAB):
+        for i, n in enumerate(pc.fill_null(pc.binary_length(b.column("_text")), 0).to_pylist()):
+            if rows and (rows == SLAB_ROWS or total + n > SLAB):
                 if i > start:
                     pieces.append(b.slice(start, i - start))
-                yield slab, pieces, texts
-                slab, start, pieces, texts, total = slab + 1, i, [], [], 0
-            texts.append(t)
-            total += len(t)
-        if start < len(own):
+                yield slab, pieces, _texts(pieces)
+                slab, start, pieces, rows, total = slab + 1, i, [], 0, 0
+            rows += 1
+            total += n
+        if start < b.num_rows:
             pieces.append(b.slice(start))
-    if texts:
-        yield slab, pieces, texts
+    if rows:
+        yield slab, pieces, _texts(pieces)
 
 
 def _check(texts: list[bytes]) -> int:
@@ -243,7 +258,7 @@ def _rows(table: pa.Table) -> pa.Table:
 
 
 _RUNS = "shard long, text binary, meta binary"
-META = np.dtype([("id", "<i8"), ("row", "<i8"), ("start", "<u4"), ("n", "<u2"), ("parts", "<u4")])
+META = np.dtype([("id", "<i8"), ("row", "<i8"), ("start", "<u4"), ("n", "<u2"), ("parts", "<u4"), ("piece", "<u1")])
 
 
 def _cut_runs(shards: int, length: int):
@@ -265,7 +280,9 @@ def _cut_runs(shards: int, length: int):
             meta["id"], meta["row"] = ids[place], (number << 16) | place
             meta["start"] = start - (ends[place] - np.array([len(t) for t in texts])[place])
             meta["n"], meta["parts"] = size, parts
-            shard = (T.mix(mini) % np.uint64(shards)).astype(np.int64)
+            mixed = T.mix(mini)
+            shard = (mixed % np.uint64(shards)).astype(np.int64)
+            meta["piece"] = mixed // np.uint64(shards) % np.uint64(PIECES)
             own = parts > 1                              # dealt over several shards, by slab
             split = T.mix(np.array([number], np.uint64))[0] % np.maximum(parts, 1).astype(np.uint64)
             shard[own] = shards + (T.mix(mini[own] + split[own] * T.PLACE[0]) >> np.uint64(2)).astype(np.int64)
@@ -293,22 +310,25 @@ def sorted_windows(raw: np.ndarray, end: np.ndarray, length: int = LENGTH) -> np
     key = np.zeros(n, np.uint64)
     padded = np.r_[raw, np.zeros(8, np.uint8)]
     for k in range(8):
-        key = key << np.uint64(8) | padded[k:n + k].astype(np.uint64)
-    rank = np.zeros(n, np.int64)
-    live = np.flatnonzero(np.arange(n) + 8 <= end)
-    order = live[np.argsort(key[live], kind="stable")]
+        key <<= np.uint64(8)
+        key |= padded[k:n + k]
+    rank = np.zeros(n, np.int32)
+    order = np.flatnonzero(np.arange(8, n + 8, dtype=np.int32) <= end).astype(np.int32)
+    order = order[np.argsort(key[order], kind="stable")]
     value, h = key[order], 8
-    old = np.zeros(len(order), np.int64)                # rank of the group that is being split
+    del key, padded
+    old = np.zeros(len(order), np.int32)                # rank of the group that is being split
     steps = [x for x in (16, 32, 64) if x <= length] + [length]
     while True:
         new = np.r_[True, (value[1:] != value[:-1]) | (old[1:] != old[:-1])] if len(order) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        fresh = np.flatnonzero(np.r_[True, old[1:] != old[:-1]]) if len(order) else first
-        group = np.cumsum(new) - 1
-        parent = np.repeat(fresh, np.diff(np.r_[fresh, len(order)]))
-        rank[order] = old + first[group] - parent
-        alone = np.diff(np.r_[first, len(order)]) == 1
-        order = order[~alone[group]]
+        first = np.flatnonzero(new).astype(np.int32)
+        fresh = np.flatnonzero(np.r_[True, old[1:] != old[:-1]]).astype(np.int32) if len(order) else first
+        many = np.diff(np.r_[first, len(order)])
+        old -= np.repeat(fresh, np.diff(np.r_[fresh, len(order)]))
+        old += np.repeat(first, many)
+        rank[order] = old
+        order = order[np.repeat(many > 1, many)]
+        del value, old, new
         if not steps:
             return order
         to = steps.pop(0)
@@ -316,6 +336,7 @@ def sorted_windows(raw: np.ndarray, end: np.ndarray, length: int = LENGTH) -> np
         old, follow = rank[order], rank[order + (to - h)]
         sort = np.lexsort((follow, old))
         order, old, value, h = order[sort], old[sort], follow[sort], to
+        del follow, sort
 
 
 def common_prefixes(raw: np.ndarray, order: np.ndarray, begin: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -326,12 +347,13 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, begin: np.ndarray, lengt
     neighbour is also sorted and comes before it.
     """
     n = len(raw)
-    place = np.full(n + 1, -1, np.int64)
-    place[order] = np.arange(len(order))
-    before = np.full(n + 1, -1, np.int64)
+    place = np.full(n + 1, -1, np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    before = np.full(n + 1, -1, np.int32)
     before[order[1:]] = order[:-1]
-    lcp = np.zeros(n + 1, np.int64)
+    lcp = np.zeros(n + 1, np.int32)
     padded = np.r_[raw, np.zeros(length + 8, np.uint8)]
+    word = np.ndarray(n + length + 1, "<u8", padded, strides=(1,))      # the eight bytes from each place on
     todo = np.sort(order)
     depth = todo - begin[todo]                           # windows of one depth in their run are handled together
     by = np.argsort(depth, kind="stable")
@@ -345,11 +367,11 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, begin: np.ndarray, lengt
         h = np.where(known, np.maximum(lcp[i - 1] - 1, 0), 0)
         go = np.flatnonzero(h < length)
         while len(go):
-            same = padded[i[go] + h[go]] == padded[p[go] + h[go]]
-            go = go[same]
-            h[go] += 1
-            go = go[h[go] < length]
-        lcp[i] = h
+            differ = word[i[go] + h[go]] ^ word[p[go] + h[go]]
+            low = differ & (~differ + np.uint64(1))                     # its lowest bit is in the first byte that differs
+            h[go] += np.where(differ == 0, 8, np.searchsorted(BYTE, low, "right") - 1).astype(np.int32)
+            go = go[(differ == 0) & (h[go] < length)]
+        lcp[i] = np.minimum(h, length)
     return lcp[order]
 
 
@@ -378,13 +400,16 @@ def shard_repeats(text: bytes, meta: np.ndarray, length: int = LENGTH):
             keep.append(k)
     kept = np.array(keep, np.int64)
     raw = np.frombuffer(b"".join([text[cut[k]:cut[k + 1]] for k in keep]), np.uint8)
+    del seen
     s = span[kept]
-    begin = np.repeat(np.cumsum(s) - s, s)
-    order = sorted_windows(raw, begin + np.repeat(s, s), length)
+    if s.sum() + length + 8 >= 1 << 31:
+        raise ValueError("a shard's runs go over 2 GB")
+    begin = np.repeat((np.cumsum(s) - s).astype(np.int32), s)
+    order = sorted_windows(raw, begin + np.repeat(s.astype(np.int32), s), length)
     if len(order):
         lcp = common_prefixes(raw, order, begin, length)
         start = np.flatnonzero(np.r_[True, lcp[1:] < length])
-        owner = kept[np.repeat(np.arange(len(kept)), s)[order]]
+        owner = kept[np.repeat(np.arange(len(kept), dtype=np.int32), s)[order]]
         offset = order - begin[order]
         when = rank[owner] * 65_536 + offset
         earliest = np.repeat(np.minimum.reduceat(when, start), np.diff(np.r_[start, len(order)]))
@@ -417,21 +442,26 @@ def _found_table(rows: list[tuple]) -> pa.Table:
                                 ["slab", "spans", "range", "windows"])
 
 
+def _pieces(text: bytes, meta: np.ndarray, length: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """The runs of a shard in pieces; equal windows have one minimiser, so they are in one piece."""
+    cut = np.r_[0, np.cumsum(meta["n"].astype(np.int64) + length - 1)].tolist()
+    for p in np.unique(meta["piece"]).tolist():
+        own = np.flatnonzero(meta["piece"] == p)
+        yield b"".join([text[cut[k]:cut[k + 1]] for k in own.tolist()]), meta[own]
+
+
 def _shard_pass(ranges: int, length: int):
-    def run(table: pa.Table) -> pa.Table:
-        text = b"".join(table.column("text").to_pylist())
-        meta = np.concatenate([np.frombuffer(x, META) for x in table.column("meta").to_pylist()])
+    def piece(text: bytes, meta: np.ndarray):
+        """``(row, a, b)`` of the maximal runs of repeats; windows that other shards may have too, by range."""
         repeat, first = shard_repeats(text, meta, length)
-        owner = np.repeat(np.arange(len(meta)), meta["n"])
-        offset = np.arange(len(owner)) - first[owner]
-        # maximal runs of repeats
+        owner = np.repeat(np.arange(len(meta), dtype=np.int32), meta["n"])
+        offset = np.arange(len(owner), dtype=np.int32) - first.astype(np.int32)[owner]
         starts = np.flatnonzero(repeat & ~(np.r_[False, repeat[:-1]] & (offset > 0)))
         nxt = np.r_[repeat[1:] & (offset[1:] > 0), False]
         stops = np.flatnonzero(repeat & ~nxt)
         m = meta[owner[starts]]
-        a = m["start"].astype(np.int64) + offset[starts]
-        b = m["start"].astype(np.int64) + offset[stops] + length
-        rows = _span_rows(m["row"], a, b)
+        spans = m["row"], m["start"].astype(np.int64) + offset[starts], m["start"].astype(np.int64) + offset[stops] + length
+        rows = []
         shared = np.flatnonzero(~repeat & (meta["parts"][owner] > 1))
         if len(shared):
             raw = np.frombuffer(text, np.uint8)
@@ -446,7 +476,17 @@ def _shard_pass(ranges: int, length: int):
             part = (w["h"] >> np.uint64(20)) % np.uint64(ranges)
             for r in np.unique(part):
                 rows.append((None, None, int(r), w[part == r].tobytes()))
-        return _found_table(rows)
+        return spans, rows
+
+    def run(table: pa.Table) -> pa.Table:
+        text = b"".join(table.column("text").to_pylist())
+        meta = np.concatenate([np.frombuffer(x, META) for x in table.column("meta").to_pylist()])
+        spans, windows = [], []
+        for some, own in _pieces(text, meta, length):
+            found, rows = piece(some, own)
+            spans.append(found)
+            windows += rows
+        return _found_table(_span_rows(*[np.concatenate(c) for c in zip(*spans, strict=True)]) + windows)
     return run
 
 

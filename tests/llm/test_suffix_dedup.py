@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gazette.llm import suffix_dedup as S
@@ -109,3 +111,60 @@ def test_slab_numbers_and_buckets_at_scale():
         T.first_slab(1 << 27)
     assert T.bucket_count(0, 8) == 64 and T.bucket_count(10**13, 200) * T.BUCKET_BYTES >= 10**13
     assert all(n / T.bucket_count(n, 200) <= T.BUCKET_BYTES for n in (10**9, 10**12, 10**14))
+
+
+def shard_of(rng, minimisers, copies, length=100):
+    """A shard's table: per minimiser that many runs, which share 60 windows."""
+    from gazette.llm import textops as T
+    text, meta = [], []
+    for k in range(minimisers):
+        core = rng.integers(97, 123, 60 + length - 1, dtype=np.uint8).tobytes()
+        for c in range(copies):
+            text.append(rng.integers(97, 123, 29, dtype=np.uint8).tobytes() + bytes([65 + c]) + core)
+            piece = T.mix(np.array([k], np.uint64))[0] % np.uint64(S.PIECES)
+            meta.append((c, c << 16 | k & 0xFFFF, 0, len(text[-1]) - length + 1, 1, piece))
+    return pa.table({"text": pa.array([b"".join(text)], pa.binary()),
+                     "meta": pa.array([np.array(meta, S.META).tobytes()], pa.binary())})
+
+
+def test_a_shard_is_sorted_in_little_memory():
+    """A worker took 116 bytes for each of the shard's; two of them took an executor over its memory (pipeline)."""
+    table = shard_of(np.random.default_rng(5), 3_500, 3)
+    size = len(table.column("text")[0].as_py())
+    assert 1_900_000 < size < 2_100_000
+    tracemalloc.start()
+    try:
+        found = S._shard_pass(12, 100)(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30 * size
+    spans = {slab: np.frombuffer(x, S.SPAN) for slab, x in zip(found.column("slab").to_pylist(), found.column("spans").to_pylist(), strict=True)}
+    assert sorted(spans) == [1, 2]                      # slab 0 has the earliest run of each minimiser
+    for s in spans.values():
+        assert sorted(s["place"]) == list(range(3_500)) and set(s["a"]) == {30} and set(s["b"]) == {189}
+
+
+def test_hashes_do_not_depend_on_the_block(monkeypatch):
+    raw = np.random.default_rng(7).integers(0, 256, 5_000, dtype=np.uint8)
+    whole = S.gram_hashes(raw, 32)
+    monkeypatch.setattr(S, "BLOCK", 700)
+    assert (S.gram_hashes(raw, 32) == whole).all() and len(whole) == 4_969 and not len(S.gram_hashes(raw[:31], 32))
+
+
+def test_only_a_slab_of_texts_becomes_python_objects(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+    monkeypatch.setattr(S, "TaskContext", Task)
+    monkeypatch.setattr(S, "SLAB", 100_000)
+    b = pa.RecordBatch.from_arrays([pa.array([b"x" * 2_000, None] * 2_500, pa.binary())], ["_text"])
+    tracemalloc.start()
+    try:
+        got = [(slab, [p.num_rows for p in pieces], len(texts), sum(map(len, texts))) for slab, pieces, texts in S._slabs(iter([b, b.slice(0, 75)]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2_000_000
+    assert got[0] == (0, [100], 100, 100_000) and sum(x[2] for x in got) == 5_075 and got[-1][1] == [75]
+    assert [x[0] for x in got] == list(range(51))
