@@ -7,9 +7,15 @@ Scale notes
   its balls that are further apart than eps allows hold no pair, and no tile
   below them is laid. Every other pair of leaves is one matrix product in
   ``applyInArrow``, so a task holds two blocks whatever the category's size.
-* DBSCAN needs no pair table: tiles return degrees (one number per row) and a
+* DBSCAN needs no pair table: its tasks return degrees (one number per row) and a
   spanning forest of their core rows (at most one edge per row), joined by
   connected components; border rows bring the roots they touch.
+* A task of DBSCAN holds two panels, runs of blocks that lie beside each other in
+  the tree, and walks the tiles between them. So a row is copied once for each
+  panel of its key (``PANELS``, more only where a panel would exceed
+  ``PANEL_BYTES``), not once for each tile of its block.
+* The texts of articles are shuffled once, by id, and stored once: blocks and
+  labels are made of the vectors alone.
 * Rows without a vector are noise, rows without a category are ``unknown``.
 * Keywords are counted with a grouped aggregation per (cluster, word), then a
   top-k window (planned as a WindowGroupLimit), never from collected text.
@@ -29,6 +35,8 @@ from gazette.operators.components import connected_components
 from gazette.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 DEFAULT_BLOCK = 2048
+PANELS = 8                   # panels of a key, as long as none exceeds PANEL_BYTES
+PANEL_BYTES = 1 << 24        # vectors of a panel, about
 
 
 # --------------------------------------------------------------------------- tiles
@@ -82,7 +90,6 @@ class _Tile:
         self.same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
         self.b = self.a if self.same else np.flatnonzero(side == 1)
         self.ids = ids
-        self.core = table.column("core").to_numpy(zero_copy_only=False).astype(bool) if "core" in table.schema.names else None
         self.dist = np.clip(1.0 - m[self.a] @ m[self.b].T, 0.0, 2.0)
         self.near = self.dist <= eps
         if self.same:
@@ -119,50 +126,122 @@ def neighbor_pairs(df: DataFrame, eps: float, key: str = "category", id_col: str
 
 
 # --------------------------------------------------------------------------- G2
-def _degrees(rows: DataFrame, eps: float) -> DataFrame:
+def _panels(blocks: metric_tree.Blocks, tiles: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """The pairs of panels each block belongs to (``k, blk, to``), and their tiles (``k, p, q, lo, hi``).
+
+    Blocks follow each other by number, so children of a node share a panel. Without ``tiles`` every key is one block.
+    """
+    if tiles is None:
+        return None, None
+    width = max(1, blocks.nodes.agg(F.max(F.size("center"))).first()[0] or 1)
+    most = max(1, PANEL_BYTES // (8 * width))
+    in_key = Window.partitionBy("k")
+    before = F.sum("n").over(in_key.orderBy("blk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    wide = F.least(F.greatest(F.lit(metric_tree.BUNDLE), F.ceil(F.sum("n").over(in_key) / F.lit(PANELS))), F.lit(most))
+    place = blocks.rows.groupBy("k", "blk").agg(F.count("*").alias("n")).select("k", "blk", F.floor(before / wide).alias("panel")).checkpoint()
+    side = lambda blk, panel: place.select("k", F.col("blk").alias(blk), F.col("panel").alias(panel))
+    pairs = tiles.join(side("lo", "p"), ["k", "lo"]).join(side("hi", "q"), ["k", "hi"]).select("k", "p", "q", "lo", "hi").checkpoint()
+    laid = pairs.select("k", F.struct("p", "q").alias("to")).distinct()
+    to = laid.select("k", F.explode(F.array_distinct(F.array("to.p", "to.q"))).alias("panel"), "to").groupBy("k", "panel").agg(
+        F.collect_list("to").alias("to"))
+    return place.join(to, ["k", "panel"]).select("k", "blk", "to").checkpoint(), pairs
+
+
+def _in_pairs(rows: DataFrame, place: DataFrame | None) -> DataFrame:
+    """The rows of every pair of panels: the row and ``p, q``."""
+    if place is None:
+        return rows.withColumns({"p": F.lit(0), "q": F.lit(0)})
+    dealt = rows.join(place, ["k", "blk"]).withColumn("to", F.explode("to"))
+    return dealt.select(*rows.columns, F.col("to.p").alias("p"), F.col("to.q").alias("q"))
+
+
+class _Panels:
+    """Unit vectors of two panels, ordered by id, and which rows of two of their blocks lie within eps of each other."""
+
+    def __init__(self, table: pa.Table, pairs: pa.Table | None, eps: float):
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.eps = ids[order], eps
+        self.unit = metric_tree.unit(table, "v")[order]
+        self.core = (table.column("core").to_numpy(zero_copy_only=False).astype(bool)[order] if "core" in table.schema.names
+                     else np.ones(len(ids), bool))
+        blk = table.column("blk").to_numpy()[order]
+        by_block = np.argsort(blk, kind="stable")
+        numbers, start = np.unique(blk[by_block], return_index=True)
+        self.rows = dict(zip(numbers.tolist(), np.split(by_block, start[1:]), strict=True)) if len(ids) else {}
+        self.pairs = [(n, n) for n in self.rows] if pairs is None else sorted(
+            zip(pairs.column("lo").to_pylist(), pairs.column("hi").to_pylist(), strict=True))
+
+    def near(self, lo: int, hi: int) -> np.ndarray:
+        out = np.clip(1.0 - self.unit[self.rows[lo]] @ self.unit[self.rows[hi]].T, 0.0, 2.0) <= self.eps
+        if lo == hi:
+            np.fill_diagonal(out, False)
+        return out
+
+
+def _in_panels(rows: DataFrame, pairs: DataFrame | None, eps: float, names: list[str], made, schema: str) -> DataFrame:
+    """``made`` (columns from ``_Panels``) of every pair of panels, after the key ``k``."""
+    schema = f"k {dict(rows.dtypes)['k']}, {schema}"
+
+    def one(table: pa.Table, tiles: pa.Table | None = None) -> pa.Table:
+        cols = made(_Panels(table, tiles, eps))
+        key = pa.array([table.column("k")[0].as_py()] * len(cols[0]) if table.num_rows else [], table.schema.field("k").type)
+        return pa.Table.from_arrays([key, *[pa.array(c) for c in cols]], ["k", *names])
+
+    grouped = rows.groupBy("k", "p", "q")
+    if pairs is None:
+        return grouped.applyInArrow(lambda table: one(table), schema)
+    return grouped.cogroup(pairs.groupBy("k", "p", "q")).applyInArrow(lambda table, tiles: one(table, tiles), schema)
+
+
+def _degrees(rows: DataFrame, pairs: DataFrame | None, eps: float) -> DataFrame:
     """``k, id, deg``: number of other rows within eps."""
-    def tile(table: pa.Table) -> pa.Table:
-        t = _Tile(table, eps)
-        ids, deg = t.ids[t.a], t.near.sum(axis=1)
-        if not t.same:
-            ids, deg = np.r_[ids, t.ids[t.b]], np.r_[deg, t.near.sum(axis=0)]
-        return t.table(["id", "deg"], ids[deg > 0], deg[deg > 0])
+    def made(t: _Panels) -> list[np.ndarray]:
+        deg = np.zeros(len(t.ids), np.int64)
+        for lo, hi in t.pairs:
+            near = t.near(lo, hi)
+            deg[t.rows[lo]] += near.sum(axis=1)
+            if lo != hi:
+                deg[t.rows[hi]] += near.sum(axis=0)
+        return [t.ids[deg > 0], deg[deg > 0]]
 
-    out = rows.groupBy("k", "lo", "hi").applyInArrow(tile, f"k {dict(rows.dtypes)['k']}, id long, deg long")
-    return out.groupBy("k", "id").agg(F.sum("deg").alias("deg"))
+    return _in_panels(rows, pairs, eps, ["id", "deg"], made, "id long, deg long").groupBy("k", "id").agg(F.sum("deg").alias("deg"))
 
 
-def _forest(rows: DataFrame, eps: float) -> DataFrame:
-    """``k, border, a, b``: edges that join the core rows of each tile, and roots that other rows touch."""
-    def tile(table: pa.Table) -> pa.Table:
-        t = _Tile(table, eps)
+def _forest(rows: DataFrame, pairs: DataFrame | None, eps: float) -> DataFrame:
+    """``k, border, a, b``: edges that join the core rows of two panels, and roots that other rows touch."""
+    def made(t: _Panels) -> list[np.ndarray]:
         n = len(t.ids)
-        order = np.argsort(t.ids, kind="stable")
-        label = np.empty(n, np.int64)                 # rank of the smallest id known to be connected
-        label[order] = np.arange(n)
-        own = label.copy()
-        core = np.ones(n, bool) if t.core is None else t.core
-        link = t.near & core[t.a][:, None] & core[t.b][None, :]
-        while True:
-            before = label.copy()
-            label[t.a] = np.minimum(label[t.a], np.where(link, label[t.b][None, :], n).min(axis=1, initial=n))
-            label[t.b] = np.minimum(label[t.b], np.where(link, label[t.a][:, None], n).min(axis=0, initial=n))
-            label = label[order[label]]               # jump to the label of the smallest row
-            if np.array_equal(label, before):
-                break
-        root = t.ids[order[label]]
-        moved = label != own
-        a, b, border = [t.ids[moved]], [root[moved]], [np.zeros(moved.sum(), bool)]
-        for x, y, near in ((t.a, t.b, t.near), *(() if t.same else ((t.b, t.a, t.near.T),))):
-            i, j = np.nonzero(near & ~core[x][:, None] & core[y][None, :])
-            if len(i):
-                pairs = np.unique(np.stack([t.ids[x[i]], root[y[j]]], axis=1), axis=0)
-                a.append(pairs[:, 0])
-                b.append(pairs[:, 1])
-                border.append(np.ones(len(pairs), bool))
-        return t.table(["border", "a", "b"], np.concatenate(border), np.concatenate(a), np.concatenate(b))
-
-    return rows.groupBy("k", "lo", "hi").applyInArrow(tile, f"k {dict(rows.dtypes)['k']}, border boolean, a long, b long")
+        label = np.arange(n)                          # the smallest row known to be connected, always one with its own label
+        touched = [np.empty((0, 2), np.int64)]
+        for lo, hi in t.pairs:
+            a, b = t.rows[lo], t.rows[hi]
+            both = label[np.r_[a, b]]
+            if t.core[a].all() and t.core[b].all() and (both == both[0]).all():
+                continue                              # all connected, and no border rows
+            near = t.near(lo, hi)
+            link = near & t.core[a][:, None] & t.core[b][None, :]
+            while True:
+                was_a, was_b = label[a], label[b]
+                new_a = np.minimum(was_a, np.where(link, was_b[None, :], n).min(axis=1, initial=n))
+                new_b = np.minimum(was_b, np.where(link, was_a[:, None], n).min(axis=0, initial=n))
+                if np.array_equal(new_a, was_a) and np.array_equal(new_b, was_b):
+                    break
+                np.minimum.at(label, was_a, new_a)    # what is connected to the old label follows
+                np.minimum.at(label, was_b, new_b)
+                while not np.array_equal(label, label[label]):
+                    label = label[label]
+            for x, y, close in ((a, b, near), *(() if lo == hi else ((b, a, near.T),))):
+                i, j = np.nonzero(close & ~t.core[x][:, None] & t.core[y][None, :])
+                if len(i):
+                    touched.append(np.unique(np.stack([x[i], label[y[j]]], axis=1), axis=0))
+        border = np.concatenate(touched)
+        border = np.unique(np.stack([border[:, 0], label[border[:, 1]]], axis=1), axis=0)
+        moved = np.flatnonzero(label != np.arange(n))
+        return [np.r_[np.zeros(len(moved), bool), np.ones(len(border), bool)], np.r_[t.ids[moved], t.ids[border[:, 0]]],
+                np.r_[t.ids[label[moved]], t.ids[border[:, 1]]]]
+
+    return _in_panels(rows, pairs, eps, ["border", "a", "b"], made, "border boolean, a long, b long")
 
 
 ROOT_BUCKET_BITS = 16
@@ -196,14 +275,15 @@ def dbscan_labels(df: DataFrame, eps: float, min_samples: int = 2, key: str = "c
     ship_package(df.sparkSession)
     limit = float(eps)
     blocks = _blocks(df, key, id_col, vec_col, block_size).bundles()
-    placed, tiles = blocks.rows, blocks.tiles(limit)
+    placed = blocks.rows
+    place, pairs = _panels(blocks, blocks.tiles(limit))
     points = placed.select("k", "id")
     if min_samples > 2:
-        deg = _degrees(_tile_rows(placed, tiles), limit)
+        deg = _degrees(_in_pairs(placed, place), pairs, limit)
         placed = (placed.join(deg, ["k", "id"], "left")
                   .withColumn("core", F.coalesce("deg", F.lit(0)) + 1 >= min_samples).drop("deg").checkpoint())
         points = placed.select("k", "id", "core")
-    forest = _forest(_tile_rows(placed, tiles), limit).checkpoint()
+    forest = _forest(_in_pairs(placed, place), pairs, limit).checkpoint()
     node = lambda c: F.struct(F.col("k"), F.col(c).alias("id"))
     comp = connected_components(forest.filter("NOT border").select(node("a").alias("a"), node("b").alias("b"))).select(
         F.col("id.k").alias("k"), F.col("id.id").alias("id"), F.col("root.id").alias("root"))
@@ -230,24 +310,49 @@ def cluster_members(df: DataFrame, eps: float = 0.35, min_samples: int = 2, key:
     (``small`` = true); otherwise DBSCAN labels, noise = -1. A row without a
     vector is noise; a row without a key belongs to ``unknown``.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    df = _kept(df.withColumn(key, F.coalesce(F.col(key), F.lit(dims.UNKNOWN_CATEGORY))), "cluster-input")
-    labels = dbscan_labels(df, eps, min_samples, key, id_col, vec_col, block_size)
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n"), F.min(id_col).alias("cat_first"))
-    members = (df.join(labels, [key, id_col], "left").join(sizes, key)
-               .withColumn("small", F.col("_n") < min_samples)
-               .withColumn("cluster_id", F.when(F.col("small"), F.lit(0).cast("long"))
-                           .otherwise(F.coalesce("cluster_id", F.lit(-1).cast("long"))))
-               .withColumn("is_noise", F.col("small") | (F.col("cluster_id") == -1))
-               .drop("_n", "is_core"))
-    return _kept(members, "cluster-members")
+    return members_of(clustered(df, eps, min_samples, key, id_col, vec_col, block_size))
+
+
+def clustered(df: DataFrame, eps: float = 0.35, min_samples: int = 2, key: str = "category", id_col: str = "pos",
+              vec_col: str = "vec", block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """The members as a stored table that holds each input row once, with ``times``, how often it is a member.
+
+    A row is one member for every row with a vector that has its key and id, so
+    ``times`` is 1 unless these repeat. ``df`` is read twice, first its keys and
+    vectors and then all of it, and has to give the same rows.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.withColumn(key, F.coalesce(F.col(key), F.lit(dims.UNKNOWN_CATEGORY)))
+    slim = _kept(df.select(key, id_col, vec_col), "cluster-vectors")
+    labels = dbscan_labels(slim, eps, min_samples, key, id_col, vec_col, block_size)
+    sizes = slim.groupBy(key).agg(F.count("*").alias("_n"), F.min(id_col).alias("cat_first"))
+    # rows of one key and id have one label. They are joined by id alone: a table that was joined by its id before
+    # is not shuffled again with its texts
+    own = labels.groupBy(key, id_col).agg(F.min("cluster_id").alias("c"), F.count("*").alias("n"))
+    own = own.groupBy(id_col).agg(F.collect_list(F.struct(F.col(key).alias("k"), "c", "n")).alias("_labels"))
+    rows = (df.join(own, id_col, "left").join(sizes, key)
+            .withColumn("_own", F.get(F.filter("_labels", lambda x: x["k"] == F.col(key)), F.lit(0)))
+            .withColumn("small", F.col("_n") < min_samples)
+            .withColumn("cluster_id", F.when(F.col("small"), F.lit(0).cast("long"))
+                        .otherwise(F.coalesce("_own.c", F.lit(-1).cast("long"))))
+            .withColumn("is_noise", F.col("small") | (F.col("cluster_id") == -1))
+            .withColumn("times", F.coalesce("_own.n", F.lit(1).cast("long"))))
+    made = ["cluster_id", "cat_first", "small", "is_noise", "times"]
+    rest = [c for c in df.columns if c not in (key, id_col, *made)]
+    return _kept(rows.select(key, id_col, *rest, *made), "cluster-members")
+
+
+def members_of(rows: DataFrame) -> DataFrame:
+    """The members of a table of ``clustered``."""
+    if rows.filter("times > 1").limit(1).count():
+        rows = rows.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return rows.drop("times")
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a stored table: computed once, read by column, safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

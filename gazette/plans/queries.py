@@ -58,8 +58,8 @@ def _texts(spark, sf):
 
 
 def _protos(spark, sf):
-    """Label-mean prototypes, from the vectors alone (no text is read)."""
-    return C.build_prototypes(fx.labelled_embeddings(spark, sf), "category", "vec", ord_col="label")
+    """Label-mean prototypes, from the vectors alone (no text is read); stored, so that every reader gets the same sums."""
+    return C.build_prototypes(fx.labelled_embeddings(spark, sf), "category", "vec", ord_col="label").checkpoint()
 
 
 def _classified(spark, sf):

@@ -230,3 +230,62 @@ def test_keywords_take_one_shuffle_of_words_for_ids_of_31_bits(spark):
     assert small.first()["keywords"] == large.first()["keywords"] == ["gamma", "alpha", "beta", "delta", "omega"]
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert plan(small).count("Exchange hashpartitioning") < plan(large).count("Exchange hashpartitioning")
+
+
+def test_rows_are_copied_by_panel_not_by_tile(spark, monkeypatch):
+    """Many small blocks: labels as by brute force, and a row goes to no more tasks than its key has panels, and one."""
+    from gazette.operators import metric_tree
+    monkeypatch.setattr(metric_tree, "BUNDLE", 9)
+    monkeypatch.setattr(G, "PANELS", 3)
+    pts = [(c, p * 70_001, v) for c, p, v in random_points(seed=17, per_cat=90)] + [("solo", 7, angle_vec(3)), ("c0", 8, None)]
+    pts += [("zero", 100 + i, [0.0, 0.0]) for i in range(12)]
+    df = make_df(spark, pts)
+    for eps, ms in [(0.08, 2), (0.05, 3), (0.6, 4), (1.0, 2)]:
+        got = {r.pos: (r.cluster_id, r.is_noise) for r in G.cluster_members(df, eps, ms, block_size=7).collect()}
+        assert got == expected([p for p in pts if p[2]], eps, ms) | {8: (-1, True)}, (eps, ms)
+    blocks = G._blocks(df, "category", "pos", "vec", 7).bundles()
+    tiles = blocks.tiles(0.6)
+    place, pairs = G._panels(blocks, tiles)
+    n = {r.k: r["count"] for r in blocks.rows.groupBy("k").count().collect()}
+    copies = {r.k: r["count"] for r in G._in_pairs(blocks.rows, place).groupBy("k").count().collect()}
+    laid = {r.k: r["count"] for r in G._tile_rows(blocks.rows, tiles).groupBy("k").count().collect()}
+    assert n.keys() == copies.keys() and all(copies[k] <= n[k] * (G.PANELS + 1) for k in n)
+    assert copies["c0"] * 2 < laid["c0"]                       # what one task for each tile takes
+    assert pairs.count() == pairs.select("k", "lo", "hi").distinct().count() == tiles.count()
+    monkeypatch.setattr(G, "PANEL_BYTES", 8 * 8 * 10)          # ten vectors
+    assert rows(G.dbscan_labels(df, 0.05, 3, block_size=7)) == rows(G.dbscan_labels(df, 0.05, 3, block_size=1000))
+
+
+def test_texts_are_shuffled_and_stored_once(spark, monkeypatch):
+    kept = []
+
+    def keep(df, name, real=G._kept):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        kept.append((df.columns, [p for p in plan.split("\n\n") if ") Exchange" in p and "description" in p]))
+        return real(df, name)
+
+    monkeypatch.setattr(G, "_kept", keep)
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = make_df(spark, random_points(seed=2, n_cat=2, per_cat=20))
+        df = df.drop("vec", "category").join(df.select("pos", "vec", "category"), "pos", "left")
+        df.count()
+        members = G.cluster_members(df, 0.08, 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert members.count() == 40
+    assert sum("description" in columns for columns, _ in kept) == 1
+    # by the id, and by nothing else but the few keys whose sizes are broadcast on any table of many rows
+    assert [sum("hashpartitioning(pos" in p for p in exchanges) for _, exchanges in kept] == [0, 1]
+
+
+def test_equal_keys_and_ids_stay_members_of_each_other(spark):
+    pts = [("x", 1, [1.0, 0.0]), ("x", 1, [0.0, 1.0]), ("x", 2, [1.0, 0.01]), ("x", 2, None), ("y", 2, [1.0, 0.0])]
+    df = make_df(spark, pts).unionByName(spark.sql("SELECT 'x' category, NULL pos, 't' title, 'd' description, 's' source, NULL vec"))
+    table = G.clustered(df, 0.1, 2)
+    got = sorted((r.category, r.pos or 0, r.vec is None, r.cluster_id, r.times) for r in table.collect())
+    assert got == [("x", 0, True, -1, 1), ("x", 1, False, 0, 2), ("x", 1, False, 0, 2), ("x", 2, False, 0, 1), ("x", 2, True, 0, 1), ("y", 2, False, 0, 1)]
+    members = G.members_of(table)
+    assert sorted((r.category, r.pos or 0) for r in members.collect()) == [("x", 0)] + [("x", 1)] * 4 + [("x", 2)] * 2 + [("y", 2)]
+    assert members.columns == ["category", "pos", "title", "description", "source", "vec", "cluster_id", "cat_first", "small", "is_noise"]
