@@ -72,18 +72,18 @@ def _members(spark, sf, min_samples=MIN_SAMPLES):
     return G.cluster_members(_classified(spark, sf), EPS, min_samples)
 
 
-def _cluster_table(spark, sf):
-    members = _members(spark, sf)
+def _cluster_table(spark, sf, members=None):
+    members = _members(spark, sf) if members is None else members
     return members, G.clusters(members)
 
 
-def _top(spark, sf, n=MAX_EVENTS):
-    members, table = _cluster_table(spark, sf)
+def _top(spark, sf, n=MAX_EVENTS, members=None):
+    members, table = _cluster_table(spark, sf, members)
     return members, G.top_clusters(table, n=n)
 
 
-def _items(spark, sf, language="english"):
-    members, top = _top(spark, sf)
+def _items(spark, sf, language="english", members=None):
+    members, top = _top(spark, sf, members=members)
     return D.digest_items(top, members, max_items=MAX_EVENTS, language=language)
 
 
@@ -624,14 +624,19 @@ def q_store_ranges_stats(spark, sf):
 
 
 def q_sink_roundtrip(spark, sf):
-    """Classified articles written as CSV and JSON, digest as JSON and text; all of it read back."""
+    """Classified articles written as CSV and JSON, digest as JSON and text; all of it read back.
+
+    Both files and the digest are made of one stored table, so the articles are classified, and their texts shuffled, once.
+    """
     from gazette.session import scratch_path
     from gazette.sinks import files
     base = scratch_path(spark, "sinks")
-    classified = _classified(spark, sf).drop("vec")
-    files.write_classified_csv(classified, f"{base}/csv")
-    files.write_classified_json(classified, f"{base}/json", {"method": "nearest_prototype"})
-    dig = D.digest(_items(spark, sf), AS_OF)
+    scored = _classified(spark, sf)
+    stored = G.clustered(scored.withColumn("_found", F.col("category")), EPS, MIN_SAMPLES)   # clustering fills a missing one
+    classified = stored.select(*[F.col("_found").alias(c) if c == "category" else c for c in scored.columns if c != "vec"])
+    files.write_classified_csv(classified, f"{base}/csv", compression="gzip")
+    files.write_classified_json(classified, f"{base}/json", {"method": "nearest_prototype"}, compression="gzip")
+    dig = D.digest(_items(spark, sf, members=G.members_of(stored.drop("_found"))), AS_OF)
     files.write_digest(dig, D.render_text(dig), f"{base}/digest")
     csv = spark.read.options(multiLine=True, **files.CSV).csv(f"{base}/csv")
     js = spark.read.json(f"{base}/json/articles")

@@ -29,22 +29,25 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_classified_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Classified articles as CSV with a header; quotes are doubled, as ordinary CSV readers expect."""
-    _flat(df).write.mode(mode).options(**CSV).csv(path)
+def write_classified_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None) -> None:
+    """Classified articles as CSV with a header; quotes are doubled, as ordinary CSV readers expect.
+
+    ``compression``: a codec of Spark's text writers, such as ``gzip``; plain files without.
+    """
+    _flat(df).write.mode(mode).options(**CSV).csv(path, compression=compression)
 
 
-def write_classified_json(df: DataFrame, path: str, meta: dict, mode: str = "overwrite") -> None:
+def write_classified_json(df: DataFrame, path: str, meta: dict, mode: str = "overwrite", compression: str | None = None) -> None:
     """Classified articles as JSON lines plus one metadata record.
 
-    Metadata counts are computed by Spark from the articles themselves.
+    Metadata counts are computed by Spark from the articles themselves. ``compression`` as for W1.
     """
     flag = F.coalesce(F.col("is_relevant"), F.lit(True)) if "is_relevant" in df.columns else F.lit(True)
     counts = df.agg(F.count("*").alias("total_articles"), F.count_if(flag).alias("relevant_articles"),
                     F.count_if(~flag).alias("irrelevant_articles"))
     extra = [F.lit(str(v)).alias(k) for k, v in meta.items()]
     counts.select("*", *extra).write.mode(mode).json(os.path.join(path, "metadata"))
-    df.write.mode(mode).json(os.path.join(path, "articles"))
+    df.write.mode(mode).json(os.path.join(path, "articles"), compression=compression)
 
 
 def clusters_trimmed(members: DataFrame, key: str = "category") -> DataFrame:

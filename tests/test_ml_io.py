@@ -143,6 +143,23 @@ def test_sinks_round_trip(spark):
     assert {x for x in os.listdir(f"{d}/methods/by_method") if x.startswith("method=")} == {"method=m1", "method=m2"}
 
 
+def test_sink_query_classifies_once_and_compresses(spark, monkeypatch):
+    """One classification and one stored copy of the texts for both files and the digest; the files are gzip."""
+    from gazette import session
+    from gazette.operators import cluster as G
+    from gazette.plans import queries as Q
+    base, calls, kept = tempfile.mkdtemp(prefix="gz-sinkq-"), [], []
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: f"{base}/{name}")
+    monkeypatch.setattr(Q, "_classified", lambda *a, real=Q._classified: calls.append(a) or real(*a))
+    monkeypatch.setattr(G, "_kept", lambda df, name, real=G._kept: kept.append(df.columns) or real(df, name))
+    got = Q.q_sink_roundtrip(spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 1 and sum("description" in c for c in kept) == 1
+    for kind in ("csv", "json/articles"):
+        parts = [f for f in os.listdir(f"{base}/sinks/{kind}") if f.startswith("part-")]
+        assert parts and all(f.endswith(".gz") for f in parts)
+    assert len(got) == 200 and all(r.csv_description == r.json_description and r.text_has_footer for r in got)
+
+
 def test_streaming_ingest(spark):
     from gazette.operators.hash_store import HashStore
     from gazette.streaming.ingest import ingest_stream
