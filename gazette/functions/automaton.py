@@ -21,6 +21,8 @@ EVENTS = 1 << 20         # matches held before repeated ones are dropped
 class Automaton:
     """``entries`` (distinct, not empty); ``find`` tells which of them each text contains."""
 
+    slab = 16_000_000        # bytes of text to search at a time
+
     def __init__(self, entries: Sequence[bytes]):
         self.size = len(entries)
         self.longest = max(map(len, entries), default=0)

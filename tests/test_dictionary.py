@@ -122,3 +122,44 @@ def test_a_large_dictionary_of_words_is_one_pass(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     assert found(D.dictionary_hits(df, [words], "text", cells=300)) == {i: plain(t, [words]) for i, t in enumerate(texts)}
     assert found(D.dictionary_hits(df, groups, "text", cells=300)) == {i: plain(t, groups) for i, t in enumerate(texts)}
+
+
+def test_a_dictionary_table_of_any_size_is_matched_in_parts(spark, monkeypatch):
+    """Beyond what is collected the groups stay tables: the same hits, from several matchers, and nothing is refused."""
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdeé", k=r.randint(1, 5))) for _ in range(400)]
+    entries = [("x", w) for w in words[:250]] + [("y", w) for w in words[250:]] + [("y", "a b"), ("y", "a b"), ("x", ""), ("z", "é\nd"), (None, "a"), ("x", None)]
+    table = spark.createDataFrame(entries, "grp string, entry string")
+    names, lists = D.dictionary_groups(table)
+    assert names == ["x", "y", "z"] and all(isinstance(g, list) for g in lists)
+    monkeypatch.setattr(D, "COLLECT", 10)
+    monkeypatch.setattr(D, "PART", 60)
+    names, groups = D.dictionary_groups(table)
+    assert names == ["x", "y", "z"] and list(map(len, groups)) == list(map(len, lists)) and list(map(list, groups)) == lists
+    assert all(isinstance(g, D.StoredEntries) for g in groups) and len(list(D._matchers(spark, groups, D.CELLS))) >= 7
+    texts = [None, "", "a b", *["".join(r.choices("abcdeé -\n", k=r.randint(0, 400))) for _ in range(40)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {i: plain(t, lists) for i, t in enumerate(texts)}
+    assert found(D.dictionary_hits(df, groups, "text")) == want
+    mixed = [["b", "b", "", "zz"], groups[1], [], groups[1]]
+    assert found(D.dictionary_hits(df, mixed, "text")) == {i: plain(t, [mixed[0], lists[1], [], lists[1]]) for i, t in enumerate(texts)}
+    monkeypatch.setattr(C, "SHORT", 0)
+    named = lambda of: [r[1:] for r in C.classify_keyword(df, list(zip(names, of, strict=True)), "text").orderBy("id").collect()]
+    assert named(groups) == named(lists)
+
+
+def test_a_large_word_index_takes_little_memory():
+    """200,000 words: the index, and what is held while it is built."""
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+    words = pa.array(sorted({f"{i * 7919 % 1_000_003:06d}é{i % 13}" for i in range(200_000)}))
+    table = pa.table({"e": words, "grp": pa.array(np.arange(len(words)) % 3, pa.int32()), "n": pa.array(np.ones(len(words)), pa.int64())})
+    tracemalloc.start()
+    (matcher,) = D._compile_table(table, D.CELLS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(matcher)) < 45 * len(words) and peak < 250 * len(words)
+    text, group, n = matcher.find(pa.array([words[5].as_py() + " x" + words[7].as_py() + "y", None]))
+    assert sorted(zip(text.tolist(), group.tolist(), n.tolist(), strict=True)) == [(0, 1, 1), (0, 2, 1)]
